@@ -1,4 +1,4 @@
-from .encoders import byte_histogram_encoder, encode_images, encode_text, token_hash_encoder
+from .encoders import byte_histogram_encoder, encode_bytes, encode_images, encode_text, letter_count_encoder
 from .predicates import approx_eq
 from .vectors import (
     cosine_distance,
@@ -17,12 +17,13 @@ __all__ = [
     "cosine_distance",
     "cosine_similarity",
     "dot",
+    "encode_bytes",
     "encode_images",
     "encode_text",
     "l2_norm",
     "l2_normalize",
     "l2_sq_distance",
     "pool_query",
+    "letter_count_encoder",
     "query_by_id",
-    "token_hash_encoder",
 ]

@@ -44,23 +44,21 @@ def encode_images(
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select("path", "content")
-    return files.select("path", _encode_column(make_encoder)(F.col("content")).alias("embedding"))
+    return encode_bytes(reader.load(path), "content", make_encoder).select("path", "embedding")
 
 
-def token_hash_encoder(dim: int = 32) -> Callable[[], Encoder]:
-    """A deterministic stand-in for a text model: signed counts of hashed words."""
+def encode_bytes(df: DataFrame, column: str, make_encoder: Callable[[], Encoder], out: str = "embedding") -> DataFrame:
+    """V8 for images already held in a binary column."""
+    return df.withColumn(out, _encode_column(make_encoder)(F.col(column)))
 
-    def make() -> Encoder:
-        import zlib
 
+def letter_count_encoder() -> Callable[[], Encoder]:
+    """A deterministic stand-in for a text model: how often each letter a-z occurs."""
+
+    def make() -> Encoder:
         def encode(texts: Sequence[str]) -> np.ndarray:
-            rows = np.zeros((len(texts), dim), dtype=np.float32)
-            for row, text in enumerate(texts):
-                for word in text.lower().split():
-                    code = zlib.crc32(word.encode("utf-8"))
-                    rows[row, code % dim] += 1.0 if (code >> 16) & 1 else -1.0
-            return rows
+            codes = [np.frombuffer(text.encode("utf-8"), dtype=np.uint8) for text in texts]
+            return np.stack([np.bincount(code, minlength=256)[97:123] for code in codes])
 
         return encode
 

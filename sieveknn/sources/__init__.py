@@ -11,7 +11,7 @@ from .metadata import (
     write_metadata,
     write_report,
 )
-from .npy import NpyDataSource, read_npy
+from .npy import NpyDataSource, read_npy, write_npy
 
 __all__ = [
     "NpyDataSource",
@@ -26,5 +26,6 @@ __all__ = [
     "with_global_id",
     "write_bucketed",
     "write_metadata",
+    "write_npy",
     "write_report",
 ]

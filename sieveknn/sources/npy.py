@@ -139,3 +139,32 @@ def read_npy(spark: SparkSession, pattern: str, partition_bytes: int = DEFAULT_P
     """All shards matching a glob, with contiguous ids over the sorted shard paths."""
     spark.dataSource.register(NpyDataSource)
     return spark.read.format("npy").option("partitionBytes", partition_bytes).load(pattern)
+
+
+def write_npy(emb: DataFrame, path: str, shards: int) -> None:
+    """Vectors ``(id, embedding)`` to float32 ``.npy`` shards in id order, one file per task.
+
+    File names sort in id order, so reading them back gives contiguous ids in the same order.  A
+    retried task overwrites its own file.
+    """
+    from pyspark import TaskContext
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column("embedding")
+                values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                blocks.append(values.reshape(len(column), -1))
+        if blocks:
+            block = np.concatenate(blocks)
+            folder, location = _open_location(path)
+            name = f"{location}/part_{TaskContext.get().partitionId():06d}.npy"
+            with folder.open_output_stream(name) as handle:
+                npy_format.write_array(handle, block, allow_pickle=False)
+            yield pa.RecordBatch.from_arrays([pa.array([len(block)], pa.int64())], names=["rows"])
+
+    filesystem, location = _open_location(path)
+    filesystem.create_dir(location)
+    ordered = emb.select("id", "embedding").repartitionByRange(shards, "id").sortWithinPartitions("id")
+    ordered.mapInArrow(save, "rows bigint").agg({"rows": "sum"}).collect()
