@@ -43,6 +43,25 @@ def comparable(rows, columns: list[str]) -> list[tuple]:
     return sorted(tuple(text(row[i]) for i in order) for row in rows)
 
 
+# Spark type -> type name on the other side
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_differences(schema, description) -> list[str]:
+    other = {d[0]: str(d[1]) for d in description}
+    return [
+        f"{f.name}: {f.dataType.simpleString()} != {other[f.name]}"
+        for f in schema.fields
+        if SAME_TYPE.get(f.dataType.simpleString()) != other[f.name]
+    ]
+
+
 def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
     """Empty if equal, otherwise what differs."""
     result = QUERIES[name](spark, sf_dir)
@@ -54,6 +73,9 @@ def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
     want = comparable(cursor.fetchall(), columns)
     if sorted(result.columns) != sorted(columns):
         return f"columns {sorted(result.columns)} != {sorted(columns)}"
+    types = type_differences(result.schema, cursor.description)
+    if types:
+        return "types differ: " + ", ".join(types)
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     different = [(g, w) for g, w in zip(got, want, strict=True) if g != w]

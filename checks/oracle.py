@@ -24,7 +24,7 @@ pooled AS (SELECT CAST(qid AS BIGINT) AS qid, list(x ORDER BY i) AS q FROM parts
 queries AS (SELECT qid, q, sqrt(list_dot_product(q, q)) AS qn FROM pooled)"""
 
 # every (query, vector) pair with its distance and the query's global rank
-SCORED = """scored AS (SELECT qid, id, 1.0 - list_dot_product(v, q) / (n * qn) AS dist FROM queries, vec),
+SCORED = """scored AS (SELECT qid, id, round(1.0 - list_dot_product(v, q) / (n * qn), 12) AS dist FROM queries, vec),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS place FROM scored)"""
 
 # stored vector 123 as the only query
@@ -76,14 +76,14 @@ SELECT workload,
 FROM averages JOIN recalls USING (workload, strategy)"""
 
 KNN_GRAPH = f"""WITH {VEC},
-scored AS (SELECT a.id AS qid, b.id AS id, 1.0 - list_dot_product(b.v, a.v) / (b.n * a.n) AS dist FROM vec a, vec b),
+scored AS (SELECT a.id AS qid, b.id AS id, round(1.0 - list_dot_product(b.v, a.v) / (b.n * a.n), 12) AS dist FROM vec a, vec b),
 hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM scored)
 SELECT qid, CAST(rank AS INTEGER) AS rank, id, {rnd('dist')} AS dist FROM hits WHERE rank <= 5"""
 
 
 def nearest_to_123(k: int) -> str:
     return f"""WITH {VEC}, {Q123},
-scored AS (SELECT id, 1.0 - list_dot_product(v, q) / (n * qn) AS dist FROM vec, q123)
+scored AS (SELECT id, round(1.0 - list_dot_product(v, q) / (n * qn), 12) AS dist FROM vec, q123)
 SELECT id, {rnd('dist')} AS dist FROM (SELECT * FROM scored ORDER BY dist, id LIMIT {k})"""
 
 
@@ -172,7 +172,7 @@ FROM pages, generate_series(32, 126) AS codes(i)""",
         "k2_knn_partial_merge": nearest_to_123(1500),
         "k3_knn_batch": KNN_GRAPH,
         "k4_rank_all": f"""WITH {ITEMS}, {VEC}, {Q123},
-scored AS (SELECT id, 2.0 - 2.0 * list_dot_product(v, q) / (n * qn) AS dist FROM vec, q123)
+scored AS (SELECT id, round(2.0 - 2.0 * list_dot_product(v, q) / (n * qn), 12) AS dist FROM vec, q123)
 SELECT row_number() OVER (ORDER BY dist, id) AS rank, id, {rnd('dist')} AS dist, caption
 FROM scored JOIN items USING (id)""",
         "h1_prefilter": filtered_hits([OWN[4]]),
@@ -195,11 +195,11 @@ SELECT qid, n AS n_total, m AS n_filtered, {rnd('m / n')} AS selectivity,
 FROM counts, total""",
         "h8_run_workloads": filtered_hits(OWN),
         "a1_train_sample": """SELECT least(100, count(*)) AS n_rows, least(100, count(*)) AS n_ids FROM embeddings""",
-        "a2_train_ivf": """SELECT CAST(i AS INTEGER) AS cluster_id, 64 AS d, 1.0 AS norm
+        "a2_train_ivf": """SELECT CAST(i AS INTEGER) AS cluster_id, 64 AS d, CAST(1.0 AS DOUBLE) AS norm
 FROM (SELECT unnest(generate_series(0, CAST(floor(sqrt(count(*))) AS BIGINT) - 1)) AS i FROM embeddings)""",
         "a3_assign_clusters": "SELECT vec_id AS id, true AS has_list FROM embeddings",
         "a4_ivf_search_all_lists": KNN_GRAPH,
-        "a5_train_pq": "SELECT CAST(m AS INTEGER) AS m, 16 AS n_codes, 8 AS width FROM generate_series(0, 7) AS t(m)",
+        "a5_train_pq": "SELECT CAST(m AS INTEGER) AS m, CAST(16 AS BIGINT) AS n_codes, 8 AS width FROM generate_series(0, 7) AS t(m)",
         "a6_pq_encode": "SELECT vec_id AS id, 8 AS parts, true AS in_range FROM embeddings",
         "a9_build_or_load": """SELECT kind, count(*) AS n, 64 AS d, CAST(floor(sqrt(count(*))) AS INTEGER) AS nlist,
   m, bits, count(*) AS stored
@@ -227,7 +227,7 @@ SELECT workload, {rnd('post / nullif(pre, 0)')} AS post_over_pre, {rnd('pre / nu
         "e4_results_table": RESULTS,
         "e5_compare_filters": f"""WITH {ITEMS}, kept AS (
   SELECT id FROM items WHERE NSFW = 'UNLIKELY' AND similarity >= 0.035 AND original_width >= 500)
-SELECT count(*) AS n_a, count(*) AS n_b, 0 AS only_a, 0 AS only_b FROM kept""",
+SELECT count(*) AS n_a, count(*) AS n_b, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b FROM kept""",
         "e6_work_counters": f"""WITH {ITEMS}, kept AS (
   SELECT id FROM items WHERE original_width > 1024 AND original_height > 1024)
 SELECT count(*) AS rows_filtered, count(*) AS rows_scored, least(10, count(*)) AS rows_returned FROM kept""",

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 VectorLike = Column | str | Sequence[float]
 
+# Distances are settled to this many steps per unit, so that the rounding noise of a sum never
+# decides an order: equal distances stay equal whichever way they were computed, and ids break the tie.
+STEPS_PER_UNIT = 1e12
+
+
+def settle(distance: Column) -> Column:
+    return F.rint(distance * F.lit(STEPS_PER_UNIT)) / F.lit(STEPS_PER_UNIT)
+
 
 def as_vector(value: VectorLike) -> Column:
     """A column from a column, a column name or a plain sequence of numbers."""
@@ -62,13 +70,13 @@ def cosine_similarity(a: VectorLike, b: VectorLike, normalized: bool = False) ->
 
 def cosine_distance(a: VectorLike, b: VectorLike, normalized: bool = False) -> Column:
     """V3: one minus the cosine similarity."""
-    return F.lit(1.0) - cosine_similarity(a, b, normalized)
+    return settle(F.lit(1.0) - cosine_similarity(a, b, normalized))
 
 
 def l2_sq_distance(a: VectorLike, b: VectorLike) -> Column:
     """V4: squared Euclidean distance."""
     gaps = F.zip_with(as_vector(a), as_vector(b), lambda x, y: x.cast("double") - y.cast("double"))
-    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
+    return settle(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g))
 
 
 def pool_query(vectors: DataFrame, qid: str = "qid", vector: str = "vec") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from ..functions.vectors import STEPS_PER_UNIT
+
 # Queries scored against one batch at a time; bounds the score matrix, not the result.
 QUERY_BLOCK = 256
 # Rows of results handed back to Spark at a time.
@@ -27,6 +29,11 @@ def list_column_to_matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(column), width).astype(dtype, copy=False)
 
 
+def settle(distances: np.ndarray) -> np.ndarray:
+    """The same settling of rounding noise as the column functions apply."""
+    return np.rint(distances * STEPS_PER_UNIT) / STEPS_PER_UNIT
+
+
 class Nearest:
     """Running k best ``(distance, id)`` of every query."""
 
@@ -108,7 +115,7 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
 
     A float32 matrix product screens each batch; rows that could still enter a query's k best, with
     the product's rounding error allowed for, are scored again in double precision.  That second
-    sum runs row by row in a fixed order, so equal vectors always get equal distances.
+    sum runs row by row in a fixed order and is settled, so equal vectors always get equal distances.
     """
     n_queries, width = queries.shape
     lengths = np.sqrt(np.einsum("qd,qd->q", queries, queries))
@@ -135,7 +142,7 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
                 exact_norms = np.sqrt(np.einsum("nd,nd->n", exact, exact))
                 exact_norms[exact_norms == 0] = 1.0
                 dots = np.einsum("nd,d->n", exact, unit_queries[block[column]])
-                best.offer(int(block[column]), 1.0 - dots / exact_norms, ids[rows])
+                best.offer(int(block[column]), settle(1.0 - dots / exact_norms), ids[rows])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Nearest(n_queries, k)
@@ -178,7 +185,7 @@ def scan_codes(tables: np.ndarray, bases: dict[int, np.ndarray], qids: pa.Array,
                 ids, row_codes = all_ids[rows], codes[rows]
                 for query, base in zip(members, bases[int(clusters[rows[0]])], strict=True):
                     similarity = base + tables[query][positions, row_codes].sum(axis=1)
-                    best.offer_near(int(query), 1.0 - similarity.astype(np.float64), ids)
+                    best.offer_near(int(query), settle(1.0 - similarity.astype(np.float64)), ids)
         yield from best.batches(qids)
 
     return scan
@@ -200,7 +207,7 @@ def score_rows(queries: np.ndarray):
             vectors = list_column_to_matrix(batch.column("embedding"), width, np.float64)
             norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
             norms[norms == 0] = 1.0
-            distances = np.stack([1.0 - np.einsum("nd,d->n", vectors, q) / norms for q in unit_queries], axis=1)
+            distances = settle(np.stack([1.0 - np.einsum("nd,d->n", vectors, q) / norms for q in unit_queries], axis=1))
             starts = np.arange(len(vectors) + 1, dtype=np.int32) * len(unit_queries)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(distances.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "dists"])
