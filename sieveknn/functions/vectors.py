@@ -85,18 +85,16 @@ def pool_query(vectors: DataFrame, qid: str = "qid", vector: str = "vec") -> Dat
     ``Summarizer.mean`` combines on the map side, so a query with very many vectors costs one
     partial mean per task and never a collected list.  A ``qid`` without any vector is an error.
     """
-    checked = F.when(
-        F.col("n_vectors") == 0,
-        F.raise_error(F.lit("pool_query: a query has no vectors")).cast("array<double>"),
-    ).otherwise(vector_to_array(F.col("mean_vector")))
-    present = F.when(F.col(vector).isNotNull(), array_to_vector(l2_normalize(vector)))
-    pooled = (
-        vectors.select(F.col(qid).alias("qid"), present.alias("unit"))
+    named = vectors.select(F.col(qid).alias("qid"), F.col(vector).alias("vec"))
+    means = (
+        named.filter(F.col("vec").isNotNull())
+        .select("qid", array_to_vector(l2_normalize("vec")).alias("unit"))
         .groupBy("qid")
-        .agg(F.count("unit").alias("n_vectors"), Summarizer.mean(F.col("unit")).alias("mean_vector"))
-        .select("qid", checked.alias("mean"))
+        .agg(vector_to_array(Summarizer.mean(F.col("unit"))).alias("mean"))
     )
-    return pooled.select("qid", l2_normalize("mean").alias("qvec"))
+    checked = F.coalesce("mean", F.raise_error(F.lit("pool_query: a query has no vectors")).cast("array<double>"))
+    every = named.select("qid").distinct().join(means, "qid", "left")
+    return every.select("qid", l2_normalize(checked).alias("qvec"))
 
 
 def query_by_id(emb: DataFrame, vector_id: int, qid: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,11 +45,18 @@ class WorkCounters:
     def watch(df: DataFrame, observation: Observation) -> DataFrame:
         return df.observe(observation, F.count(F.lit(1)).alias("rows"))
 
+    @staticmethod
+    def rows(observation: Observation) -> int:
+        try:
+            return observation.get["rows"]
+        except Py4JJavaError:  # Spark drops a step, and its counter, once it knows the input is empty
+            return 0
+
     def as_dict(self) -> dict[str, int]:
         return {
-            "rows_filtered": self.filtered.get["rows"],
-            "rows_scored": self.scored.get["rows"],
-            "rows_returned": self.returned.get["rows"],
+            "rows_filtered": self.rows(self.filtered),
+            "rows_scored": self.rows(self.scored),
+            "rows_returned": self.rows(self.returned),
         }
 
 
