@@ -5,6 +5,7 @@ Everything accumulates in double precision, also over ``array<float>`` columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,7 +30,12 @@ def as_vector(value: VectorLike) -> Column:
         return value
     if isinstance(value, str):
         return F.col(value)
-    return F.lit([float(x) for x in value])
+    numbers = [float(x) for x in value]
+    if all(math.isfinite(x) for x in numbers):
+        # one constant, folded when the query is optimised; an array of single literals would be
+        # analysed element by element
+        return F.from_json(F.lit(str(numbers)), "array<double>")
+    return F.lit(numbers)
 
 
 def dot(a: VectorLike, b: VectorLike) -> Column:
@@ -68,6 +74,12 @@ def cosine_similarity(a: VectorLike, b: VectorLike, normalized: bool = False) ->
     return dot(a, b) / (_safe_norm(a) * _safe_norm(b))
 
 
+def distance_to_unit(vector: VectorLike, unit_query: Sequence[float], normalized: bool = False) -> Column:
+    """Cosine distance to a query that already has unit length."""
+    similarity = dot(vector, unit_query)
+    return settle(F.lit(1.0) - (similarity if normalized else similarity / _safe_norm(vector)))
+
+
 def cosine_distance(a: VectorLike, b: VectorLike, normalized: bool = False) -> Column:
     """V3: one minus the cosine similarity."""
     return settle(F.lit(1.0) - cosine_similarity(a, b, normalized))

@@ -123,14 +123,27 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
     coarse_queries = unit_queries.astype(np.float32)
     slack = (width + 8) * 2.4e-7
 
-    def screen_and_offer(best: Nearest, vectors, norms, ids, members) -> None:
+    def exact_distances(vectors: np.ndarray, query: int) -> np.ndarray:
+        rows = vectors.astype(np.float64)
+        norms = np.sqrt(np.einsum("nd,nd->n", rows, rows))
+        norms[norms == 0] = 1.0
+        return settle(1.0 - np.einsum("nd,d->n", rows, unit_queries[query]) / norms)
+
+    def screen_and_offer(best: Nearest, vectors: np.ndarray, ids: np.ndarray, members: np.ndarray) -> None:
+        norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+        # zero, tiny, huge and broken vectors, whose float32 norm says nothing, skip the screening
+        odd = ~((norms > 1e-15) & (norms < 1e15))
+        if odd.any():
+            for query in members:
+                best.offer_near(int(query), exact_distances(vectors[odd], query), ids[odd])
+            vectors, norms, ids = vectors[~odd], norms[~odd], ids[~odd]
+            if not len(ids):
+                return
         for start in range(0, len(members), QUERY_BLOCK):
             block = members[start : start + QUERY_BLOCK]
             coarse = vectors @ coarse_queries[block].T
             coarse /= norms[:, None]
             floor = 1.0 - best.worst[block] - slack
-            # vectors holding NaN take part as "farther than everything"
-            np.nan_to_num(coarse, copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             for column in np.flatnonzero(coarse.max(axis=0) >= floor):
                 scores = coarse[:, column]
                 rows = np.flatnonzero(scores >= floor[column])
@@ -138,11 +151,8 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
                     kept = scores[rows]
                     kth = np.partition(kept, len(kept) - best.k)[len(kept) - best.k]
                     rows = rows[kept >= kth - slack]
-                exact = vectors[rows].astype(np.float64)
-                exact_norms = np.sqrt(np.einsum("nd,nd->n", exact, exact))
-                exact_norms[exact_norms == 0] = 1.0
-                dots = np.einsum("nd,d->n", exact, unit_queries[block[column]])
-                best.offer(int(block[column]), settle(1.0 - dots / exact_norms), ids[rows])
+                query = int(block[column])
+                best.offer_near(query, exact_distances(vectors[rows], query), ids[rows])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Nearest(n_queries, k)
@@ -151,13 +161,11 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
                 continue
             all_ids = batch.column("id").to_numpy(zero_copy_only=False)
             matrix = list_column_to_matrix(batch.column("embedding"), width, np.float32)
-            norms = np.sqrt(np.einsum("nd,nd->n", matrix, matrix))
-            norms[norms == 0] = 1.0
             for rows, members in split(batch):
                 if rows is None or len(rows) == batch.num_rows:
-                    screen_and_offer(best, matrix, norms, all_ids, members)
+                    screen_and_offer(best, matrix, all_ids, members)
                 else:
-                    screen_and_offer(best, matrix[rows], norms[rows], all_ids[rows], members)
+                    screen_and_offer(best, matrix[rows], all_ids[rows], members)
         yield from best.batches(qids)
 
     return scan
@@ -191,24 +199,31 @@ def scan_codes(tables: np.ndarray, bases: dict[int, np.ndarray], qids: pa.Array,
     return scan
 
 
-def score_rows(queries: np.ndarray):
+def score_rows(queries: np.ndarray, squared_l2: bool = False):
     """A ``mapInArrow`` function: the distances of each vector to all queries, ``(id, dists)``.
 
-    For joins that would otherwise move the vectors themselves.
+    For joins and sorts that would otherwise move the vectors themselves.  ``squared_l2`` gives the
+    squared Euclidean distance of the normalised vectors in place of the cosine distance.
     """
     width = queries.shape[1]
     lengths = np.sqrt(np.einsum("qd,qd->q", queries, queries))
     unit_queries = queries / np.where(lengths == 0, 1.0, lengths)[:, None]
 
+    def distances_to(vectors: np.ndarray, norms: np.ndarray, query: int) -> np.ndarray:
+        cosines = np.einsum("nd,d->n", vectors, unit_queries[query]) / np.where(norms == 0, 1.0, norms)
+        if squared_l2:
+            # |u - q|^2 = |u|^2 + |q|^2 - 2 u.q, where a length is 1, or 0 for a zero vector
+            return settle(np.sign(norms) + np.sign(lengths[query]) - 2.0 * cosines)
+        return settle(1.0 - cosines)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = list_column_to_matrix(batch.column("embedding"), width, np.float64)
             norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
-            norms[norms == 0] = 1.0
-            distances = settle(np.stack([1.0 - np.einsum("nd,d->n", vectors, q) / norms for q in unit_queries], axis=1))
-            starts = np.arange(len(vectors) + 1, dtype=np.int32) * len(unit_queries)
+            distances = np.stack([distances_to(vectors, norms, q) for q in range(len(queries))], axis=1)
+            starts = np.arange(len(vectors) + 1, dtype=np.int32) * len(queries)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(distances.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "dists"])
 

@@ -19,7 +19,7 @@ from ..functions.vectors import cosine_distance
 from ..operators.filters import MAX_BROADCAST_ROWS, bounded_broadcast, count_matches, filter_where
 from ..operators.ivf import NPROBE
 from ..operators.kernel import by_flag, scan_scores, scan_vectors, score_rows
-from ..operators.nearest import QueryBatch, empty_hits, fits_jvm, knn_pass, score_one, search_in_passes
+from ..operators.nearest import QueryBatch, empty_hits, knn_pass, search_in_passes
 from ..operators.topk import top_k
 from .index import VectorIndex
 
@@ -91,20 +91,13 @@ def _search_flagged(
     split = by_flag(flags)
     names = list(flags)
     small = n_flagged <= MAX_BROADCAST_ROWS
-    single = fits_jvm(batch, k)
     if flagged is None or small or colocated or 8 * len(batch) >= _vector_bytes(batch):
         if flagged is not None:
             vectors = vectors.join(F.broadcast(flagged) if small else flagged, "id")
-        vectors = _watched(vectors, counters, "scored")
-        if single:
-            return score_one(vectors, batch)
-        rows = vectors.select("id", "embedding", *names)
+        rows = _watched(vectors, counters, "scored").select("id", "embedding", *names)
         return rows.mapInArrow(scan_vectors(batch.vectors, batch.qids, k, split), schema)
-    vectors = _watched(vectors, counters, "scored")
-    if single:
-        # an inner join: Spark would push a semi join below the distance, back onto the vectors
-        return score_one(vectors, batch).join(flagged.select("id"), "id").select("qid", "id", "dist")
-    rows = vectors.select("id", "embedding").mapInArrow(score_rows(batch.vectors), "id bigint, dists array<double>")
+    rows = _watched(vectors, counters, "scored").select("id", "embedding")
+    rows = rows.mapInArrow(score_rows(batch.vectors), "id bigint, dists array<double>")
     rows = rows.join(flagged, "id").select("id", "dists", *names)
     return rows.mapInArrow(scan_scores(len(batch), batch.qids, k, split), schema)
 

@@ -26,6 +26,9 @@ from ..operators.nearest import QueryBatch, knn_pass, search_in_passes
 from ..operators.pq import choose_m, ivfpq_pass, pq_encode, train_pq
 
 KINDS = ("Flat", "IVF", "IVFPQ")
+VERSION_SCHEMA = (
+    "kind string, path string, n bigint, d int, nlist int, m int, bits int, seed bigint, built_at string"
+)
 
 
 @dataclass
@@ -67,6 +70,15 @@ class VectorIndex:
     def add(self, emb: DataFrame) -> None:
         """Append vectors, assigned to the existing lists (the index is not trained again)."""
         self._write(emb, "append")
+        self.n = self.rows(emb.sparkSession).count()
+        self.record(emb.sparkSession)
+
+    def record(self, spark: SparkSession) -> None:
+        """List this version, as it is now, as the newest."""
+        values = {k: v for k, v in asdict(self).items() if k not in ("centroids", "codebooks")}
+        row = spark.createDataFrame([(*values.values(), datetime.now(timezone.utc).isoformat())], VERSION_SCHEMA)
+        folder = self.path.rpartition("/")[0]
+        row.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
 
     def _write(self, emb: DataFrame, mode: str) -> None:
         path = f"{self.path}/rows"
@@ -150,12 +162,7 @@ def build_or_load(
             index.codebooks = train_pq(sample, index.centroids, f"{version}/residuals", index.m, bits, seed)
         _store_centroids(spark, index)
     index._write(vectors, "errorifexists")
-    record = {k: v for k, v in asdict(index).items() if k not in ("centroids", "codebooks")}
-    row = spark.createDataFrame(
-        [(*record.values(), datetime.now(timezone.utc).isoformat())],
-        "kind string, path string, n bigint, d int, nlist int, m int, bits int, seed bigint, built_at string",
-    )
-    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    index.record(spark)
     return index
 
 

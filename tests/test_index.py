@@ -152,6 +152,7 @@ def test_hot_list(spark, emb, folder):
 def test_add(spark, emb, folder):
     index = build_or_load(spark, f"{folder}/grow", emb.filter("id < 400"), "IVF", nlist=8)
     index.add(emb.filter("id >= 400"))
+    assert index.n == load_index(spark, f"{folder}/grow").n == 500
     query = emb.filter("id = 450").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
     assert sorted(index.search(query, 10, 8).collect()) == sorted(knn_batch(emb, query, 10).collect())
 

@@ -119,6 +119,19 @@ def test_broken_vectors_come_last():
     assert {i for _, i, _ in collect(scan(batches(matrix, 2)))} == {2, 3}
 
 
+def test_extreme_lengths():
+    matrix = np.array([[1e25, 0.0], [1e-25, 1e-25], [0.0, 0.0], [0.0, 3.0], [1.0, 0.1]])
+    scan = scan_vectors(np.array([[2.0, 0.0]]), pa.array([0]), 3, everything(1))
+    got = sorted((round(d, 6), i) for _, i, d in collect(scan(batches(matrix, 2))))
+    assert [i for _, i in got] == [0, 4, 1]
+
+
+def test_squared_l2():
+    matrix = np.array([[3.0, 4.0], [0.0, 0.0], [-2.0, 0.0]])
+    (batch,) = score_rows(np.array([[5.0, 0.0]]), squared_l2=True)(batches(matrix, 5))
+    assert batch.column("dists").to_pylist() == [[0.8], [1.0], [4.0]]
+
+
 def test_codes_are_looked_up():
     tables = np.array([[[0.1, 0.2], [0.0, 0.5]]], dtype=np.float32)  # one query, two parts, two codewords
     batch = pa.RecordBatch.from_arrays(

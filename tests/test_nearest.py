@@ -111,6 +111,7 @@ def test_plans(spark, sf_dir, queries):
     emb = fx.embeddings(spark, sf_dir)
     single = plan(knn(emb, [1.0] * 64, 10, use_kernel=False))
     assert "TakeOrderedAndProject" in single and "Exchange" not in single
+    assert "from_json" not in single  # the query is a constant
     batch = plan(knn_batch(emb, queries, 10))
     assert "WindowGroupLimit" in batch and "MapInArrow" in batch
     assert "CartesianProduct" not in batch and "NestedLoop" not in batch
@@ -126,6 +127,8 @@ def test_rank_all(spark):
     assert [(r.dist, r.id) for r in ranked] == sorted((r.dist, r.id) for r in ranked)
     assert [r.id for r in ranked[:200]] == list(range(0, 600, 3))
     assert all(r.caption == f"c{r.id}" for r in ranked)
+    zero = rank_all(frame(spark, [(1, [0.0, 0.0]), (2, [0.0, 2.0])]), [1.0, 0.0]).orderBy("rank").collect()
+    assert [(r.id, r.dist) for r in zero] == [(1, 1.0), (2, 2.0)]
     assert np.isclose(ranked[-1].dist, 2 - 2 * (1 / np.hypot(1, 599 if 599 % 3 else 598)))
 
 
