@@ -248,3 +248,62 @@ def scan_scores(n_queries: int, qids: pa.Array, k: int, split: Split):
         yield from best.batches(qids)
 
     return scan
+
+
+def count_closer(queries: np.ndarray, qids: pa.Array, marks: list[tuple[np.ndarray, np.ndarray]]):
+    """A ``mapInArrow`` function: how many rows come before each mark, ``(qid, mark, n)``.
+
+    ``marks[q]`` are a query's ``(distances, ids)`` in order; a row comes before a mark if its
+    distance is smaller, or equal with a smaller id.  Float32 products settle the rows that are
+    clearly between two marks, the others are scored exactly.
+    """
+    n_queries, width = queries.shape
+    lengths = np.sqrt(np.einsum("qd,qd->q", queries, queries))
+    unit_queries = queries / np.where(lengths == 0, 1.0, lengths)[:, None]
+    coarse_queries = unit_queries.astype(np.float32)
+    slack = (width + 8) * 2.4e-7
+
+    def passed_exactly(vectors: np.ndarray, ids: np.ndarray, query: int) -> np.ndarray:
+        """Number of marks that each row does not come before."""
+        distances, mark_ids = marks[query]
+        rows = vectors.astype(np.float64)
+        norms = np.sqrt(np.einsum("nd,nd->n", rows, rows))
+        norms[norms == 0] = 1.0
+        own = settle(1.0 - np.einsum("nd,d->n", rows, unit_queries[query]) / norms)[:, None]
+        before = (own < distances) | ((own == distances) & (ids[:, None] < mark_ids))
+        return len(distances) - before.sum(axis=1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # landed[q][j]: rows that come before mark j but not before mark j - 1
+        landed = [np.zeros(len(distances) + 1, dtype=np.int64) for distances, _ in marks]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            vectors = list_column_to_matrix(batch.column("embedding"), width, np.float32)
+            norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+            odd = ~((norms > 1e-15) & (norms < 1e15))
+            norms[odd] = 1.0
+            for start in range(0, n_queries, QUERY_BLOCK):
+                coarse = vectors @ coarse_queries[start : start + QUERY_BLOCK].T / norms[:, None]
+                for query in range(start, min(start + QUERY_BLOCK, n_queries)):
+                    distances = marks[query][0]
+                    own = 1.0 - coarse[:, query - start].astype(np.float64)
+                    passed = np.searchsorted(distances, own - slack)
+                    unclear = np.flatnonzero((passed != np.searchsorted(distances, own + slack)) | odd)
+                    if len(unclear):
+                        passed[unclear] = passed_exactly(vectors[unclear], ids[unclear], query)
+                    landed[query] += np.bincount(passed, minlength=len(distances) + 1)
+        for query, counts in enumerate(landed):
+            places = len(counts) - 1
+            if places:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        qids.take(pa.array(np.full(places, query))),
+                        pa.array(np.arange(places, dtype=np.int32)),
+                        pa.array(np.cumsum(counts)[:-1]),
+                    ],
+                    names=["qid", "mark", "n"],
+                )
+
+    return scan

@@ -14,11 +14,12 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import cosine_distance
 from ..operators.filters import MAX_BROADCAST_ROWS, bounded_broadcast, count_matches, filter_where
 from ..operators.ivf import NPROBE
-from ..operators.kernel import by_flag, scan_scores, scan_vectors, score_rows
+from ..operators.kernel import by_flag, count_closer, scan_scores, scan_vectors, score_rows
 from ..operators.nearest import QueryBatch, empty_hits, knn_pass, search_in_passes
 from ..operators.topk import top_k
 from .index import VectorIndex
@@ -155,15 +156,56 @@ def search_postfilter(
 ) -> DataFrame:
     """H2: exact ``oversample * k`` nearest of everything, then the first k that pass the filter.
 
-    May return fewer than k rows; an empty filter result gives no rows.
+    May return fewer than k rows; an empty filter result gives no rows.  A bounded number of
+    candidates is collected per task and matched with the filter.  For more, nothing is collected:
+    the hits are the nearest matching rows whose rank among all rows is within the candidates, and
+    that rank is a count.
     """
     ids = filter_where(meta, where)
+    wanted = oversample * k
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        cands = knn_pass(emb, batch, oversample * k)
-        return filter_candidates(cands, ids, k, len(batch) * oversample * k)
-
-    return search_in_passes(queries, oversample * k, one_pass)
+        bound = len(batch) * wanted
+        if bound <= MAX_BROADCAST_ROWS:
+            return filter_candidates(knn_pass(emb, batch, wanted), ids, k, bound)
+        hits = _search_flagged(
+            emb.select("id", "embedding"),
+            ids.withColumn("f0", F.lit(True)),
+            count_matches(meta, [where])[1][0],
+            {"f0": np.arange(len(batch))},
+            batch,
+            k,
+            colocated=False,
+        )
+        return keep_within(top_k(hits, k), emb, batch, wanted)
+
+    return search_in_passes(queries, k, one_pass)
+
+
+def keep_within(hits: DataFrame, emb: DataFrame, batch: QueryBatch, wanted: int) -> DataFrame:
+    """The hits that are among the ``wanted`` nearest of all vectors to their query.
+
+    At most k hits per query of one pass go to the driver and back as marks; one scan of the vectors
+    counts the rows before each mark, and only those counts are shuffled.
+    """
+    spark = emb.sparkSession
+    found = hits.orderBy("qid", "rank").toArrow()
+    of_query: dict = {qid: ([], []) for qid in batch.qids.to_pylist()}
+    for qid, hit, distance in zip(*(found.column(c).to_pylist() for c in ("qid", "id", "dist")), strict=True):
+        of_query[qid][0].append(distance)
+        of_query[qid][1].append(hit)
+    marks = [(np.array(distances, float), np.array(ids, np.int64)) for distances, ids in of_query.values()]
+    schema = T.StructType(
+        [
+            T.StructField("qid", batch.qid_type),
+            T.StructField("mark", T.IntegerType()),
+            T.StructField("n", T.LongType()),
+        ]
+    )
+    rows = emb.filter(F.col("embedding").isNotNull()).select("id", "embedding")
+    counts = rows.mapInArrow(count_closer(batch.vectors, batch.qids, marks), schema).groupBy("qid", "mark")
+    near = counts.agg(F.sum("n").alias("n")).filter(F.col("n") < wanted).select("qid", (F.col("mark") + 1).alias("rank"))
+    return spark.createDataFrame(found).join(near, ["qid", "rank"]).select("qid", "rank", "id", "dist")
 
 
 def choose_strategy(n_filtered: int, n_total: int, threshold: float = SELECTIVITY_THRESHOLD) -> str:
@@ -322,9 +364,11 @@ def run_workloads(
         bound = sum(plans[c].n_filtered for c in group)
         hits = hits.unionAll(_pre_group(emb, meta, _using(workloads, group), group, bound, k, colocated))
     for group in _groups(last):
+        bound = sum(plans[c].n_filtered for c in group)
         wanted = min(oversample * k, plans[group[0]].n_total)
         used_index = index if strategy == "hybrid" else None
-        hits = hits.unionAll(_post_group(emb, meta, _using(workloads, group), group, wanted, k, used_index, nprobe))
+        mine = _using(workloads, group)
+        hits = hits.unionAll(_post_group(emb, meta, mine, group, bound, wanted, k, used_index, nprobe))
     return hits
 
 
@@ -354,6 +398,7 @@ def _post_group(
     meta: DataFrame,
     queries: DataFrame,
     clauses: list[str],
+    n_flagged: int,
     wanted: int,
     k: int,
     index: VectorIndex | None,
@@ -364,12 +409,16 @@ def _post_group(
     flags = F.array(*[F.col(f"f{i}") for i in range(len(clauses))])
 
     def one_pass(batch: QueryBatch) -> DataFrame:
+        bound = len(batch) * wanted
+        if index is None and bound > MAX_BROADCAST_ROWS:
+            by_clause = _by_clause(batch, clauses)
+            hits = _search_flagged(emb.select("id", "embedding"), flagged, n_flagged, by_clause, batch, k, False)
+            return keep_within(top_k(hits, k), emb, batch, wanted)
         found = knn_pass(emb, batch, wanted) if index is None else index.search_pass(spark, batch, wanted, nprobe)
-        found = found.select("qid", "id", "dist")
-        kept = flagged.join(bounded_broadcast(found, len(batch) * wanted), "id")
+        kept = flagged.join(bounded_broadcast(found.select("qid", "id", "dist"), bound), "id")
         numbers = pa.array([clauses.index(clause) for clause in batch.clauses], pa.int32())
         own_clause = spark.createDataFrame(pa.table({"qid": batch.qids, "clause": numbers}))
         kept = kept.join(F.broadcast(own_clause), "qid").filter(F.get(flags, F.col("clause")))
         return top_k(kept.select("qid", "id", "dist").dropDuplicates(["qid", "id"]), k)
 
-    return search_in_passes(queries, wanted, one_pass, clause="where_sql")
+    return search_in_passes(queries, k if index is None else wanted, one_pass, clause="where_sql")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
@@ -29,6 +29,11 @@ KINDS = ("Flat", "IVF", "IVFPQ")
 VERSION_SCHEMA = (
     "kind string, path string, n bigint, d int, nlist int, m int, bits int, seed bigint, built_at string"
 )
+ROW_SCHEMAS = {
+    "Flat": "id bigint, embedding array<float>",
+    "IVF": "id bigint, embedding array<float>, cluster_id int",
+    "IVFPQ": "id bigint, code array<smallint>, cluster_id int",
+}
 
 
 @dataclass
@@ -45,6 +50,7 @@ class VectorIndex:
     seed: int = 0
     centroids: np.ndarray | None = field(default=None, repr=False)
     codebooks: np.ndarray | None = field(default=None, repr=False)
+    _rows: DataFrame | None = field(default=None, repr=False, compare=False)
 
     @property
     def exact(self) -> bool:
@@ -52,7 +58,13 @@ class VectorIndex:
         return self.kind != "IVFPQ"
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/rows")
+        """The stored vectors or codes.
+
+        The files are listed once and the listing kept: with many lists it costs more than a search.
+        """
+        if self._rows is None or self._rows.sparkSession is not spark:
+            self._rows = spark.read.schema(ROW_SCHEMAS[self.kind]).parquet(f"{self.path}/rows")
+        return self._rows
 
     def search_pass(self, spark: SparkSession, batch: QueryBatch, k: int, nprobe: int = NPROBE) -> DataFrame:
         rows = self.rows(spark)
@@ -70,13 +82,14 @@ class VectorIndex:
     def add(self, emb: DataFrame) -> None:
         """Append vectors, assigned to the existing lists (the index is not trained again)."""
         self._write(emb, "append")
+        self._rows = None
         self.n = self.rows(emb.sparkSession).count()
         self.record(emb.sparkSession)
 
     def record(self, spark: SparkSession) -> None:
         """List this version, as it is now, as the newest."""
-        values = {k: v for k, v in asdict(self).items() if k not in ("centroids", "codebooks")}
-        row = spark.createDataFrame([(*values.values(), datetime.now(timezone.utc).isoformat())], VERSION_SCHEMA)
+        values = (self.kind, self.path, self.n, self.d, self.nlist, self.m, self.bits, self.seed)
+        row = spark.createDataFrame([(*values, datetime.now(timezone.utc).isoformat())], VERSION_SCHEMA)
         folder = self.path.rpartition("/")[0]
         row.coalesce(1).write.mode("append").parquet(f"{folder}/versions")
 

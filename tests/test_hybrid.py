@@ -115,11 +115,25 @@ def test_postfilter_may_fall_short(emb, meta, queries, truth):
     assert {r.id for r in hits} <= {r.id for r in truth if r.qid == 1}
 
 
-def test_large_postfilter_without_broadcast(emb, meta, queries, monkeypatch):
+@pytest.mark.parametrize("oversample", [1, 4, 2000])
+def test_many_candidates_are_counted_not_collected(emb, meta, queries, workloads, monkeypatch, oversample):
     where = fx.WORKLOADS[1][2]
-    want = sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=4).collect())
+    want = sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=oversample).collect())
+    together = sorted(hybrid.run_workloads(emb, meta, workloads, K, "postfilter", oversample=oversample).collect())
+    monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+    assert sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=oversample).collect()) == want
+    counted = hybrid.run_workloads(emb, meta, workloads, K, "postfilter", oversample=oversample)
+    assert sorted(counted.collect()) == together
+    none = hybrid.search_postfilter(emb, meta, queries, "nsfw = 'NOPE'", K, oversample=oversample)
+    assert none.collect() == []
+
+
+def test_large_candidate_set_is_joined_by_shuffle(emb, meta, queries, monkeypatch):
+    ids = filters.filter_where(meta, fx.WORKLOADS[1][2])
+    cands = knn_batch(emb, queries, 40)
+    want = sorted(hybrid.filter_candidates(cands, ids, K, 40 * 5).collect())
     monkeypatch.setattr(filters, "MAX_BROADCAST_ROWS", 0)
-    assert sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=4).collect()) == want
+    assert sorted(hybrid.filter_candidates(cands, ids, K, 40 * 5).collect()) == want
 
 
 def test_nothing_matches(emb, meta, queries):

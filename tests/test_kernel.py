@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from sieveknn.operators.kernel import (
     by_flag,
     by_value,
+    count_closer,
     everything,
     scan_codes,
     scan_scores,
@@ -99,6 +100,22 @@ def test_scores_first_gives_the_same(rows, k):
     same(got, brute(matrix, queries, k))
 
 
+@settings(max_examples=80, deadline=None)
+@given(vectors, st.integers(1, 6), st.integers(1, 17))
+def test_counting_finds_the_rank(rows, step, batch_size):
+    matrix = np.array(rows, dtype=np.float64)
+    queries = np.array([[1, 2, -1], [0, 1, 0]], dtype=np.float64)
+    marks, want = [], set()
+    for number in range(2):
+        order = sorted((d, i) for q, i, d in brute(matrix, queries, len(matrix)) if q == number)
+        chosen = list(range(0, len(order), step))
+        marks.append((np.array([order[c][0] for c in chosen]), np.array([order[c][1] for c in chosen])))
+        want |= {(number, place, rank) for place, rank in enumerate(chosen)}
+    scan = count_closer(queries, pa.array([0, 1]), marks)
+    got = [row for batch in scan(batches(matrix, batch_size)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_many_equal_vectors_keep_the_lowest_ids():
     matrix = np.tile(np.array([[0.3, -0.7, 0.1, 0.9]]), (5000, 1))
     scan = scan_vectors(matrix[:1], pa.array([7]), 4, everything(1))
