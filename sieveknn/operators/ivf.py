@@ -22,6 +22,8 @@ TRAIN_SIZE = 100_000
 NPROBE = 10
 # List of the zero vectors, which have no direction; every search probes it.
 ZERO_CLUSTER = -1
+# Sample rows that are worth a task of their own.
+ROWS_PER_TASK = 500
 # Floats in the score matrix of one assignment step.
 SCORE_CELLS = 8_000_000
 
@@ -49,15 +51,27 @@ def train_sample(emb: DataFrame, n: int = TRAIN_SIZE, seed: int = 42) -> DataFra
     return vectors.select("id", l2_normalize("embedding").cast("array<float>").alias("embedding"))
 
 
+def spread(sample: DataFrame) -> DataFrame:
+    """A stored sample dealt out over the cluster: it is small on disk, but training on it is not."""
+    tasks = min(sample.sparkSession.sparkContext.defaultParallelism, -(-sample.count() // ROWS_PER_TASK))
+    return sample.repartition(max(1, tasks), "id")
+
+
 def default_nlist(n: int) -> int:
     """The number of lists when none is given."""
     return max(1, int(n**0.5))
 
 
 def train_ivf(sample: DataFrame, nlist: int, seed: int = 42, max_iter: int = 10) -> np.ndarray:
-    """A2: unit-length centroids by cosine k-means, one row each."""
+    """A2: unit-length centroids by cosine k-means, one row each.
+
+    Starting from random sample points keeps the driver's share of the work to the centroids; the
+    parallel seeding Spark would otherwise use clusters its candidates on the driver.
+    """
     points = sample.filter(l2_norm("embedding") > 0).select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=max(2, nlist), distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(points)
+    model = KMeans(
+        k=max(2, nlist), distanceMeasure="cosine", initMode="random", seed=seed, maxIter=max_iter
+    ).fit(points)
     centers = np.stack(model.clusterCenters()).astype(np.float32)
     if nlist == 1:
         centers = centers.mean(axis=0, keepdims=True)

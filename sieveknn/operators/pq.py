@@ -20,6 +20,7 @@ from .ivf import (
     nearest_centroid,
     probe_lists,
     prune_lists,
+    spread,
     to_matrix,
     unit_rows,
 )
@@ -59,7 +60,7 @@ def train_pq(
     m: int = 8,
     bits: int = 8,
     seed: int = 42,
-    max_iter: int = 20,
+    max_iter: int = 25,
     parallelism: int = 4,
 ) -> np.ndarray:
     """A5: codebooks of ``2**bits`` codewords for each of ``m`` parts, as ``[m, code, width / m]``.
@@ -75,7 +76,7 @@ def train_pq(
     part_width = d // m
     residual = residual_column(centroids, sample)
     sample.select("id", residual("embedding").alias("residual")).write.parquet(scratch)
-    residuals = sample.sparkSession.read.parquet(scratch)
+    residuals = spread(sample.sparkSession.read.parquet(scratch))
 
     def fit(part: int) -> np.ndarray:
         piece = F.slice("residual", part * part_width + 1, part_width)

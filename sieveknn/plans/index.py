@@ -18,6 +18,7 @@ from ..operators.ivf import (
     assign_clusters,
     default_nlist,
     ivf_pass,
+    spread,
     train_ivf,
     train_sample,
     write_lists,
@@ -168,7 +169,7 @@ def build_or_load(
         # the sample is stored once: k-means reads it many times
         train_sample(vectors, min(train_size, index.n), seed).write.parquet(f"{version}/sample")
         sample = spark.read.parquet(f"{version}/sample")
-        index.centroids = train_ivf(sample, index.nlist, seed)
+        index.centroids = train_ivf(spread(sample), index.nlist, seed)
         index.nlist = len(index.centroids)
         if kind == "IVFPQ":
             index.m, index.bits = choose_m(index.d, m), bits
