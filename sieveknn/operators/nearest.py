@@ -105,14 +105,27 @@ def empty_hits(queries: DataFrame) -> DataFrame:
 def search_in_passes(
     queries: DataFrame, k: int, one_pass: Callable[[QueryBatch], DataFrame], clause: str | None = None
 ) -> DataFrame:
-    """Run ``one_pass`` for every query batch and put the hits together."""
+    """Run ``one_pass`` for every query batch and put the hits together.
+
+    A single pass stays lazy.  Of several, each is run and its hits stored before the next is
+    planned, so that the driver never holds the vectors of more than one.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    hits: DataFrame | None = None
+    pending: DataFrame | None = None
+    stored: str | None = None
     for batch in query_passes(queries, k, clause):
         part = one_pass(batch)
-        hits = part if hits is None else hits.unionAll(part)
-    return empty_hits(queries) if hits is None else hits
+        if pending is None:
+            pending = part
+            continue
+        if stored is None:
+            stored = new_scratch_path(queries.sparkSession, "hits")
+            pending.write.parquet(stored)
+        part.write.mode("append").parquet(stored)
+    if pending is None:
+        return empty_hits(queries)
+    return pending if stored is None else queries.sparkSession.read.schema(pending.schema).parquet(stored)
 
 
 def scan_exact(emb: DataFrame, batch: QueryBatch, k: int) -> DataFrame:

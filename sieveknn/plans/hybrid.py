@@ -39,11 +39,14 @@ class WorkCounters:
     The numbers exist once an action on the hits has finished.
     """
 
+    STAGES = ("filtered", "scored", "returned")
+
     def __init__(self):
-        self.filtered, self.scored, self.returned = Observation(), Observation(), Observation()
+        self.observed: dict[str, list[Observation]] = {stage: [] for stage in self.STAGES}
 
-    @staticmethod
-    def watch(df: DataFrame, observation: Observation) -> DataFrame:
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        observation = Observation()
+        self.observed[stage].append(observation)
         return df.observe(observation, F.count(F.lit(1)).alias("rows"))
 
     @staticmethod
@@ -54,11 +57,7 @@ class WorkCounters:
             return 0
 
     def as_dict(self) -> dict[str, int]:
-        return {
-            "rows_filtered": self.rows(self.filtered),
-            "rows_scored": self.rows(self.scored),
-            "rows_returned": self.rows(self.returned),
-        }
+        return {f"rows_{stage}": sum(map(self.rows, seen)) for stage, seen in self.observed.items()}
 
 
 def _vector_bytes(batch: QueryBatch) -> int:
@@ -66,7 +65,7 @@ def _vector_bytes(batch: QueryBatch) -> int:
 
 
 def _watched(df: DataFrame, counters: WorkCounters | None, stage: str) -> DataFrame:
-    return df if counters is None else counters.watch(df, getattr(counters, stage))
+    return df if counters is None else counters.watch(df, stage)
 
 
 def _search_flagged(

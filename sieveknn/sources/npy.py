@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib import format as npy_format
 from pyarrow import fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -44,7 +45,7 @@ class RowRange(InputPartition):
 def _open_location(path: str):
     if "://" in path:
         return pa_fs.FileSystem.from_uri(path)
-    return pa_fs.LocalFileSystem(), path
+    return pa_fs.LocalFileSystem(), path.removeprefix("file:")
 
 
 def list_shards(pattern: str) -> list[str]:
@@ -147,7 +148,6 @@ def write_npy(emb: DataFrame, path: str, shards: int) -> None:
     File names sort in id order, so reading them back gives contiguous ids in the same order.  A
     retried task overwrites its own file.
     """
-    from pyspark import TaskContext
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = []
