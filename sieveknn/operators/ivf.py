@@ -33,28 +33,32 @@ def train_sample(emb: DataFrame, n: int = TRAIN_SIZE, seed: int = 42) -> DataFra
 
     Rows are ordered by a hash of their id, and the n-th smallest hash is found from the id column
     alone.  Only hashes below a generous guess of that value are compared, so the search for it
-    moves about n numbers whatever the size of the table.
+    moves about n numbers whatever the size of the table.  A drawn row without a vector is left out.
     """
-    vectors = emb.filter(F.col("embedding").isNotNull())
-    total = vectors.count()
+    total = emb.count()
+    chosen = emb
     if n < total:
         draw = F.xxhash64("id", F.lit(seed))
         spare = 6 * n**0.5 + 20
         while True:
             guess = min(int(-(2**63) + (n + spare) / total * 2**64), 2**63 - 1)
-            low = vectors.select(draw.alias("draw")).filter(F.col("draw") <= guess)
+            low = emb.select(draw.alias("draw")).filter(F.col("draw") <= guess)
             found = low.orderBy("draw").limit(n).agg(F.count(F.lit(1)).alias("n"), F.max("draw").alias("cut")).first()
             if found.n == n or guess == 2**63 - 1:
                 break
             spare *= 4
-        vectors = vectors.filter(draw <= found.cut)
-    return vectors.select("id", l2_normalize("embedding").cast("array<float>").alias("embedding"))
+        chosen = emb.filter(draw <= found.cut)
+    unit = l2_normalize("embedding").cast("array<float>").alias("embedding")
+    return chosen.filter(F.col("embedding").isNotNull()).select("id", unit)
 
 
 def spread(sample: DataFrame) -> DataFrame:
-    """A stored sample dealt out over the cluster: it is small on disk, but training on it is not."""
+    """A stored sample dealt out over the cluster: it is small on disk, but training on it is not.
+
+    Sorted, because the random start of k-means depends on the order of the rows.
+    """
     tasks = min(sample.sparkSession.sparkContext.defaultParallelism, -(-sample.count() // ROWS_PER_TASK))
-    return sample.repartition(max(1, tasks), "id")
+    return sample.repartition(max(1, tasks), "id").sortWithinPartitions("id")
 
 
 def default_nlist(n: int) -> int:

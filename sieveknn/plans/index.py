@@ -158,8 +158,8 @@ def build_or_load(
             if existing.kind != kind:
                 raise ValueError(f"{path} holds an index of type {existing.kind}, not {kind}")
             return existing
-    vectors = emb.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    first = vectors.select(F.size("embedding").alias("d")).first()
+    vectors = emb.select("id", "embedding")
+    first = vectors.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("d")).first()
     if first is None:
         raise ValueError("no vectors to index")
     version = f"{path}/{uuid.uuid4().hex}"
@@ -176,6 +176,7 @@ def build_or_load(
             index.codebooks = train_pq(sample, index.centroids, f"{version}/residuals", index.m, bits, seed)
         _store_centroids(spark, index)
     index._write(vectors, "errorifexists")
+    index.n = index.rows(spark).count()  # rows without a vector are not stored
     index.record(spark)
     return index
 
