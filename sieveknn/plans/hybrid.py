@@ -29,6 +29,8 @@ OVERSAMPLE = 2000
 SELECTIVITY_THRESHOLD = 0.08
 EVALUATION_THRESHOLD = 0.1
 NONE, PRE, POST = "none", "pre-filtering", "post-filtering"
+# Matching ids that a pre-filter may write into the plan of the vector scan.
+MAX_LISTED_IDS = 1000
 # Clauses whose flags are computed in one scan of the metadata.
 CLAUSES_PER_SCAN = 32
 
@@ -115,7 +117,8 @@ def search_prefilter(
     """H1 (and H6): filter, then exact top-k of the survivors.  The ground truth for recall.
 
     ``n_filtered`` is the number of matching rows if the caller knows it; otherwise one scan of the
-    metadata counts them, because the size decides how vectors and survivors are joined.
+    metadata counts them, because the size decides how vectors and survivors meet: a short list of
+    ids becomes a filter of the vector scan, longer ones are joined.
     """
     if n_filtered is None and meta is not None:
         n_filtered = count_matches(meta, [where])[1][0]
@@ -127,6 +130,10 @@ def search_prefilter(
             return empty_hits(queries)
         vectors = emb.select("id", "embedding")
         ids = _watched(filter_where(meta, where), counters, "filtered").withColumn("f0", F.lit(True))
+        if 0 < n_filtered <= MAX_LISTED_IDS:
+            # a constant list skips buckets and row groups when the scan is planned; a join reads them all
+            listed = ", ".join(str(row.id) for row in ids.select("id").collect())
+            vectors, ids = vectors.filter(f"id IN ({listed})").withColumn("f0", F.lit(True)), None
 
     def one_pass(batch: QueryBatch) -> DataFrame:
         flags = {"f0": np.arange(len(batch))}

@@ -57,7 +57,7 @@ def test_hits_are_well_formed(meta, truth):
         assert {r.id for r in mine} <= allowed[qid]
 
 
-@pytest.mark.parametrize("way", ["shuffled scores", "shuffled vectors", "own attributes"])
+@pytest.mark.parametrize("way", ["broadcast", "shuffled scores", "shuffled vectors", "own attributes"])
 def test_every_way_of_joining_agrees(spark, sf_dir, emb, meta, queries, truth, monkeypatch, way):
     where = fx.WORKLOADS[3][2]
     both = queries.filter("qid in (4, 5)")
@@ -68,7 +68,9 @@ def test_every_way_of_joining_agrees(spark, sf_dir, emb, meta, queries, truth, m
         got = hybrid.search_prefilter(items, None, both, where, K)
         single = hybrid.search_prefilter(items, None, one(queries, 4), where, K)
     else:
-        monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
+        if way != "broadcast":
+            monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
         aside = way == "shuffled vectors"
         got = hybrid.search_prefilter(emb, meta, both, where, K, colocated=aside)
         single = hybrid.search_prefilter(emb, meta, one(queries, 4), where, K, colocated=aside)
@@ -76,7 +78,19 @@ def test_every_way_of_joining_agrees(spark, sf_dir, emb, meta, queries, truth, m
     assert sorted(single.collect()) == [r for r in want if r.qid == 4]
 
 
+def test_selective_filter_skips_buckets(spark, emb, meta, queries, truth):
+    write_bucketed(emb, "hy_few", 64)
+    try:
+        hits = hybrid.search_prefilter(spark.table("hy_few"), meta, one(queries, 3), fx.WORKLOADS[2][2], K)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 4 out of 64" in plan or "SelectedBucketsCount: 3 out of 64" in plan
+        assert sorted(hits.collect()) == [r for r in truth if r.qid == 3]
+    finally:
+        spark.sql("DROP TABLE hy_few")
+
+
 def test_broad_filter_shuffles_scores_not_vectors(emb, meta, queries, monkeypatch):
+    monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
     monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
     hits = hybrid.search_prefilter(emb, meta, queries, "license is null", K)
     plan = hits._jdf.queryExecution().executedPlan().toString()
@@ -86,6 +100,7 @@ def test_broad_filter_shuffles_scores_not_vectors(emb, meta, queries, monkeypatc
 
 
 def test_bucketed_tables_need_no_shuffle_of_vectors(spark, emb, meta, queries, monkeypatch):
+    monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
     monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
     write_bucketed(emb, "hy_emb", 4)
     write_bucketed(meta, "hy_meta", 4)
