@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveknn.llm import exact, language, minhash, mixing, pieces, secret_scan, spots, toxicity
+from sieveknn.llm import exact, language, lm_scoring, minhash, mixing, pieces, secret_scan, spots, toxicity
 from sieveknn.llm.common import LOWER, UPPER, documents
 
 
@@ -34,6 +34,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, sf_dir))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_lm_score": op8_lm_score,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
 }
