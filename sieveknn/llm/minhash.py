@@ -1,9 +1,9 @@
 """Near duplicates by MinHash: an inverted join of signature coordinates, confirmed on full sets.
 
-A document's set holds its distinct word shingles (64-bit hashes). Of ``COORDINATES`` minima, two sets with
-Jaccard index 0.85 agree in 28 or more but for about one pair in ten million; so each document is posted under the
-``COORDINATES - MATCHES + 1`` rarest of its (coordinate, value) pairs, and any two that agree in ``MATCHES`` meet
-in one of those lists. Coordinates that no other document has come first in that order and are never
+A document's set holds its distinct word shingles (64-bit hashes). Of 48 minima, two sets with Jaccard index
+0.85 agree in 28 or more but for about one pair in ten million (``matches_for``, five standard deviations below
+the mean); so each document is posted under the ``48 - 28 + 1`` rarest of its (coordinate, value) pairs, and any two
+that agree in 28 meet in one of those lists. Coordinates that no other document has come first in that order and are never
 joined.
 
 1. Documents with the same set are one; the smallest id represents them.
@@ -24,6 +24,8 @@ joined.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +37,7 @@ from sieveknn.llm.common import stored, whole_text
 from sieveknn.llm.components import connected
 from sieveknn.session import ship_package
 
-COORDINATES, MATCHES = 48, 28
+COORDINATES = 48
 PERCENT = 85  # 100 * intersection >= PERCENT * union
 SHINGLE = 3
 BLOCK = 2048  # members of a list that are compared at a time
@@ -47,6 +49,12 @@ _seeds = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, size=(2, CO
 _ADD, _TIMES = _seeds[0], _seeds[1] | _U(1)
 
 
+def matches_for(percent: int) -> int:
+    """Collisions that a pair at the threshold has almost surely: five standard deviations below the mean."""
+    p = percent / 100
+    return max(1, math.floor(COORDINATES * p - 5 * math.sqrt(COORDINATES * p * (1 - p))))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits of 64-bit numbers."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -131,7 +139,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame
     return chosen.mapInArrow(run, "rep long, shingles array<long>")
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
+def _prefixes(reps: DataFrame, matches: int) -> DataFrame:
     """``rep, n, weight, i, v``: the rarest coordinates of each representative that others have, too.
 
     ``weight`` sums the logarithms of its lists' lengths; it is largest in the middle of a group.
@@ -143,7 +151,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
         .groupBy("rep", "n")
         .agg(F.array_sort(F.collect_list(F.struct("f", "i", "v"))).alias("shared"), F.sum(F.log("f")).alias("weight"))
     )
-    room = F.size("shared") - F.lit(MATCHES - 1)  # what the prefix holds besides coordinates of one document only
+    room = F.size("shared") - F.lit(matches - 1)  # what the prefix holds besides coordinates of one document only
     prefix = ranked.where(room > 0).select("rep", "n", F.round("weight", 6).alias("weight"), F.explode(F.slice("shared", 1, room)).alias("e"))
     return prefix.select("rep", "n", "weight", "e.i", "e.v")
 
@@ -157,7 +165,7 @@ def _star_links(docs: DataFrame, reps: DataFrame, prefix: DataFrame, percent: in
     one = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = stored(pairs.join(one, "a").join(two, "b").where(equal >= MATCHES).select("a", "b"), "near-likely")
+    likely = stored(pairs.join(one, "a").join(two, "b").where(equal >= matches_for(percent)).select("a", "b"), "near-likely")
     ids = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
     sets = stored(full_sets(docs, stored(ids, "near-ids"), size), "near-sets")
     left = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
@@ -209,6 +217,7 @@ def _finish(docs: DataFrame, reps: DataFrame, prefix: DataFrame, labels: DataFra
     members = stored(known.join(lists, ["i", "v"]), "near-members")
     total = members.count()
     ship_package(docs.sparkSession)
+    matches = matches_for(percent)
 
     def likely(frame: pd.DataFrame) -> pd.DataFrame:
         flagged = []
@@ -220,7 +229,7 @@ def _finish(docs: DataFrame, reps: DataFrame, prefix: DataFrame, labels: DataFra
             step = max(1, (1 << 23) // (len(rows) * COORDINATES))
             hit = np.zeros(len(rows), bool)
             for at in range(0, len(rows), step):
-                equal = (sigs[at : at + step, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.int16) >= MATCHES
+                equal = (sigs[at : at + step, None, :] == sigs[None, :, :]).sum(axis=2, dtype=np.int16) >= matches
                 equal &= pairs[at : at + step]
                 hit[at : at + step] |= equal.any(axis=1)
                 hit |= equal.any(axis=0)
@@ -287,7 +296,7 @@ def _components(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, Da
     signed = stored(sign(docs, size), "near-signed")
     reps = signed.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = stored(reps, "near-reps")
-    prefix = stored(_prefixes(reps), "near-prefix")
+    prefix = stored(_prefixes(reps, matches_for(percent)), "near-prefix")
     links = stored(_star_links(docs, reps, prefix, percent, size), "near-links")
     more = stored(_finish(docs, reps, prefix, connected(links), percent, size), "near-more")
     labels = connected(links.unionByName(more))
