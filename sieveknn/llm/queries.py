@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveknn.llm import exact, language, lm_scoring, minhash, mixing, pieces, secret_scan, spots, toxicity
+from sieveknn.llm import exact, language, lm_scoring, minhash, mixing, pieces, repeats, secret_scan, spots, toxicity
 from sieveknn.llm.common import LOWER, UPPER, documents
 
 
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.fingerprint_report(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_spotsigs": op4_spotsigs,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
