@@ -58,9 +58,9 @@ def build_directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int
     return [(local, slot >> (depth - local) << (depth - local)) for slot, (local, _) in enumerate(directory)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``__norm`` (normalised text), ``__key`` (64-bit hash) and ``__sha`` (SHA-256)."""
-    norm = docs.withColumn("__norm", lower_ascii(whole_text()))
+    norm = docs.withColumn("__norm", lower_ascii(whole_text(text)))
     return norm.withColumn("__key", F.xxhash64("__norm")).withColumn("__sha", F.unhex(F.sha2(F.col("__norm"), 256)))
 
 
@@ -105,9 +105,10 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEP
     index = build_index(docs, capacity, max_depth).select(
         F.col("key").alias("__k"), F.col("sha").alias("__s"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size")
     )
-    rows = fingerprints(docs).drop("__norm")
+    # Whole rows travel as one struct, so their names cannot clash with these.
+    rows = fingerprints(docs.select(F.struct("*").alias("__row")), "__row.text").drop("__norm")
     kept = rows.join(index, (F.col("__key") == F.col("__k")) & (F.col("__sha") == F.col("__s"))).where(
-        F.col("doc_id").eqNullSafe(F.col("__keep"))
+        F.col("__row.doc_id").eqNullSafe(F.col("__keep"))
     )
     once = kept.where("__size = 1").unionByName(kept.where("__size > 1").dropDuplicates(["__key", "__sha"]))
-    return once.select(*[F.col(f"`{name}`") for name in docs.columns])
+    return once.select("__row.*")

@@ -38,7 +38,7 @@ _PER_PARTITION = 3  # keys and blocks of documents for each shuffle partition
 MAX_BROADCAST_IDS = 2_000_000
 _KEY_KINDS = (np.uint64, np.int64, np.int64, np.uint32, np.uint8)
 _SPAN_KINDS = (np.int64, np.uint32, np.uint32)
-_RECORD_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint8)
+_RECORD_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
 
 def _rows(docs: DataFrame, parts: int) -> DataFrame:
@@ -108,8 +108,11 @@ def _shared_keys(blocks: int):
     return run
 
 
-def _send_records(parts: int):
-    """Step 2, on the documents' side: the bytes of runs with shared keys, for the tasks of the keys."""
+def _send_records(parts: int, settle: bool, context: int):
+    """Step 2, on the documents' side: the bytes of runs with shared keys, for the tasks of the keys.
+
+    With ``settle``, of equal records here only the one of the smallest id travels with its bytes.
+    """
 
     def run(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(wanted):
@@ -117,7 +120,7 @@ def _send_records(parts: int):
         rid, first = (np.concatenate(c) for c in zip(*(unpack(b, np.int64, np.uint32) for b in wanted["blob"]), strict=True))
         by_row = dict(split_rows(rid))
         seen: dict[bytes, int] = {}
-        out: list[tuple] = []  # part, did, rid, first, windows, bytes; no bytes: settled here
+        out: list[tuple] = []  # part, did, rid, first, windows, size, bytes; no bytes: settled here
         docs = docs.drop_duplicates("rid").sort_values("did", kind="stable")
         for did, row, data in zip(docs["did"].tolist(), docs["rid"].tolist(), docs["data"], strict=True):
             mine = by_row.get(row)
@@ -126,19 +129,18 @@ def _send_records(parts: int):
             keys, starts, ends = window_runs(data)
             for k in np.searchsorted(starts, np.unique(first[mine])).tolist():
                 a, b = int(starts[k]), int(ends[k])
-                piece = data[a : b + LENGTH - 1]
+                piece = data[a : b + LENGTH - 1 + context]
                 # The byte in front goes along, for the test of left diversity.
-                if seen.setdefault(piece, did) < did:
-                    out.append((abs(row) % parts, did, row, a, b - a, b""))
+                if settle and seen.setdefault(piece, did) < did:
+                    out.append((abs(row) % parts, did, row, a, b - a, 0, b""))
                 else:
-                    out.append((int(keys[k] % np.uint64(parts)), did, row, a, b - a, (data[a - 1 : a] if a else b"\0") + piece))
+                    out.append((int(keys[k] % np.uint64(parts)), did, row, a, b - a, len(piece), (data[a - 1 : a] if a else b"\0") + piece))
         part = np.array([x[0] for x in out], np.int64)
         rows = []
         for p, i in split_rows(part) if len(part) else ():
             mine = [out[k] for k in i]
-            columns = [np.array([x[c] for x in mine], kind) for c, kind in zip((1, 2, 3, 4), _RECORD_KINDS, strict=False)]
-            head = pack(*columns, np.array([bool(x[5]) for x in mine], np.uint8))
-            body = pack(np.frombuffer(b"".join(x[5] for x in mine), np.uint8))
+            head = pack(*[np.array([x[c] for x in mine], kind) for c, kind in enumerate(_RECORD_KINDS, start=1)])
+            body = pack(np.frombuffer(b"".join(x[6] for x in mine), np.uint8))
             rows.append((p, len(head).to_bytes(4, "little") + head + body))
         return _frame(rows)
 
@@ -146,7 +148,7 @@ def _send_records(parts: int):
 
 
 def _records(frame: pd.DataFrame):
-    """Columns (did, rid, first, windows, has bytes) of the records, and their bytes, a byte in front included."""
+    """Columns (did, rid, first, windows, size) of the records, and their bytes, each with one in front."""
     columns, bodies = [], []
     for blob in frame["blob"]:
         size = int.from_bytes(blob[:4], "little")
@@ -157,10 +159,9 @@ def _records(frame: pd.DataFrame):
 
 def _build(columns, body) -> tuple[SuffixArray, np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of the records with bytes; did and rid of its records, and the byte in front of each window."""
-    did, rid, first, count, has = columns
-    keep = has == 1
-    did, rid, first, count = did[keep], rid[keep], first[keep].astype(np.int64), count[keep].astype(np.int64)
-    size = count + LENGTH - 1
+    did, rid, first, count, size = columns
+    keep = size > 0
+    did, rid, first, count, size = did[keep], rid[keep], *(c[keep].astype(np.int64) for c in (first, count, size))
     begin = np.cumsum(size + 1) - size
     array = SuffixArray(body, begin, size, count)
     front = body[begin[array.record] + array.offset - 1]
@@ -172,8 +173,8 @@ def _scan_spans(blocks: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         columns, body = _records(frame)
-        _, rid0, first0, count0, has = columns
-        settled = has == 0
+        _, rid0, first0, count0, size0 = columns
+        settled = size0 == 0
         spans = [(rid0[settled], first0[settled].astype(np.int64), first0[settled].astype(np.int64) + count0[settled] + LENGTH - 1)]
         if (~settled).any():
             array, did, rid, place = _build(columns, body)
@@ -203,7 +204,7 @@ def _scan_repeats(frame: pd.DataFrame) -> pd.DataFrame:
     """Left-diverse intervals with all their occurrences."""
     columns, body = _records(frame)
     out = []
-    if (columns[4] == 1).any():
+    if (columns[4] > 0).any():
         array, did, rid, (place, front) = _build(columns, body)
         for length, low, high in array.intervals(LENGTH):
             members = array.order[low:high]
@@ -215,8 +216,7 @@ def _scan_repeats(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bytes_at(columns, window: int, array: SuffixArray, length: int) -> slice:
-    count = columns[3][columns[4] == 1].astype(np.int64)
-    size = count + LENGTH - 1
+    size = columns[4][columns[4] > 0].astype(np.int64)
     begin = np.cumsum(size + 1) - size
     at = int(begin[array.record[window]] + array.offset[window])
     return slice(at, at + length)
@@ -255,12 +255,12 @@ def _partitions(docs: DataFrame) -> int:
     return _PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _record_blobs(rows: DataFrame, parts: int) -> DataFrame:
+def _record_blobs(rows: DataFrame, parts: int, settle: bool = True, context: int = 0) -> DataFrame:
     first = rows.where("not copy")
     keys = first.select("did", "rid", "data").mapInArrow(_send_keys(parts), "part int, blob binary")
     shared = keys.groupBy("part").applyInPandas(_shared_keys(parts), "part int, blob binary")
     dealt = rows.select("blk", "doc_id", "did", "rid", "copy", "data").groupBy("blk")
-    return dealt.cogroup(shared.groupBy("part")).applyInPandas(_only_first(_send_records(parts)), "part int, blob binary")
+    return dealt.cogroup(shared.groupBy("part")).applyInPandas(_only_first(_send_records(parts, settle, context)), "part int, blob binary")
 
 
 def _only_first(send):
@@ -284,16 +284,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
+def maximal_repeats(docs: DataFrame, context: int = 200) -> DataFrame:
     """``repeat_sha256, length, doc_id, start``: left-diverse repeats of 50 bytes or more, a row for each occurrence.
 
-    Lengths reach as far as the records that hold the windows; a longer passage begins with such a group, and its
-    windows behind are found again in ``remove_repeats``. Occurrences in equal texts are given for
-    the smallest id.
+    Records reach ``context`` bytes further here, and so do the lengths; of a longer passage this is the beginning.
+    Occurrences in equal texts are given for the smallest id. All occurrences of a passage meet in the
+    task of its key, which ``remove_repeats`` does not need.
     """
     ship_package(docs.sparkSession)
     parts = _partitions(docs)
-    found = _record_blobs(_rows(docs, parts), parts).groupBy("part").applyInPandas(
+    found = _record_blobs(_rows(docs, parts), parts, False, context).groupBy("part").applyInPandas(
         _scan_repeats, "repeat_sha256 string, length int, did long, rid long, start long"
     )
     return found.select("repeat_sha256", "length", F.when(F.col("did") < _LAST, F.col("did")).alias("doc_id"), "start").distinct()

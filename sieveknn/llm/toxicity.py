@@ -162,8 +162,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     return ToxicityModel(lexicon, boost(x, y), at, value)
 
 
-def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """The documents with a column for the score of the whole text."""
+def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score", text: str = "text") -> DataFrame:
+    """The documents with the score of the whole text as ``column``, which replaces one of that name."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -171,7 +171,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") ->
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(texts.tolist()))
 
-    return docs.withColumn(column, score(whole_text()))
+    return docs.withColumn(column, score(whole_text(text)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -188,4 +188,5 @@ def held_out(doc_id: Column) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     model = train_toxicity(docs, labels, sample_rows)
-    return with_score(docs, model, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    rows = docs.select(F.struct("*").alias("__row"))  # so that no name of theirs can clash
+    return with_score(rows, model, "__score", "__row.text").where(F.col("__score") < threshold).select("__row.*")
