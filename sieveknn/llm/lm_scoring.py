@@ -73,8 +73,10 @@ def fit(encoded: DataFrame, vocabulary: int, sample_rows: int = SAMPLE_ROWS) ->
     for row in training.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("c")).collect():
         counts[row["id"]] = row["c"]
     counts[END] += training.count()
-    chosen = training.select("doc_id", F.slice("ids", 1, SAMPLE_IDS).alias("ids")).orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(sample_rows)
-    rows = [np.array(r["ids"], np.int64) for r in chosen.collect()]
+    # Names are chosen first, so that only the sample's ids move; at most sample_rows names are broadcast.
+    chosen = training.select("doc_id", "th").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample_rows)
+    sample = training.join(F.broadcast(chosen), ["doc_id", "th"]).select("doc_id", "th", F.slice("ids", 1, SAMPLE_IDS).alias("ids")).distinct()
+    rows = [np.array(r["ids"], np.int64) for r in sorted(sample.collect())]
     return train(rows, counts, START, END)
 
 

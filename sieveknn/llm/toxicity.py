@@ -111,15 +111,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """``doc_id, text, toxic`` of at most ``sample_rows`` labelled rows that are not held out."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows)
-    return (
-        docs.select("doc_id", whole_text().alias("text"))
-        .join(chosen, "doc_id")
-        .groupBy("doc_id")
-        .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
-    )
+    # Ids are chosen first, so that no more than the sample's texts move; at most sample_rows ids are broadcast.
+    present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _learn_lexicon(rows: DataFrame, most: int) -> frozenset[str]:
