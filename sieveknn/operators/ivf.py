@@ -18,7 +18,6 @@ from .nearest import QueryBatch, search_in_passes
 from .topk import top_k
 
 # Fixed values.
-TRAIN_SIZE = 100_000
 NPROBE = 10
 # List of the zero vectors, which have no direction; every search probes it.
 ZERO_CLUSTER = -1
@@ -28,16 +27,17 @@ ROWS_PER_TASK = 500
 SCORE_CELLS = 8_000_000
 
 
-def train_sample(emb: DataFrame, n: int = TRAIN_SIZE, seed: int = 42) -> DataFrame:
-    """A1: ``n`` rows drawn without replacement, normalised; the same rows for the same seed.
+def train_sample(emb: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """A1: all rows with a vector, or ``n`` of them drawn without replacement, normalised; the same rows for the same seed.
 
     Rows are ordered by a hash of their id, and the n-th smallest hash is found from the id column
     alone.  Only hashes below a generous guess of that value are compared, so the search for it
-    moves about n numbers whatever the size of the table.  A drawn row without a vector is left out.
+    moves about n numbers whatever the size of the table.
     """
-    total = emb.count()
+    emb = emb.filter(F.col("embedding").isNotNull())
+    total = emb.count() if n is not None else 0
     chosen = emb
-    if n < total:
+    if n is not None and n < total:
         draw = F.xxhash64("id", F.lit(seed))
         spare = 6 * n**0.5 + 20
         while True:
@@ -49,7 +49,7 @@ def train_sample(emb: DataFrame, n: int = TRAIN_SIZE, seed: int = 42) -> DataFra
             spare *= 4
         chosen = emb.filter(draw <= found.cut)
     unit = l2_normalize("embedding").cast("array<float>").alias("embedding")
-    return chosen.filter(F.col("embedding").isNotNull()).select("id", unit)
+    return chosen.select("id", unit)
 
 
 def spread(sample: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..functions.vectors import STEPS_PER_UNIT
 
@@ -22,10 +23,16 @@ ROWS_OUT = 65_536
 Split = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray | None, np.ndarray]]]
 
 
+def own_type(column: pa.Array):
+    """Vectors are scored in the precision they are stored in."""
+    return np.float64 if column.type.value_type == pa.float64() else np.float32
+
+
 def list_column_to_matrix(column: pa.Array, width: int, dtype) -> np.ndarray:
-    values = column.flatten()
-    if len(values) != len(column) * width:
+    # every row is checked: a short and a long row could make up for each other in the total
+    if len(column) and pc.min_max(pc.list_value_length(column)).as_py() != {"min": width, "max": width}:
         raise ValueError(f"every vector must have {width} elements")
+    values = column.flatten()
     return values.to_numpy(zero_copy_only=False).reshape(len(column), width).astype(dtype, copy=False)
 
 
@@ -160,7 +167,8 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
             if not batch.num_rows:
                 continue
             all_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            matrix = list_column_to_matrix(batch.column("embedding"), width, np.float32)
+            column = batch.column("embedding")
+            matrix = list_column_to_matrix(column, width, own_type(column))
             for rows, members in split(batch):
                 if rows is None or len(rows) == batch.num_rows:
                     screen_and_offer(best, matrix, all_ids, members)
@@ -280,7 +288,8 @@ def count_closer(queries: np.ndarray, qids: pa.Array, marks: list[tuple[np.ndarr
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            vectors = list_column_to_matrix(batch.column("embedding"), width, np.float32)
+            column = batch.column("embedding")
+            vectors = list_column_to_matrix(column, width, own_type(column))
             norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
             odd = ~((norms > 1e-15) & (norms < 1e15))
             norms[odd] = 1.0

@@ -58,7 +58,9 @@ def _arrow_chunks(queries: DataFrame) -> Iterator[pa.Table]:
         return
     # too many to hold at once: store them and fetch one slice of the stored rows at a time
     spark = queries.sparkSession
-    path = new_scratch_path(spark, "queries")
+    plain, path = new_scratch_path(spark, "queries"), new_scratch_path(spark, "queries")
+    queries.write.parquet(plain)  # what makes the queries, perhaps an encoder, runs once
+    queries = spark.read.schema(queries.schema).parquet(plain)
     slices = -(-queries.count() // QUERIES_PER_FETCH)
     queries.withColumn("__slice", F.pmod(F.xxhash64("qid"), F.lit(slices))).hint("rebalance", "__slice").write.partitionBy(
         "__slice"
@@ -82,7 +84,10 @@ def query_passes(queries: DataFrame, k: int, clause: str | None = None) -> Itera
         column = table.column("qvec").combine_chunks()
         if column.null_count:
             raise ValueError("a query has no vector")
-        width = len(column.flatten()) // len(column)
+        qids = table.column("qid")
+        if qids.null_count or len(qids.unique()) != len(qids):
+            raise ValueError("every query needs a qid of its own")
+        width = len(column[0])
         vectors = list_column_to_matrix(column, width, np.float64)
         limit = max(1, min(QUERY_BYTES_PER_PASS // (8 * max(width, 1)), RESULT_BYTES_PER_PASS // (16 * k)))
         for start in range(0, len(vectors), limit):
@@ -154,7 +159,9 @@ def knn(
         return hits.orderBy("rank").select("id", "dist")
     query = np.asarray(qvec, dtype=np.float64)
     length = float(np.sqrt(query @ query)) or 1.0
-    distance = distance_to_unit("embedding", (query / length).tolist(), normalized)
+    distance = F.when(
+        F.size("embedding") == len(query), distance_to_unit("embedding", (query / length).tolist(), normalized)
+    ).otherwise(F.raise_error(F.lit(f"every vector must have {len(query)} elements")))
     return (
         emb.filter(F.col("embedding").isNotNull())
         .select("id", distance.alias("dist"))

@@ -20,7 +20,7 @@ from ..functions.vectors import cosine_distance
 from ..operators.filters import MAX_BROADCAST_ROWS, bounded_broadcast, count_matches, filter_where
 from ..operators.ivf import NPROBE
 from ..operators.kernel import by_flag, count_closer, scan_scores, scan_vectors, score_rows
-from ..operators.nearest import QueryBatch, empty_hits, knn_pass, search_in_passes
+from ..operators.nearest import QueryBatch, empty_hits, search_in_passes
 from ..operators.topk import top_k
 from .index import VectorIndex
 
@@ -91,16 +91,24 @@ def _search_flagged(
     vectors = emb.filter(F.col("embedding").isNotNull())
     schema = batch.result_schema()
     split = by_flag(flags)
+
+    def matched(rows: DataFrame) -> DataFrame:
+        """Rows with their flags; ids that the metadata repeats match once."""
+        side = F.broadcast(flagged) if small else flagged
+        if len(flagged.columns) > 2:
+            return rows.join(side, "id")
+        return rows.join(side, "id", "left_semi").withColumn(flagged.columns[1], F.lit(True))
+
     names = list(flags)
     small = n_flagged <= MAX_BROADCAST_ROWS
     if flagged is None or small or colocated or 8 * len(batch) >= _vector_bytes(batch):
         if flagged is not None:
-            vectors = vectors.join(F.broadcast(flagged) if small else flagged, "id")
+            vectors = matched(vectors)
         rows = _watched(vectors, counters, "scored").select("id", "embedding", *names)
         return rows.mapInArrow(scan_vectors(batch.vectors, batch.qids, k, split), schema)
     rows = _watched(vectors, counters, "scored").select("id", "embedding")
     rows = rows.mapInArrow(score_rows(batch.vectors), "id bigint, dists array<double>")
-    rows = rows.join(flagged, "id").select("id", "dists", *names)
+    rows = matched(rows).select("id", "dists", *names)
     return rows.mapInArrow(scan_scores(len(batch), batch.qids, k, split), schema)
 
 
@@ -129,7 +137,7 @@ def search_prefilter(
         if n_filtered == 0 and counters is None:
             return empty_hits(queries)
         vectors = emb.select("id", "embedding")
-        ids = _watched(filter_where(meta, where), counters, "filtered").withColumn("f0", F.lit(True))
+        ids = _watched(filter_where(meta, where), counters, "filtered").select("id", F.lit(True).alias("f0"))
         if 0 < n_filtered <= MAX_LISTED_IDS:
             # a constant list skips buckets and row groups when the scan is planned; a join reads them all
             listed = ", ".join(str(row.id) for row in ids.select("id").collect())
@@ -162,22 +170,20 @@ def search_postfilter(
 ) -> DataFrame:
     """H2: exact ``oversample * k`` nearest of everything, then the first k that pass the filter.
 
-    May return fewer than k rows; an empty filter result gives no rows.  A bounded number of
-    candidates is collected per task and matched with the filter.  For more, nothing is collected:
-    the hits are the nearest matching rows whose rank among all rows is within the candidates, and
-    that rank is a count.
+    May return fewer than k rows; an empty filter result gives no rows.  Candidates are never
+    collected: the hits are the nearest matching rows whose rank among all rows is within the
+    candidates, and that rank is a count, so k rows and k counts per query leave each task.
     """
+    meta = emb if meta is None else meta
     ids = filter_where(meta, where)
     wanted = oversample * k
+    n_filtered = count_matches(meta, [where])[1][0]
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        bound = len(batch) * wanted
-        if bound <= MAX_BROADCAST_ROWS:
-            return filter_candidates(knn_pass(emb, batch, wanted), ids, k, bound)
         hits = _search_flagged(
             emb.select("id", "embedding"),
-            ids.withColumn("f0", F.lit(True)),
-            count_matches(meta, [where])[1][0],
+            ids.select("id", F.lit(True).alias("f0")),
+            n_filtered,
             {"f0": np.arange(len(batch))},
             batch,
             k,
@@ -238,6 +244,7 @@ def search_ann_postfilter(
     candidates before the cut to k.
     """
     spark = queries.sparkSession
+    meta = emb if meta is None else meta
     wanted = min(oversample * k, index.n)
     ids = filter_where(meta, where)
 
@@ -310,16 +317,17 @@ def search_hybrid(
     oversample: int = OVERSAMPLE,
     rerank: bool = False,
     plan: Plan | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """H3: adaptive search.  One count decides between pre-filter and candidates from the index.
 
     Without an index the broad branch searches all vectors exactly, like a flat index.
     """
-    plan = plan_clauses(meta, [where], threshold)[where] if plan is None else plan
+    plan = plan_clauses(emb if meta is None else meta, [where], threshold)[where] if plan is None else plan
     if plan.strategy == NONE:
         return empty_hits(queries)
     if plan.strategy == PRE:
-        return search_prefilter(emb, meta, queries, where, k, plan.n_filtered)
+        return search_prefilter(emb, meta, queries, where, k, plan.n_filtered, colocated)
     if index is None:
         return search_postfilter(emb, meta, queries, where, k, min(oversample, -(-plan.n_total // k)))
     return search_ann_postfilter(index, emb, meta, queries, where, k, nprobe, oversample, rerank)
@@ -329,7 +337,10 @@ def _flag_table(meta: DataFrame, clauses: Sequence[str]) -> DataFrame:
     """``(id, f0, f1, ...)`` of the rows matching any clause, from one scan."""
     flags = [F.coalesce(F.expr(clause), F.lit(False)).alias(f"f{i}") for i, clause in enumerate(clauses)]
     any_flag = F.greatest(*[F.col(f"f{i}") for i in range(len(clauses))], F.lit(False))
-    return meta.select("id", *flags).filter(any_flag)
+    matching = meta.select("id", *flags).filter(any_flag)
+    if len(clauses) == 1:
+        return matching
+    return matching.groupBy("id").agg(*[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(clauses))])
 
 
 def _by_clause(batch: QueryBatch, clauses: Sequence[str]) -> dict[str, np.ndarray]:
@@ -360,6 +371,7 @@ def run_workloads(
     """
     if strategy not in ("prefilter", "postfilter", "hybrid"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    meta = emb if meta is None else meta
     clauses = sorted(row.where_sql for row in workloads.select("where_sql").distinct().collect())
     plans = plan_clauses(meta, clauses, threshold)
     chosen = {"prefilter": PRE, "postfilter": POST}.get(strategy)
@@ -416,11 +428,11 @@ def _post_group(
 
     def one_pass(batch: QueryBatch) -> DataFrame:
         bound = len(batch) * wanted
-        if index is None and bound > MAX_BROADCAST_ROWS:
+        if index is None:
             by_clause = _by_clause(batch, clauses)
             hits = _search_flagged(emb.select("id", "embedding"), flagged, n_flagged, by_clause, batch, k, False)
             return keep_within(top_k(hits, k), emb, batch, wanted)
-        found = knn_pass(emb, batch, wanted) if index is None else index.search_pass(spark, batch, wanted, nprobe)
+        found = index.search_pass(spark, batch, wanted, nprobe)
         kept = flagged.join(bounded_broadcast(found.select("qid", "id", "dist"), bound), "id")
         numbers = pa.array([clauses.index(clause) for clause in batch.clauses], pa.int32())
         own_clause = spark.createDataFrame(pa.table({"qid": batch.qids, "clause": numbers}))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import l2_normalize
 from ..operators.ivf import (
     NPROBE,
-    TRAIN_SIZE,
     assign_clusters,
     default_nlist,
     ivf_pass,
@@ -143,11 +142,11 @@ def build_or_load(
     bits: int = 8,
     rebuild: bool = False,
     seed: int = 42,
-    train_size: int = TRAIN_SIZE,
+    train_size: int | None = None,
 ) -> VectorIndex:
     """Load the index at ``path``, or build and store it.
 
-    A build writes a new version folder and lists it last, so a build that dies leaves the previous
+    Training reads every vector; ``train_size`` draws a sample instead.  A build writes a new version folder and lists it last, so a build that dies leaves the previous
     version in force, and searches running during a rebuild keep their tables.
     """
     if kind not in KINDS:
@@ -167,7 +166,7 @@ def build_or_load(
     if kind != "Flat":
         index.nlist = default_nlist(index.n) if nlist is None else nlist
         # the sample is stored once: k-means reads it many times
-        train_sample(vectors, min(train_size, index.n), seed).write.parquet(f"{version}/sample")
+        train_sample(vectors, train_size, seed).write.parquet(f"{version}/sample")
         sample = spark.read.parquet(f"{version}/sample")
         index.centroids = train_ivf(spread(sample), index.nlist, seed)
         index.nlist = len(index.centroids)

@@ -107,7 +107,7 @@ def check_alignment(meta: DataFrame, emb: DataFrame, dim: int | None = None) ->
     by id instead of joined, so an id repeated very often cannot multiply rows.
     """
     if dim is None:
-        first = emb.select(F.size("embedding").alias("dim")).first()
+        first = emb.filter(F.col("embedding").isNotNull()).select(F.size("embedding").alias("dim")).first()
         dim = first.dim if first else 0
     width = F.coalesce(F.size("embedding"), F.lit(-1))
     tagged = meta.select("id", F.lit(1).alias("m"), F.lit(0).alias("e"), F.lit(0).alias("bad")).unionAll(
