@@ -33,6 +33,7 @@ SAMPLE_IDS = 640  # of each of them, from its start; training only
 HEAD_WORDS = 200_000
 START, END = 1, 2  # the model file's <s> and </s>
 _BATCH_IDS = 400_000
+_BATCH_ROWS = 1_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def subwords(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     def run(batches):
         machine: Transducer = compiled(model.value)
-        for batch in batches:
+        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
             rows = [machine.encode(t.as_py()) for t in batch.column(3)]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))))
@@ -116,7 +117,7 @@ def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WOR
 
     def run(batches):
         find = shared.value.get
-        for batch in batches:
+        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
             n, known, value, tail, times = [], [], [], [], []
             for text in batch.column(3).cast(pa.binary()):
                 words = text.as_buffer().to_pybytes().lower().split()
