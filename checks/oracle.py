@@ -168,6 +168,16 @@ FROM documents, generate_series(0, 25) AS letters(i)""",
         "v8_encode_images": """SELECT page_id, CAST(i AS INTEGER) AS pos,
   CAST(length(html) - length(replace(html, chr(CAST(i AS INTEGER)), '')) AS DOUBLE) AS x
 FROM pages, generate_series(32, 126) AS codes(i)""",
+        "v9_encode_workloads": f"""WITH texts AS (
+  SELECT doc_id AS qid, text AS t, 0 AS k FROM documents JOIN pages ON page_id = doc_id
+  UNION ALL SELECT doc_id, html, 1 FROM documents JOIN pages ON page_id = doc_id),
+parts AS (
+  SELECT qid, k, i, CAST(length(t) - length(replace(t, chr(CAST(97 + i AS INTEGER)), '')) AS DOUBLE) AS x
+  FROM texts, generate_series(0, 25) AS letters(i)),
+lengths AS (SELECT qid, k, sqrt(sum(x * x)) AS n FROM parts GROUP BY qid, k),
+means AS (SELECT qid, i, avg(CASE WHEN n = 0 THEN 0.0 ELSE x / n END) AS x FROM parts JOIN lengths USING (qid, k) GROUP BY qid, i),
+whole AS (SELECT qid, sqrt(sum(x * x)) AS n FROM means GROUP BY qid)
+SELECT qid, CAST(i AS INTEGER) AS pos, {rnd('CASE WHEN n = 0 THEN 0.0 ELSE x / n END')} AS x FROM means JOIN whole USING (qid)""",
         "k1_knn": nearest_to_123(10),
         "k2_knn_partial_merge": nearest_to_123(200),
         "k3_knn_batch": KNN_GRAPH,

@@ -17,6 +17,7 @@ from sieveknn.functions import (
     dot,
     encode_bytes,
     encode_text,
+    encode_workloads,
     l2_norm,
     l2_normalize,
     l2_sq_distance,
@@ -358,6 +359,22 @@ def v8(spark, sf_dir):
     return elements(encoded, "page_id", "embedding").filter(F.col("pos").between(32, 126))
 
 
+@register("v9_encode_workloads")
+def v9(spark, sf_dir):
+    """One workload for each page with a document of its number: the page as image, the document as text."""
+    pages, docs = fx.table(spark, sf_dir, "pages"), fx.table(spark, sf_dir, "documents")
+    images = pages.select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
+    workloads = docs.join(pages, docs.doc_id == pages.page_id).select(
+        F.col("doc_id").alias("qid"), F.array(F.col("page_id").cast("string")).alias("images"), F.array("text").alias("texts"), F.lit("true").alias("where_sql")
+    )
+
+    def letters_of_bytes():
+        count = letter_count_encoder()()
+        return lambda blobs: count([bytes(blob).decode() for blob in blobs])
+
+    return elements(encode_workloads(workloads, images, letters_of_bytes, letter_count_encoder()), "qid", "qvec")
+
+
 # --- exact search --------------------------------------------------------------------------------
 
 

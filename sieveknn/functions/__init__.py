@@ -1,4 +1,4 @@
-from .encoders import byte_histogram_encoder, encode_bytes, encode_images, encode_text, letter_count_encoder
+from .encoders import byte_histogram_encoder, encode_bytes, encode_images, encode_text, encode_workloads, letter_count_encoder
 from .predicates import approx_eq
 from .vectors import (
     cosine_distance,
@@ -20,6 +20,7 @@ __all__ = [
     "encode_bytes",
     "encode_images",
     "encode_text",
+    "encode_workloads",
     "l2_norm",
     "l2_normalize",
     "l2_sq_distance",

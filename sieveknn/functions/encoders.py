@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .vectors import pool_query
+
 Encoder = Callable[[Sequence], np.ndarray]
 
 
@@ -52,6 +54,31 @@ def encode_bytes(df: DataFrame, column: str, make_encoder: Callable[[], Encoder]
     return df.withColumn(out, _encode_column(make_encoder)(F.col(column)))
 
 
+def encode_workloads(
+    workloads: DataFrame,
+    images: DataFrame,
+    make_image_encoder: Callable[[], Encoder],
+    make_text_encoder: Callable[[], Encoder],
+) -> DataFrame:
+    """Workloads ``(qid, images, texts, where_sql)`` to queries ``(qid, qvec, where_sql)`` (V5, V7, V8).
+
+    ``images`` holds ``(path, content)``, as ``spark.read.format("binaryFile")`` gives it; each image and
+    each text is encoded once, however many workloads use it.  An unknown path is an error, and so is
+    a workload with neither images nor texts.
+    """
+    paths = workloads.select("qid", F.explode("images").alias("path"))
+    texts = workloads.select("qid", F.explode("texts").alias("text"))
+    used = images.select("path", "content").join(paths.select("path").distinct(), "path", "left_semi")
+    known = encode_bytes(used, "content", make_image_encoder, "vec").select("path", "vec", F.lit(True).alias("known"))
+    missing = F.raise_error(F.concat(F.lit("encode_workloads: no image "), F.col("path"))).cast("array<float>")
+    seen = paths.join(known, "path", "left").select("qid", F.when(F.col("known"), F.col("vec")).otherwise(missing).alias("vec"))
+    spoken = encode_text(texts.select("text").distinct(), "text", make_text_encoder, "vec")
+    said = texts.join(spoken, "text").select("qid", "vec")
+    nothing = workloads.select("qid", F.lit(None).cast("array<float>").alias("vec"))
+    pooled = pool_query(seen.unionAll(said).unionAll(nothing))
+    return workloads.select("qid", "where_sql").join(pooled, "qid").select("qid", "qvec", "where_sql")
+
+
 def letter_count_encoder() -> Callable[[], Encoder]:
     """A deterministic stand-in for a text model: how often each letter a-z occurs."""
 
