@@ -1,7 +1,9 @@
 """One answer on every path: repeated ids, odd widths, stored precision, repeated queries."""
 
+import numpy as np
 import pytest
 
+from sieveknn.functions import encode_workloads
 from sieveknn.operators.ivf import train_sample
 from sieveknn.operators.nearest import knn, knn_batch
 from sieveknn.plans import hybrid
@@ -71,3 +73,21 @@ def test_alignment_with_a_missing_first_vector(spark, meta):
 def test_training_takes_every_vector(spark, emb):
     rows = emb.unionAll(spark.createDataFrame([(9, None)], emb.schema))
     assert train_sample(rows).count() == 4 and train_sample(rows, 3).count() == 3
+
+
+def test_workloads_of_images_and_texts(spark):
+    def make():
+        return lambda values: np.array([[len(v), 1.0] for v in values])
+
+    images = spark.createDataFrame([("a", b"xyz"), ("b", b"")], "path string, content binary")
+    rows = [(1, ["a", "b"], ["hello"], "true"), (2, None, ["hello", "hello"], "id > 3"), (3, ["a"], [], None)]
+    workloads = spark.createDataFrame(rows, "qid long, images array<string>, texts array<string>, where_sql string")
+    found = {r.qid: r for r in encode_workloads(workloads, images, make, make).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {1: unit(unit([3, 1]) + unit([0, 1]) + unit([5, 1])), 2: unit([5, 1]), 3: unit([3, 1])}
+    for qid, vector in want.items():
+        assert found[qid].qvec == pytest.approx(list(vector), abs=1e-6)
+    assert found[2].where_sql == "id > 3"
+    for bad in ([(1, ["none"], [], "true")], [(1, [], None, "true")]):
+        with pytest.raises(Exception, match="no image none|no vectors"):
+            encode_workloads(spark.createDataFrame(bad, workloads.schema), images, make, make).collect()
