@@ -70,6 +70,25 @@ select doc_id, keep_id, group_size, (doc_id is not distinct from keep_id) as kep
 from t join g using (norm)
 """
 
+_OP9 = rf"""
+with recursive t as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as sh
+  from t),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+  from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from pairs where 100 * c >= {minhash.PERCENT} * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(id, r) as (select doc_id, doc_id from documents union select id, b from reach join both_ways on r = a),
+lowest as (select id, min(r) as component_id from reach group by id)
+select doc_id, len(sh) as n_shingles, component_id, doc_id = component_id as kept from s join lowest on id = doc_id
+"""
+
 _OP10 = rf"""
 with recursive sized as (
   select doc_id, source, case when source is null then 'null' else '=' || source end as k,
@@ -107,5 +126,6 @@ select doc_id, source, n_tokens, weight, repetition, block, passes + case when r
 
 CORPUS_ORACLE: dict[str, str] = {
     "op6_exact_dedup": _OP6,
+    "op9_minhash": _OP9,
     "op10_mixing": _OP10,
 }
