@@ -171,7 +171,8 @@ def _star_links(docs: DataFrame, reps: DataFrame, prefix: DataFrame, percent: in
     left = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    # No distinct here: it would hold all rows of a hub together, and Spark could not split them.
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _in_blocks(members: DataFrame, total: int) -> DataFrame:
