@@ -26,17 +26,19 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveknn.llm.common import stored, whole_text
-from sieveknn.llm.suffixes import LENGTH, SuffixArray, pack, split_rows, unpack, window_runs
+from sieveknn.llm.suffixes import GRAM, LENGTH, SuffixArray, pack, split_rows, unpack, window_runs
 from sieveknn.session import ship_package
 
 _LAST = (1 << 63) - 1
-_PER_PARTITION = 3  # keys and blocks of documents for each shuffle partition
+GROUP_BYTES = 1 << 20  # text behind a task's group of keys, and in a block of documents
+SLICE_BYTES = 4 << 20  # text whose keys are sorted together
 MAX_BROADCAST_IDS = 2_000_000
-_KEY_KINDS = (np.uint64, np.int64, np.int64, np.uint32, np.uint8)
+_KEY_KINDS = (np.uint32, np.uint16, np.int64, np.int64, np.uint32, np.uint8)
 _SPAN_KINDS = (np.int64, np.uint32, np.uint32)
 _RECORD_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
@@ -67,7 +69,7 @@ def _send_keys(parts: int):
     """Step 1, on the documents' side: blobs of (key, did, rid, first, settled) for the tasks of the keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [window_runs(x.as_buffer().to_pybytes()) for x in batch.column(2)]
             n = np.array([len(k) for k, _, _ in found])
             if not n.sum():
@@ -83,17 +85,33 @@ def _send_keys(parts: int):
             # A key that several documents here have is settled; one of them tells the other tasks.
             part = np.where(several & ~new, np.abs(rid) % parts, (key % np.uint64(parts)).astype(np.int64))
             state = several.astype(np.uint8) + (several & ~new)
-            rows = [(p, pack(*(a[i] for a in (key, did, rid, first, state)))) for p, i in split_rows(part)]
+            # 48 bits of a key do beside the part it is in: by chance equal ones are told apart by their bytes later.
+            columns = (key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint16), did, rid, first, state)
+            # In the order of the documents, so that what is constant in one packs well.
+            rows = [(p, pack(*(c[i[np.argsort(order[i])]] for c in columns))) for p, i in split_rows(part)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
 
     return run
 
 
+def slices(batches):
+    """The batches in pieces of a few megabytes of their third column; a long text is a piece of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _shared_keys(blocks: int):
     """Step 1, on the keys' side: blobs of (rid, first) for the blocks of documents."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        key, did, rid, first, state = (np.concatenate(c) for c in zip(*(unpack(b, *_KEY_KINDS) for b in frame["blob"]), strict=True))
+        low, high, did, rid, first, state = (np.concatenate(c) for c in zip(*(unpack(b, *_KEY_KINDS) for b in frame["blob"]), strict=True))
+        key = low.astype(np.int64) | high.astype(np.int64) << 32
         chosen = state > 0
         compare = np.flatnonzero(state < 2)
         if len(compare):
@@ -157,13 +175,13 @@ def _records(frame: pd.DataFrame):
     return [np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate(bodies)
 
 
-def _build(columns, body) -> tuple[SuffixArray, np.ndarray, np.ndarray, np.ndarray]:
+def _build(columns, body, reach: int = LENGTH + GRAM) -> tuple[SuffixArray, np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of the records with bytes; did and rid of its records, and the byte in front of each window."""
     did, rid, first, count, size = columns
     keep = size > 0
     did, rid, first, count, size = did[keep], rid[keep], *(c[keep].astype(np.int64) for c in (first, count, size))
     begin = np.cumsum(size + 1) - size
-    array = SuffixArray(body, begin, size, count)
+    array = SuffixArray(body, begin, size, count, reach)
     front = body[begin[array.record] + array.offset - 1]
     return array, did, rid, np.stack([first[array.record] + array.offset, front.astype(np.int64)])
 
@@ -200,19 +218,23 @@ def _scan_spans(blocks: int):
     return run
 
 
-def _scan_repeats(frame: pd.DataFrame) -> pd.DataFrame:
+def _scan_repeats(reach: int):
     """Left-diverse intervals with all their occurrences."""
-    columns, body = _records(frame)
-    out = []
-    if (columns[4] > 0).any():
-        array, did, rid, (place, front) = _build(columns, body)
-        for length, low, high in array.intervals(LENGTH):
-            members = array.order[low:high]
-            if len(np.unique(front[members])) > 1 or (place[members] == 0).any():
-                rows = array.record[members]
-                name = hashlib.sha256(body[_bytes_at(columns, members[0], array, length)].tobytes()).hexdigest()
-                out += [(name, length, int(d), int(r), int(s)) for d, r, s in zip(did[rows], rid[rows], place[members], strict=True)]
-    return pd.DataFrame(out, columns=["repeat_sha256", "length", "did", "rid", "start"])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        columns, body = _records(frame)
+        out = []
+        if (columns[4] > 0).any():
+            array, did, rid, (place, front) = _build(columns, body, reach)
+            for length, low, high in array.intervals(LENGTH):
+                members = array.order[low:high]
+                if len(np.unique(front[members])) > 1 or (place[members] == 0).any():
+                    rows = array.record[members]
+                    name = hashlib.sha256(body[_bytes_at(columns, members[0], array, length)].tobytes()).hexdigest()
+                    out += [(name, length, int(d), int(r), int(s)) for d, r, s in zip(did[rows], rid[rows], place[members], strict=True)]
+        return pd.DataFrame(out, columns=["repeat_sha256", "length", "did", "rid", "start"])
+
+    return run
 
 
 def _bytes_at(columns, window: int, array: SuffixArray, length: int) -> slice:
@@ -252,7 +274,8 @@ def _finish(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
 
 
 def _partitions(docs: DataFrame) -> int:
-    return _PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES)
 
 
 def _record_blobs(rows: DataFrame, parts: int, settle: bool = True, context: int = 0) -> DataFrame:
@@ -287,13 +310,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def maximal_repeats(docs: DataFrame, context: int = 200) -> DataFrame:
     """``repeat_sha256, length, doc_id, start``: left-diverse repeats of 50 bytes or more, a row for each occurrence.
 
-    Records reach ``context`` bytes further here, and so do the lengths; of a longer passage this is the beginning.
+    Lengths are those of the first ``LENGTH + context`` bytes; of a longer passage this is the beginning.
     Occurrences in equal texts are given for the smallest id. All occurrences of a passage meet in the
     task of its key, which ``remove_repeats`` does not need.
     """
     ship_package(docs.sparkSession)
     parts = _partitions(docs)
     found = _record_blobs(_rows(docs, parts), parts, False, context).groupBy("part").applyInPandas(
-        _scan_repeats, "repeat_sha256 string, length int, did long, rid long, start long"
+        _scan_repeats(LENGTH + context), "repeat_sha256 string, length int, did long, rid long, start long"
     )
     return found.select("repeat_sha256", "length", F.when(F.col("did") < _LAST, F.col("did")).alias("doc_id"), "start").distinct()

@@ -81,10 +81,11 @@ class SuffixArray:
     """Enhanced suffix array of the windows of some records (pieces of texts).
 
     ``order`` sorts the windows by what follows them in their record, ``lcp[i]`` is the length that windows i - 1 and i
-    of that order share.
+    of that order share. Both look at ``reach`` bytes of a window, so a record of one repeated phrase, which can be
+    very long, costs no more than others.
     """
 
-    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, windows: np.ndarray):
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, windows: np.ndarray, reach: int = 80):
         """Record k is ``data[begin[k] : begin[k] + size[k]]``; a window starts at each of its first ``windows[k]`` bytes."""
         # Room behind each record, so that words read behind it are zero.
         room = size + 32
@@ -95,16 +96,17 @@ class SuffixArray:
         self.record = np.repeat(np.arange(len(size)), windows)
         self.offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         start = at[:-1][self.record] + self.offset
-        left = size[self.record] - self.offset
+        left = np.minimum(size[self.record] - self.offset, reach)
         word = text.astype(np.uint64)
         for step in (1, 2, 4):
             word = (word[:-step] << _U(8 * step)) | word[step:]
-        reach = int(left.max()) if len(left) else 0
-        marks = range(0, -(-reach // 8) * 8, 8)
+        marks = range(0, -(-int(left.max(initial=0)) // 8) * 8, 8)
         keys = [word[np.minimum(start + k, len(word) - 1)] for k in marks]
         # Behind a record's end all words are zero; the length settles what zero bytes of a text would leave open.
         for k, key in zip(marks, keys, strict=True):
             key[left <= k] = 0
+            cut = left < k + 8
+            key[cut] &= ~_U(0) << (_U(8) * (k + 8 - left[cut]).clip(0, 7).astype(np.uint64))
         self.order = np.lexsort([left, *reversed(keys)]) if len(left) else np.empty(0, np.int64)
         same = np.zeros(len(left), np.int64)
         open_ = np.ones(max(0, len(left) - 1), bool)
