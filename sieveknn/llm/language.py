@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveknn.llm.common import remainder, whole_text
+from sieveknn.llm.common import hash_sample, remainder, whole_text
 from sieveknn.llm.recurrent import WINDOW, Network, train, windows
 from sieveknn.session import ship_package
 
@@ -36,7 +36,7 @@ def training_windows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, per_row: i
     ship_package(docs.sparkSession)
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
     known = known.where("doc_id is not null and lang is not null").where(remainder(F.col("doc_id"), 3) != 1).where(F.col("text").rlike(r"\p{L}"))
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    chosen = hash_sample(known.select("doc_id"), sample_rows).distinct()
     rows = known.join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
 
     def run(frames):

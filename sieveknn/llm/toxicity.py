@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveknn.llm.boosting import Trees, boost, isotonic, sigmoid
-from sieveknn.llm.common import remainder, whole_text
+from sieveknn.llm.common import hash_sample, remainder, whole_text
 from sieveknn.session import ship_package
 
 SAMPLE_ROWS = 20_000
@@ -113,7 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     known = known.where(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Ids are chosen first, so that no more than the sample's texts move; at most sample_rows ids are broadcast.
     present = known.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = hash_sample(present, sample_rows)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
