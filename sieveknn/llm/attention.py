@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK, CONTEXT = 32, 16
+MEMBERS = 32  # ids of a class
 _f = np.float32
 _DISTANCE = (np.arange(BLOCK) + CONTEXT)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach for every position
@@ -73,21 +74,75 @@ class AttentionModel:
         c /= c.sum(axis=2, keepdims=True)
         return {"q": q, "k": k, "v": v, "a": a, "h": h, "u": u, "g": g, "c": c}
 
-    def log_probabilities(self, texts: list[np.ndarray], batch: int = 256) -> np.ndarray:
+    def log_probabilities(self, texts: list[np.ndarray], batch: int = 768) -> np.ndarray:
         """Natural log probability of each list of ids and its end."""
         x, y, owner = self.blocks(texts)
         total = np.zeros(len(texts))
+        tables = self._tables()
         for at in range(0, len(x), batch):
-            ids = y[at : at + batch]
-            f = self.forward(x[at : at + batch])
-            c = f["c"]
-            p = np.take_along_axis(c, self.kind[ids][:, :, None], axis=2)[:, :, 0]
-            log = np.log(np.maximum(p, 1e-30), dtype=np.float64) + self.share[ids]
-            for rows, inside, member in self._members(f["g"], ids):
-                log.reshape(-1)[rows] += np.log(np.maximum(inside[np.arange(len(rows)), member], 1e-30), dtype=np.float64)
-            np.add.at(total, owner[at : at + batch], np.where(ids < 0, 0.0, log).sum(axis=1))
+            ids = y[at : at + batch].reshape(-1)
+            g, log = self._classes(x[at : at + batch], ids, tables)
+            log += self.share[ids]
+            log += self._member_logs(g, ids)
+            np.add.at(total, owner[at : at + batch], np.where(ids < 0, 0.0, log).reshape(-1, BLOCK).sum(axis=1))
         return total
 
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """What ``forward`` makes of each slot, and the weight of each distance.
+
+        Values carry a one, so that one product gives sums of weights and values; the pad's row is zero.
+        """
+        p = self.p
+        e = p["embed"]
+        value = np.concatenate([e @ p["value"], np.ones((len(e), 1), e.dtype)], axis=1)
+        value[-1] = 0
+        near = np.where(_SEEN, np.exp(p["near"])[np.clip(_DISTANCE, 0, CONTEXT - 1)], 0).astype(e.dtype)
+        return e @ p["query"] * _f(e.shape[1] ** -0.5), e @ p["key"], value, near
+
+    def _classes(self, x: np.ndarray, ids: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The last states of ``forward`` and the log probability of each id's class, with fewer passes over memory."""
+        p, (query, key, value, near) = self.p, tables
+        last = x[:, CONTEXT:]
+        a = query[last] @ key[x].transpose(0, 2, 1)
+        np.minimum(a, _f(60), out=a)
+        np.exp(a, out=a)
+        a *= near
+        o = (a @ value[x]).reshape(len(ids), -1)
+        h = o[:, :-1] / np.maximum(o[:, -1:], _f(1e-20))
+        h += p["embed"][last.reshape(-1)]
+        u = h @ p["up"]
+        u += p["up_bias"]
+        np.maximum(u, 0, out=u)
+        h += u @ p["down"]
+        c = h @ p["classes"]
+        c += p["class_bias"]
+        np.minimum(c, _f(60), out=c)
+        wanted = c[np.arange(len(ids)), self.kind[ids]]
+        np.exp(c, out=c)
+        return h, wanted.astype(np.float64) - np.log(c.sum(axis=1), dtype=np.float64)
+
+    def _member_logs(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log probability of each id within its class, 0 in the last class; positions are sorted by class once."""
+        kinds = np.where(ids < 0, len(self.first) - 1, self.kind[ids]).astype(np.int16)
+        order = np.argsort(kinds, kind="stable")
+        cuts = np.searchsorted(kinds[order], np.arange(len(self.first)))
+        states, slots = g[order], self.slot[ids[order]]
+        wanted, total = np.zeros(len(ids), _f), np.ones(len(ids), _f)
+        weights, bias = self.p["member"], self.p["member_bias"]
+        for c in range(len(self.first) - 1):
+            a, b, low, high = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
+            if a == b:
+                continue
+            p = states[a:b] @ weights[low:high].T
+            p += bias[low:high]
+            np.minimum(p, _f(60), out=p)
+            wanted[a:b] = p[np.arange(b - a), slots[a:b] - low]
+            np.exp(p, out=p)
+            p.sum(axis=1, out=total[a:b])
+        out = np.empty(len(ids))
+        out[order] = wanted.astype(np.float64) - np.log(np.maximum(total, _f(1e-30)), dtype=np.float64)
+        return out
+
     def _members(self, g: np.ndarray, ids: np.ndarray):
         """For each class but the last: its positions, the probabilities of its members there, the member wanted."""
         flat = ids.reshape(-1)
@@ -181,13 +236,18 @@ def group_ids(rows: list[np.ndarray], top: np.ndarray, classes: int, rounds: int
 
 
 def train(
-    rows: list[np.ndarray], counts: np.ndarray, start: int, end: int, slots: int = 1024, classes: int = 32, width: int = 16, steps: int = 500, batch: int = 64, seed: int = 5
+    rows: list[np.ndarray], counts: np.ndarray, start: int, end: int, slots: int = 1024, classes: int = 24, width: int = 16, steps: int = 500, batch: int = 64, seed: int = 5
 ) -> AttentionModel:
     """Fits the model to ``rows`` of ids; ``counts`` are the corpus counts of all ids, ends included."""
     order = np.argsort(-counts, kind="stable")
     top = order[: min(slots - 1, len(order))]
+    groups = group_ids([np.concatenate([[start], r, [end]]).astype(np.int64) for r in rows], top, classes)
+    # Large groups become several classes of MEMBERS ids, frequent ones together: a softmax costs its length.
+    parts = [part for g in range(classes) if (groups == g).any() for part in np.split(top[groups == g], range(MEMBERS, (groups == g).sum(), MEMBERS))]
+    classes = len(parts) + 1
     kind = np.full(len(counts), classes - 1, np.int64)
-    kind[top] = group_ids([np.concatenate([[start], r, [end]]).astype(np.int64) for r in rows], top, classes - 1)
+    for k, part in enumerate(parts):
+        kind[part] = k
     top = top[np.argsort(kind[top], kind="stable")]
     slot = np.full(len(counts), len(top), np.int64)
     slot[top] = np.arange(len(top))

@@ -1,6 +1,6 @@
 """Language-model scores: a causal self-attention model over subword ids, and a word unigram beside it.
 
-Counts of words and of subword ids are taken over all training documents (crc32(doc_id) mod 7 is not 2).
+Subword ids are those of a public byte-level BPE vocabulary. Counts of words and of subword ids are taken over all training documents (crc32(doc_id) mod 7 is not 2).
 The network is fitted to at most ``SAMPLE_ROWS`` of them, and scores every whole text in overlapping windows.
 
 The words of a text are looked up in two ways: the ``HEAD_WORDS`` most frequent ones in a table that goes with
@@ -14,24 +14,26 @@ the tasks, all others by a join with the stored counts, so no vocabulary has to
 
 from __future__ import annotations
 
+import base64
 import math
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveknn.llm.attention import AttentionModel, train
-from sieveknn.llm.common import lower_ascii, remainder, stored, whole_text
-from sieveknn.llm.pieces import MODEL_PATH, Transducer, compiled
+from sieveknn.llm.common import hash_sample, lower_ascii, remainder, stored, whole_text
 from sieveknn.session import ship_package
 
 SAMPLE_ROWS = 3_000
 SAMPLE_IDS = 640  # of each of them, from its start; training only
 HEAD_WORDS = 200_000
-START, END = 1, 2  # the model file's <s> and </s>
+VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# Fixed value: the pattern that splits a text before its pieces are merged.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BATCH_IDS = 400_000
 _BATCH_ROWS = 1_000
 
@@ -50,17 +52,29 @@ def count_words(docs: DataFrame) -> DataFrame:
     return words.unionByName(ends).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def subwords(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """``doc_id, th, train, ids`` of every whole text."""
+_encodings: dict[int, tiktoken.Encoding] = {}
+
+
+def encoding(vocabulary: bytes) -> tiktoken.Encoding:
+    """The encoding of a vocabulary file (lines of base64 and rank), made once in each worker."""
+    name = hash(vocabulary)
+    if name not in _encodings:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, vocabulary.splitlines())}
+        _encodings[name] = tiktoken.Encoding("subwords", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
+
+
+def subwords(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH) -> DataFrame:
+    """``doc_id, th, train, ids`` of every whole text; the vocabulary is read on the driver and sent with the tasks."""
     ship_package(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
 
     def run(batches):
-        machine: Transducer = compiled(model.value)
+        encode = encoding(vocabulary.value).encode_ordinary
         for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
-            rows = [machine.encode(t.as_py()) for t in batch.column(3)]
+            rows = [np.array(encode(t.as_py()), np.int32) for t in batch.column(3)]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["doc_id", "th", "train", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -68,17 +82,21 @@ def subwords(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
 
 def fit(encoded: DataFrame, vocabulary: int, sample_rows: int = SAMPLE_ROWS) -> AttentionModel:
-    """Counts of ids over all training rows (one number for each id reaches the driver), the network from a sample."""
+    """The model of ``vocabulary`` ids and two more, the start and the end of a text.
+
+    Counts of ids over all training rows (one number for each id reaches the driver); the network is trained on a sample.
+    """
     training = encoded.where("train")
-    counts = np.zeros(vocabulary)
+    start, end = vocabulary, vocabulary + 1
+    counts = np.zeros(vocabulary + 2)
     for row in training.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("c")).collect():
         counts[row["id"]] = row["c"]
-    counts[END] += training.count()
+    counts[end] = training.count()
     # Names are chosen first, so that only the sample's ids move; at most sample_rows names are broadcast.
-    chosen = training.select("doc_id", "th").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample_rows)
+    chosen = hash_sample(training.select("doc_id", "th").distinct(), sample_rows)
     sample = training.join(F.broadcast(chosen), ["doc_id", "th"]).select("doc_id", "th", F.slice("ids", 1, SAMPLE_IDS).alias("ids")).distinct()
     rows = [np.array(r["ids"], np.int64) for r in sorted(sample.collect())]
-    return train(rows, counts, START, END)
+    return train(rows, counts, start, end)
 
 
 def attention_scores(encoded: DataFrame, model: AttentionModel) -> DataFrame:
@@ -105,12 +123,24 @@ def attention_scores(encoded: DataFrame, model: AttentionModel) -> DataFrame:
     return encoded.select("doc_id", "th", "ids").mapInArrow(run, f"doc_id {kind}, th long, n_subwords long, score double")
 
 
+def head_of(counts: DataFrame, head_words: int) -> DataFrame:
+    """The most frequent words, at most ``head_words``: whole classes of frequency, found from the classes' sizes."""
+    level = F.floor(F.log2("c") * 16)
+    words = counts.where("word is not null")
+    cut, room = 1 << 20, head_words
+    for row in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= row["n"]
+        if room < 0:
+            break
+        cut = row["level"]
+    return words.where(level >= cut)
+
+
 def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """``doc_id, th, train, n_tokens, known, log_counts``: tokens of each text, those known, the sum of log10(c + 1)."""
     spark = docs.sparkSession
     ship_package(spark)
-    head = counts.where("word is not null").orderBy(F.desc("c"), "word").limit(head_words)
-    table = {r["word"].encode(): math.log10(r["c"] + 1) for r in head.toLocalIterator()}
+    table = {r["word"].encode(): math.log10(r["c"] + 1) for r in head_of(counts, head_words).toLocalIterator()}
     ends = counts.where("word is null").first()
     end_value = math.log10(ends["c"] + 1) if ends else 0.0
     shared = spark.sparkContext.broadcast(table)
@@ -161,13 +191,13 @@ def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WOR
     )
 
 
-def score_texts(docs: DataFrame, model_path: str = MODEL_PATH, sample_rows: int = SAMPLE_ROWS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH, sample_rows: int = SAMPLE_ROWS, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords``."""
     counts = stored(count_words(docs), "lm-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals["n"] or 0, totals["v"]
-    encoded = stored(subwords(docs, model_path), "lm-ids")
-    vocabulary = len(Transducer(Path(model_path).read_bytes()).pieces)
+    encoded = stored(subwords(docs, vocabulary_path), "lm-ids")
+    vocabulary = encoding(Path(vocabulary_path).read_bytes()).n_vocab
     scores = attention_scores(encoded, fit(encoded, vocabulary, sample_rows)).dropDuplicates(["doc_id", "th"])
     scores = scores.withColumnsRenamed({"doc_id": "d3", "th": "t3"})
     parts = unigram_parts(docs, counts, head_words)

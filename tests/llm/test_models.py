@@ -81,7 +81,22 @@ def test_attention_is_a_distribution_and_causal():
     b = a.copy()
     b[-1] = 5
     fa, fb = model.forward(model.blocks([a])[0]), model.forward(model.blocks([b])[0])
-    assert np.allclose(fa["c"].reshape(-1, 4)[:50], fb["c"].reshape(-1, 4)[:50])
+    width = fa["c"].shape[-1]
+    assert np.allclose(fa["c"].reshape(-1, width)[:50], fb["c"].reshape(-1, width)[:50])
+
+
+def test_scoring_equals_the_trained_form(monkeypatch):
+    monkeypatch.setattr(attention, "MEMBERS", 3)
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(3, 60, n) for n in (0, 31, 32, 200)]
+    model = attention.train(rows, np.bincount(np.concatenate(rows), minlength=60).astype(float), 1, 2, slots=40, classes=6, width=8, steps=20)
+    x, y, owner = model.blocks(rows)
+    f = model.forward(x)
+    log = np.log(np.take_along_axis(f["c"], model.kind[y][:, :, None], 2)[:, :, 0]) + model.share[y]
+    for at, inside, member in model._members(f["g"], y):
+        log.reshape(-1)[at] += np.log(inside[np.arange(len(at)), member])
+    want = np.bincount(owner, np.where(y < 0, 0, log).sum(axis=1))
+    assert model.log_probabilities(rows, batch=3) == pytest.approx(want, rel=1e-4)
 
 
 def test_boosting_and_calibration():
