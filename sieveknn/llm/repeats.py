@@ -35,8 +35,8 @@ from sieveknn.llm.suffixes import GRAM, LENGTH, SuffixArray, pack, split_rows, u
 from sieveknn.session import ship_package
 
 _LAST = (1 << 63) - 1
-GROUP_BYTES = 1 << 20  # text behind a task's group of keys, and in a block of documents
-SLICE_BYTES = 4 << 20  # text whose keys are sorted together
+GROUP_BYTES = 3 << 20  # text behind a task's group of keys, and in a block of documents
+SLICE_BYTES = 6 << 20  # text whose keys are sorted together
 MAX_BROADCAST_IDS = 2_000_000
 _KEY_KINDS = (np.uint32, np.uint16, np.int64, np.int64, np.uint32, np.uint8)
 _SPAN_KINDS = (np.int64, np.uint32, np.uint32)
