@@ -1,20 +1,23 @@
 """A small causal self-attention model over subword ids, with its gradients; numpy.
 
 One layer: the last ``CONTEXT`` inputs are attended to with a learned bias for each distance, then a feed-forward
-layer, then a softmax over classes of ids and one over the members of the class. The last class holds the ids
-that are not frequent; within it an id has its share of the corpus counts.
+layer, then a softmax over classes of ids and one over the members of the class. Every id of the vocabulary has an
+input row, a class and a weight in it: frequent ids are grouped by their neighbours, all others by their counts.
 Texts are cut into blocks of ``BLOCK`` positions; each block sees the ``CONTEXT`` positions before it as well, so
 windows overlap and every id is scored once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 BLOCK, CONTEXT = 32, 16
 MEMBERS = 32  # ids of a class
+TAIL_MEMBERS = 1024  # ids of a class of less frequent ids
+BATCH = 512  # blocks of a step
+BUFFER = 16_384  # blocks that are shuffled together
 _f = np.float32
 _DISTANCE = (np.arange(BLOCK) + CONTEXT)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach for every position
@@ -23,7 +26,7 @@ _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach f
 @dataclass
 class AttentionModel:
     """``slot`` and ``kind`` map an id to its input row and its class. Slots of a class are neighbours, from
-    ``first[class]`` on; ``share`` is log P(id | class) of the last class and 0 elsewhere."""
+    ``first[class]`` on, and end before ``first[class + 1]``; ``share`` is a constant added to log P(id | class), 0."""
 
     slot: np.ndarray
     kind: np.ndarray
@@ -122,7 +125,7 @@ class AttentionModel:
         return h, wanted.astype(np.float64) - np.log(c.sum(axis=1), dtype=np.float64)
 
     def _member_logs(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Log probability of each id within its class, 0 in the last class; positions are sorted by class once."""
+        """Log probability of each id within its class; positions are sorted by class once."""
         kinds = np.where(ids < 0, len(self.first) - 1, self.kind[ids]).astype(np.int16)
         order = np.argsort(kinds, kind="stable")
         cuts = np.searchsorted(kinds[order], np.arange(len(self.first)))
@@ -144,7 +147,7 @@ class AttentionModel:
         return out
 
     def _members(self, g: np.ndarray, ids: np.ndarray):
-        """For each class but the last: its positions, the probabilities of its members there, the member wanted."""
+        """For each class: its positions, the probabilities of its members there, the member wanted."""
         flat = ids.reshape(-1)
         kinds = np.where(flat < 0, len(self.first) - 1, self.kind[flat])
         order = np.argsort(kinds, kind="stable")
@@ -175,9 +178,9 @@ class AttentionModel:
         kind = self.kind[ids][:, :, None]
         right = np.take_along_axis(f["c"], kind, axis=2)[:, :, 0]
         loss = float(-(np.log(right + 1e-9) * valid).sum() / count)
-        dc = f["c"].copy()
+        dc = f["c"]
         np.put_along_axis(dc, kind, np.take_along_axis(dc, kind, 2) - 1, 2)
-        dc *= (valid / count)[:, :, None]
+        dc *= (valid / dc.dtype.type(count))[:, :, None]
         flat = lambda t: t.reshape(-1, t.shape[-1])
         d = {"classes": flat(f["g"]).T @ flat(dc), "class_bias": flat(dc).sum(0)}
         dg = dc @ p["classes"].T
@@ -204,25 +207,46 @@ class AttentionModel:
         dq, dk = ds @ f["k"] * scale, ds.transpose(0, 2, 1) @ f["q"]
         e, last = p["embed"], x[:, CONTEXT:]
         d["query"], d["key"], d["value"] = flat(e[last]).T @ flat(dq), flat(e[x]).T @ flat(dk), flat(e[x]).T @ flat(dv)
+        every = dk @ p["key"].T + dv @ p["value"].T
+        every[:, CONTEXT:] += dh + dq @ p["query"].T
+        # Positions of a slot are brought together, then summed.
+        slots = x.reshape(-1)
+        order = np.argsort(slots, kind="stable")
+        starts = np.flatnonzero(np.diff(slots[order], prepend=-1))
         de = np.zeros_like(e)
-        np.add.at(de, last, dh + dq @ p["query"].T)
-        np.add.at(de, x, dk @ p["key"].T + dv @ p["value"].T)
+        de[slots[order[starts]]] = np.add.reduceat(flat(every)[order], starts, axis=0)
         de[-1] = 0
         d["embed"] = de
         return loss, d
 
 
-def group_ids(rows: list[np.ndarray], top: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
-    """A class for each of the ``top`` ids: k-means over which frequent ids stand before and behind them."""
-    n, wide = len(top), min(len(top), 192)
-    place = np.full(int(max(top.max(), max((int(r.max()) for r in rows if len(r)), default=0))) + 1, n)
+def frequent(counts: np.ndarray, slots: int = 1024) -> np.ndarray:
+    """The ids that are grouped by their neighbours, most frequent first."""
+    return np.argsort(-counts, kind="stable")[: min(slots - 1, len(counts))]
+
+
+def neighbours(rows: list[np.ndarray], top: np.ndarray, size: int) -> np.ndarray:
+    """How often each of ``top`` (and, last, any other id) stands behind each of them; ids are below ``size``."""
+    n = len(top)
+    place = np.full(size, n)
     place[top] = np.arange(n)
-    before, behind = np.zeros((n + 1, n + 1), _f), None
-    for r in rows:
+    found = np.zeros((n + 1) ** 2)
+    pairs, held = [], 0
+    for k, r in enumerate(rows):
         s = place[r]
-        np.add.at(before, (s[1:], s[:-1]), 1)
-    behind = before.T
-    x = np.sqrt(np.concatenate([before[:n, :wide], behind[:n, :wide]], axis=1) + 0.0)
+        pairs.append(s[1:] * (n + 1) + s[:-1])
+        held += len(s)
+        if held > 1 << 20 or k == len(rows) - 1:
+            found += np.bincount(np.concatenate(pairs), minlength=len(found))
+            pairs, held = [], 0
+    return found.reshape(n + 1, n + 1)
+
+
+def group_ids(before: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
+    """A class for each frequent id: k-means over which frequent ids stand before and behind it."""
+    n = len(before) - 1
+    wide, behind = min(n, 192), before.T
+    x = np.sqrt(np.concatenate([before[:n, :wide], behind[:n, :wide]], axis=1)).astype(_f)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
     classes = min(classes, n)
     centre = x[np.linspace(0, n - 1, classes).astype(int)]
@@ -235,47 +259,78 @@ def group_ids(rows: list[np.ndarray], top: np.ndarray, classes: int, rounds: int
     return (x @ centre.T).argmax(axis=1)
 
 
-def train(
-    rows: list[np.ndarray], counts: np.ndarray, start: int, end: int, slots: int = 1024, classes: int = 24, width: int = 16, steps: int = 500, batch: int = 64, seed: int = 5
-) -> AttentionModel:
-    """Fits the model to ``rows`` of ids; ``counts`` are the corpus counts of all ids, ends included."""
-    order = np.argsort(-counts, kind="stable")
-    top = order[: min(slots - 1, len(order))]
-    groups = group_ids([np.concatenate([[start], r, [end]]).astype(np.int64) for r in rows], top, classes)
+def fresh(before: np.ndarray, top: np.ndarray, counts: np.ndarray, start: int, end: int, classes: int = 24, width: int = 16, seed: int = 5) -> AttentionModel:
+    """The model before training; ``counts`` are the corpus counts of all ids, ends included."""
+    groups = group_ids(before, classes)
     # Large groups become several classes of MEMBERS ids, frequent ones together: a softmax costs its length.
     parts = [part for g in range(classes) if (groups == g).any() for part in np.split(top[groups == g], range(MEMBERS, (groups == g).sum(), MEMBERS))]
-    classes = len(parts) + 1
-    kind = np.full(len(counts), classes - 1, np.int64)
+    rest = np.argsort(-counts, kind="stable")[len(top) :]
+    parts += [rest[at : at + TAIL_MEMBERS] for at in range(0, len(rest), TAIL_MEMBERS)]
+    order = np.concatenate(parts)
+    kind, slot = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     for k, part in enumerate(parts):
         kind[part] = k
-    top = top[np.argsort(kind[top], kind="stable")]
-    slot = np.full(len(counts), len(top), np.int64)
-    slot[top] = np.arange(len(top))
-    first = np.searchsorted(kind[top], np.arange(classes))
-    mass = np.bincount(kind, counts + 1.0, classes)
-    share = np.where(kind == classes - 1, np.log((counts + 1.0) / mass[kind]), 0.0)
+    slot[order] = np.arange(len(order))
+    first = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+    mass = np.bincount(kind, counts + 1.0, len(parts))
     rng = np.random.default_rng(seed)
     normal = lambda *s: rng.normal(0, 0.2, s).astype(_f)
     p = {
-        "embed": normal(len(top) + 2, width), "query": normal(width, width), "key": normal(width, width), "value": normal(width, width),
+        "embed": normal(len(order) + 1, width), "query": normal(width, width), "key": normal(width, width), "value": normal(width, width),
         "near": np.zeros(CONTEXT, _f), "up": normal(width, 2 * width), "up_bias": np.zeros(2 * width, _f), "down": normal(2 * width, width),
-        "classes": normal(width, classes), "class_bias": np.log(mass / mass.sum() + 1e-9).astype(_f),
-        "member": normal(len(top), width), "member_bias": np.log((counts[top] + 1.0) / mass[kind[top]]).astype(_f),
+        "classes": normal(width, len(parts)), "class_bias": np.log(mass / mass.sum() + 1e-9).astype(_f),
+        "member": normal(len(order), width), "member_bias": np.log((counts[order] + 1.0) / mass[kind[order]]).astype(_f),
     }
-    p["embed"][-1] = 0
-    model = AttentionModel(slot, kind, first, share, start, end, p)
+    # What training never meets stays neutral.
+    p["embed"][len(top) :] = 0
+    p["member"][len(top) :] = 0
+    return AttentionModel(slot, kind, first, np.zeros(len(counts)), start, end, p)
+
+
+class Trainer:
+    """Steps of Adam on a model's own copy of the parameters."""
+
+    def __init__(self, model: AttentionModel, seed: int, batch: int = BATCH):
+        self.model = replace(model, p={k: v.copy() for k, v in model.p.items()})
+        self.rng, self.batch, self.step = np.random.default_rng(seed), batch, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+
+    def learn(self, x: np.ndarray, y: np.ndarray, speed) -> None:
+        """One pass over the blocks in random order; ``speed`` is a number, or makes one of the step."""
+        order = self.rng.permutation(len(x))
+        for at in range(0, len(x), self.batch):
+            pick = order[at : at + self.batch]
+            self.step += 1
+            _, d = self.model.gradients(x[pick], y[pick])
+            rate = speed(self.step) if callable(speed) else speed
+            for name, value in self.model.p.items():
+                m, v = self.moments[name]
+                g = d[name].astype(_f)
+                m *= _f(0.9)
+                v *= _f(0.99)
+                m += _f(0.1) * g
+                g *= g
+                v += _f(0.01) * g
+                np.multiply(v, _f(1 / (1 - 0.99**self.step)), out=g)
+                np.sqrt(g, out=g)
+                g += _f(1e-8)
+                np.divide(m, g, out=g)
+                g *= _f(rate / (1 - 0.9**self.step))
+                value -= g
+
+
+def train(
+    rows: list[np.ndarray], counts: np.ndarray, start: int, end: int, slots: int = 1024, classes: int = 24, width: int = 16, steps: int = 500, batch: int = 64, seed: int = 5
+) -> AttentionModel:
+    """Fits the model to ``rows`` of ids on one machine; ``counts`` are the corpus counts of all ids, ends included."""
+    top = frequent(counts, slots)
+    before = neighbours([np.concatenate([[start], r, [end]]).astype(np.int64) for r in rows], top, len(counts))
+    model = fresh(before, top, counts, start, end, classes, width, seed)
     if not rows:
         return model
     x, y, _ = model.blocks(rows)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    for step in range(1, steps + 1):
-        pick = rng.integers(0, len(x), batch)
-        _, d = model.gradients(x[pick], y[pick])
-        speed = 0.02 * (1 - 0.95 * step / steps)
-        for name, value in p.items():
-            m, v = moments[name]
-            g = d[name].astype(_f)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            value -= speed * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return model
+    trainer = Trainer(model, seed, batch)
+    while trainer.step < steps:
+        some = trainer.rng.permutation(len(x))[: (steps - trainer.step) * batch]
+        trainer.learn(x[some], y[some], lambda step: 0.02 * (1 - 0.95 * step / steps))
+    return trainer.model

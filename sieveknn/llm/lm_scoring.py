@@ -1,7 +1,8 @@
 """Language-model scores: a causal self-attention model over subword ids, and a word unigram beside it.
 
 Subword ids are those of a public byte-level BPE vocabulary. Counts of words and of subword ids are taken over all training documents (crc32(doc_id) mod 7 is not 2).
-The network is fitted to at most ``SAMPLE_ROWS`` of them, and scores every whole text in overlapping windows.
+The network learns from every position of all of them: in each of ``ROUNDS`` rounds tasks take gradient steps over
+their share of the round's documents, and the weights are averaged in Spark. It scores every whole text in overlapping windows.
 
 The words of a text are looked up in two ways: the ``HEAD_WORDS`` most frequent ones in a table that goes with
 the tasks, all others by a join with the stored counts, so no vocabulary has to fit anywhere.
@@ -16,26 +17,30 @@ from __future__ import annotations
 
 import base64
 import math
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveknn.llm.attention import AttentionModel, train
+from sieveknn.llm.attention import BATCH, BLOCK, BUFFER, AttentionModel, Trainer, fresh, frequent, neighbours
 from sieveknn.llm.common import hash_sample, lower_ascii, remainder, stored, whole_text
 from sieveknn.session import ship_package
 
-SAMPLE_ROWS = 3_000
-SAMPLE_IDS = 640  # of each of them, from its start; training only
+ROUNDS = 8  # each training document is in one of them
+TRAINERS = 48  # at most so many tasks of a round, each with weights of its own
+LEAST_STEPS = 500  # small tables are passed over several times
 HEAD_WORDS = 200_000
 VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits a text before its pieces are merged.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BATCH_IDS = 400_000
 _BATCH_ROWS = 1_000
+_PART = 1 << 16  # numbers of a row when arrays are summed
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -81,10 +86,92 @@ def subwords(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH) -> DataFra
     return _keyed(docs).mapInArrow(run, f"doc_id {kind}, th long, train boolean, ids array<int>")
 
 
-def fit(encoded: DataFrame, vocabulary: int, sample_rows: int = SAMPLE_ROWS) -> AttentionModel:
+def _parts(values: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
+    """An array as rows ``part, task, values``."""
+    for part, at in enumerate(range(0, len(values), _PART)):
+        cut = values[at : at + _PART]
+        lists = pa.ListArray.from_arrays(pa.array([0, len(cut)], pa.int32()), pa.array(cut, pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), lists], names=["part", "task", "values"])
+
+
+def _summed(frame: DataFrame, run) -> np.ndarray | None:
+    """The sum of the arrays that ``run`` yields in each task; parts are summed in Spark, in the order of the tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")
+        total = np.sum([r.values.to_numpy() for r in table["values"]], axis=0)
+        return pa.table({"part": table["part"][:1], "values": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = frame.mapInArrow(run, "part int, task int, values array<double>").groupBy("part").applyInArrow(add, "part int, values array<double>")
+    rows = parts.toArrow().sort_by("part")["values"]
+    return np.concatenate([r.values.to_numpy() for r in rows]) if len(rows) else None
+
+
+def _id_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    lists = batch.column(0)
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[offsets[k] : offsets[k + 1]].astype(np.int64) for k in range(len(lists))]
+
+
+def neighbour_counts(ids: DataFrame, top: np.ndarray, size: int, start: int, end: int) -> np.ndarray:
+    def run(batches):
+        total = None
+        for batch in batches:
+            found = neighbours([np.concatenate([[start], r, [end]]) for r in _id_lists(batch)], top, size)
+            total = found if total is None else total + found
+        if total is not None:
+            yield from _parts(total.reshape(-1), TaskContext.get().partitionId())
+
+    total = _summed(ids, run)
+    return np.zeros((len(top) + 1,) * 2) if total is None else total.reshape(len(top) + 1, -1)
+
+
+def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int = 1) -> int:
+    """Lets ``model`` learn from every position of ``ids``; returns how many there were, ends included, times ``passes``.
+
+    Each task takes steps on a copy of the weights; the new weights are their average by positions.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        trainer, seen, held, size = Trainer(shared.value, task), 0, [], 0
+
+        def learn() -> int:
+            x, y, _ = shared.value.blocks(held)
+            for _ in range(passes):
+                trainer.learn(x, y, speed)
+            return passes * int((y >= 0).sum())
+
+        for batch in batches:
+            for r in _id_lists(batch):
+                held.append(r)
+                size += len(r) // BLOCK + 1
+                if size >= BUFFER:
+                    seen += learn()
+                    held, size = [], 0
+        if held:
+            seen += learn()
+        if seen:
+            weights = np.concatenate([v.reshape(-1) for v in trainer.model.p.values()]).astype(np.float64)
+            yield from _parts(np.concatenate([[1.0], weights]) * seen, task)
+
+    total = _summed(ids, run)
+    shared.unpersist()
+    if total is None:
+        return 0
+    at = 1
+    for value in model.p.values():
+        value[...] = (total[at : at + value.size] / total[0]).reshape(value.shape)
+        at += value.size
+    return round(total[0])
+
+
+def fit(encoded: DataFrame, vocabulary: int, sample_rows: int | None = None) -> AttentionModel:
     """The model of ``vocabulary`` ids and two more, the start and the end of a text.
 
-    Counts of ids over all training rows (one number for each id reaches the driver); the network is trained on a sample.
+    Counts of ids are over all training rows (one number for each id reaches the driver), and the network learns from
+    every position of them; only where ``sample_rows`` is given, it learns from so many documents.
     """
     training = encoded.where("train")
     start, end = vocabulary, vocabulary + 1
@@ -92,11 +179,22 @@ def fit(encoded: DataFrame, vocabulary: int, sample_rows: int = SAMPLE_ROWS) ->
     for row in training.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("c")).collect():
         counts[row["id"]] = row["c"]
     counts[end] = training.count()
-    # Names are chosen first, so that only the sample's ids move; at most sample_rows names are broadcast.
-    chosen = hash_sample(training.select("doc_id", "th").distinct(), sample_rows)
-    sample = training.join(F.broadcast(chosen), ["doc_id", "th"]).select("doc_id", "th", F.slice("ids", 1, SAMPLE_IDS).alias("ids")).distinct()
-    rows = [np.array(r["ids"], np.int64) for r in sorted(sample.collect())]
-    return train(rows, counts, start, end)
+    total = counts.sum()
+    if sample_rows is not None:
+        # Names are chosen first, so that only the sample's ids move; at most sample_rows names are broadcast.
+        chosen = hash_sample(training.select("doc_id", "th").distinct(), sample_rows)
+        training = training.join(F.broadcast(chosen), ["doc_id", "th"])
+        total = training.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
+    top = frequent(counts)
+    before = neighbour_counts(training.select("ids").coalesce(TRAINERS), top, len(counts), start, end)
+    model = fresh(before, top, counts, start, end)
+    if not total:
+        return model
+    passes = max(1, math.ceil(LEAST_STEPS * BATCH * BLOCK / total / 8))
+    place = F.pmod(F.xxhash64("doc_id", "th", F.lit("round")), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        train_round(training.where(place == k).select("ids").coalesce(TRAINERS), model, 0.02 * (1 - 0.9 * k / ROUNDS), passes)
+    return model
 
 
 def attention_scores(encoded: DataFrame, model: AttentionModel) -> DataFrame:
@@ -191,7 +289,7 @@ def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WOR
     )
 
 
-def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH, sample_rows: int = SAMPLE_ROWS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH, sample_rows: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords``."""
     counts = stored(count_words(docs), "lm-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()

@@ -173,3 +173,23 @@ def test_word_scores_against_brute_force(messy, nothing):
         assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found) == want
         assert {r.train_tokens for r in found} == {n} and all(r.score < 0 for r in found)
     assert lm_scoring.score_texts(nothing).count() == 0
+
+
+def test_every_position_trains_the_network(spark, monkeypatch):
+    # Behind its first 640 ids the long text repeats a pair that stands nowhere else.
+    rows = [(i, 0, True, [3 + (i * 7 + k) % 20 for k in range(30)]) for i in range(40)] + [(99, 0, True, [5] * 700 + [41, 42] * 6000), (7, 0, False, [50] * 900)]
+    encoded = spark.createDataFrame(rows, "doc_id long, th long, train boolean, ids array<int>").repartition(3)
+    seen = []
+    learn = lm_scoring.train_round
+
+    def counted(*args):
+        seen.append(learn(*args) / args[3])
+        return seen[-1]
+
+    monkeypatch.setattr(lm_scoring, "train_round", counted)
+    model = lm_scoring.fit(encoded, 60)
+    assert sum(seen) == sum(len(ids) + 1 for *_, train, ids in rows if train)
+    score = lambda *ids: model.log_probabilities([np.array(ids)])[0]
+    assert score(*[41, 42] * 20) > score(*[41, 41] * 20) + 20
+    # Ids outside the frequent ones have rows, classes and weights of their own.
+    assert len(set(model.slot.tolist())) == len(model.slot) and len(model.p["member"]) == len(model.slot)
