@@ -4,8 +4,10 @@ Spans are code points, end exclusive. The base kinds are ``assign`` (a keyword,
 value of 12 or more characters), ``access`` (``AKIA...``, 18 or more) and ``hex`` (16 or more).
 ``entropy`` spans are added to them: a candidate is a maximal run over the characters of a class, and
 while a window slides along it one count goes up and one down; the span reaches from the first to the
-last window whose Shannon entropy is at or above the class's threshold. Candidates that match an
-allow-list pattern are passed over; base spans are never suppressed.
+last window whose Shannon entropy is at or above the class's threshold. A candidate of ``SHORT`` or more
+characters that is shorter than the window is one window, with the threshold in the same proportion to the most
+its length allows; it is named unless a base span holds it already. Candidates that match an anchored allow-list
+pattern as a whole, and spans that hold one of the others, are passed over; base spans are never suppressed.
 
 All column expressions: a row is scanned where it lies, without any shuffle.
 
@@ -38,7 +40,7 @@ ALLOW_LIST = (
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUIDs
 )
-WINDOW = 24
+WINDOW, SHORT = 24, 16
 _SCALE = 1_000_000_000  # entropies are sums of integers, so they do not depend on the order of updates
 _BLOCK = 256
 
@@ -53,6 +55,7 @@ class CharacterClass:
 
 CLASSES = (
     CharacterClass("0123456789abcdef", 3.05),
+    CharacterClass("0123456789ABCDEF", 3.05),
     CharacterClass("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85),
 )
 
@@ -96,21 +99,53 @@ def _hot(kind: CharacterClass, window: int) -> str:
         acc -> named_struct('from', acc.from, 'upto', acc.upto)))[0]"""
 
 
+def _even(kind: CharacterClass, window: int) -> str:
+    """SQL: does the candidate ``c``, shorter than ``window``, reach the threshold of its own length?"""
+    gain = ",".join(str(round(n * math.log2(n) * _SCALE) if n else 0) + "L" for n in range(window))
+    # The threshold keeps its proportion to log2 of the length, the most that so many characters can have.
+    most = ",".join(str(int(n * math.log2(max(n, 1)) * (1 - kind.threshold / math.log2(window)) * _SCALE)) + "L" for n in range(window))
+    return f"""aggregate(array_distinct(split(c.m, '')), 0L,
+      (acc, ch) -> acc + array({gain})[length(c.m) - length(replace(c.m, ch, ''))]) <= array({most})[length(c.m)]"""
+
+
+def _matches(text: str, patterns) -> str:
+    return " or ".join(f"rlike({text}, r'{pattern}')" for pattern in patterns) or "false"
+
+
+def _letters(kind: CharacterClass) -> str:
+    return kind.alphabet.replace("-", r"\-")
+
+
 def entropy_spans(classes=CLASSES, window: int = WINDOW, allow_list=ALLOW_LIST) -> Column:
-    """``array<struct<s, e, k>>`` of the entropy spans of column ``t``."""
-    suppressed = " or ".join(f"rlike(c.m, r'{pattern}')" for pattern in allow_list) or "false"
+    """``array<struct<s, e, k>>`` of the entropy spans of column ``t``, of candidates as long as the window."""
+    whole = [p for p in allow_list if p.removeprefix("(?i)").startswith("^")]
+    inside = [p for p in allow_list if p not in whole]
     found = []
     for kind in classes:
-        letters = kind.alphabet.replace("-", r"\-")
+        letters = _letters(kind)
         run = rf"(?<![{letters}])[{letters}]{{{window},}}"
         found.append(
-            f"""transform(filter(transform(filter({_located(run)}, c -> not ({suppressed})),
-              c -> named_struct('s', c.s, 'h', {_hot(kind, window)})), c -> c.h.from is not null),
+            f"""transform(filter(transform(filter({_located(run)}, c -> not ({_matches("c.m", whole)})),
+              c -> named_struct('s', c.s, 'm', c.m, 'h', {_hot(kind, window)})),
+              c -> c.h.from is not null and not ({_matches("substring(c.m, c.h.from + 1, c.h.upto - c.h.from)", inside)})),
               c -> named_struct('s', c.s + c.h.from, 'e', c.s + c.h.upto, 'k', 3))"""
         )
     return F.expr(f"array_distinct(concat({', '.join(found)}))")
 
 
+def short_spans(classes=CLASSES, window: int = WINDOW, allow_list=ALLOW_LIST, least: int = SHORT) -> Column:
+    """The same of candidates of ``least`` or more characters that are shorter than the window."""
+    found = ["cast(array() as array<struct<s:int,e:int,k:int>>)"]
+    for kind in classes if least < window else ():
+        letters = _letters(kind)
+        run = rf"(?<![{letters}])[{letters}]{{{least},{window - 1}}}(?![{letters}])"
+        found.append(
+            f"""transform(filter({_located(run)}, c -> not ({_matches("c.m", allow_list)}) and {_even(kind, window)}),
+              c -> named_struct('s', c.s, 'e', c.s + length(c.m), 'k', 3))"""
+        )
+    return F.expr(f"array_distinct(concat({', '.join(found)}))")
+
+
 def base_spans() -> list[Column]:
     """The spans of ``assign``, ``access`` and ``hex`` of column ``t``."""
     value = "r'" + ASSIGN.replace("'", r"\x27") + "'"
@@ -139,7 +174,15 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, window: int = WINDOW, allow_l
     """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy``."""
     assign, access, hexes = base_spans()
     found = docs.select("doc_id", whole_text().alias("t")).select(
-        "doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hexes"), entropy_spans(classes, window, allow_list).alias("added")
+        "doc_id",
+        assign.alias("assign"),
+        access.alias("access"),
+        hexes.alias("hexes"),
+        entropy_spans(classes, window, allow_list).alias("added"),
+        short_spans(classes, window, allow_list).alias("short"),
+    )
+    found = found.withColumn(
+        "added", F.expr("array_union(added, filter(short, x -> not exists(concat(assign, access, hexes), b -> b.s <= x.s and b.e >= x.e)))")
     )
     return found.select(
         "doc_id",

@@ -75,3 +75,22 @@ def test_columns_and_nothing(messy, nothing):
 def test_runs_without_python_or_shuffle(messy):
     plan = scan.scan_secrets(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_upper_case_hex_short_keys_and_words_beside_a_key(spark):
+    upper, mixed = "9233A8EC41B07D5F6E1C8A02D9B3F475", "aZ3kQ9xT7wLm2Vb8"
+    texts = [
+        f"key {upper} end",  # 32 characters of 16 symbols
+        *[f"key {(upper)[:n]} end" for n in (16, 20, 23)],
+        f"key {mixed} and {mixed}Rn4Yc6 end",  # 16 and 22 characters
+        f"key example{'z' * 40}{MIXED} end",  # the word is not in the span
+        f"key EXAMPLE{mixed[:11]} {mixed[:15]} internationally99 zzzzzzzzzzzzzzzz1 end",  # allowed, too short, even letters
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in scan.scan_secrets(docs).collect()}
+    assert rows[0].spans == "entropy:4:36"
+    assert [rows[k].spans for k in (1, 2, 3)] == ["entropy:4:20", "entropy:4:24", "entropy:4:27"]
+    assert rows[4].spans == "entropy:4:20,entropy:25:47"
+    kind, at, end = rows[5].spans.split(":")
+    assert kind == "entropy" and 11 < int(at) <= 51 and int(end) == 4 + 47 + len(MIXED)
+    assert rows[6].spans == ""
