@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveknn.llm.common import hash_sample, remainder, whole_text
@@ -24,6 +24,7 @@ from sieveknn.llm.recurrent import WINDOW, Network, train, windows
 from sieveknn.session import ship_package
 
 SAMPLE_ROWS = 6_000
+LEAST_ROWS = 100  # of each language, as far as it has them, beside the sample
 WINDOWS_PER_ROW = 4
 HIDDEN = 12
 STEPS = 260
@@ -32,12 +33,17 @@ _TEXTS_BYTES = 8 << 20
 
 
 def training_windows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, per_row: int = WINDOWS_PER_ROW) -> pd.DataFrame:
-    """``lang, bytes``: windows from evenly spread places of the sampled documents, at most ``sample_rows * per_row``."""
+    """``lang, bytes``: windows from evenly spread places of the sampled documents.
+
+    At most ``sample_rows`` documents, and ``LEAST_ROWS`` of each language, those with the smallest hashes.
+    """
     ship_package(docs.sparkSession)
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
     known = known.where("doc_id is not null and lang is not null").where(remainder(F.col("doc_id"), 3) != 1).where(F.col("text").rlike(r"\p{L}"))
-    chosen = hash_sample(known.select("doc_id"), sample_rows).distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    least = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEAST_ROWS).select("doc_id")
+    chosen = hash_sample(known.select("doc_id"), sample_rows).unionByName(least).distinct()
+    rows = known.join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids, and LEAST_ROWS for each language
 
     def run(frames):
         for frame in frames:
@@ -50,7 +56,11 @@ def training_windows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, per_row: i
             yield pd.DataFrame(out, columns=["id", "k", "lang", "bytes"])
 
     table = rows.mapInPandas(run, "id string, k int, lang string, bytes binary").toPandas()
-    return table.sort_values(["id", "k", "lang", "bytes"])[: sample_rows * per_row]
+    table = table.sort_values(["id", "k", "lang", "bytes"], ignore_index=True)
+    # Ids on many rows may bring more; then each language keeps its first windows.
+    most = (sample_rows + LEAST_ROWS * table["lang"].nunique()) * per_row
+    first = table.groupby("lang").cumcount().sort_values(kind="stable").index[:most]
+    return table.loc[first.sort_values()]
 
 
 def train_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, hidden: int = HIDDEN, steps: int = STEPS) -> Network | None:

@@ -193,3 +193,10 @@ def test_every_position_trains_the_network(spark, monkeypatch):
     assert score(*[41, 42] * 20) > score(*[41, 41] * 20) + 20
     # Ids outside the frequent ones have rows, classes and weights of their own.
     assert len(set(model.slot.tolist())) == len(model.slot) and len(model.p["member"]) == len(model.slot)
+
+
+def test_a_rare_language_is_in_the_sample(spark):
+    rows = [(i, f"some words number {i}", "xx" if i in (5001, 5002, 5004, 5005) else "en", None, 1) for i in range(5010)]
+    found = language.training_windows(spark.createDataFrame(rows, SCHEMA), 50)
+    want = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (5001, 5002, 5004, 5005))
+    assert want and (found["lang"] == "xx").sum() == want and 50 <= (found["lang"] == "en").sum() <= 150
