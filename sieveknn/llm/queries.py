@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveknn.llm import exact, language, lm_scoring, minhash, mixing, pieces, repeats, secret_scan, spots, toxicity
+from sieveknn.llm import exact, infill, language, lm_scoring, minhash, mixing, pieces, repeats, secret_scan, spots, toxicity
 from sieveknn.llm.common import LOWER, UPPER, documents
 
 
@@ -50,6 +50,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle_report(documents(spark, sf_dir))
+
+
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -61,6 +65,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 _OP6 = f"""
@@ -124,8 +129,28 @@ upto as (select *, sum(n_tokens) over (partition by k order by block_place, plac
 select doc_id, source, n_tokens, weight, repetition, block, passes + case when rest > 0 and upto <= rest then 1 else 0 end as copies from upto
 """
 
+_OP11 = rf"""
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('{infill.SEED}:' || coalesce(doc_id::varchar, 'null')) as h from documents),
+u as (
+  select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as u, ('0x' || substr(h, 1, 8))::bigint as h1,
+         ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from t),
+c as (
+  select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= {infill.FIM_PERCENT} then 'plain'
+              when h4 % 100 < {infill.SPM_PERCENT} then 'spm' else 'psm' end as form from u),
+p as (
+  select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+       case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256 from p
+"""
+
 CORPUS_ORACLE: dict[str, str] = {
     "op6_exact_dedup": _OP6,
     "op9_minhash": _OP9,
     "op10_mixing": _OP10,
+    "op11_fill_in_middle": _OP11,
 }
