@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveknn.llm import exact, infill, language, lm_scoring, minhash, mixing, pieces, repeats, secret_scan, spots, toxicity
+from sieveknn.llm import exact, infill, language, lm_scoring, minhash, mixing, negatives, pieces, repeats, secret_scan, spots, toxicity
 from sieveknn.llm.common import LOWER, UPPER, documents
 
 
@@ -54,6 +55,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle_report(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,6 +73,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _OP6 = f"""
@@ -148,9 +156,30 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
        sha256(text) as restored_sha256 from p
 """
 
+_OP13 = f"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor({negatives.SCALE} * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= {negatives.POSITIVES})
+select anchor_id, positive_id, row_number() over best :: int as rank, s.id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id)
+where not same and {negatives.LOW_PERCENT} * positive_score <= 100 * score and 100 * score <= {negatives.HIGH_PERCENT} * positive_score
+window best as (partition by anchor_id, positive_id order by s.score desc, s.id)
+qualify row_number() over best <= {negatives.NEGATIVES}
+"""
+
 CORPUS_ORACLE: dict[str, str] = {
     "op6_exact_dedup": _OP6,
     "op9_minhash": _OP9,
     "op10_mixing": _OP10,
     "op11_fill_in_middle": _OP11,
+    "op13_hard_negatives": _OP13,
 }
