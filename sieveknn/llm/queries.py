@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveknn.llm import exact, infill, language, lm_scoring, minhash, mixing, negatives, pieces, repeats, secret_scan, spots, toxicity
+from sieveknn.llm import exact, infill, language, lm_scoring, minhash, mixing, negatives, passages, pieces, repeats, secret_scan, spots, toxicity
 from sieveknn.llm.common import LOWER, UPPER, documents
 
 
@@ -55,6 +55,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle_report(documents(spark, sf_dir))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -73,6 +77,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -156,6 +161,20 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
        sha256(text) as restored_sha256 from p
 """
 
+_OP12 = rf"""
+with w as materialized (
+  select row_number() over () as rid, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select rid, i, array_to_string(w[i:i + {passages.LENGTH} - 1], ' ') as s
+      from (select rid, w, unnest(range(1, len(w) - {passages.LENGTH} + 2)) as i from w)),
+d as (select s from g group by s having count(*) > 1),
+r as (select distinct rid, unnest(range(i, i + {passages.LENGTH})) as i from g join d using (s)),
+k as (select rid, string_agg(x, ' ' order by i) as kept, count(*) as n_kept
+      from (select rid, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w) anti join r using (rid, i) group by rid)
+select doc_id, len(w)::bigint as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (rid)
+"""
+
 _OP13 = f"""
 with e as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -181,5 +200,6 @@ CORPUS_ORACLE: dict[str, str] = {
     "op9_minhash": _OP9,
     "op10_mixing": _OP10,
     "op11_fill_in_middle": _OP11,
+    "op12_substring_dedup": _OP12,
     "op13_hard_negatives": _OP13,
 }
