@@ -5,29 +5,48 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 LENGTH = 35  # words of the shortest repeat
 GRAM = 6
 _U = np.uint64
 _TOP = _U(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(35))
+_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_STEP = _U(0x9E3779B97F4A7C15)
+_BACK = _U(pow(int(_STEP), -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FACTORS = _rng.integers(1, 2**63, GRAM + 1, dtype=np.uint64) | _U(1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; remembers a bounded number of them."""
+class Words:
+    """The words of several texts: where they begin and end in ``data``, 64-bit hashes of them, and how many each text has.
 
-    MOST = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    A hash is a polynomial over the bytes, cut out of a running sum; equal words have equal hashes wherever they stand.
+    """
 
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __init__(self, texts: pa.Array):
+        column = texts.cast(pa.binary())
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        body = column.buffers()[2]
+        self.data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body is not None else np.empty(0, np.uint8)
+        ends -= ends[0]
+        n = len(self.data)
+        border = np.zeros(n + 1, bool)
+        border[ends] = True
+        space = _SPACE[self.data]
+        self.begin = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]])[:n] | border[:n]))
+        self.behind = np.flatnonzero(~space & (np.concatenate([space[1:], [True]])[:n] | border[1:])) + 1
+        self.sizes = np.diff(np.searchsorted(self.begin, ends))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[self.data] * np.cumprod(np.full(n, _STEP, np.uint64)), out=total[1:])
+        h = (total[self.behind] - total[self.begin]) * np.cumprod(np.full(n, _BACK, np.uint64))[self.begin]
+        h = (h ^ (h >> _U(32))) * _STEP
+        self.hashes = h ^ (h >> _U(29))
+
+    def joined(self, first: int, behind: int) -> bytes:
+        """These words with one space between them."""
+        return b" ".join(self.data[self.begin[first] : self.behind[behind - 1]].tobytes().split())
 
 
 def _lows(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,15 +59,19 @@ def _lows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def window_runs(hashes: np.ndarray, heavy: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(key, first, behind, twice) of the runs of windows of ``length`` words that have the same key.
+def window_runs(hashes: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(key, text, first, behind, twice) of the runs of windows of ``length`` words that have the same key.
 
-    A window's key is the smallest hash of the ``GRAM`` words in a row within it, where the ``heavy`` ones (sorted) come
-    after all others. Equal windows have equal keys. ``twice``: the key's words stand in the text more than once.
+    ``hashes`` are the words of several texts of ``sizes`` words, one after the other. A window's key is the smallest hash
+    of the ``GRAM`` words in a row within it, where the ``heavy`` ones (sorted) come after all others. Equal windows have
+    equal keys. ``twice``: the key's words stand in the text more than once.
     """
-    if len(hashes) < length:
+    reach = length - GRAM + 1
+    begin = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - length + 1, 0)  # windows of each text
+    if not count.any():
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(bool)
+        return none, none, none, none, none.astype(bool)
     n = len(hashes) - GRAM + 1
     grams = np.zeros(n, np.uint64)
     for k in range(GRAM):
@@ -58,12 +81,24 @@ def window_runs(hashes: np.ndarray, heavy: np.ndarray, length: int = LENGTH) ->
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
         grams[heavy[at] == grams] |= _TOP
-    low = _lows(grams, length - GRAM + 1)
-    first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-    key = low[first]
-    ordered = np.sort(grams)
-    twice = np.searchsorted(ordered, key, side="right") - np.searchsorted(ordered, key) > 1
-    return key.view(np.int64), first, np.append(first[1:], len(low)), twice
+    low = _lows(grams, reach)
+    # Windows that lie in one text.
+    text = np.repeat(np.arange(len(sizes)), count)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    own = low[np.repeat(begin, count) + place]
+    start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
+    key, text = own[start], text[start]
+    first = place[start]
+    behind = first + np.diff(np.append(start, len(place)))
+    # The places of keys: grams as small as the largest key of the windows around them.
+    around = np.zeros(n + reach - 1, np.uint64)
+    valid = np.repeat(begin, count) + place
+    around[reach - 1 + valid] = own
+    chosen = np.flatnonzero(_lows(~around, reach) == ~grams)
+    names = grams[chosen] + (np.searchsorted(begin, chosen, side="right") - 1).astype(np.uint64) * _FACTORS[0]
+    names.sort()
+    several = names[1:][names[1:] == names[:-1]]
+    return key.view(np.int64), text, first, behind, np.isin(key + text.astype(np.uint64) * _FACTORS[0], several)
 
 
 class SuffixAutomaton:

@@ -30,15 +30,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sieveknn.llm.automata import LENGTH, SuffixAutomaton, WordHashes, covered, window_runs
+from sieveknn.llm.automata import LENGTH, SuffixAutomaton, Words, covered, window_runs
 from sieveknn.llm.common import stored, whole_text
 from sieveknn.session import ship_package
 
 SHARD_BYTES = 1 << 20  # of distinct pieces behind one automaton
 HEAVY_SHARE = 20_000
+SLICE_BYTES = 1 << 17  # of text whose words are looked at together
 REFERENCE_BYTES = 16 << 20  # of a reference whose automaton is broadcast
 _LAST = (1 << 63) - 1
 
@@ -50,17 +52,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", did.alias("did"), F.xxhash64(data).alias("ta"), F.xxhash64(F.lit(1), data).alias("tb"), data.alias("data"))
 
 
+def _texts(batches):
+    """Parts of the batches with some ``SLICE_BYTES`` of text, and the words of their texts."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            part = batch.slice(at, stop - at)
+            yield part, Words(part.column("data"))
+            at = stop
+
+
 def _find_runs(shared, length: int):
     """``key, ta, first, places`` of every run; ``places`` is 2 if the key stands twice in the text."""
 
     def run(batches):
-        heavy, words = shared.value, WordHashes()
-        for batch in batches:
-            found = [window_runs(words.of(x.as_py().split()), heavy, length) for x in batch.column(1)]
-            key, first, twice = (np.concatenate([f[c] for f in found]) if found else np.empty(0) for c in (0, 1, 3))
-            name = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
-            columns = [pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(first.astype(np.int32)), pa.array(1 + twice.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "ta", "first", "places"])
+        for part, words in _texts(batches):
+            key, text, first, _, twice = window_runs(words.hashes, words.sizes, shared.value, length)
+            columns = (key, part.column("ta").to_numpy()[text], first.astype(np.int32), 1 + twice.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "ta", "first", "places"])
 
     return run
 
@@ -69,19 +80,18 @@ def _cut_pieces(shared, length: int):
     """``key, ta, tb, first, places, piece`` of the runs that ``firsts`` names."""
 
     def run(batches):
-        heavy, words = shared.value, WordHashes()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for ta, tb, places, firsts, data in zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "places", "firsts", "data")), strict=True):
-                text = data.split()
-                key, first, behind, _ = window_runs(words.of(text), heavy, length)
-                # A name that two texts share may bring places of the other text.
-                for k in np.flatnonzero(np.isin(first, firsts)).tolist():
-                    piece = b" ".join(text[first[k] : behind[k] + length - 1])
-                    for column, value in zip(out, (int(key[k]), ta, tb, int(first[k]), places, piece), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "ta", "tb", "first", "places", "piece"])
+        for part, words in _texts(batches):
+            key, text, first, behind, _ = window_runs(words.hashes, words.sizes, shared.value, length)
+            marks = part.column("firsts")
+            # A name that two texts share may bring places of the other text.
+            named = np.repeat(np.arange(part.num_rows) << 32, pc.list_value_length(marks).to_numpy()) + marks.flatten().to_numpy()
+            chosen = np.flatnonzero(np.isin((text << 32) + first, named))
+            of, at = text[chosen], (np.cumsum(words.sizes) - words.sizes)[text[chosen]]
+            spans = zip((at + first[chosen]).tolist(), (at + behind[chosen] + length - 1).tolist(), strict=True)
+            columns = [pa.array(key[chosen]), *(part.column(c).take(pa.array(of)) for c in ("ta", "tb"))]
+            columns += [pa.array(first[chosen].astype(np.int32)), part.column("places").take(pa.array(of))]
+            columns.append(pa.array([words.joined(a, b) for a, b in spans], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ta", "tb", "first", "places", "piece"])
 
     return run
 
@@ -138,7 +148,7 @@ _RUN = "key long, ta long, first int, places int"
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """``ta, tb, spans``: the words under repeated windows, for each text that has any."""
     heavy = _heavy_keys(rows, length)
-    runs = rows.select("ta", "data").mapInArrow(_find_runs(heavy, length), _RUN)
+    runs = stored(rows.select("ta", "data").mapInArrow(_find_runs(heavy, length), _RUN), "runs")
     several = runs.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
     marks = runs.select("key", "ta", "first").join(several, "key", "left_semi").groupBy("ta").agg(F.collect_set("first").alias("firsts"))
     texts = rows.groupBy("ta", "tb").agg(F.min("did").alias("low"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("places"))
