@@ -74,6 +74,15 @@ def test_keep_one(messy):
     assert sorted(ids) == sorted({i for (i, _), (_, c) in want.items() if i is not None and i == c})
 
 
+def test_one_id_on_several_texts_and_rows_without_id(spark):
+    rng = random.Random(4)
+    base, clean, lone = (" ".join(f"{x}{rng.randrange(5000)}" for _ in range(80)) for x in "abc")
+    rows = [(1, base, "x"), (2, base + " tail", "y"), (2, clean, "y"), (None, lone, "z"), (None, lone, "z"), (None, base + " other", "z"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number string")
+    kept = sorted((tuple(r) for r in minhash.keep_one(docs, percent=80, size=5).collect()), key=repr)
+    assert kept == sorted([(1, base, "x"), (2, clean, "y"), (None, lone, "z"), (None, None, "n")], key=repr)
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 9000, n)) for n in (0, 1, 50, 400, 5000, 5000)]
