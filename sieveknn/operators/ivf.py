@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_norm, l2_normalize
+from .cells import QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_table, score_exactly, search_cells
 from .kernel import by_value, scan_vectors
 from .nearest import QueryBatch, search_in_passes
 from .topk import top_k
@@ -129,26 +130,41 @@ def write_lists(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
     rows.hint("rebalance", "cluster_id").write.mode(mode).partitionBy("cluster_id").parquet(path)
 
 
+def nearest_lists(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> np.ndarray:
+    """The ``nprobe`` most similar centroids of each query, one row each."""
+    unit, _ = unit_rows(queries.astype(np.float32))
+    nprobe = min(nprobe, len(centroids))
+    step = max(1, SCORE_CELLS // len(centroids))
+    parts = [
+        np.argpartition(-(unit[i : i + step] @ centroids.T), nprobe - 1, axis=1)[:, :nprobe] for i in range(0, len(unit), step)
+    ]
+    return np.concatenate(parts)
+
+
 def probe_lists(batch: QueryBatch, centroids: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
-    """Which queries read which list: each query's ``nprobe`` most similar centroids.
+    """Which queries read which list, in order.
 
     Bounded by queries x lists, both of which the driver already holds.
     """
-    unit, _ = unit_rows(batch.vectors.astype(np.float32))
-    nprobe = min(nprobe, len(centroids))
-    readers: dict[int, list[int]] = {}
-    step = max(1, SCORE_CELLS // len(centroids))
-    for start in range(0, len(unit), step):
-        distance = -(unit[start : start + step] @ centroids.T)
-        nearest = np.argpartition(distance, nprobe - 1, axis=1)[:, :nprobe]
-        for query, clusters in enumerate(nearest, start):
-            for cluster in clusters:
-                readers.setdefault(int(cluster), []).append(query)
-    members = {cluster: np.array(queries) for cluster, queries in readers.items()}
+    chosen = nearest_lists(batch.vectors, centroids, nprobe)
+    owner = np.repeat(np.arange(len(chosen)), chosen.shape[1])
+    order = np.argsort(chosen.ravel(), kind="stable")
+    clusters, starts = np.unique(chosen.ravel()[order], return_index=True)
+    members = dict(zip(clusters.tolist(), np.split(owner[order], starts[1:]), strict=True))
     members[ZERO_CLUSTER] = np.arange(len(batch))
     return members
 
 
+def lists_and_zero(centroids: np.ndarray, nprobe: int):
+    """For a table of queries: the lists that each probes, the one of the zero vectors among them."""
+
+    def run(queries: np.ndarray) -> np.ndarray:
+        chosen = nearest_lists(queries, centroids, nprobe)
+        return np.concatenate([chosen, np.full((len(chosen), 1), ZERO_CLUSTER)], axis=1)
+
+    return run
+
+
 def prune_lists(lists: DataFrame, members: dict[int, np.ndarray], n_lists: int) -> DataFrame:
     """Read only the probed lists.
 
@@ -167,9 +183,22 @@ def ivf_pass(lists: DataFrame, centroids: np.ndarray, batch: QueryBatch, k: int,
     return top_k(rows.mapInArrow(scan, batch.result_schema()), k)
 
 
+def ivf_cells(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """The same for a table of queries of any size, in one pass."""
+    probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))
+    rows = lists.select("cluster_id", "id", "embedding")
+    return search_cells(rows, probes, k, score_exactly(k), len(centroids), ROWS_PER_CELL, QUERIES_PER_CELL)
+
+
 def ivf_search(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int = NPROBE) -> DataFrame:
     """A4: the k nearest vectors within the probed lists, as ``(qid, rank, id, dist)``.
 
-    Distances are exact.  Probing every list gives the exact answer.
+    Distances are exact.  Probing every list gives the exact answer.  Few queries go to every task; many stay a
+    table that meets the lists cell by cell, so that the lists are read once either way.
     """
-    return search_in_passes(queries, k, lambda batch: ivf_pass(lists, centroids, batch, k, nprobe))
+    return search_in_passes(
+        queries,
+        k,
+        lambda batch: ivf_pass(lists, centroids, batch, k, nprobe),
+        at_once=lambda many: ivf_cells(lists, centroids, many, k, nprobe),
+    )

@@ -179,29 +179,43 @@ def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
     return scan
 
 
-def scan_codes(tables: np.ndarray, bases: dict[int, np.ndarray], qids: pa.Array, k: int, split: Split):
-    """A ``mapInArrow`` function: k nearest per query by looked-up distances of product codes.
+Bases = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def code_distances(tables: np.ndarray, bases: Bases, split: Split):
+    """A function that gives ``(query, distances, ids)`` for the rows of a batch of product codes and the queries they meet.
 
     ``tables[q, m, code]`` is the inner product of a query's m-th part with a codeword, and
-    ``bases[cluster]`` the inner products of the cluster's centroid with the queries that read it;
+    ``bases[cluster]`` the queries that read a list, in order, with their inner products with its centroid;
     their sum approximates the cosine.  ``split`` must divide the rows by ``cluster_id``.
     """
-    n_queries, parts, _ = tables.shape
+    _, parts, _ = tables.shape
     positions = np.arange(parts)
 
+    def distances(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        all_ids = batch.column("id").to_numpy(zero_copy_only=False)
+        codes = list_column_to_matrix(batch.column("code"), parts, np.int64)
+        clusters = batch.column("cluster_id").to_numpy(zero_copy_only=False)
+        for rows, members in split(batch):
+            ids, row_codes = all_ids[rows], codes[rows]
+            readers, products = bases[int(clusters[rows[0]])]
+            for query, base in zip(members, products[np.searchsorted(readers, members)], strict=True):
+                similarity = base + tables[query][positions, row_codes].sum(axis=1)
+                yield int(query), settle(1.0 - similarity.astype(np.float64)), ids
+
+    return distances
+
+
+def scan_codes(tables: np.ndarray, bases: Bases, qids: pa.Array, k: int, split: Split):
+    """A ``mapInArrow`` function: k nearest per query by looked-up distances of product codes."""
+    distances = code_distances(tables, bases, split)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Nearest(n_queries, k)
+        best = Nearest(len(tables), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            codes = list_column_to_matrix(batch.column("code"), parts, np.int64)
-            clusters = batch.column("cluster_id").to_numpy(zero_copy_only=False)
-            for rows, members in split(batch):
-                ids, row_codes = all_ids[rows], codes[rows]
-                for query, base in zip(members, bases[int(clusters[rows[0]])], strict=True):
-                    similarity = base + tables[query][positions, row_codes].sum(axis=1)
-                    best.offer_near(int(query), settle(1.0 - similarity.astype(np.float64)), ids)
+            if batch.num_rows:
+                for query, found, ids in distances(batch):
+                    best.offer_near(query, found, ids)
         yield from best.batches(qids)
 
     return scan

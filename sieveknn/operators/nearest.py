@@ -16,7 +16,7 @@ from ..session import ensure_checkpoint_dir, new_scratch_path
 from .kernel import everything, list_column_to_matrix, scan_vectors, score_rows
 from .topk import top_k
 
-# Query rows fetched by the driver at a time.
+# More queries than these are stored first, or stay a table where the search allows it.
 QUERIES_PER_FETCH = 5_000
 # Bytes of query vectors, and of running results per task, that one pass over the data may hold.
 QUERY_BYTES_PER_PASS = 64 * 1024 * 1024
@@ -50,18 +50,45 @@ class QueryBatch:
         )
 
 
-def _arrow_chunks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The query rows as Arrow tables of bounded size."""
-    head = queries.limit(QUERIES_PER_FETCH + 1).toArrow()
-    if head.num_rows <= QUERIES_PER_FETCH:
-        yield head
+def _pass_limit(width: int, k: int, query_bytes: int) -> int:
+    """Queries of one pass: bounded by their vectors, their running results and what else each brings."""
+    return max(1, min(QUERY_BYTES_PER_PASS // (8 * max(width, 1) + query_bytes), RESULT_BYTES_PER_PASS // (16 * k)))
+
+
+def _batches_of(table: pa.Table, limit: int, qid_type: T.DataType, clause: str | None) -> Iterator[QueryBatch]:
+    if not table.num_rows:
         return
-    # too many to hold at once: store them and fetch one slice of the stored rows at a time
+    column = table.column("qvec").combine_chunks()
+    if column.null_count:
+        raise ValueError("a query has no vector")
+    qids = table.column("qid")
+    if qids.null_count or len(qids.unique()) != len(qids):
+        raise ValueError("every query needs a qid of its own")
+    vectors = list_column_to_matrix(column, len(column[0]), np.float64)
+    for start in range(0, len(vectors), limit):
+        part = table.slice(start, limit)
+        yield QueryBatch(
+            part.column("qid").combine_chunks(),
+            vectors[start : start + limit],
+            qid_type,
+            part.column(clause).to_pylist() if clause else None,
+        )
+
+
+def _head(queries: DataFrame) -> pa.Table:
+    return queries.limit(QUERIES_PER_FETCH + 1).toArrow()
+
+
+def _stored_passes(queries: DataFrame, limit: int) -> Iterator[pa.Table]:
+    """Query rows, stored once, as Arrow tables of about ``limit`` rows, one in memory at a time."""
     spark = queries.sparkSession
     plain, path = new_scratch_path(spark, "queries"), new_scratch_path(spark, "queries")
     queries.write.parquet(plain)  # what makes the queries, perhaps an encoder, runs once
     queries = spark.read.schema(queries.schema).parquet(plain)
-    slices = -(-queries.count() // QUERIES_PER_FETCH)
+    slices = -(-queries.count() // limit)
+    if slices <= 1:
+        yield queries.toArrow()
+        return
     queries.withColumn("__slice", F.pmod(F.xxhash64("qid"), F.lit(slices))).hint("rebalance", "__slice").write.partitionBy(
         "__slice"
     ).parquet(path)
@@ -70,34 +97,23 @@ def _arrow_chunks(queries: DataFrame) -> Iterator[pa.Table]:
         yield stored.filter(F.col("__slice") == number).select(*queries.columns).toArrow()
 
 
-def query_passes(queries: DataFrame, k: int, clause: str | None = None) -> Iterator[QueryBatch]:
+def query_passes(queries: DataFrame, k: int, clause: str | None = None, query_bytes: int = 0, head: pa.Table | None = None) -> Iterator[QueryBatch]:
     """Split ``(qid, qvec)`` into batches small enough to hold in every task.
 
-    A batch is limited by its vectors and by its ``queries * k`` running results; more queries than
-    fit mean more passes over the data.  ``clause`` names a column carried along per query.
+    A batch is limited in bytes, by its vectors and by its ``queries * k`` running results: 100,000 queries
+    of 64 numbers make one pass over the data, more queries mean more passes.  ``clause`` names a column carried along
+    per query, ``query_bytes`` is what a search needs besides.
     """
     columns = ["qid", "qvec"] + ([clause] if clause else [])
+    queries = queries.select(*columns)
     qid_type = queries.schema["qid"].dataType
-    for table in _arrow_chunks(queries.select(*columns)):
-        if not table.num_rows:
-            continue
-        column = table.column("qvec").combine_chunks()
-        if column.null_count:
-            raise ValueError("a query has no vector")
-        qids = table.column("qid")
-        if qids.null_count or len(qids.unique()) != len(qids):
-            raise ValueError("every query needs a qid of its own")
-        width = len(column[0])
-        vectors = list_column_to_matrix(column, width, np.float64)
-        limit = max(1, min(QUERY_BYTES_PER_PASS // (8 * max(width, 1)), RESULT_BYTES_PER_PASS // (16 * k)))
-        for start in range(0, len(vectors), limit):
-            part = table.slice(start, limit)
-            yield QueryBatch(
-                part.column("qid").combine_chunks(),
-                vectors[start : start + limit],
-                qid_type,
-                part.column(clause).to_pylist() if clause else None,
-            )
+    head = _head(queries) if head is None else head
+    if not head.num_rows:
+        return
+    limit = _pass_limit(len(head.column("qvec")[0].as_py() or ()), k, query_bytes)
+    tables = [head] if head.num_rows <= QUERIES_PER_FETCH else _stored_passes(queries, limit)
+    for table in tables:
+        yield from _batches_of(table, limit, qid_type, clause)
 
 
 def empty_hits(queries: DataFrame) -> DataFrame:
@@ -108,18 +124,27 @@ def empty_hits(queries: DataFrame) -> DataFrame:
 
 
 def search_in_passes(
-    queries: DataFrame, k: int, one_pass: Callable[[QueryBatch], DataFrame], clause: str | None = None
+    queries: DataFrame,
+    k: int,
+    one_pass: Callable[[QueryBatch], DataFrame],
+    clause: str | None = None,
+    query_bytes: int = 0,
+    at_once: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``one_pass`` for every query batch and put the hits together.
 
     A single pass stays lazy.  Of several, each is run and its hits stored before the next is
-    planned, so that the driver never holds the vectors of more than one.
+    planned, so that the driver never holds the vectors of more than one.  A search that can take queries as a table
+    passes ``at_once``, which gets them when the driver should not fetch them.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    head = _head(queries.select("qid", "qvec", *([clause] if clause else [])))
+    if at_once is not None and head.num_rows > QUERIES_PER_FETCH:
+        return at_once(queries)
     pending: DataFrame | None = None
     stored: str | None = None
-    for batch in query_passes(queries, k, clause):
+    for batch in query_passes(queries, k, clause, query_bytes, head):
         part = one_pass(batch)
         if pending is None:
             pending = part

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cells import LOOKUP_BYTES, QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_table, score_by_codes, search_cells
 from .ivf import (
     NPROBE,
     ZERO_CLUSTER,
+    lists_and_zero,
     nearest_centroid,
     probe_lists,
     prune_lists,
@@ -125,18 +127,28 @@ def pq_encode(emb: DataFrame, centroids: np.ndarray, codebooks: np.ndarray) -> D
     return vectors.select("id", encode("embedding").alias("e")).select("id", "e.cluster_id", "e.code")
 
 
+def query_tables(vectors: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit queries, and the inner products of their parts with all codewords."""
+    unit, _ = unit_rows(vectors.astype(np.float32))
+    parts = unit.reshape(len(unit), codebooks.shape[0], codebooks.shape[2])
+    return unit, np.einsum("qmw,mcw->qmc", parts, codebooks)
+
+
+def _base(unit: np.ndarray, cluster: int, centroids: np.ndarray) -> np.ndarray:
+    return np.zeros(len(unit), np.float32) if cluster == ZERO_CLUSTER else np.einsum("qd,d->q", unit, centroids[cluster])
+
+
 def lookup_tables(
     batch: QueryBatch, members: dict[int, np.ndarray], centroids: np.ndarray, codebooks: np.ndarray
-) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Inner products of query parts with codewords, and of queries with the centroids they probe."""
-    unit, _ = unit_rows(batch.vectors.astype(np.float32))
-    parts = unit.reshape(len(unit), codebooks.shape[0], codebooks.shape[2])
-    tables = np.einsum("qmw,mcw->qmc", parts, codebooks)
-    bases = {
-        cluster: np.zeros(len(queries), np.float32) if cluster == ZERO_CLUSTER else unit[queries] @ centroids[cluster]
-        for cluster, queries in members.items()
-    }
-    return tables, bases
+    unit, tables = query_tables(batch.vectors, codebooks)
+    return tables, {cluster: (queries, _base(unit[queries], cluster, centroids)) for cluster, queries in members.items()}
+
+
+def lookup_bytes(codebooks: np.ndarray) -> int:
+    """Bytes of one query's lookup table."""
+    return 4 * codebooks.shape[0] * codebooks.shape[1]
 
 
 def ivfpq_pass(
@@ -149,6 +161,21 @@ def ivfpq_pass(
     return top_k(rows.mapInArrow(scan, batch.result_schema()), k)
 
 
+def ivfpq_cells(codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """The same for a table of queries of any size, in one pass; a cell builds the lookup tables of its queries."""
+    probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))
+    shared = queries.sparkSession.sparkContext.broadcast((centroids, codebooks))
+
+    def tables_of(vectors: np.ndarray, cluster: int) -> tuple[np.ndarray, np.ndarray]:
+        centers, books = shared.value
+        unit, tables = query_tables(vectors, books)
+        return tables, _base(unit, cluster, centers)
+
+    per_cell = max(1, min(QUERIES_PER_CELL, LOOKUP_BYTES // lookup_bytes(codebooks)))
+    rows = codes.select("cluster_id", "id", "code")
+    return search_cells(rows, probes, k, score_by_codes(k, tables_of), len(centroids), ROWS_PER_CELL, per_cell)
+
+
 def ivfpq_search(
     codes: DataFrame,
     centroids: np.ndarray,
@@ -157,5 +184,11 @@ def ivfpq_search(
     k: int,
     nprobe: int = NPROBE,
 ) -> DataFrame:
-    """The k nearest by looked-up (approximate) distances, as ``(qid, rank, id, dist)``."""
-    return search_in_passes(queries, k, lambda batch: ivfpq_pass(codes, centroids, codebooks, batch, k, nprobe))
+    """The k nearest by looked-up (approximate) distances, as ``(qid, rank, id, dist)``; many queries as in A4."""
+    return search_in_passes(
+        queries,
+        k,
+        lambda batch: ivfpq_pass(codes, centroids, codebooks, batch, k, nprobe),
+        query_bytes=lookup_bytes(codebooks),
+        at_once=lambda many: ivfpq_cells(codes, centroids, codebooks, many, k, nprobe),
+    )

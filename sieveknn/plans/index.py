@@ -17,13 +17,14 @@ from ..operators.ivf import (
     assign_clusters,
     default_nlist,
     ivf_pass,
+    ivf_search,
     spread,
     train_ivf,
     train_sample,
     write_lists,
 )
 from ..operators.nearest import QueryBatch, knn_pass, search_in_passes
-from ..operators.pq import choose_m, ivfpq_pass, pq_encode, train_pq
+from ..operators.pq import choose_m, ivfpq_pass, ivfpq_search, pq_encode, train_pq
 
 KINDS = ("Flat", "IVF", "IVFPQ")
 VERSION_SCHEMA = (
@@ -75,9 +76,13 @@ class VectorIndex:
         return ivfpq_pass(rows, self.centroids, self.codebooks, batch, k, nprobe)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = NPROBE) -> DataFrame:
-        """The k nearest found for every query, as ``(qid, rank, id, dist)``."""
-        spark = queries.sparkSession
-        return search_in_passes(queries, k, lambda batch: self.search_pass(spark, batch, k, nprobe))
+        """The k nearest found for every query, as ``(qid, rank, id, dist)``; the lists are read once, whatever the number of queries."""
+        rows = self.rows(queries.sparkSession)
+        if self.kind == "Flat":
+            return search_in_passes(queries, k, lambda batch: knn_pass(rows, batch, k))
+        if self.kind == "IVF":
+            return ivf_search(rows, self.centroids, queries, k, nprobe)
+        return ivfpq_search(rows, self.centroids, self.codebooks, queries, k, nprobe)
 
     def add(self, emb: DataFrame) -> None:
         """Append vectors, assigned to the existing lists (the index is not trained again)."""

@@ -156,6 +156,6 @@ def test_codes_are_looked_up():
         names=["id", "cluster_id", "code"],
     )
     members = {3: np.array([0])}
-    scan = scan_codes(tables, {3: np.array([0.25])}, pa.array([0]), 5, by_value("cluster_id", members))
+    scan = scan_codes(tables, {3: (np.array([0]), np.array([0.25]))}, pa.array([0]), 5, by_value("cluster_id", members))
     got = {i: round(d, 6) for _, i, d in collect(scan([batch]))}
     assert got == {5: round(1 - 0.85, 6), 6: round(1 - 0.45, 6)}
