@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import l2_norm, l2_normalize
 from .cells import QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_table, score_exactly, search_cells
-from .kernel import by_value, scan_vectors
+from .kernel import Marks, Split, by_value, by_value_and_flag, count_closer, scan_vectors
 from .nearest import QueryBatch, search_in_passes
 from .topk import top_k
 
@@ -176,13 +176,27 @@ def prune_lists(lists: DataFrame, members: dict[int, np.ndarray], n_lists: int)
     return lists.filter(F.col("cluster_id").isin(sorted(members)))
 
 
-def ivf_pass(lists: DataFrame, centroids: np.ndarray, batch: QueryBatch, k: int, nprobe: int) -> DataFrame:
+def list_split(members: dict[int, np.ndarray], flags: dict[str, np.ndarray] | None) -> Split:
+    """Rows meet the queries that probe their list and, with ``flags``, use a filter that they satisfy."""
+    return by_value("cluster_id", members) if flags is None else by_value_and_flag("cluster_id", members, flags)
+
+
+def ivf_pass(
+    lists: DataFrame, centroids: np.ndarray, batch: QueryBatch, k: int, nprobe: int, flags: dict[str, np.ndarray] | None = None
+) -> DataFrame:
     members = probe_lists(batch, centroids, nprobe)
-    rows = prune_lists(lists, members, len(centroids)).select("id", "embedding", "cluster_id")
-    scan = scan_vectors(batch.vectors, batch.qids, k, by_value("cluster_id", members))
+    rows = prune_lists(lists, members, len(centroids)).select("id", "embedding", "cluster_id", *(flags or ()))
+    scan = scan_vectors(batch.vectors, batch.qids, k, list_split(members, flags))
     return top_k(rows.mapInArrow(scan, batch.result_schema()), k)
 
 
+def ivf_counts(lists: DataFrame, centroids: np.ndarray, batch: QueryBatch, marks: Marks, nprobe: int) -> DataFrame:
+    """Partial counts of the rows in the probed lists that come before each mark."""
+    members = probe_lists(batch, centroids, nprobe)
+    rows = prune_lists(lists, members, len(centroids)).select("id", "embedding", "cluster_id")
+    return rows.mapInArrow(count_closer(batch.vectors, batch.qids, marks, by_value("cluster_id", members)), batch.count_schema())
+
+
 def ivf_cells(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """The same for a table of queries of any size, in one pass."""
     probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))

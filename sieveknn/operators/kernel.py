@@ -117,6 +117,24 @@ def by_flag(columns: dict[str, np.ndarray]) -> Split:
     return split
 
 
+def by_value_and_flag(column: str, members: dict[int, np.ndarray], flags: dict[str, np.ndarray]) -> Split:
+    """Both: a row meets the queries listed for its value that also use a flag which is true for it."""
+    both = {
+        value: {flag: np.intersect1d(queries, using, assume_unique=True) for flag, using in flags.items()} for value, queries in members.items()
+    }
+
+    def split(batch: pa.RecordBatch):
+        values = batch.column(column).to_numpy(zero_copy_only=False)
+        marked = {flag: batch.column(flag).to_numpy(zero_copy_only=False).astype(bool) for flag in flags}
+        for value in np.unique(values):
+            for flag, queries in both.get(int(value), {}).items():
+                rows = np.flatnonzero((values == value) & marked[flag])
+                if len(rows) and len(queries):
+                    yield rows, queries
+
+    return split
+
+
 def scan_vectors(queries: np.ndarray, qids: pa.Array, k: int, split: Split):
     """A ``mapInArrow`` function: k nearest by cosine distance per query among a task's vectors.
 
@@ -272,61 +290,109 @@ def scan_scores(n_queries: int, qids: pa.Array, k: int, split: Split):
     return scan
 
 
-def count_closer(queries: np.ndarray, qids: pa.Array, marks: list[tuple[np.ndarray, np.ndarray]]):
-    """A ``mapInArrow`` function: how many rows come before each mark, ``(qid, mark, n)``.
+Marks = list[tuple[np.ndarray, np.ndarray]]
+
+
+class Tally:
+    """How many rows come before each mark of each query.
 
     ``marks[q]`` are a query's ``(distances, ids)`` in order; a row comes before a mark if its
-    distance is smaller, or equal with a smaller id.  Float32 products settle the rows that are
-    clearly between two marks, the others are scored exactly.
+    distance is smaller, or equal with a smaller id.
+    """
+
+    def __init__(self, marks: Marks):
+        self.marks = marks
+        # landed[q][j]: rows that come before mark j but not before mark j - 1
+        self.landed = [np.zeros(len(distances) + 1, dtype=np.int64) for distances, _ in marks]
+
+    def add(self, query: int, passed: np.ndarray) -> None:
+        """``passed``: for each row the number of marks that it does not come before."""
+        self.landed[query] += np.bincount(passed, minlength=len(self.landed[query]))
+
+    def passed(self, query: int, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        distances, mark_ids = self.marks[query]
+        low, high = np.searchsorted(distances, own), np.searchsorted(distances, own, side="right")
+        # among the marks at its own distance, a row comes before those with a larger id
+        for row in np.flatnonzero(low < high):
+            low[row] += np.searchsorted(mark_ids[low[row] : high[row]], ids[row], side="right")
+        return low
+
+    def batches(self, qids: pa.Array) -> Iterator[pa.RecordBatch]:
+        for query, counts in enumerate(self.landed):
+            places = len(counts) - 1
+            if places:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        qids.take(pa.array(np.full(places, query))),
+                        pa.array(np.arange(places, dtype=np.int32)),
+                        pa.array(np.cumsum(counts)[:-1]),
+                    ],
+                    names=["qid", "mark", "n"],
+                )
+
+
+def count_closer(queries: np.ndarray, qids: pa.Array, marks: Marks, split: Split | None = None):
+    """A ``mapInArrow`` function: how many rows come before each mark, ``(qid, mark, n)``.
+
+    Float32 products settle the rows that are clearly between two marks, the others are scored exactly.
     """
     n_queries, width = queries.shape
+    split = everything(n_queries) if split is None else split
     lengths = np.sqrt(np.einsum("qd,qd->q", queries, queries))
     unit_queries = queries / np.where(lengths == 0, 1.0, lengths)[:, None]
     coarse_queries = unit_queries.astype(np.float32)
     slack = (width + 8) * 2.4e-7
 
-    def passed_exactly(vectors: np.ndarray, ids: np.ndarray, query: int) -> np.ndarray:
-        """Number of marks that each row does not come before."""
-        distances, mark_ids = marks[query]
+    def exact_distances(vectors: np.ndarray, query: int) -> np.ndarray:
         rows = vectors.astype(np.float64)
         norms = np.sqrt(np.einsum("nd,nd->n", rows, rows))
         norms[norms == 0] = 1.0
-        own = settle(1.0 - np.einsum("nd,d->n", rows, unit_queries[query]) / norms)[:, None]
-        before = (own < distances) | ((own == distances) & (ids[:, None] < mark_ids))
-        return len(distances) - before.sum(axis=1)
+        return settle(1.0 - np.einsum("nd,d->n", rows, unit_queries[query]) / norms)
+
+    def count(tally: Tally, vectors: np.ndarray, ids: np.ndarray, members: np.ndarray) -> None:
+        norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+        odd = ~((norms > 1e-15) & (norms < 1e15))
+        norms[odd] = 1.0
+        for start in range(0, len(members), QUERY_BLOCK):
+            block = members[start : start + QUERY_BLOCK]
+            coarse = vectors @ coarse_queries[block].T / norms[:, None]
+            for column, query in enumerate(block.tolist()):
+                distances = tally.marks[query][0]
+                own = 1.0 - coarse[:, column].astype(np.float64)
+                passed = np.searchsorted(distances, own - slack)
+                unclear = np.flatnonzero((passed != np.searchsorted(distances, own + slack)) | odd)
+                if len(unclear):
+                    passed[unclear] = tally.passed(query, exact_distances(vectors[unclear], query), ids[unclear])
+                tally.add(query, passed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # landed[q][j]: rows that come before mark j but not before mark j - 1
-        landed = [np.zeros(len(distances) + 1, dtype=np.int64) for distances, _ in marks]
+        tally = Tally(marks)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             column = batch.column("embedding")
             vectors = list_column_to_matrix(column, width, own_type(column))
-            norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
-            odd = ~((norms > 1e-15) & (norms < 1e15))
-            norms[odd] = 1.0
-            for start in range(0, n_queries, QUERY_BLOCK):
-                coarse = vectors @ coarse_queries[start : start + QUERY_BLOCK].T / norms[:, None]
-                for query in range(start, min(start + QUERY_BLOCK, n_queries)):
-                    distances = marks[query][0]
-                    own = 1.0 - coarse[:, query - start].astype(np.float64)
-                    passed = np.searchsorted(distances, own - slack)
-                    unclear = np.flatnonzero((passed != np.searchsorted(distances, own + slack)) | odd)
-                    if len(unclear):
-                        passed[unclear] = passed_exactly(vectors[unclear], ids[unclear], query)
-                    landed[query] += np.bincount(passed, minlength=len(distances) + 1)
-        for query, counts in enumerate(landed):
-            places = len(counts) - 1
-            if places:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        qids.take(pa.array(np.full(places, query))),
-                        pa.array(np.arange(places, dtype=np.int32)),
-                        pa.array(np.cumsum(counts)[:-1]),
-                    ],
-                    names=["qid", "mark", "n"],
-                )
+            for rows, members in split(batch):
+                if rows is None:
+                    count(tally, vectors, ids, members)
+                else:
+                    count(tally, vectors[rows], ids[rows], members)
+        yield from tally.batches(qids)
+
+    return scan
+
+
+def count_closer_codes(tables: np.ndarray, bases: Bases, qids: pa.Array, marks: Marks, split: Split):
+    """The same among product codes, by looked-up distances."""
+    distances = code_distances(tables, bases, split)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(marks)
+        for batch in batches:
+            if batch.num_rows:
+                for query, found, ids in distances(batch):
+                    tally.add(query, tally.passed(query, found, ids))
+        yield from tally.batches(qids)
 
     return scan

@@ -49,6 +49,10 @@ class QueryBatch:
             ]
         )
 
+    def count_schema(self) -> T.StructType:
+        fields = [("mark", T.IntegerType()), ("n", T.LongType())]
+        return T.StructType([T.StructField("qid", self.qid_type), *[T.StructField(name, kind) for name, kind in fields]])
+
 
 def _pass_limit(width: int, k: int, query_bytes: int) -> int:
     """Queries of one pass: bounded by their vectors, their running results and what else each brings."""

@@ -18,6 +18,7 @@ from .cells import LOOKUP_BYTES, QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe
 from .ivf import (
     NPROBE,
     ZERO_CLUSTER,
+    list_split,
     lists_and_zero,
     nearest_centroid,
     probe_lists,
@@ -26,7 +27,7 @@ from .ivf import (
     to_matrix,
     unit_rows,
 )
-from .kernel import by_value, scan_codes
+from .kernel import Marks, by_value, count_closer_codes, scan_codes
 from .nearest import QueryBatch, search_in_passes
 from .topk import top_k
 
@@ -152,15 +153,32 @@ def lookup_bytes(codebooks: np.ndarray) -> int:
 
 
 def ivfpq_pass(
-    codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, batch: QueryBatch, k: int, nprobe: int
+    codes: DataFrame,
+    centroids: np.ndarray,
+    codebooks: np.ndarray,
+    batch: QueryBatch,
+    k: int,
+    nprobe: int,
+    flags: dict[str, np.ndarray] | None = None,
 ) -> DataFrame:
     members = probe_lists(batch, centroids, nprobe)
     tables, bases = lookup_tables(batch, members, centroids, codebooks)
-    rows = prune_lists(codes, members, len(centroids)).select("id", "cluster_id", "code")
-    scan = scan_codes(tables, bases, batch.qids, k, by_value("cluster_id", members))
+    rows = prune_lists(codes, members, len(centroids)).select("id", "cluster_id", "code", *(flags or ()))
+    scan = scan_codes(tables, bases, batch.qids, k, list_split(members, flags))
     return top_k(rows.mapInArrow(scan, batch.result_schema()), k)
 
 
+def ivfpq_counts(
+    codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, batch: QueryBatch, marks: Marks, nprobe: int
+) -> DataFrame:
+    """Partial counts of the rows in the probed lists that come before each mark, by looked-up distances."""
+    members = probe_lists(batch, centroids, nprobe)
+    tables, bases = lookup_tables(batch, members, centroids, codebooks)
+    rows = prune_lists(codes, members, len(centroids)).select("id", "cluster_id", "code")
+    scan = count_closer_codes(tables, bases, batch.qids, marks, by_value("cluster_id", members))
+    return rows.mapInArrow(scan, batch.count_schema())
+
+
 def ivfpq_cells(codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """The same for a table of queries of any size, in one pass; a cell builds the lookup tables of its queries."""
     probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))

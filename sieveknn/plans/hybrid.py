@@ -6,20 +6,21 @@ that ``emb`` carries the attributes itself and no join is needed.  Hits are ``(q
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.vectors import cosine_distance
-from ..operators.filters import MAX_BROADCAST_ROWS, bounded_broadcast, count_matches, filter_where
+from ..operators.filters import bounded_broadcast, filter_where
+from ..operators.idsets import Matches, as_condition, fits_broadcast, id_bitmaps, measure, together, with_flags
 from ..operators.ivf import NPROBE
-from ..operators.kernel import by_flag, count_closer, scan_scores, scan_vectors, score_rows
+from ..operators.kernel import Marks, by_flag, count_closer, scan_scores, scan_vectors, score_rows
 from ..operators.nearest import QueryBatch, empty_hits, search_in_passes
 from ..operators.topk import top_k
 from .index import VectorIndex
@@ -29,7 +30,7 @@ OVERSAMPLE = 2000
 SELECTIVITY_THRESHOLD = 0.08
 EVALUATION_THRESHOLD = 0.1
 NONE, PRE, POST = "none", "pre-filtering", "post-filtering"
-# Matching ids that a pre-filter may write into the plan of the vector scan.
+# Matching ids that a pre-filter may write into the plan of the vector scan, as a hint.
 MAX_LISTED_IDS = 1000
 # Clauses whose flags are computed in one scan of the metadata.
 CLAUSES_PER_SCAN = 32
@@ -72,84 +73,87 @@ def _watched(df: DataFrame, counters: WorkCounters | None, stage: str) -> DataFr
 
 def _search_flagged(
     emb: DataFrame,
-    flagged: DataFrame | None,
-    n_flagged: int,
+    sets: DataFrame | None,
+    matches: Matches | None,
     flags: dict[str, np.ndarray],
     batch: QueryBatch,
     k: int,
-    colocated: bool,
     counters: WorkCounters | None = None,
 ) -> DataFrame:
-    """Exact search of the rows of ``flagged (id, <boolean flags>)``; each flag serves some queries.
+    """Exact search of the rows in ``sets (bucket, <bitmaps>)``; each set serves some queries.
 
-    Three ways to bring flags and vectors together, by size:
-    a bounded flag table is broadcast and the vectors are only scanned;
-    tables stored bucketed by id (``colocated``) join where they are;
-    otherwise distances are computed before the join, if a row of distances is smaller than a
-    vector, so that the shuffle moves a few numbers per row and not the vectors.
+    The vectors are only scanned where the bitmaps can be broadcast (a billion neighbouring ids); beyond that distances
+    are computed before rows are dealt by bucket, if a row of distances is smaller than a vector.
+    Without ``sets`` the rows carry boolean columns themselves.
     """
     vectors = emb.filter(F.col("embedding").isNotNull())
-    schema = batch.result_schema()
-    split = by_flag(flags)
-
-    def matched(rows: DataFrame) -> DataFrame:
-        """Rows with their flags; ids that the metadata repeats match once."""
-        side = F.broadcast(flagged) if small else flagged
-        if len(flagged.columns) > 2:
-            return rows.join(side, "id")
-        return rows.join(side, "id", "left_semi").withColumn(flagged.columns[1], F.lit(True))
-
-    names = list(flags)
-    small = n_flagged <= MAX_BROADCAST_ROWS
-    if flagged is None or small or colocated or 8 * len(batch) >= _vector_bytes(batch):
-        if flagged is not None:
-            vectors = matched(vectors)
+    schema, names, split = batch.result_schema(), list(flags), by_flag(flags)
+    if sets is None or fits_broadcast(matches, len(sets.columns) - 1) or 8 * len(batch) >= _vector_bytes(batch):
+        if sets is not None:
+            vectors = with_flags(vectors, sets, matches)
         rows = _watched(vectors, counters, "scored").select("id", "embedding", *names)
         return rows.mapInArrow(scan_vectors(batch.vectors, batch.qids, k, split), schema)
     rows = _watched(vectors, counters, "scored").select("id", "embedding")
     rows = rows.mapInArrow(score_rows(batch.vectors), "id bigint, dists array<double>")
-    rows = matched(rows).select("id", "dists", *names)
+    rows = with_flags(rows, sets, matches).select("id", "dists", *names)
     return rows.mapInArrow(scan_scores(len(batch), batch.qids, k, split), schema)
 
 
+def _join_by_id(emb: DataFrame, meta: DataFrame, clauses: Sequence[str | Column]) -> DataFrame:
+    """Vectors with their flags where both tables are bucketed by id: the join needs no bitmaps and moves nothing."""
+    names = [f"f{i}" for i in range(len(clauses))]
+    flags = [F.coalesce(as_condition(clause), F.lit(False)).alias(name) for name, clause in zip(names, clauses, strict=True)]
+    matching = meta.select("id", *flags).filter(F.greatest(*names, F.lit(False)))
+    once = matching.groupBy("id").agg(*[F.bool_or(name).alias(name) for name in names])
+    return emb.select("id", "embedding").join(once, "id")
+
+
 def search_prefilter(
     emb: DataFrame,
     meta: DataFrame | None,
     queries: DataFrame,
     where: str | Column,
     k: int = 10,
-    n_filtered: int | None = None,
+    matches: Matches | None = None,
     colocated: bool = False,
     counters: WorkCounters | None = None,
 ) -> DataFrame:
     """H1 (and H6): filter, then exact top-k of the survivors.  The ground truth for recall.
 
-    ``n_filtered`` is the number of matching rows if the caller knows it; otherwise one scan of the
-    metadata counts them, because the size decides how vectors and survivors meet: a short list of
-    ids becomes a filter of the vector scan, longer ones are joined.
+    Matches meet the vectors as bitmaps, whatever their number.  ``matches`` is what ``measure`` says of the
+    clause, if the caller knows it; the least and greatest matching id bound the scan, and of few matches the ids
+    themselves do, which lets it skip buckets and row groups.
     """
-    if n_filtered is None and meta is not None:
-        n_filtered = count_matches(meta, [where])[1][0]
     if meta is None:
         vectors = _watched(emb.filter(where), counters, "filtered").select("id", "embedding", F.lit(True).alias("f0"))
-        ids = None
+        sets = None
     else:
-        if n_filtered == 0 and counters is None:
+        matches = measure(meta, [where])[0] if matches is None else matches
+        if matches.n_filtered == 0 and counters is None:
             return empty_hits(queries)
-        vectors = emb.select("id", "embedding")
-        ids = _watched(filter_where(meta, where), counters, "filtered").select("id", F.lit(True).alias("f0"))
-        if 0 < n_filtered <= MAX_LISTED_IDS:
-            # a constant list skips buckets and row groups when the scan is planned; a join reads them all
-            listed = ", ".join(str(row.id) for row in ids.select("id").collect())
-            vectors, ids = vectors.filter(f"id IN ({listed})").withColumn("f0", F.lit(True)), None
+        vectors, sets = emb.select("id", "embedding"), None
+        if colocated:
+            vectors = _join_by_id(vectors, meta, [where])
+        else:
+            matching = _watched(meta.filter(where), counters, "filtered")
+            sets = id_bitmaps(matching, [F.lit(True)])
+            vectors = _only_listed(vectors, meta, where, matches)
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        flags = {"f0": np.arange(len(batch))}
-        return top_k(_search_flagged(vectors, ids, n_filtered or 0, flags, batch, k, colocated, counters), k)
+        return top_k(_search_flagged(vectors, sets, matches, {"f0": np.arange(len(batch))}, batch, k, counters), k)
 
     return _watched(search_in_passes(queries, k, one_pass), counters, "returned")
 
 
+def _only_listed(vectors: DataFrame, meta: DataFrame, where: str | Column, matches: Matches) -> DataFrame:
+    """A hint for the scan of a few matches: a constant list of ids skips what a join would read. The bitmaps decide."""
+    if not 0 < matches.n_filtered <= MAX_LISTED_IDS:
+        return vectors
+    ids = filter_where(meta, where).filter(F.col("id").isNotNull()).distinct().collect()
+    listed = ", ".join(str(row.id) for row in ids)
+    return vectors.filter(f"id IN ({listed})" if listed else "false")
+
+
 def filter_candidates(cands: DataFrame, ids: DataFrame, k: int, max_rows: int | None = None) -> DataFrame:
     """H4: of each query's candidates, the first k whose id is among ``ids``.
 
@@ -167,6 +171,8 @@ def search_postfilter(
     where: str | Column,
     k: int = 10,
     oversample: int = OVERSAMPLE,
+    matches: Matches | None = None,
+    counters: WorkCounters | None = None,
 ) -> DataFrame:
     """H2: exact ``oversample * k`` nearest of everything, then the first k that pass the filter.
 
@@ -175,49 +181,41 @@ def search_postfilter(
     candidates, and that rank is a count, so k rows and k counts per query leave each task.
     """
     meta = emb if meta is None else meta
-    ids = filter_where(meta, where)
     wanted = oversample * k
-    n_filtered = count_matches(meta, [where])[1][0]
+    matches = measure(meta, [where])[0] if matches is None else matches
+    if matches.n_filtered == 0 and counters is None:
+        return empty_hits(queries)
+    sets = id_bitmaps(_watched(meta.filter(where), counters, "filtered"), [F.lit(True)])
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        hits = _search_flagged(
-            emb.select("id", "embedding"),
-            ids.select("id", F.lit(True).alias("f0")),
-            n_filtered,
-            {"f0": np.arange(len(batch))},
-            batch,
-            k,
-            colocated=False,
-        )
-        return keep_within(top_k(hits, k), emb, batch, wanted)
+        flags = {"f0": np.arange(len(batch))}
+        hits = _search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k, counters)
+        return keep_within(top_k(hits, k), batch, wanted, _count_all(emb, batch))
+
+    return _watched(search_in_passes(queries, k, one_pass), counters, "returned")
 
-    return search_in_passes(queries, k, one_pass)
+
+def _count_all(emb: DataFrame, batch: QueryBatch) -> Callable[[Marks], DataFrame]:
+    rows = emb.filter(F.col("embedding").isNotNull()).select("id", "embedding")
+    return lambda marks: rows.mapInArrow(count_closer(batch.vectors, batch.qids, marks), batch.count_schema())
 
 
-def keep_within(hits: DataFrame, emb: DataFrame, batch: QueryBatch, wanted: int) -> DataFrame:
-    """The hits that are among the ``wanted`` nearest of all vectors to their query.
+def keep_within(hits: DataFrame, batch: QueryBatch, wanted: int, count: Callable[[Marks], DataFrame]) -> DataFrame:
+    """The hits that are among the ``wanted`` nearest of the rows that ``count`` reads.
 
-    At most k hits per query of one pass go to the driver and back as marks; one scan of the vectors
-    counts the rows before each mark, and only those counts are shuffled.
+    The hits of a pass are bounded as the pass is (``RESULT_BYTES_PER_PASS``); they reach the tasks as arrays, the rows
+    before each are counted there, and only those counts are shuffled.
     """
-    spark = emb.sparkSession
-    found = hits.orderBy("qid", "rank").toArrow()
-    of_query: dict = {qid: ([], []) for qid in batch.qids.to_pylist()}
-    for qid, hit, distance in zip(*(found.column(c).to_pylist() for c in ("qid", "id", "dist")), strict=True):
-        of_query[qid][0].append(distance)
-        of_query[qid][1].append(hit)
-    marks = [(np.array(distances, float), np.array(ids, np.int64)) for distances, ids in of_query.values()]
-    schema = T.StructType(
-        [
-            T.StructField("qid", batch.qid_type),
-            T.StructField("mark", T.IntegerType()),
-            T.StructField("n", T.LongType()),
-        ]
-    )
-    rows = emb.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    counts = rows.mapInArrow(count_closer(batch.vectors, batch.qids, marks), schema).groupBy("qid", "mark")
-    near = counts.agg(F.sum("n").alias("n")).filter(F.col("n") < wanted).select("qid", (F.col("mark") + 1).alias("rank"))
-    return spark.createDataFrame(found).join(near, ["qid", "rank"]).select("qid", "rank", "id", "dist")
+    found = hits.orderBy("qid", "rank").toArrow().combine_chunks()
+    distances, ids = (found.column(c).to_numpy() for c in ("dist", "id"))
+    # the rows of each query stand together, in order of its qid; a query without hits has no marks
+    place = pc.index_in(found.column("qid"), batch.qids).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(1, len(batch)))
+    marks = list(zip(np.split(distances[order], cuts), np.split(ids[order], cuts), strict=True))
+    counts = count(marks).groupBy("qid", "mark").agg(F.sum("n").alias("n"))
+    near = counts.filter(F.col("n") < wanted).select("qid", (F.col("mark") + 1).alias("rank"))
+    return hits.sparkSession.createDataFrame(found).join(near, ["qid", "rank"]).select("qid", "rank", "id", "dist")
 
 
 def choose_strategy(n_filtered: int, n_total: int, threshold: float = SELECTIVITY_THRESHOLD) -> str:
@@ -237,26 +235,56 @@ def search_ann_postfilter(
     nprobe: int = NPROBE,
     oversample: int = OVERSAMPLE,
     rerank: bool = False,
+    matches: Matches | None = None,
+    counters: WorkCounters | None = None,
 ) -> DataFrame:
     """H5: ``min(oversample * k, N)`` candidates from the index, then the first k that pass.
 
-    An IVFPQ index returns approximate distances; ``rerank=True`` recomputes them exactly for the
-    candidates before the cut to k.
+    As in the exact post-filter, no candidates are collected: the hits are the nearest matching rows of the probed lists
+    whose rank among all rows there is within the candidates.  An IVFPQ index returns approximate distances;
+    ``rerank=True`` recomputes them exactly for the candidates before the cut to k, and needs these for it.
     """
     spark = queries.sparkSession
     meta = emb if meta is None else meta
     wanted = min(oversample * k, index.n)
-    ids = filter_where(meta, where)
+    if rerank and not index.exact:
+        ids = filter_where(meta, where)
 
-    def one_pass(batch: QueryBatch) -> DataFrame:
-        cands = index.search_pass(spark, batch, wanted, nprobe)
-        if rerank and not index.exact:
+        def reranked(batch: QueryBatch) -> DataFrame:
+            cands = index.search_pass(spark, batch, wanted, nprobe)
             vectors = pa.array(list(batch.vectors), pa.list_(pa.float64()))
             part = spark.createDataFrame(pa.table({"qid": batch.qids, "qvec": vectors}))
             cands = rerank_exact(cands, emb, part, len(batch) * wanted)
-        return filter_candidates(cands, ids, k, len(batch) * wanted)
+            return filter_candidates(cands, ids, k, len(batch) * wanted)
+
+        return search_in_passes(queries, wanted, reranked, query_bytes=index.query_bytes)
+    matches = measure(meta, [where])[0] if matches is None else matches
+    if matches.n_filtered == 0 and counters is None:
+        return empty_hits(queries)
+    sets = id_bitmaps(_watched(meta.filter(where), counters, "filtered"), [F.lit(True)])
+    flagged = _watched(with_flags(index.rows(spark), sets, matches), counters, "scored")
+
+    def one_pass(batch: QueryBatch) -> DataFrame:
+        return _index_hits(index, spark, flagged, {"f0": np.arange(len(batch))}, batch, k, nprobe, wanted)
 
-    return search_in_passes(queries, wanted, one_pass)
+    return _watched(search_in_passes(queries, k, one_pass, query_bytes=index.query_bytes), counters, "returned")
+
+
+def _index_hits(
+    index: VectorIndex,
+    spark: SparkSession,
+    flagged: DataFrame,
+    flags: dict[str, np.ndarray],
+    batch: QueryBatch,
+    k: int,
+    nprobe: int,
+    wanted: int,
+) -> DataFrame:
+    """The k nearest flagged rows of the probed lists that are among the ``wanted`` nearest rows there."""
+    hits = index.search_pass(spark, batch, k, nprobe, flagged, flags)
+    if wanted >= index.n:  # every row of the lists is a candidate
+        return hits
+    return keep_within(hits, batch, wanted, lambda marks: index.count_pass(spark, batch, marks, nprobe))
 
 
 def rerank_exact(cands: DataFrame, emb: DataFrame, queries: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -273,10 +301,17 @@ def rerank_exact(cands: DataFrame, emb: DataFrame, queries: DataFrame, max_rows:
 class Plan:
     """What the adaptive search decided for one clause."""
 
-    n_total: int
-    n_filtered: int
+    matches: Matches
     strategy: str
 
+    @property
+    def n_total(self) -> int:
+        return self.matches.n_total
+
+    @property
+    def n_filtered(self) -> int:
+        return self.matches.n_filtered
+
     @property
     def selectivity(self) -> float:
         return self.n_filtered / self.n_total if self.n_total else 0.0
@@ -287,9 +322,8 @@ def plan_clauses(meta: DataFrame, clauses: Sequence[str], threshold: float = SEL
     plans: dict[str, Plan] = {}
     for start in range(0, len(clauses), CLAUSES_PER_SCAN):
         group = list(clauses[start : start + CLAUSES_PER_SCAN])
-        total, counts = count_matches(meta, group)
-        for clause, count in zip(group, counts, strict=True):
-            plans[clause] = Plan(total, count, choose_strategy(count, total, threshold))
+        for clause, found in zip(group, measure(meta, group), strict=True):
+            plans[clause] = Plan(found, choose_strategy(found.n_filtered, found.n_total, threshold))
     return plans
 
 
@@ -318,29 +352,21 @@ def search_hybrid(
     rerank: bool = False,
     plan: Plan | None = None,
     colocated: bool = False,
+    counters: WorkCounters | None = None,
 ) -> DataFrame:
     """H3: adaptive search.  One count decides between pre-filter and candidates from the index.
 
     Without an index the broad branch searches all vectors exactly, like a flat index.
     """
     plan = plan_clauses(emb if meta is None else meta, [where], threshold)[where] if plan is None else plan
-    if plan.strategy == NONE:
+    if plan.strategy == NONE and counters is None:
         return empty_hits(queries)
-    if plan.strategy == PRE:
-        return search_prefilter(emb, meta, queries, where, k, plan.n_filtered, colocated)
+    if plan.strategy in (NONE, PRE):
+        return search_prefilter(emb, meta, queries, where, k, plan.matches, colocated, counters)
     if index is None:
-        return search_postfilter(emb, meta, queries, where, k, min(oversample, -(-plan.n_total // k)))
-    return search_ann_postfilter(index, emb, meta, queries, where, k, nprobe, oversample, rerank)
-
-
-def _flag_table(meta: DataFrame, clauses: Sequence[str]) -> DataFrame:
-    """``(id, f0, f1, ...)`` of the rows matching any clause, from one scan."""
-    flags = [F.coalesce(F.expr(clause), F.lit(False)).alias(f"f{i}") for i, clause in enumerate(clauses)]
-    any_flag = F.greatest(*[F.col(f"f{i}") for i in range(len(clauses))], F.lit(False))
-    matching = meta.select("id", *flags).filter(any_flag)
-    if len(clauses) == 1:
-        return matching
-    return matching.groupBy("id").agg(*[F.bool_or(f"f{i}").alias(f"f{i}") for i in range(len(clauses))])
+        most = min(oversample, -(-plan.n_total // k))
+        return search_postfilter(emb, meta, queries, where, k, most, plan.matches, counters)
+    return search_ann_postfilter(index, emb, meta, queries, where, k, nprobe, oversample, rerank, plan.matches, counters)
 
 
 def _by_clause(batch: QueryBatch, clauses: Sequence[str]) -> dict[str, np.ndarray]:
@@ -379,14 +405,14 @@ def run_workloads(
     last = [c for c in clauses if plans[c].n_filtered and (chosen or plans[c].strategy) == POST]
     hits = empty_hits(workloads)
     for group in _groups(first):
-        bound = sum(plans[c].n_filtered for c in group)
-        hits = hits.unionAll(_pre_group(emb, meta, _using(workloads, group), group, bound, k, colocated))
+        matches = together([plans[c].matches for c in group])
+        hits = hits.unionAll(_pre_group(emb, meta, _using(workloads, group), group, matches, k, colocated))
     for group in _groups(last):
-        bound = sum(plans[c].n_filtered for c in group)
+        matches = together([plans[c].matches for c in group])
         wanted = min(oversample * k, plans[group[0]].n_total)
         used_index = index if strategy == "hybrid" else None
         mine = _using(workloads, group)
-        hits = hits.unionAll(_post_group(emb, meta, mine, group, bound, wanted, k, used_index, nprobe))
+        hits = hits.unionAll(_post_group(emb, meta, mine, group, matches, wanted, k, used_index, nprobe))
     return hits
 
 
@@ -399,14 +425,13 @@ def _using(workloads: DataFrame, clauses: list[str]) -> DataFrame:
 
 
 def _pre_group(
-    emb: DataFrame, meta: DataFrame, queries: DataFrame, clauses: list[str], bound: int, k: int, colocated: bool
+    emb: DataFrame, meta: DataFrame, queries: DataFrame, clauses: list[str], matches: Matches, k: int, colocated: bool
 ) -> DataFrame:
-    flagged = _flag_table(meta, clauses)
-    vectors = emb.select("id", "embedding")
+    vectors = _join_by_id(emb, meta, clauses) if colocated else emb.select("id", "embedding")
+    sets = None if colocated else id_bitmaps(meta, clauses)
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        flags = _by_clause(batch, clauses)
-        return top_k(_search_flagged(vectors, flagged, bound, flags, batch, k, colocated), k)
+        return top_k(_search_flagged(vectors, sets, matches, _by_clause(batch, clauses), batch, k), k)
 
     return search_in_passes(queries, k, one_pass, clause="where_sql")
 
@@ -416,27 +441,22 @@ def _post_group(
     meta: DataFrame,
     queries: DataFrame,
     clauses: list[str],
-    n_flagged: int,
+    matches: Matches,
     wanted: int,
     k: int,
     index: VectorIndex | None,
     nprobe: int,
 ) -> DataFrame:
     spark = queries.sparkSession
-    flagged = _flag_table(meta, clauses)
-    flags = F.array(*[F.col(f"f{i}") for i in range(len(clauses))])
+    sets = id_bitmaps(meta, clauses)
+    if index is not None:
+        flagged = with_flags(index.rows(spark), sets, matches)
 
     def one_pass(batch: QueryBatch) -> DataFrame:
-        bound = len(batch) * wanted
+        flags = _by_clause(batch, clauses)
         if index is None:
-            by_clause = _by_clause(batch, clauses)
-            hits = _search_flagged(emb.select("id", "embedding"), flagged, n_flagged, by_clause, batch, k, False)
-            return keep_within(top_k(hits, k), emb, batch, wanted)
-        found = index.search_pass(spark, batch, wanted, nprobe)
-        kept = flagged.join(bounded_broadcast(found.select("qid", "id", "dist"), bound), "id")
-        numbers = pa.array([clauses.index(clause) for clause in batch.clauses], pa.int32())
-        own_clause = spark.createDataFrame(pa.table({"qid": batch.qids, "clause": numbers}))
-        kept = kept.join(F.broadcast(own_clause), "qid").filter(F.get(flags, F.col("clause")))
-        return top_k(kept.select("qid", "id", "dist").dropDuplicates(["qid", "id"]), k)
-
-    return search_in_passes(queries, k if index is None else wanted, one_pass, clause="where_sql")
+            hits = _search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k)
+            return keep_within(top_k(hits, k), batch, wanted, _count_all(emb, batch))
+        return _index_hits(index, spark, flagged, flags, batch, k, nprobe, min(wanted, index.n))
+
+    return search_in_passes(queries, k, one_pass, "where_sql", 0 if index is None else index.query_bytes)

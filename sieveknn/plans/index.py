@@ -16,6 +16,7 @@ from ..operators.ivf import (
     NPROBE,
     assign_clusters,
     default_nlist,
+    ivf_counts,
     ivf_pass,
     ivf_search,
     spread,
@@ -23,8 +24,10 @@ from ..operators.ivf import (
     train_sample,
     write_lists,
 )
+from ..operators.kernel import Marks, by_flag, count_closer, everything, scan_vectors
 from ..operators.nearest import QueryBatch, knn_pass, search_in_passes
-from ..operators.pq import choose_m, ivfpq_pass, ivfpq_search, pq_encode, train_pq
+from ..operators.pq import choose_m, ivfpq_counts, ivfpq_pass, ivfpq_search, lookup_bytes, pq_encode, train_pq
+from ..operators.topk import top_k
 
 KINDS = ("Flat", "IVF", "IVFPQ")
 VERSION_SCHEMA = (
@@ -67,13 +70,38 @@ class VectorIndex:
             self._rows = spark.read.schema(ROW_SCHEMAS[self.kind]).parquet(f"{self.path}/rows")
         return self._rows
 
-    def search_pass(self, spark: SparkSession, batch: QueryBatch, k: int, nprobe: int = NPROBE) -> DataFrame:
+    def search_pass(
+        self,
+        spark: SparkSession,
+        batch: QueryBatch,
+        k: int,
+        nprobe: int = NPROBE,
+        rows: DataFrame | None = None,
+        flags: dict[str, np.ndarray] | None = None,
+    ) -> DataFrame:
+        """The k nearest of one pass; ``rows`` with boolean columns named in ``flags`` take the place of all stored rows."""
+        rows = self.rows(spark) if rows is None else rows
+        if self.kind == "Flat":
+            split = everything(len(batch)) if flags is None else by_flag(flags)
+            found = rows.select("id", "embedding", *(flags or ())).mapInArrow(scan_vectors(batch.vectors, batch.qids, k, split), batch.result_schema())
+            return top_k(found, k)
+        if self.kind == "IVF":
+            return ivf_pass(rows, self.centroids, batch, k, nprobe, flags)
+        return ivfpq_pass(rows, self.centroids, self.codebooks, batch, k, nprobe, flags)
+
+    def count_pass(self, spark: SparkSession, batch: QueryBatch, marks: Marks, nprobe: int = NPROBE) -> DataFrame:
+        """Partial counts ``(qid, mark, n)`` of the rows that a search would read and that come before each mark."""
         rows = self.rows(spark)
         if self.kind == "Flat":
-            return knn_pass(rows, batch, k)
+            return rows.select("id", "embedding").mapInArrow(count_closer(batch.vectors, batch.qids, marks), batch.count_schema())
         if self.kind == "IVF":
-            return ivf_pass(rows, self.centroids, batch, k, nprobe)
-        return ivfpq_pass(rows, self.centroids, self.codebooks, batch, k, nprobe)
+            return ivf_counts(rows, self.centroids, batch, marks, nprobe)
+        return ivfpq_counts(rows, self.centroids, self.codebooks, batch, marks, nprobe)
+
+    @property
+    def query_bytes(self) -> int:
+        """What a query needs in every task besides its vector."""
+        return lookup_bytes(self.codebooks) if self.kind == "IVFPQ" else 0
 
     def search(self, queries: DataFrame, k: int, nprobe: int = NPROBE) -> DataFrame:
         """The k nearest found for every query, as ``(qid, rank, id, dist)``; the lists are read once, whatever the number of queries."""

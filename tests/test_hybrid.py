@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveknn import fixtures as fx
-from sieveknn.operators import filters
+from sieveknn.operators import filters, idsets
 from sieveknn.operators.nearest import knn_batch
 from sieveknn.plans import hybrid
+from sieveknn.plans.index import build_or_load
 from sieveknn.sources import write_bucketed
 
 K = 10
@@ -39,6 +40,12 @@ def truth(emb, meta, queries):
     return sorted(hits)
 
 
+@pytest.fixture(scope="module")
+def indexes(spark, emb, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("hybrid"))
+    return {kind: build_or_load(spark, f"{folder}/{kind}", emb, kind, nlist=20, bits=4) for kind in ("Flat", "IVF", "IVFPQ")}
+
+
 def one(queries, qid):
     return queries.filter(F.col("qid") == qid)
 
@@ -70,7 +77,7 @@ def test_every_way_of_joining_agrees(spark, sf_dir, emb, meta, queries, truth, m
     else:
         monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
         if way != "broadcast":
-            monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+            monkeypatch.setattr(idsets, "MAX_BROADCAST_BITMAPS", 0)
         aside = way == "shuffled vectors"
         got = hybrid.search_prefilter(emb, meta, both, where, K, colocated=aside)
         single = hybrid.search_prefilter(emb, meta, one(queries, 4), where, K, colocated=aside)
@@ -91,7 +98,7 @@ def test_selective_filter_skips_buckets(spark, emb, meta, queries, truth):
 
 def test_broad_filter_shuffles_scores_not_vectors(emb, meta, queries, monkeypatch):
     monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
-    monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(idsets, "MAX_BROADCAST_BITMAPS", 0)
     hits = hybrid.search_prefilter(emb, meta, queries, "license is null", K)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     below_first_join = plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin")
@@ -101,7 +108,7 @@ def test_broad_filter_shuffles_scores_not_vectors(emb, meta, queries, monkeypatc
 
 def test_bucketed_tables_need_no_shuffle_of_vectors(spark, emb, meta, queries, monkeypatch):
     monkeypatch.setattr(hybrid, "MAX_LISTED_IDS", 0)
-    monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(idsets, "MAX_BROADCAST_BITMAPS", 0)
     write_bucketed(emb, "hy_emb", 4)
     write_bucketed(meta, "hy_meta", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -135,7 +142,7 @@ def test_many_candidates_are_counted_not_collected(emb, meta, queries, workloads
     where = fx.WORKLOADS[1][2]
     want = sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=oversample).collect())
     together = sorted(hybrid.run_workloads(emb, meta, workloads, K, "postfilter", oversample=oversample).collect())
-    monkeypatch.setattr(hybrid, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(idsets, "MAX_BROADCAST_BITMAPS", 0)
     assert sorted(hybrid.search_postfilter(emb, meta, queries, where, K, oversample=oversample).collect()) == want
     counted = hybrid.run_workloads(emb, meta, workloads, K, "postfilter", oversample=oversample)
     assert sorted(counted.collect()) == together
@@ -151,6 +158,26 @@ def test_large_candidate_set_is_joined_by_shuffle(emb, meta, queries, monkeypatc
     assert sorted(hybrid.filter_candidates(cands, ids, K, 40 * 5).collect()) == want
 
 
+@pytest.mark.parametrize("kind", ["Flat", "IVF", "IVFPQ"])
+@pytest.mark.parametrize("oversample", [1, 3, 60])
+def test_index_hits_are_those_among_the_candidates(spark, emb, meta, workloads, indexes, monkeypatch, kind, oversample):
+    """Counting the rank of each hit gives what fetching all candidates and filtering them would."""
+    index, queries = indexes[kind], workloads.select("qid", "qvec")
+    wanted = min(oversample * K, index.n)
+    cands = index.search(queries, wanted, 5)
+    for where in ("license is null", fx.WORKLOADS[1][2]):
+        want = hybrid.filter_candidates(cands, filters.filter_where(meta, where), K)
+        got = hybrid.search_ann_postfilter(index, emb, meta, queries, where, K, 5, oversample)
+        assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(got.collect()) == sorted(want.collect())
+    together = hybrid.run_workloads(emb, meta, workloads, K, "hybrid", index, 5, 0.0, oversample).collect()
+    monkeypatch.setattr(hybrid, "CLAUSES_PER_SCAN", 2)
+    assert sorted(hybrid.run_workloads(emb, meta, workloads, K, "hybrid", index, 5, 0.0, oversample).collect()) == sorted(together)
+    for qid, _, where in fx.WORKLOADS:
+        alone = hybrid.filter_candidates(cands.filter(F.col("qid") == qid), filters.filter_where(meta, where), K)
+        assert sorted(alone.collect()) == sorted(r for r in together if r.qid == qid)
+
+
 def test_nothing_matches(emb, meta, queries):
     where = "nsfw = 'NOPE'"
     for search in (hybrid.search_prefilter, hybrid.search_postfilter, hybrid.search_hybrid):
@@ -215,6 +242,17 @@ def test_counters(emb, meta, queries):
     assert nothing.as_dict() == {"rows_filtered": 0, "rows_scored": 0, "rows_returned": 0}
 
 
+@pytest.mark.parametrize("strategy", ["postfilter", "hybrid", "index"])
+def test_counters_of_the_other_strategies(emb, meta, queries, indexes, strategy):
+    counters = hybrid.WorkCounters()
+    if strategy == "postfilter":
+        hits = hybrid.search_postfilter(emb, meta, queries, "license is null", K, counters=counters)
+    else:
+        hits = hybrid.search_hybrid(emb, meta, queries, "license is null", K, indexes["IVF"] if strategy == "index" else None, 20, counters=counters)
+    hits.collect()
+    assert counters.as_dict() == {"rows_filtered": 413, "rows_scored": 413, "rows_returned": 50}
+
+
 def test_skewed_copies(spark, queries, emb):
     """A third of the rows are copies of one vector and share one attribute value."""
     base = emb.filter("id < 200").select("id", "embedding")
