@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from sieveknn.functions import (
     cosine_similarity,
     dot,
     encode_bytes,
+    encode_images,
     encode_text,
     encode_workloads,
     l2_norm,
@@ -26,7 +27,7 @@ from sieveknn.functions import (
     query_by_id,
 )
 from sieveknn.operators import filters
-from sieveknn.operators.ivf import assign_clusters, default_nlist, train_ivf, train_sample
+from sieveknn.operators.ivf import NPROBE, assign_clusters, default_nlist, train_ivf, train_sample
 from sieveknn.operators.nearest import knn, knn_batch, rank_all
 from sieveknn.operators.pq import pq_encode
 from sieveknn.plans import evaluate as ev
@@ -114,36 +115,64 @@ def index(spark: SparkSession, sf_dir: str, kind: str) -> VectorIndex:
     return _indexes[key]
 
 
-def only_matches(spark: SparkSession, sf_dir: str, hits: DataFrame, clauses: list[tuple[int, str]]) -> DataFrame:
-    """Whether every hit satisfies its query's clause: what can be said of an approximate search."""
-    meta = fx.metadata(spark, sf_dir)
-    allowed = None
-    for qid, where in clauses:
-        part = filters.filter_where(meta, where).select(F.lit(qid).cast("bigint").alias("qid"), "id")
-        allowed = part if allowed is None else allowed.unionAll(part)
-    wrong = hits.join(allowed, ["qid", "id"], "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    queries = fx.workloads(spark, sf_dir).select("qid")
-    return queries.join(wrong, "qid", "left").select("qid", F.col("n").isNull().alias("all_match"))
-
-
 def own_clauses() -> list[tuple[int, str]]:
     return [(qid, where) for qid, _, where in fx.WORKLOADS]
 
 
-def distances_hold(spark: SparkSession, sf_dir: str, hits: DataFrame, pq: VectorIndex | None = None) -> DataFrame:
-    """Whether each hit's distance is what Spark's array functions make of the stored vector or codes."""
-    queries = only_queries(fx.workloads(spark, sf_dir))
-    if pq is None:
-        rows = hits.join(fx.embeddings(spark, sf_dir), "id").join(queries, "qid")
-        again = cosine_distance("embedding", "qvec")
-    else:
-        rows = hits.join(pq.rows(spark), "id").join(queries, "qid").withColumn("unit", l2_normalize("qvec"))
-        again = 1 - dot("unit", F.get(F.lit(pq.centroids.tolist()), F.col("cluster_id")))
-        width = pq.codebooks.shape[2]
-        for part, words in enumerate(pq.codebooks.tolist()):
-            word = F.get(F.lit(words), F.get("code", F.lit(part)).cast("int"))
-            again = again - dot(F.slice("unit", part * width + 1, width), word)
-    return rows.select("qid", "rank", (F.abs(again - F.col("dist")) < 1e-4).alias("distance_holds"))
+def looked_up(pq: VectorIndex) -> F.Column:
+    """The distance that Spark's array functions make of a unit query and the stored code of a row."""
+    again = 1 - dot("unit", F.get(F.lit(pq.centroids.tolist()), F.col("cluster_id")))
+    width = pq.codebooks.shape[2]
+    for part, words in enumerate(pq.codebooks.tolist()):
+        word = F.get(F.lit(words), F.get("code", F.lit(part)).cast("int"))
+        again = again - dot(F.slice("unit", part * width + 1, width), word)
+    return again
+
+
+def holds(
+    spark: SparkSession,
+    sf_dir: str,
+    hits: DataFrame,
+    used: VectorIndex,
+    nprobe: int | None = None,
+    clauses: list[tuple[int, str]] | None = None,
+    exact: Sequence[int] = (),
+) -> DataFrame:
+    """``(qid, rank, holds)``: each hit's distance is right, and no row that was to be searched is nearer and left out.
+
+    Every row of the probed lists (all of them without ``nprobe``) that satisfies the query's clause is scored again with array
+    functions; the queries named in ``exact`` were searched without the index.
+    """
+    queries = only_queries(fx.workloads(spark, sf_dir)).withColumn("unit", l2_normalize("qvec"))
+    rows = used.rows(spark)
+    again = looked_up(used) if used.kind == "IVFPQ" else cosine_distance("embedding", "qvec")
+    if exact:
+        rows = rows.join(fx.embeddings(spark, sf_dir), "id")
+        again = F.when(F.col("qid").isin(list(exact)), cosine_distance("embedding", "qvec")).otherwise(again)
+    lists = F.lit(used.centroids.tolist())
+    near = F.transform(lists, lambda c, i: F.struct(-dot("unit", c), i.cast("int").alias("list")))
+    probed = F.transform(F.slice(F.sort_array(near), 1, nprobe or used.nlist), lambda s: s["list"])
+    asked = queries.select("qid", "qvec", "unit", F.explode(probed).alias("cluster_id"))
+    scored = rows.join(F.broadcast(asked), "cluster_id").select("qid", "id", again.alias("again"))
+    if clauses:
+        meta, allowed = fx.metadata(spark, sf_dir), None
+        for qid, where in clauses:
+            part = filters.filter_where(meta, where).select(F.lit(qid).cast("bigint").alias("qid"), "id")
+            allowed = part if allowed is None else allowed.unionAll(part)
+        scored = scored.join(allowed, ["qid", "id"], "left_semi")
+    found = hits.select("qid", "rank", F.col("id").alias("hit"), "dist")
+    both = scored.join(F.broadcast(found), "qid").groupBy("qid", "rank").agg(
+        F.count_if(F.col("again") < F.col("dist") - 1e-5).alias("nearer"),
+        F.min(F.when(F.col("id") == F.col("hit"), F.abs(F.col("again") - F.col("dist")))).alias("off"),
+    )
+    right = (F.col("nearer") < F.col("rank")) & (F.coalesce("off", F.lit(1.0)) < 1e-4)
+    return both.select("qid", "rank", right.alias("holds"))
+
+
+def searched_exactly(spark: SparkSession, sf_dir: str, threshold: float) -> list[int]:
+    """The workloads that an adaptive search answers by filtering first."""
+    plans = hybrid.plan_clauses(fx.metadata(spark, sf_dir), [where for _, where in own_clauses()], threshold)
+    return [qid for qid, where in own_clauses() if plans[where].strategy == hybrid.PRE]
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -356,7 +385,19 @@ def v7(spark, sf_dir):
 def v8(spark, sf_dir):
     blobs = fx.table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     encoded = encode_bytes(blobs, "content", byte_histogram_encoder()).select("page_id", "embedding")
-    return elements(encoded, "page_id", "embedding").filter(F.col("pos").between(32, 126))
+    return elements(encoded, "page_id", "embedding")
+
+
+@register("v8_encode_image_files")
+def v8_files(spark, sf_dir):
+    """Files made of the pages, one for each hundredth page number, read as images."""
+    path = new_scratch_path(spark, "images")
+    pages = fx.table(spark, sf_dir, "pages").select((F.col("page_id") % 100).alias("part"), "page_id", "html")
+    pages.repartition(8, "part").sortWithinPartitions("part", "page_id").select("part", "html").write.partitionBy("part").text(path)
+    encoded = encode_images(spark, path, byte_histogram_encoder(), "*.txt")
+    name = F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint").alias("part")
+    found = elements(encoded.select(name, "embedding"), "part", "embedding")
+    return found.groupBy("part", "pos").agg(F.sum("x").alias("x"))
 
 
 @register("v9_encode_workloads")
@@ -446,8 +487,10 @@ def h3_ivf(spark, sf_dir):
 @register("h3_hybrid_ivfpq")
 def h3_ivfpq(spark, sf_dir):
     emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
-    hits = per_workload(spark, sf_dir, lambda q, where: hybrid.search_hybrid(emb, meta, q, where, index=pq))
-    return only_matches(spark, sf_dir, hits, own_clauses())
+    hits = per_workload(
+        spark, sf_dir, lambda q, where: hybrid.search_hybrid(emb, meta, q, where, index=pq, nprobe=EXHAUSTIVE)
+    )
+    return holds(spark, sf_dir, hits, pq, None, own_clauses(), searched_exactly(spark, sf_dir, hybrid.SELECTIVITY_THRESHOLD))
 
 
 @register("h4_filter_candidates")
@@ -461,8 +504,18 @@ def h4(spark, sf_dir):
 def h5(spark, sf_dir):
     emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
     queries = only_queries(fx.workloads(spark, sf_dir))
-    hits = hybrid.search_ann_postfilter(pq, emb, meta, queries, "license is NULL")
-    return only_matches(spark, sf_dir, hits, [(qid, "license is NULL") for qid, _ in own_clauses()])
+    hits = hybrid.search_ann_postfilter(pq, emb, meta, queries, "license is NULL", nprobe=EXHAUSTIVE)
+    return holds(spark, sf_dir, hits, pq, None, [(qid, "license is NULL") for qid, _ in own_clauses()])
+
+
+@register("h5_ann_postfilter_ivf")
+def h5_ivf(spark, sf_dir):
+    emb, meta, ivf = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
+    queries = only_queries(fx.workloads(spark, sf_dir))
+    hits = hybrid.search_ann_postfilter(
+        ivf, emb, meta, queries, "license is NULL", nprobe=EXHAUSTIVE, oversample=SMALL_OVERSAMPLE
+    )
+    return shown(hits)
 
 
 @register("h5_ann_postfilter_rerank")
@@ -501,8 +554,8 @@ def h8(spark, sf_dir):
 @register("h8_run_workloads_ivfpq")
 def h8_ivfpq(spark, sf_dir):
     emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
-    hits = hybrid.run_workloads(emb, meta, fx.workloads(spark, sf_dir), index=pq)
-    return only_matches(spark, sf_dir, hits, own_clauses())
+    hits = hybrid.run_workloads(emb, meta, fx.workloads(spark, sf_dir), index=pq, nprobe=EXHAUSTIVE)
+    return holds(spark, sf_dir, hits, pq, None, own_clauses(), searched_exactly(spark, sf_dir, hybrid.EVALUATION_THRESHOLD))
 
 
 # --- approximate index ---------------------------------------------------------------------------
@@ -540,8 +593,8 @@ def a4_all(spark, sf_dir):
 
 @register("a4_ivf_search")
 def a4(spark, sf_dir):
-    hits = index(spark, sf_dir, "IVF").search(only_queries(fx.workloads(spark, sf_dir)), 10)
-    return distances_hold(spark, sf_dir, hits)
+    ivf = index(spark, sf_dir, "IVF")
+    return holds(spark, sf_dir, ivf.search(only_queries(fx.workloads(spark, sf_dir)), 10), ivf, NPROBE)
 
 
 @register("a5_train_pq")
@@ -568,7 +621,7 @@ def a6(spark, sf_dir):
 @register("a7_ivfpq_search")
 def a7(spark, sf_dir):
     pq = index(spark, sf_dir, "IVFPQ")
-    return distances_hold(spark, sf_dir, pq.search(only_queries(fx.workloads(spark, sf_dir)), 10), pq)
+    return holds(spark, sf_dir, pq.search(only_queries(fx.workloads(spark, sf_dir)), 10), pq, NPROBE)
 
 
 @register("a9_build_or_load")
@@ -649,16 +702,30 @@ def e5(spark, sf_dir):
 
 @register("e6_work_counters")
 def e6(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
-    counters = hybrid.WorkCounters()
-    queries = only_queries(fx.workloads(spark, sf_dir, [5]))
-    hybrid.search_prefilter(emb, meta, queries, fx.WORKLOADS[4][2], counters=counters).collect()
-    counts = counters.as_dict()
-    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+    emb, meta, ivf = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
+    queries, where = only_queries(fx.workloads(spark, sf_dir, [5])), fx.WORKLOADS[4][2]
+    searches = {
+        "prefilter": partial(hybrid.search_prefilter, emb, meta, queries, where),
+        "postfilter": partial(hybrid.search_postfilter, emb, meta, queries, where, oversample=SMALL_OVERSAMPLE),
+        "hybrid": partial(hybrid.search_hybrid, emb, meta, queries, where, index=ivf, nprobe=EXHAUSTIVE, threshold=0.0),
+    }
+    rows = []
+    for name, search in searches.items():
+        counters = hybrid.WorkCounters()
+        search(counters=counters).collect()
+        rows.append((name, *counters.as_dict().values()))
+    return spark.createDataFrame(rows, "strategy string, rows_filtered bigint, rows_scored bigint, rows_returned bigint")
 
 
 @register("e_evaluate")
 def evaluation(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
-    measured, recalls = ev.evaluate(emb, meta, fx.workloads(spark, sf_dir), runs=1)
-    return ev.results_table(ev.average_runs(measured), recalls).select("workload", "strategy", "recall")
+    """The whole evaluation, five runs, on tables stored once."""
+    base = new_scratch_path(spark, "evaluated")
+    tables = {"emb": fx.embeddings(spark, sf_dir), "meta": fx.metadata(spark, sf_dir), "workloads": fx.workloads(spark, sf_dir)}
+    for name, frame in tables.items():
+        frame.write.parquet(f"{base}/{name}")
+    measured, recalls = ev.evaluate(*[spark.read.parquet(f"{base}/{name}") for name in tables])
+    averages = ev.average_runs(measured)
+    rows = ev.results_table(averages, recalls).select("workload", "strategy", "recall")
+    runs = averages.groupBy("workload").agg(F.sum("n_runs").alias("n_runs"))
+    return rows.join(runs, "workload")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import filter_where
 from ..operators.ivf import NPROBE
+from ..session import new_scratch_path
 from .hybrid import EVALUATION_THRESHOLD, OVERSAMPLE, plan_clauses, run_workloads
 from .index import VectorIndex
 
@@ -120,33 +121,41 @@ def evaluate(
 
     Returns ``metrics (workload, strategy, run, filter_time, search_time)`` and
     ``recalls (workload, strategy, recall)``.  Timing needs one action per measurement, so this loops
-    over workloads on the driver; ``run_workloads`` answers many workloads at once.
+    over workloads on the driver; ``run_workloads`` answers many workloads at once.  The hits of each run are
+    written to the shared folder, and the recalls, averaged over the runs, are computed from these tables.
     """
     spark = emb.sparkSession
-    metrics, hits = [], []
-    for row in workloads.select("qid", "where_sql").orderBy("qid").collect():
+    metrics, path = [], new_scratch_path(spark, "evaluation")
+    chosen = workloads.select("qid", "where_sql").orderBy("qid").collect()
+    for row in chosen:
         one = workloads.filter(F.col("qid") == row.qid)
         for run in range(runs):
             for strategy in STRATEGIES:
                 filter_time, _ = timed(lambda: plan_clauses(meta, [row.where_sql], threshold))
-                search = lambda: run_workloads(
-                    emb, meta, one, k, strategy, index, nprobe, threshold, oversample
-                ).collect()
-                whole_time, found = timed(search)
+
+                def search() -> None:
+                    hits = run_workloads(emb, meta, one, k, strategy, index, nprobe, threshold, oversample)
+                    hits.write.mode("append").parquet(f"{path}/strategy={strategy}/run={run}")
+
+                whole_time, _ = timed(search)
                 # the search measures the clause again; the rest of its time is the search proper
                 metrics.append((row.qid, strategy, run, filter_time, max(0.0, whole_time - filter_time)))
-                if run == runs - 1:
-                    hits += [(strategy, h.qid, h.id) for h in found]  # at most k rows per workload
-    results = spark.createDataFrame(hits, "strategy string, qid bigint, id bigint")
+    schema = "workload bigint, strategy string, run int, filter_time double, search_time double"
+    measured = spark.createDataFrame(metrics, schema)
+    if not metrics:
+        return measured, spark.createDataFrame([], "workload bigint, strategy string, recall double")
+    # one query for each run of each strategy, so that recall compares like with like
+    results = spark.read.parquet(path).select("strategy", F.struct("run", "qid").alias("qid"), "id")
     truth = results.filter("strategy = 'prefilter'")
+    asked = workloads.select("qid", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     recalls = None
     for strategy in ("postfilter", "hybrid"):
-        part = recall(results.filter(F.col("strategy") == strategy), truth, workloads).select(
-            F.col("qid").alias("workload"), F.lit(strategy).alias("strategy"), "recall"
-        )
+        found = results.filter(F.col("strategy") == strategy)
+        each = recall(found, truth, asked.select(F.struct("run", "qid").alias("qid")))
+        part = each.groupBy(F.col("qid.qid").alias("workload")).agg(F.avg("recall").alias("recall"))
+        part = part.select("workload", F.lit(strategy).alias("strategy"), "recall")
         recalls = part if recalls is None else recalls.unionAll(part)
-    schema = "workload bigint, strategy string, run int, filter_time double, search_time double"
-    return spark.createDataFrame(metrics, schema), recalls
+    return measured, recalls
 
 
 def same_selection(meta: DataFrame, where: str, by_columns: DataFrame) -> bool:

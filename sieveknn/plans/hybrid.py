@@ -186,15 +186,21 @@ def search_postfilter(
     if matches.n_filtered == 0 and counters is None:
         return empty_hits(queries)
     sets = id_bitmaps(_watched(meta.filter(where), counters, "filtered"), [F.lit(True)])
+    every = _all_within(emb, wanted, matches)
 
     def one_pass(batch: QueryBatch) -> DataFrame:
         flags = {"f0": np.arange(len(batch))}
-        hits = _search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k, counters)
-        return keep_within(top_k(hits, k), batch, wanted, _count_all(emb, batch))
+        hits = top_k(_search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k, counters), k)
+        return hits if every else keep_within(hits, batch, wanted, _count_all(emb, batch))
 
     return _watched(search_in_passes(queries, k, one_pass), counters, "returned")
 
 
+def _all_within(emb: DataFrame, wanted: int, matches: Matches) -> bool:
+    """Whether all vectors are candidates, so that no rank needs counting; their number comes from the file footers."""
+    return wanted >= matches.n_total and wanted >= emb.count()
+
+
 def _count_all(emb: DataFrame, batch: QueryBatch) -> Callable[[Marks], DataFrame]:
     rows = emb.filter(F.col("embedding").isNotNull()).select("id", "embedding")
     return lambda marks: rows.mapInArrow(count_closer(batch.vectors, batch.qids, marks), batch.count_schema())
@@ -449,14 +455,15 @@ def _post_group(
 ) -> DataFrame:
     spark = queries.sparkSession
     sets = id_bitmaps(meta, clauses)
+    every = index is None and _all_within(emb, wanted, matches)
     if index is not None:
         flagged = with_flags(index.rows(spark), sets, matches)
 
     def one_pass(batch: QueryBatch) -> DataFrame:
         flags = _by_clause(batch, clauses)
         if index is None:
-            hits = _search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k)
-            return keep_within(top_k(hits, k), batch, wanted, _count_all(emb, batch))
+            hits = top_k(_search_flagged(emb.select("id", "embedding"), sets, matches, flags, batch, k), k)
+            return hits if every else keep_within(hits, batch, wanted, _count_all(emb, batch))
         return _index_hits(index, spark, flagged, flags, batch, k, nprobe, min(wanted, index.n))
 
     return search_in_passes(queries, k, one_pass, "where_sql", 0 if index is None else index.query_bytes)
