@@ -224,7 +224,8 @@ FROM counts, total""",
 FROM (SELECT unnest(generate_series(0, CAST(floor(sqrt(count(*))) AS BIGINT) - 1)) AS i FROM embeddings)""",
         "a3_assign_clusters": "SELECT vec_id AS id, true AS most_similar FROM embeddings",
         "a4_ivf_search_all_lists": KNN_GRAPH,
-        "a5_train_pq": "SELECT CAST(m AS INTEGER) AS m, CAST(16 AS BIGINT) AS n_codes, 8 AS width FROM generate_series(0, 7) AS t(m)",
+        "a5_train_pq": """SELECT CAST(m AS INTEGER) AS m, CAST(c AS INTEGER) AS code, 8 AS width, true AS is_mean
+FROM range(0, 8) AS a(m), range(0, 16) AS b(c)""",
         "a6_pq_encode": "SELECT vec_id AS id, 8 AS parts, true AS nearest_words FROM embeddings",
         # approximate searches: each hit is right, whatever the index found
         **dict.fromkeys(

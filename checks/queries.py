@@ -599,9 +599,19 @@ def a4(spark, sf_dir):
 
 @register("a5_train_pq")
 def a5(spark, sf_dir):
+    """Whether each codeword is the mean of the residuals that are nearest to it (or has none)."""
     pq = index(spark, sf_dir, "IVFPQ")
+    codes = pq.rows(spark).filter("cluster_id >= 0").join(fx.embeddings(spark, sf_dir), "id")
+    centroid = F.get(F.lit(pq.centroids.tolist()), F.col("cluster_id"))
+    rest = codes.withColumn("rest", F.zip_with(l2_normalize("embedding"), centroid, lambda a, b: a - b))
+    width = pq.codebooks.shape[2]
+    pieces = F.posexplode(F.transform("code", lambda c, i: F.struct(c.cast("int").alias("code"), F.slice("rest", i * width + 1, width).alias("v"))))
+    members = rest.select(pieces.alias("m", "s")).select("m", "s.code", F.posexplode("s.v").alias("pos", "x"))
+    means = members.groupBy("m", "code", "pos").agg(F.avg("x").alias("mean"))
     book = spark.read.parquet(f"{pq.path}/codebook")
-    return book.groupBy("m").agg(F.count(F.lit(1)).alias("n_codes"), F.max(F.size("subvec")).alias("width"))
+    words = book.select("m", "code", F.size("subvec").alias("width"), F.posexplode("subvec").alias("pos", "x"))
+    off = F.max(F.abs(F.col("x") - F.coalesce("mean", "x")))
+    return words.join(means, ["m", "code", "pos"], "left").groupBy("m", "code", "width").agg((off < 0.02).alias("is_mean"))
 
 
 @register("a6_pq_encode")

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +24,9 @@ from .ivf import (
     to_matrix,
     unit_rows,
 )
-from .kernel import Marks, by_value, count_closer_codes, scan_codes
+from .kernel import Marks, by_value, count_closer_codes, list_column_to_matrix, scan_codes
 from .nearest import QueryBatch, search_in_passes
-from .topk import top_k
+from .topk import merge_groups, top_k
 
 # Parts tried in this order when the wanted number does not divide the width.
 FALLBACK_PARTS = (16, 12, 8, 4)
@@ -56,6 +53,42 @@ def residual_column(centroids: np.ndarray, sample: DataFrame):
     return residual
 
 
+def nearest_words(piece: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Number of the codeword nearest to each row."""
+    # |r - c|^2 without the term |r|^2, which is the same for every codeword
+    return ((words**2).sum(axis=1) - 2.0 * (piece @ words.T)).argmin(axis=1)
+
+
+def _member_sums(shared, m: int, size: int, width: int):
+    """A ``mapInArrow`` function: for each part the sums and numbers of the members of all codewords, one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((m, size, width + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = list_column_to_matrix(batch.column(0), m * width, np.float32)
+            for part in range(m):
+                piece = rows[:, part * width : (part + 1) * width]
+                code = nearest_words(piece, shared.value[part])
+                for j in range(width):
+                    sums[part, :, j] += np.bincount(code, weights=piece[:, j], minlength=size)
+                sums[part, :, width] += np.bincount(code, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(m), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["part", "sums"])
+
+    return run
+
+
+def _added(groups: DataFrame, *keys: str) -> DataFrame:
+    """The sums of each group of rows."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(blob) for blob in table.column("sums").to_pylist()], axis=0)
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return groups.groupBy(*keys).applyInArrow(add, "part int, sums binary")
+
+
 def train_pq(
     sample: DataFrame,
     centroids: np.ndarray,
@@ -64,33 +97,42 @@ def train_pq(
     bits: int = 8,
     seed: int = 42,
     max_iter: int = 25,
-    parallelism: int = 4,
+    tolerance: float = 1e-4,
 ) -> np.ndarray:
     """A5: codebooks of ``2**bits`` codewords for each of ``m`` parts, as ``[m, code, width / m]``.
 
-    The residuals are written to ``scratch`` once and read by the m independent k-means fits, which
-    run side by side.  Fewer distinct residuals than codewords repeat the last codeword.
+    K-means of all parts together: the residuals are written to ``scratch`` once, and an iteration is one scan of them in
+    which each task sums the members of every codeword of every part; Spark adds the sums in two levels, and the driver
+    holds the codebooks only.  It starts from the residuals with the smallest hashes of their ids and ends when no codeword
+    moves by ``tolerance``.  A codeword without members stays where it is.
     """
     if not 1 <= bits <= 12:
         raise ValueError("bits must be between 1 and 12")
     d = centroids.shape[1]
     if d % m:
         raise ValueError(f"{m} parts do not divide a width of {d}")
-    part_width = d // m
-    residual = residual_column(centroids, sample)
-    sample.select("id", residual("embedding").alias("residual")).write.parquet(scratch)
-    residuals = spread(sample.sparkSession.read.parquet(scratch))
-
-    def fit(part: int) -> np.ndarray:
-        piece = F.slice("residual", part * part_width + 1, part_width)
-        points = residuals.select(array_to_vector(piece).alias("features"))
-        centers = KMeans(k=2**bits, seed=seed, maxIter=max_iter).fit(points).clusterCenters()
-        codewords = np.stack(centers).astype(np.float32)
-        spare = 2**bits - len(codewords)
-        return np.concatenate([codewords, np.repeat(codewords[-1:], spare, axis=0)])
-
-    with ThreadPool(min(parallelism, m)) as pool:
-        return np.stack(pool.map(inheritable_thread_target(sample.sparkSession)(fit), range(m)))
+    spark, size, width = sample.sparkSession, 2**bits, d // m
+    sample.select("id", residual_column(centroids, sample)("embedding").alias("residual")).write.parquet(scratch)
+    residuals = spread(spark.read.parquet(scratch))
+    first = residuals.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).select("residual").toArrow().column(0).combine_chunks()
+    start = list_column_to_matrix(first, d, np.float32)
+    start = np.concatenate([start, np.repeat(start[-1:], size - len(start), axis=0)])
+    books = start.reshape(size, m, width).transpose(1, 0, 2).copy()
+    groups = merge_groups(sample)
+    for _ in range(max_iter):
+        shared = spark.sparkContext.broadcast(books)
+        partial = residuals.select("residual").mapInArrow(_member_sums(shared, m, size, width), "part int, sums binary")
+        if groups > 1:
+            partial = _added(partial.withColumn("level", F.spark_partition_id() % groups), "part", "level")
+        sums = np.stack([np.frombuffer(row.sums).reshape(size, width + 1) for row in _added(partial, "part").orderBy("part").collect()])
+        number = sums[:, :, width :]
+        means = np.where(number > 0, sums[:, :, :width] / np.maximum(number, 1), books).astype(np.float32)
+        moved = float(np.abs(means - books).max())
+        books = means
+        shared.unpersist()
+        if moved < tolerance:
+            break
+    return books
 
 
 def encode_rows(rows: np.ndarray, centroids: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +144,7 @@ def encode_rows(rows: np.ndarray, centroids: np.ndarray, codebooks: np.ndarray)
     residuals[zero] = 0.0
     codes = np.empty((len(rows), m), dtype=np.int16)
     for part in range(m):
-        piece = residuals[:, part * part_width : (part + 1) * part_width]
-        # |r - c|^2 without the term |r|^2, which is the same for every codeword
-        gaps = (codebooks[part] ** 2).sum(axis=1) - 2.0 * (piece @ codebooks[part].T)
-        codes[:, part] = gaps.argmin(axis=1)
+        codes[:, part] = nearest_words(residuals[:, part * part_width : (part + 1) * part_width], codebooks[part])
     clusters[zero] = ZERO_CLUSTER
     return clusters, codes
 

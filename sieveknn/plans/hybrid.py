@@ -394,18 +394,21 @@ def run_workloads(
     threshold: float = EVALUATION_THRESHOLD,
     oversample: int = OVERSAMPLE,
     colocated: bool = False,
+    plans: dict[str, Plan] | None = None,
 ) -> DataFrame:
     """H8: workloads ``(qid, qvec, where_sql)``, each with its own clause.
 
     ``strategy`` is ``prefilter``, ``postfilter`` or ``hybrid`` (chosen per clause).  Clauses are
     measured together; all queries that filter first share one pass over the vectors, whatever their
-    clauses, and so do all that filter last.
+    clauses, and so do all that filter last.  ``plans`` holds the measured clauses if the caller has them.
     """
     if strategy not in ("prefilter", "postfilter", "hybrid"):
         raise ValueError(f"unknown strategy {strategy!r}")
     meta = emb if meta is None else meta
-    clauses = sorted(row.where_sql for row in workloads.select("where_sql").distinct().collect())
-    plans = plan_clauses(meta, clauses, threshold)
+    if plans is None:
+        clauses = sorted(row.where_sql for row in workloads.select("where_sql").distinct().collect())
+        plans = plan_clauses(meta, clauses, threshold)
+    clauses = sorted(plans)
     chosen = {"prefilter": PRE, "postfilter": POST}.get(strategy)
     first = [c for c in clauses if plans[c].n_filtered and (chosen or plans[c].strategy) == PRE]
     last = [c for c in clauses if plans[c].n_filtered and (chosen or plans[c].strategy) == POST]
