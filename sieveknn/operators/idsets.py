@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +59,23 @@ def together(matches: Sequence[Matches]) -> Matches:
     return Matches(total, sum(m.n_filtered for m in matches), min(lows, default=None), max(highs, default=None))
 
 
+def any_of(wheres: Sequence[str | Column]) -> Column:
+    return reduce(or_, [as_condition(where) for where in wheres])
+
+
 def id_bitmaps(meta: DataFrame, wheres: Sequence[str | Column]) -> DataFrame:
-    """``(bucket, f0, f1, ...)``: of each bucket with any match, the bitmap of each filter's ids."""
+    """``(bucket, f0, f1, ...)``: of each bucket with any match, the bitmap of each filter's ids.
+
+    Of several filters ``any`` holds the ids that match one at least. Rows are kept by the filters and by ``any``, not by the
+    flags: over conditions of many aliased flags Spark's inference of constraints grows as two to their number.
+    """
     flags = [F.coalesce(as_condition(where), F.lit(False)).alias(f"f{i}") for i, where in enumerate(wheres)]
     names = [f"f{i}" for i in range(len(flags))]
-    rows = meta.filter(F.col("id").isNotNull()).select("id", *flags).filter(F.greatest(*names, F.lit(False)))
+    rows = meta.filter(F.col("id").isNotNull()).filter(any_of(wheres)).select("id", *flags)
     place = rows.select(F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("bit"), *names)
     maps = [F.expr(f"bitmap_construct_agg(bit) FILTER (WHERE {name})").alias(name) for name in names]
+    if len(names) > 1:
+        maps.append(F.bitmap_construct_agg("bit").alias("any"))
     return place.groupBy("bucket").agg(*maps)
 
 
@@ -82,13 +94,14 @@ def with_flags(rows: DataFrame, bitmaps: DataFrame, matches: Matches, small: boo
     Bitmaps of a bounded number of buckets are broadcast and the rows stay where they are; beyond that both are dealt by bucket.
     The least and greatest matching id limit the scan.
     """
-    names = [c for c in bitmaps.columns if c != "bucket"]
+    names = [c for c in bitmaps.columns if c not in ("bucket", "any")]
     if small is None:
-        small = fits_broadcast(matches, len(names))
+        small = fits_broadcast(matches, len(bitmaps.columns) - 1)
     rows = rows.filter(F.col("id").between(F.lit(matches.low), F.lit(matches.high)))
-    joined = rows.join(F.broadcast(bitmaps) if small else bitmaps, F.bitmap_bucket_number("id") == F.col("bucket"))
-    flagged = joined.withColumns({name: is_member(name) for name in names}).drop("bucket")
-    return flagged.filter(F.greatest(*names, F.lit(False)))
+    sets = (F.broadcast(bitmaps) if small else bitmaps).alias("sets")
+    joined = rows.join(sets, F.bitmap_bucket_number(rows["id"]) == F.col("sets.bucket"))
+    members = joined.filter(is_member(F.col("sets.any") if len(names) > 1 else F.col("sets.f0"), rows["id"]))
+    return members.select(*[rows[c] for c in rows.columns], *[is_member(F.col(f"sets.{name}"), rows["id"]).alias(name) for name in names])
 
 
 def fits_broadcast(matches: Matches, n_sets: int = 1) -> bool:

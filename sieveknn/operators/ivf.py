@@ -24,6 +24,9 @@ NPROBE = 10
 ZERO_CLUSTER = -1
 # Sample rows that are worth a task of their own.
 ROWS_PER_TASK = 500
+# Runs of lists that a scan's filter names, and bytes of a row group of stored lists.
+MAX_RUNS = 200
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 # Floats in the score matrix of one assignment step.
 SCORE_CELLS = 8_000_000
 
@@ -122,12 +125,13 @@ def assign_clusters(emb: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def write_lists(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A3: store rows partitioned by ``cluster_id``.
+    """A3: store rows in order of their list, as ranges inside large files.
 
-    The rebalance hint lets Spark split a list that holds a large share of the rows over several
-    tasks and files, and pack small lists together.
+    The number of files follows from the data, not from the number of lists; a search skips the row groups and
+    pages that hold none of its lists.  Ranges of (list, id) split a list that holds a large share of the rows.
     """
-    rows.hint("rebalance", "cluster_id").write.mode(mode).partitionBy("cluster_id").parquet(path)
+    ordered = rows.repartitionByRange("cluster_id", F.xxhash64("id")).sortWithinPartitions("cluster_id")
+    ordered.write.mode(mode).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def nearest_lists(queries: np.ndarray, centroids: np.ndarray, nprobe: int) -> np.ndarray:
@@ -168,12 +172,19 @@ def lists_and_zero(centroids: np.ndarray, nprobe: int):
 def prune_lists(lists: DataFrame, members: dict[int, np.ndarray], n_lists: int) -> DataFrame:
     """Read only the probed lists.
 
-    The constant IN list prunes partitions when the scan is planned; a join with the probes would
-    read every list first.
+    The constant filter prunes row groups when files are read; a join with the probes would
+    read every list first.  It names runs of neighbouring lists, because Parquet gets equalities and ranges as
+    they are, but of a long IN list only its ends.  Beyond ``MAX_RUNS`` the nearest runs become one.
     """
     if len(members) > n_lists:  # all lists and the zero list
         return lists
-    return lists.filter(F.col("cluster_id").isin(sorted(members)))
+    numbers = np.array(sorted(members))
+    gaps = np.diff(numbers)
+    cuts = np.flatnonzero(gaps > 1)
+    if len(cuts) >= MAX_RUNS:
+        cuts = np.sort(cuts[np.argsort(-gaps[cuts], kind="stable")[: MAX_RUNS - 1]])
+    runs = [(int(run[0]), int(run[-1])) for run in np.split(numbers, cuts + 1)]
+    return lists.filter(" OR ".join(f"cluster_id = {a}" if a == b else f"cluster_id BETWEEN {a} AND {b}" for a, b in runs))
 
 
 def list_split(members: dict[int, np.ndarray], flags: dict[str, np.ndarray] | None) -> Split:

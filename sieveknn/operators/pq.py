@@ -30,6 +30,9 @@ from .topk import merge_groups, top_k
 
 # Parts tried in this order when the wanted number does not divide the width.
 FALLBACK_PARTS = (16, 12, 8, 4)
+# Residuals that the first codewords are drawn from: some for each, and so many at most.
+SEEDS_PER_WORD = 32
+MAX_SEEDS = 20_000
 
 
 def choose_m(d: int, m: int = 8) -> int:
@@ -59,6 +62,18 @@ def nearest_words(piece: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ((words**2).sum(axis=1) - 2.0 * (piece @ words.T)).argmin(axis=1)
 
 
+def spread_words(rows: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """``size`` of the rows, each drawn with a probability that grows with its squared distance to those drawn before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(rows)))]
+    away = ((rows - rows[chosen[0]]) ** 2).sum(axis=1).astype(np.float64)
+    for _ in range(size - 1):
+        total = away.sum()
+        chosen.append(int(rng.choice(len(rows), p=away / total)) if total > 0 else chosen[-1])
+        away = np.minimum(away, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+    return rows[chosen]
+
+
 def _member_sums(shared, m: int, size: int, width: int):
     """A ``mapInArrow`` function: for each part the sums and numbers of the members of all codewords, one row a task."""
 
@@ -103,8 +118,8 @@ def train_pq(
 
     K-means of all parts together: the residuals are written to ``scratch`` once, and an iteration is one scan of them in
     which each task sums the members of every codeword of every part; Spark adds the sums in two levels, and the driver
-    holds the codebooks only.  It starts from the residuals with the smallest hashes of their ids and ends when no codeword
-    moves by ``tolerance``.  A codeword without members stays where it is.
+    holds the codebooks only.  It starts from residuals far apart, out of at most ``MAX_SEEDS`` with the smallest hashes of
+    their ids, and ends when no codeword moves by ``tolerance``.  A codeword without members stays where it is.
     """
     if not 1 <= bits <= 12:
         raise ValueError("bits must be between 1 and 12")
@@ -114,10 +129,9 @@ def train_pq(
     spark, size, width = sample.sparkSession, 2**bits, d // m
     sample.select("id", residual_column(centroids, sample)("embedding").alias("residual")).write.parquet(scratch)
     residuals = spread(spark.read.parquet(scratch))
-    first = residuals.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).select("residual").toArrow().column(0).combine_chunks()
-    start = list_column_to_matrix(first, d, np.float32)
-    start = np.concatenate([start, np.repeat(start[-1:], size - len(start), axis=0)])
-    books = start.reshape(size, m, width).transpose(1, 0, 2).copy()
+    some = residuals.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(SEEDS_PER_WORD * size, MAX_SEEDS))
+    rows = list_column_to_matrix(some.select("residual").toArrow().column(0).combine_chunks(), d, np.float32)
+    books = np.stack([spread_words(piece, size, seed) for piece in np.split(rows, m, axis=1)])
     groups = merge_groups(sample)
     for _ in range(max_iter):
         shared = spark.sparkContext.broadcast(books)

@@ -6,8 +6,10 @@ that ``emb`` carries the attributes itself and no join is needed.  Hits are ``(q
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 from ..operators.filters import bounded_broadcast, filter_where
-from ..operators.idsets import Matches, as_condition, fits_broadcast, id_bitmaps, measure, together, with_flags
+from ..operators.idsets import Matches, any_of, as_condition, fits_broadcast, id_bitmaps, measure, together, with_flags
 from ..operators.ivf import NPROBE
 from ..operators.kernel import Marks, by_flag, count_closer, scan_scores, scan_vectors, score_rows
 from ..operators.nearest import QueryBatch, empty_hits, search_in_passes
 from ..operators.topk import top_k
+from ..session import new_scratch_path
 from .index import VectorIndex
 
 # Defaults of the adaptive search.
@@ -103,7 +106,7 @@ def _join_by_id(emb: DataFrame, meta: DataFrame, clauses: Sequence[str | Column]
     """Vectors with their flags where both tables are bucketed by id: the join needs no bitmaps and moves nothing."""
     names = [f"f{i}" for i in range(len(clauses))]
     flags = [F.coalesce(as_condition(clause), F.lit(False)).alias(name) for name, clause in zip(names, clauses, strict=True)]
-    matching = meta.select("id", *flags).filter(F.greatest(*names, F.lit(False)))
+    matching = meta.filter(any_of(clauses)).select("id", *flags)
     once = matching.groupBy("id").agg(*[F.bool_or(name).alias(name) for name in names])
     return emb.select("id", "embedding").join(once, "id")
 
@@ -405,28 +408,41 @@ def run_workloads(
     if strategy not in ("prefilter", "postfilter", "hybrid"):
         raise ValueError(f"unknown strategy {strategy!r}")
     meta = emb if meta is None else meta
-    if plans is None:
-        clauses = sorted(row.where_sql for row in workloads.select("where_sql").distinct().collect())
-        plans = plan_clauses(meta, clauses, threshold)
-    clauses = sorted(plans)
     chosen = {"prefilter": PRE, "postfilter": POST}.get(strategy)
-    first = [c for c in clauses if plans[c].n_filtered and (chosen or plans[c].strategy) == PRE]
-    last = [c for c in clauses if plans[c].n_filtered and (chosen or plans[c].strategy) == POST]
-    hits = empty_hits(workloads)
-    for group in _groups(first):
-        matches = together([plans[c].matches for c in group])
-        hits = hits.unionAll(_pre_group(emb, meta, _using(workloads, group), group, matches, k, colocated))
-    for group in _groups(last):
-        matches = together([plans[c].matches for c in group])
-        wanted = min(oversample * k, plans[group[0]].n_total)
-        used_index = index if strategy == "hybrid" else None
-        mine = _using(workloads, group)
-        hits = hits.unionAll(_post_group(emb, meta, mine, group, matches, wanted, k, used_index, nprobe))
-    return hits
-
-
-def _groups(clauses: list[str]) -> list[list[str]]:
-    return [clauses[i : i + CLAUSES_PER_SCAN] for i in range(0, len(clauses), CLAUSES_PER_SCAN)]
+    used_index = index if strategy == "hybrid" else None
+
+    def branches() -> Iterator[DataFrame]:
+        for group in _clause_groups(workloads) if plans is None else [plans]:
+            known = plan_clauses(meta, group, threshold) if plans is None else plans
+            first = [c for c in group if known[c].n_filtered and (chosen or known[c].strategy) == PRE]
+            last = [c for c in group if known[c].n_filtered and (chosen or known[c].strategy) == POST]
+            if first:
+                matches = together([known[c].matches for c in first])
+                yield _pre_group(emb, meta, _using(workloads, first), first, matches, k, colocated)
+            if last:
+                matches = together([known[c].matches for c in last])
+                wanted = min(oversample * k, matches.n_total)
+                yield _post_group(emb, meta, _using(workloads, last), last, matches, wanted, k, used_index, nprobe)
+
+    return _appended(branches(), workloads)
+
+
+def _clause_groups(workloads: DataFrame) -> Iterator[list[str]]:
+    """The distinct clauses, as many at a time as one metadata scan evaluates; the driver never holds them all."""
+    rows = workloads.select("where_sql").distinct().orderBy("where_sql").toLocalIterator()
+    while group := [row.where_sql for row in islice(rows, CLAUSES_PER_SCAN)]:
+        yield group
+
+
+def _appended(branches: Iterator[DataFrame], workloads: DataFrame) -> DataFrame:
+    """The hits of all branches.  Two stay one lazy plan; more are run and stored one by one, so that the plan doesn't grow."""
+    some = list(islice(branches, 3))
+    if len(some) < 3:
+        return reduce(DataFrame.unionAll, some) if some else empty_hits(workloads)
+    path = new_scratch_path(workloads.sparkSession, "hits")
+    for part in chain(some, branches):
+        part.write.mode("append").parquet(path)
+    return workloads.sparkSession.read.schema(some[0].schema).parquet(path)
 
 
 def _using(workloads: DataFrame, clauses: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..operators.ivf import (
     train_sample,
     write_lists,
 )
-from ..operators.kernel import Marks, by_flag, count_closer, everything, scan_vectors
+from ..operators.kernel import Marks, by_flag, count_closer, everything, list_column_to_matrix, scan_vectors
 from ..operators.nearest import QueryBatch, knn_pass, search_in_passes
 from ..operators.pq import choose_m, ivfpq_counts, ivfpq_pass, ivfpq_search, lookup_bytes, pq_encode, train_pq
 from ..operators.topk import top_k
@@ -64,7 +65,7 @@ class VectorIndex:
     def rows(self, spark: SparkSession) -> DataFrame:
         """The stored vectors or codes.
 
-        The files are listed once and the listing kept: with many lists it costs more than a search.
+        The files are listed once and the listing kept.
         """
         if self._rows is None or self._rows.sparkSession is not spark:
             self._rows = spark.read.schema(ROW_SCHEMAS[self.kind]).parquet(f"{self.path}/rows")
@@ -119,6 +120,19 @@ class VectorIndex:
         self.n = self.rows(emb.sparkSession).count()
         self.record(emb.sparkSession)
 
+    def compact(self, spark: SparkSession) -> None:
+        """After many ``add``: the lists as one set of ranges again, as a new version; searches under way keep theirs."""
+        rows = self.rows(spark)
+        old, self.path = self.path, f"{self.path.rpartition('/')[0]}/{uuid.uuid4().hex}"
+        if self.kind == "Flat":
+            rows.write.parquet(f"{self.path}/rows")
+        else:
+            write_lists(rows, f"{self.path}/rows")
+        for table in ("centroids", "codebook") if self.kind == "IVFPQ" else ("centroids",) if self.kind == "IVF" else ():
+            spark.read.parquet(f"{old}/{table}").write.parquet(f"{self.path}/{table}")
+        self._rows = None
+        self.record(spark)
+
     def record(self, spark: SparkSession) -> None:
         """List this version, as it is now, as the newest."""
         values = (self.kind, self.path, self.n, self.d, self.nlist, self.m, self.bits, self.seed)
@@ -156,11 +170,10 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex | None:
         newest.kind, newest.path, newest.n, newest.d, newest.nlist, newest.m, newest.bits, newest.seed
     )
     if index.kind != "Flat":
-        stored = spark.read.parquet(f"{index.path}/centroids").orderBy("cluster_id").collect()
-        index.centroids = np.array([row.centroid for row in stored], dtype=np.float32)
+        stored = spark.read.parquet(f"{index.path}/centroids").orderBy("cluster_id").toArrow()
+        index.centroids = _matrix(stored.column("centroid"))
     if index.kind == "IVFPQ":
-        stored = spark.read.parquet(f"{index.path}/codebook").orderBy("m", "code").collect()
-        words = np.array([row.subvec for row in stored], dtype=np.float32)
+        words = _matrix(spark.read.parquet(f"{index.path}/codebook").orderBy("m", "code").toArrow().column("subvec"))
         index.codebooks = words.reshape(index.m, -1, words.shape[1])
     return index
 
@@ -213,13 +226,20 @@ def build_or_load(
     return index
 
 
+def _vectors(matrix: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(matrix.astype(np.float32).ravel()), matrix.shape[1]).cast(pa.list_(pa.float32()))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return list_column_to_matrix(column, len(column[0]), np.float32)
+
+
 def _store_centroids(spark: SparkSession, index: VectorIndex) -> None:
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
-    spark.createDataFrame(rows, "cluster_id int, centroid array<float>").write.parquet(f"{index.path}/centroids")
+    numbers = pa.array(np.arange(len(index.centroids), dtype=np.int32))
+    spark.createDataFrame(pa.table({"cluster_id": numbers, "centroid": _vectors(index.centroids)})).write.parquet(f"{index.path}/centroids")
     if index.codebooks is not None:
-        words = [
-            (part, code, [float(x) for x in word])
-            for part, book in enumerate(index.codebooks)
-            for code, word in enumerate(book)
-        ]
-        spark.createDataFrame(words, "m int, code int, subvec array<float>").write.parquet(f"{index.path}/codebook")
+        m, size, width = index.codebooks.shape
+        part, code = np.divmod(np.arange(m * size, dtype=np.int32), size)
+        words = pa.table({"m": pa.array(part), "code": pa.array(code), "subvec": _vectors(index.codebooks.reshape(-1, width))})
+        spark.createDataFrame(words).write.parquet(f"{index.path}/codebook")

@@ -212,6 +212,16 @@ def test_workloads_in_several_groups(emb, meta, workloads, truth, monkeypatch):
         hybrid.run_workloads(emb, meta, workloads, K, "sideways")
 
 
+def test_a_hundred_clauses_make_a_plan_of_constant_size(spark, emb, meta, queries):
+    one = queries.filter("qid = 1").select("qvec")
+    many = spark.range(100).join(one).select("id", "qvec", F.concat(F.lit("original_width * 0 + id >= "), F.col("id") * 5).alias("where_sql")).withColumnRenamed("id", "qid")
+    hits = hybrid.run_workloads(emb, meta, many, 1, "prefilter")
+    assert len(hits._jdf.queryExecution().executedPlan().toString()) < 2_000
+    nearest = {r.id: r.dist for r in knn_batch(emb, queries.filter("qid = 1"), 500).collect()}
+    want = {q: min((d, i) for i, d in nearest.items() if i >= 5 * q)[1] for q in range(100)}
+    assert {r.qid: r.id for r in hits.collect()} == want
+
+
 def test_workloads_sharing_a_clause(emb, meta, workloads, truth):
     same = workloads.withColumn("where_sql", F.lit("license is NULL"))
     hits = hybrid.run_workloads(emb, meta, same, K, "prefilter")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveknn import fixtures as fx
+from sieveknn.operators import ivf as ivf_module
 from sieveknn.operators.ivf import ZERO_CLUSTER, train_sample
 from sieveknn.operators.nearest import knn_batch
 from sieveknn.operators.pq import choose_m
@@ -66,16 +67,63 @@ def test_recall_grows_with_probes(ivf, emb, queries):
     assert shares[2] >= 0.7
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_read(df):
+    """Rows that the scans of an executed plan handed on."""
+    df.collect()
+    node, total = [df._jdf.queryExecution().executedPlan()], 0
+    while node:
+        one = node.pop()
+        name = one.nodeName()
+        if name.startswith("Scan parquet"):
+            total += one.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlan":
+            node.append(one.executedPlan())
+        elif "QueryStage" in name:
+            node.append(one.plan())
+        children = one.children()
+        node += [children.apply(i) for i in range(children.size())]
+    return total
+
+
 def test_only_probed_lists_are_read(spark, ivf, queries):
     hits = ivf.search(queries.limit(1), 10, 3)
     hits.collect()
-    text = hits._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cluster_id" in text and "dynamicpruning" not in text
-    every = ivf.search(queries.limit(1), 10, ivf.nlist)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: []" in every
+    assert "EqualTo(cluster_id," in plan(hits) and "dynamicpruning" not in plan(hits)
+    assert "cluster_id" not in plan(ivf.search(queries.limit(1), 10, ivf.nlist)).split("PushedFilters: [")[1].split("]")[0]
     assert ivf.rows(spark).select("cluster_id").distinct().count() == ivf.nlist
 
 
+def test_row_groups_and_pages_without_a_probed_list_are_skipped(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(ivf_module, "ROW_GROUP_BYTES", 64 * 1024)
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.normal(size=32).tolist(), int(i % 200)) for i in range(20_000)], "id long, embedding array<float>, cluster_id int")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ivf_module.write_lists(rows, str(tmp_path / "lists"))
+    stored = spark.read.parquet(str(tmp_path / "lists"))
+    assert len(stored.inputFiles()) <= 4  # not one for each list
+    members = {number: np.array([0]) for number in (3, 4, 5, 77, 150)}
+    pruned = ivf_module.prune_lists(stored, members, 200)
+    assert pruned.count() == 500
+    assert rows_read(pruned.select("id", "embedding", "cluster_id").filter("id >= 0")) < 8_000
+    monkeypatch.setattr(ivf_module, "MAX_RUNS", 2)  # 3 ... 77 become one run: more is read, nothing lost
+    assert set(members) <= {r.cluster_id for r in ivf_module.prune_lists(stored, members, 200).select("cluster_id").distinct().collect()}
+
+
+def test_compaction_keeps_the_rows(spark, emb, folder):
+    index = build_or_load(spark, f"{folder}/parts", emb.filter("id < 100"), "IVFPQ", nlist=5, bits=4)
+    for low in (100, 200, 300, 400):
+        index.add(emb.filter(F.col("id").between(low, low + 99)))
+    before, files = sorted(index.rows(spark).collect()), len(index.rows(spark).inputFiles())
+    index.compact(spark)
+    loaded = load_index(spark, f"{folder}/parts")
+    assert loaded.path == index.path and loaded.n == 500
+    assert sorted(loaded.rows(spark).collect()) == before and len(loaded.rows(spark).inputFiles()) < files
+
+
 def test_rows_without_a_vector(spark, emb, folder):
     gaps = emb.filter("id < 60").select("id", F.when(F.col("id") % 3 > 0, F.col("embedding")).alias("embedding"))
     index = build_or_load(spark, f"{folder}/gaps", gaps, "IVF", nlist=4)
