@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sieveknn.functions import encode_workloads
+from sieveknn.operators import idsets
 from sieveknn.operators.ivf import train_sample
 from sieveknn.operators.nearest import knn, knn_batch
 from sieveknn.plans import hybrid
@@ -27,10 +28,10 @@ def queries(spark):
     return spark.createDataFrame([(1, QUERY)], "qid long, qvec array<double>")
 
 
-@pytest.mark.parametrize("limits", [{}, {"MAX_LISTED_IDS": 0}, {"MAX_LISTED_IDS": 0, "MAX_BROADCAST_ROWS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"MAX_LISTED_IDS": 0}, {"MAX_LISTED_IDS": 0, "MAX_BROADCAST_BITMAPS": 0}])
 def test_ids_that_the_metadata_repeats_match_once(emb, meta, queries, monkeypatch, limits):
     for name, value in limits.items():
-        monkeypatch.setattr(hybrid, name, value)
+        monkeypatch.setattr(idsets if name == "MAX_BROADCAST_BITMAPS" else hybrid, name, value)
     found = [hybrid.search_prefilter(emb, meta, queries, "width = 5", 3), hybrid.search_postfilter(emb, meta, queries, "width = 5", 3)]
     workloads = queries.selectExpr("qid", "qvec", "'width = 5' as where_sql").unionAll(queries.selectExpr("qid + 1", "qvec", "'width < 9'"))
     for strategy in ("prefilter", "postfilter"):
