@@ -429,8 +429,8 @@ def run_workloads(
 
 def _clause_groups(workloads: DataFrame) -> Iterator[list[str]]:
     """The distinct clauses, as many at a time as one metadata scan evaluates; the driver never holds them all."""
-    rows = workloads.select("where_sql").distinct().orderBy("where_sql").toLocalIterator()
-    while group := [row.where_sql for row in islice(rows, CLAUSES_PER_SCAN)]:
+    rows = workloads.select("where_sql").distinct().toLocalIterator()
+    while group := sorted(row.where_sql for row in islice(rows, CLAUSES_PER_SCAN)):
         yield group
 
 
