@@ -1,8 +1,10 @@
 """Language-model scores: a causal self-attention model over subword ids, and a word unigram beside it.
 
 Subword ids are those of a public byte-level BPE vocabulary. Counts of words and of subword ids are taken over all training documents (crc32(doc_id) mod 7 is not 2).
-The network learns from every position of all of them: in each of ``ROUNDS`` rounds tasks take gradient steps over
-their share of the round's documents, and the weights are averaged in Spark. It scores every whole text in overlapping windows.
+The network learns from every position of all of them: in each of up to ``ROUNDS`` rounds trainers take gradient steps over
+their share of the round's documents, and the weights are averaged in Spark. Rounds, trainers and the order inside a share
+are hashes of id and text, so the scores don't depend on how the table is cut into files. The number of trainers grows with
+the square root of the corpus, as do the steps of each. It scores every whole text in overlapping windows.
 
 The words of a text are looked up in two ways: the ``HEAD_WORDS`` most frequent ones in a table that goes with
 the tasks, all others by a join with the stored counts, so no vocabulary has to fit anywhere.
@@ -10,6 +12,7 @@ the tasks, all others by a join with the stored counts, so no vocabulary has to
 * A null text is empty; an empty text has one token, its end.
 * Rows without an id are not learned from, and ``held_out`` is false for them. Without training rows all
   words are unknown and the untrained network scores.
+* A very long text is encoded and scored whole; it goes to one trainer, which reads its share as a stream.
 * Repeated rows (same id and text) get equal scores. Further columns are ignored. No rows give no rows.
 """
 
@@ -18,28 +21,30 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveknn.llm.attention import BATCH, BLOCK, BUFFER, AttentionModel, Trainer, fresh, frequent, neighbours
 from sieveknn.llm.common import hash_sample, lower_ascii, remainder, stored, whole_text
-from sieveknn.session import ship_package
+from sieveknn.session import new_scratch_path, ship_package
 
 ROUNDS = 8  # each training document is in one of them
-TRAINERS = 48  # at most so many tasks of a round, each with weights of its own
+SHARE = 100  # a trainer's part of a round is this many times the square root of the round's positions
 LEAST_STEPS = 500  # small tables are passed over several times
 HEAD_WORDS = 200_000
 VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits a text before its pieces are merged.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BATCH_IDS = 400_000
-_BATCH_ROWS = 1_000
+_BATCH_BYTES = 4_000_000  # of text, encoded or looked up together
 _PART = 1 << 16  # numbers of a row when arrays are summed
 
 
@@ -49,6 +54,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("th"), F.coalesce(remainder(F.col("doc_id"), 7) != 2, F.lit(False)).alias("train"), text.alias("text"))
 
 
+def _cuts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths add up to at most ``most``, or of a single longer row."""
+    ends, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, stop
+        at = stop
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, stop in _cuts(pc.binary_length(batch.column(column)).to_numpy(), _BATCH_BYTES):
+            yield batch.slice(at, stop - at)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word, c`` over the training documents; the end of a text is the null word."""
     training = _keyed(docs).where("train")
@@ -76,7 +96,7 @@ def subwords(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH) -> DataFra
 
     def run(batches):
         encode = encoding(vocabulary.value).encode_ordinary
-        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
+        for batch in _text_slices(batches, 3):
             rows = [np.array(encode(t.as_py()), np.int32) for t in batch.column(3)]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
@@ -107,18 +127,20 @@ def _summed(frame: DataFrame, run) -> np.ndarray | None:
     return np.concatenate([r.values.to_numpy() for r in rows]) if len(rows) else None
 
 
-def _id_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-    lists = batch.column(0)
+def _id_lists(lists: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """The lists in runs of at most ``_BATCH_IDS`` ids, or of a single longer list."""
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return [values[offsets[k] : offsets[k + 1]].astype(np.int64) for k in range(len(lists))]
+    for at, stop in _cuts(np.diff(offsets), _BATCH_IDS):
+        yield [values[offsets[k] : offsets[k + 1]] for k in range(at, stop)]
 
 
 def neighbour_counts(ids: DataFrame, top: np.ndarray, size: int, start: int, end: int) -> np.ndarray:
     def run(batches):
         total = None
         for batch in batches:
-            found = neighbours([np.concatenate([[start], r, [end]]) for r in _id_lists(batch)], top, size)
-            total = found if total is None else total + found
+            for run_of in _id_lists(batch.column(0)):
+                found = neighbours([np.concatenate([[start], r, [end]]) for r in run_of], top, size)
+                total = found if total is None else np.add(total, found, out=total)
         if total is not None:
             yield from _parts(total.reshape(-1), TaskContext.get().partitionId())
 
@@ -129,7 +151,7 @@ def neighbour_counts(ids: DataFrame, top: np.ndarray, size: int, start: int, end
 def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int = 1) -> int:
     """Lets ``model`` learn from every position of ``ids``; returns how many there were, ends included, times ``passes``.
 
-    Each task takes steps on a copy of the weights; the new weights are their average by positions.
+    Each task takes steps on a copy of the weights; the new weights are their average by positions. Its partition number is its seed.
     """
     shared = ids.sparkSession.sparkContext.broadcast(model)
 
@@ -144,7 +166,7 @@ def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int
             return passes * int((y >= 0).sum())
 
         for batch in batches:
-            for r in _id_lists(batch):
+            for r in chain.from_iterable(_id_lists(batch.column(0))):
                 held.append(r)
                 size += len(r) // BLOCK + 1
                 if size >= BUFFER:
@@ -167,6 +189,26 @@ def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int
     return round(total[0])
 
 
+def round_of() -> Column:
+    """The round that a training document is in."""
+    return F.pmod(F.xxhash64("doc_id", "th", F.lit("round")), F.lit(ROUNDS)).cast("int")
+
+
+def stored_ids(encoded: DataFrame) -> DataFrame:
+    """``encoded`` and ``round``, stored in a folder for each round; rows that aren't learned from are in round -1."""
+    path = new_scratch_path(encoded.sparkSession, "lm-ids")
+    placed = encoded.withColumn("round", F.when(F.col("train"), round_of()).otherwise(-1))
+    placed.write.partitionBy("round").parquet(path)
+    return encoded.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def dealt(training: DataFrame, trainers: int) -> DataFrame:
+    """``ids`` with the documents of each trainer in the partition of its number, in an order that only they decide."""
+    trainer = F.pmod(F.xxhash64("doc_id", "th", F.lit("trainer")), F.lit(trainers)).cast("int")
+    placed = training.select("doc_id", "th", "ids").repartitionById(trainers, trainer)
+    return placed.sortWithinPartitions(F.xxhash64("doc_id", "th", F.lit("order")), "doc_id", "th").select("ids")
+
+
 def fit(encoded: DataFrame, vocabulary: int, sample_rows: int | None = None) -> AttentionModel:
     """The model of ``vocabulary`` ids and two more, the start and the end of a text.
 
@@ -186,14 +228,17 @@ def fit(encoded: DataFrame, vocabulary: int, sample_rows: int | None = None) ->
         training = training.join(F.broadcast(chosen), ["doc_id", "th"])
         total = training.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
     top = frequent(counts)
-    before = neighbour_counts(training.select("ids").coalesce(TRAINERS), top, len(counts), start, end)
+    rounds = min(ROUNDS, max(1, int(total) // (BATCH * BLOCK)))  # a round is at least a whole step
+    trainers = max(1, math.ceil(math.sqrt(total / rounds) / SHARE))
+    before = neighbour_counts(training.select("ids").coalesce(trainers), top, len(counts), start, end)
     model = fresh(before, top, counts, start, end)
     if not total:
         return model
     passes = max(1, math.ceil(LEAST_STEPS * BATCH * BLOCK / total / 8))
-    place = F.pmod(F.xxhash64("doc_id", "th", F.lit("round")), F.lit(ROUNDS))
-    for k in range(ROUNDS):
-        train_round(training.where(place == k).select("ids").coalesce(TRAINERS), model, 0.02 * (1 - 0.9 * k / ROUNDS), passes)
+    if "round" not in training.columns:
+        training = training.withColumn("round", round_of())
+    for k in range(rounds):
+        train_round(dealt(training.where(F.col("round") % rounds == k), trainers), model, 0.02 * (1 - 0.9 * k / rounds), passes)
     return model
 
 
@@ -204,16 +249,9 @@ def attention_scores(encoded: DataFrame, model: AttentionModel) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            scores = np.empty(len(lists))
-            at = 0
-            while at < len(lists):
-                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BATCH_IDS, side="right")) - 1)
-                stop = min(stop, len(lists))
-                scores[at:stop] = shared.value.log_probabilities([values[offsets[k] : offsets[k + 1]] for k in range(at, stop)])
-                at = stop
+            scores = np.concatenate([np.empty(0), *map(shared.value.log_probabilities, _id_lists(lists))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(scores / math.log(10))],
+                [batch.column(0), batch.column(1), pc.list_value_length(lists).cast(pa.int64()), pa.array(scores / math.log(10))],
                 names=["doc_id", "th", "n_subwords", "score"],
             )
 
@@ -245,7 +283,7 @@ def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WOR
 
     def run(batches):
         find = shared.value.get
-        for batch in (b.slice(at, _BATCH_ROWS) for b in batches for at in range(0, b.num_rows, _BATCH_ROWS)):
+        for batch in _text_slices(batches, 3):
             n, known, value, tail, times = [], [], [], [], []
             for text in batch.column(3).cast(pa.binary()):
                 words = text.as_buffer().to_pybytes().lower().split()
@@ -294,7 +332,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY_PATH, sample_
     counts = stored(count_words(docs), "lm-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = totals["n"] or 0, totals["v"]
-    encoded = stored(subwords(docs, vocabulary_path), "lm-ids")
+    encoded = stored_ids(subwords(docs, vocabulary_path))
     vocabulary = encoding(Path(vocabulary_path).read_bytes()).n_vocab
     scores = attention_scores(encoded, fit(encoded, vocabulary, sample_rows)).dropDuplicates(["doc_id", "th"])
     scores = scores.withColumnsRenamed({"doc_id": "d3", "th": "t3"})

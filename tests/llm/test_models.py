@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from corpus_rows import SCHEMA, messy_rows
 
+from pyspark.sql import functions as F
 from sieveknn.llm import attention, language, lm_scoring, recurrent, toxicity
 from sieveknn.llm.boosting import boost, isotonic, sigmoid
 from sieveknn.llm.common import LOWER, UPPER, documents
@@ -195,6 +196,22 @@ def test_every_position_trains_the_network(spark, monkeypatch):
     assert len(set(model.slot.tolist())) == len(model.slot) and len(model.p["member"]) == len(model.slot)
 
 
+def test_scores_do_not_depend_on_the_files(messy):
+    one, many = ({(r.doc_id, r.n_subwords): r.score for r in lm_scoring.score_texts(messy.repartition(n)).collect()} for n in (1, 5))
+    assert one.keys() == many.keys() and len(one) > 40
+    assert all(math.isclose(one[k], many[k], rel_tol=1e-4) for k in one)
+
+
+def test_trainers_get_their_documents_in_one_order_from_any_layout(spark):
+    rows = [(i, i * 31, [i]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, th long, ids array<int>")
+    seen = [
+        [(r.p, r.ids[0]) for r in lm_scoring.dealt(frame.repartition(n), 7).select(F.spark_partition_id().alias("p"), "ids").collect()]
+        for n in (1, 6)
+    ]
+    assert seen[0] == seen[1] and {p for p, _ in seen[0]} == set(range(7)) and {i for _, i in seen[0]} == set(range(600))
+
+
 def test_a_rare_language_is_in_the_sample(spark):
     rows = [(i, f"some words number {i}", "xx" if i in (5001, 5002, 5004, 5005) else "en", None, 1) for i in range(5010)]
     found = language.training_windows(spark.createDataFrame(rows, SCHEMA), 50)
