@@ -2,26 +2,29 @@
 
 The driver reads only the headers.  Each shard is cut into row ranges, and every task reads the
 bytes of its own range, so a shard of any size is read in parallel.  Ids follow the sorted shard
-paths.  Paths may carry any scheme pyarrow knows (local, hdfs, s3, gs).
+paths.  Paths may carry any scheme pyarrow knows (local, hdfs, s3, gs).  Shards are written as a stream too.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib import format as npy_format
 from pyarrow import fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 # Rows handed to Spark at a time inside a task.
 ROWS_PER_BATCH = 10_000
 DEFAULT_PARTITION_BYTES = 128 * 1024 * 1024
+COPY_BYTES = 8 * 1024 * 1024
 
 
 @dataclass
@@ -34,6 +37,13 @@ class Shard:
     column_major: bool
 
 
+@dataclass
+class StagedShard(WriterCommitMessage):
+    location: str | None  # without rows there is no file
+    partition: int
+    dim: int
+
+
 @dataclass
 class RowRange(InputPartition):
     shard: Shard
@@ -122,8 +132,76 @@ class NpyReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(ids), vectors], names=["id", "embedding"])
 
 
+def _float32_rows(batch: pa.RecordBatch, dim: int | None) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index("embedding"))
+    if column.null_count or column.flatten().null_count:
+        raise ValueError("a vector, or a number in one, is null")
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) > 1 or dim not in (None, widths[0]):
+        raise ValueError(f"vector widths differ: {sorted({*widths, *([] if dim is None else [dim])})}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(column), -1)
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Each task streams its rows to a file of its own below a staging folder; the commit gives the files their names.
+
+    The header holds the number of rows, known only at the end, and object stores cannot go back to write it. So rows
+    go to a body first, and header and body are then joined, a block at a time.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.staging = f"_staging-{uuid.uuid4().hex}"
+        if not overwrite and list_shards(f"{self.path}/*.npy"):
+            raise ValueError(f"{self.path} holds .npy files already")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> StagedShard:
+        context = TaskContext.get()
+        filesystem, location = _open_location(self.path)
+        filesystem.create_dir(f"{location}/{self.staging}")
+        # the attempt is part of the name, so that a speculative copy of the task writes files of its own
+        staged = f"{location}/{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
+        rows, dim = 0, None
+        with filesystem.open_output_stream(f"{staged}.body") as body:
+            for batch in batches:
+                if batch.num_rows:
+                    block = _float32_rows(batch, dim)
+                    rows, dim = rows + len(block), block.shape[1]
+                    body.write(block.data)
+        if dim is None:
+            return StagedShard(None, context.partitionId(), 0)
+        with filesystem.open_output_stream(f"{staged}.npy") as handle, filesystem.open_input_stream(f"{staged}.body") as body:
+            npy_format.write_array_header_1_0(handle, {"descr": "<f4", "fortran_order": False, "shape": (rows, dim)})
+            while block := body.read(COPY_BYTES):
+                handle.write(block)
+        filesystem.delete_file(f"{staged}.body")
+        return StagedShard(f"{staged}.npy", context.partitionId(), dim)
+
+    def commit(self, messages: list[StagedShard | None]) -> None:
+        filesystem, location = _open_location(self.path)
+        staged = [m for m in messages if m is not None and m.location is not None]
+        widths = {m.dim for m in staged}
+        if len(widths) > 1:
+            self.abort(messages)
+            raise ValueError(f"vector widths differ between shards: {sorted(widths)}")
+        if self.overwrite:
+            for old in list_shards(f"{self.path}/*.npy"):
+                filesystem.delete_file(_open_location(old)[1])
+        for message in staged:
+            filesystem.move(message.location, f"{location}/part_{message.partition:06d}.npy")
+        self._clear()
+
+    def abort(self, messages: list[StagedShard | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        filesystem, location = _open_location(self.path)
+        if filesystem.get_file_info(f"{location}/{self.staging}").type == pa_fs.FileType.Directory:
+            filesystem.delete_dir(f"{location}/{self.staging}")
+
+
 class NpyDataSource(DataSource):
-    """``spark.read.format("npy").load("dir/text_emb_*.npy")``"""
+    """``spark.read.format("npy").load("dir/text_emb_*.npy")``, ``emb.write.format("npy").mode("append").save("dir")``"""
 
     @classmethod
     def name(cls) -> str:
@@ -135,6 +213,9 @@ class NpyDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return NpyReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options, overwrite)
+
 
 def read_npy(spark: SparkSession, pattern: str, partition_bytes: int = DEFAULT_PARTITION_BYTES) -> DataFrame:
     """All shards matching a glob, with contiguous ids over the sorted shard paths."""
@@ -142,29 +223,14 @@ def read_npy(spark: SparkSession, pattern: str, partition_bytes: int = DEFAULT_P
     return spark.read.format("npy").option("partitionBytes", partition_bytes).load(pattern)
 
 
-def write_npy(emb: DataFrame, path: str, shards: int) -> None:
+def write_npy(emb: DataFrame, path: str, shards: int, overwrite: bool = False) -> None:
     """Vectors ``(id, embedding)`` to float32 ``.npy`` shards in id order, one file per task.
 
-    File names sort in id order, so reading them back gives contiguous ids in the same order.  A
-    retried task overwrites its own file.
+    File names sort in id order, so reading them back gives contiguous ids in the same order. A task holds one
+    batch. The files appear when all tasks have succeeded; a folder that has shards already is refused unless
+    ``overwrite`` is set, which takes the old ones away then. No rows give no files; a null vector and
+    vectors of several widths are errors.
     """
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column("embedding")
-                values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                blocks.append(values.reshape(len(column), -1))
-        if blocks:
-            block = np.concatenate(blocks)
-            folder, location = _open_location(path)
-            name = f"{location}/part_{TaskContext.get().partitionId():06d}.npy"
-            with folder.open_output_stream(name) as handle:
-                npy_format.write_array(handle, block, allow_pickle=False)
-            yield pa.RecordBatch.from_arrays([pa.array([len(block)], pa.int64())], names=["rows"])
-
-    filesystem, location = _open_location(path)
-    filesystem.create_dir(location)
+    emb.sparkSession.dataSource.register(NpyDataSource)
     ordered = emb.select("id", "embedding").repartitionByRange(shards, "id").sortWithinPartitions("id")
-    ordered.mapInArrow(save, "rows bigint").agg({"rows": "sum"}).collect()
+    ordered.write.format("npy").mode("overwrite" if overwrite else "append").save(path)

@@ -112,6 +112,33 @@ def test_npy_round_trip(spark, tmp_path):
     assert sorted((r.id, r.embedding[0]) for r in rows) == [(i, float(i)) for i in range(40)]
 
 
+def test_npy_writer_streams_many_batches_and_refuses_to_mix(spark, tmp_path):
+    emb = spark.range(5000).select("id", F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("embedding"))
+    out = tmp_path / "out"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        write_npy(emb.orderBy(F.desc("id")), str(out), 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = [np.load(f) for f in sorted(out.iterdir())]
+    assert [f.name for f in sorted(out.iterdir())] == ["part_000000.npy", "part_000001.npy"]
+    assert all(p.dtype == np.float32 for p in parts) and np.array_equal(np.concatenate(parts)[:, 0], np.arange(5000))
+    with pytest.raises(Exception, match="holds .npy files already"):
+        write_npy(emb, str(out), 1)
+    write_npy(emb.filter("id < 10"), str(out), 1, overwrite=True)
+    assert [f.name for f in out.iterdir()] == ["part_000000.npy"] and read_npy(spark, f"{out}/*.npy").count() == 10
+
+
+def test_a_failed_npy_write_leaves_nothing(spark, tmp_path):
+    emb = spark.createDataFrame([(i, [1.0] * (2 if i < 50 else 3)) for i in range(100)], "id long, embedding array<float>")
+    for bad in (emb, emb.filter("id in (0, 99)"), spark.createDataFrame([(1, None)], emb.schema), spark.createDataFrame([(1, [None])], emb.schema)):
+        with pytest.raises(Exception, match="widths differ|is null"):
+            write_npy(bad, str(tmp_path / "bad"), 2)
+        assert not list((tmp_path / "bad").iterdir())
+    write_npy(emb.limit(0), str(tmp_path / "none"), 2)
+    assert not list((tmp_path / "none").iterdir())
+
+
 def test_alignment(spark):
     meta = spark.createDataFrame([(0,), (1,), (2,)], "id long")
     emb = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (5, [0.0, 0.0])], "id long, embedding array<float>")
