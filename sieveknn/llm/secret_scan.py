@@ -7,12 +7,15 @@ while a window slides along it one count goes up and one down; the span reaches
 last window whose Shannon entropy is at or above the class's threshold. A candidate of ``SHORT`` or more
 characters that is shorter than the window is one window, with the threshold in the same proportion to the most
 its length allows; it is named unless a base span holds it already. Candidates that match an anchored allow-list
-pattern as a whole, and spans that hold one of the others, are passed over; base spans are never suppressed.
+pattern as a whole, and spans that hold one of the others, are passed over; so are spans that look like words or
+plain numbers. Words have no digits, and beside words in one case or capitalised the rarer case has at most a fifth of
+the letters, as in names of joined words. A key of letters in one case alone can't be told from words; one of mixed
+letters can. Base spans are never suppressed.
 
 All column expressions: a row is scanned where it lies, without any shuffle.
 
-* Null text counts as empty: no spans, and the hash of an empty list. Null ids stay null.
-* Repeated rows each give their row. Further columns of the input are ignored.
+* Null text counts as empty: no spans, and the hash of an empty list. Null ids stay null. No rows give no rows.
+* A very long text is scanned whole. Repeated rows each give their row. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +36,14 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
 # Strings that look random but are not secret.
 ALLOW_LIST = (
-    r"^[^0-9]*$",  # words
-    r"^[0-9._=+/-]*$",  # plain numbers
     r"(.)\1{7}",  # runs of one character
     r"(?i)example|placeholder|changeme|dummy",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUIDs
 )
+NUMBERS = r"^[0-9._=+/-]*$"
+PLAIN_WORD = r"(?<![A-Za-z])([a-z]+|[A-Z][a-z]*|[A-Z]+)(?![A-Za-z])"
+LETTERS_OF_A_WORD = 5  # letters for each change of case in a name of joined words
 WINDOW, SHORT = 24, 16
 _SCALE = 1_000_000_000  # entropies are sums of integers, so they do not depend on the order of updates
 _BLOCK = 256
@@ -112,6 +116,14 @@ def _matches(text: str, patterns) -> str:
     return " or ".join(f"rlike({text}, r'{pattern}')" for pattern in patterns) or "false"
 
 
+def _plain(text: str) -> str:
+    """SQL: does the string look like words or plain numbers?"""
+    count = lambda letters: f"length(regexp_replace(r, '[^{letters}]', ''))"
+    joined = f"{LETTERS_OF_A_WORD} * least({count('A-Z')}, {count('a-z')}) <= {count('A-Za-z')}"
+    words = f"transform(array(regexp_replace({text}, r'{PLAIN_WORD}', '')), r -> {joined})[0]"
+    return f"rlike({text}, r'{NUMBERS}') or not rlike({text}, '[0-9]') and {words}"
+
+
 def _letters(kind: CharacterClass) -> str:
     return kind.alphabet.replace("-", r"\-")
 
@@ -120,6 +132,7 @@ def entropy_spans(classes=CLASSES, window: int = WINDOW, allow_list=ALLOW_LIST)
     """``array<struct<s, e, k>>`` of the entropy spans of column ``t``, of candidates as long as the window."""
     whole = [p for p in allow_list if p.removeprefix("(?i)").startswith("^")]
     inside = [p for p in allow_list if p not in whole]
+    hot = "substring(c.m, c.h.from + 1, c.h.upto - c.h.from)"
     found = []
     for kind in classes:
         letters = _letters(kind)
@@ -127,7 +140,7 @@ def entropy_spans(classes=CLASSES, window: int = WINDOW, allow_list=ALLOW_LIST)
         found.append(
             f"""transform(filter(transform(filter({_located(run)}, c -> not ({_matches("c.m", whole)})),
               c -> named_struct('s', c.s, 'm', c.m, 'h', {_hot(kind, window)})),
-              c -> c.h.from is not null and not ({_matches("substring(c.m, c.h.from + 1, c.h.upto - c.h.from)", inside)})),
+              c -> c.h.from is not null and not ({_matches(hot, inside)} or {_plain(hot)})),
               c -> named_struct('s', c.s + c.h.from, 'e', c.s + c.h.upto, 'k', 3))"""
         )
     return F.expr(f"array_distinct(concat({', '.join(found)}))")
@@ -140,7 +153,7 @@ def short_spans(classes=CLASSES, window: int = WINDOW, allow_list=ALLOW_LIST, le
         letters = _letters(kind)
         run = rf"(?<![{letters}])[{letters}]{{{least},{window - 1}}}(?![{letters}])"
         found.append(
-            f"""transform(filter({_located(run)}, c -> not ({_matches("c.m", allow_list)}) and {_even(kind, window)}),
+            f"""transform(filter({_located(run)}, c -> not ({_matches("c.m", allow_list)} or {_plain("c.m")}) and {_even(kind, window)}),
               c -> named_struct('s', c.s, 'e', c.s + length(c.m), 'k', 3))"""
         )
     return F.expr(f"array_distinct(concat({', '.join(found)}))")

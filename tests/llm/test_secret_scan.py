@@ -94,3 +94,20 @@ def test_upper_case_hex_short_keys_and_words_beside_a_key(spark):
     kind, at, end = rows[5].spans.split(":")
     assert kind == "entropy" and 11 < int(at) <= 51 and int(end) == 4 + 47 + len(MIXED)
     assert rows[6].spans == ""
+
+
+def test_a_key_of_letters_is_a_secret_and_words_are_not(spark):
+    key = "qZrTxWbNkLpVdGhJcMfSyQaEuRiOwXzBtPnKvDlHgCjFsYmA"
+    texts = [
+        f"key {key} end",
+        f"key {key[:16]} end",
+        f"some_long_words_here/{key}",
+        "the longIdentifierNameOfSomeThing or some_long_snake_case_identifier_of_words or SCREAMING_SNAKE_CASE_QUICK_JUMPS end",
+        "path/to/quick/brown/foxes/jumping/over/lazy/dogs and The-Quick-Brown-Fox-Jumps-Over-Lazy-Dogs",
+        "on 2024-01-31/17:45 the number 314159265358979323846264338327950288 was read",
+    ]
+    rows = {r.doc_id: r for r in scan.scan_secrets(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert rows[0].spans == "entropy:4:52" and rows[1].spans == "entropy:4:20"
+    kind, at, end = rows[2].spans.split(":")
+    assert kind == "entropy" and int(at) <= 21 and int(end) == 69
+    assert [rows[k].n_entropy for k in (3, 4, 5)] == [0, 0, 0]
