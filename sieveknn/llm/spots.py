@@ -2,8 +2,9 @@
 
 A spot is a common word (an antecedent); its signature is that word with the chain of the next content
 words, common words between them skipped. The start of a text counts as an antecedent too, so
-every text with a content word has a signature. The fingerprint is the set of signatures, written as
-the sorted hexadecimal hashes; the likeness of two is their Jaccard index.
+every text with a content word has a signature. Where no common word follows a content word or any of the ``GAP - 1``
+before it, that word is an antecedent too, so that lists and names are not known by their start alone. The fingerprint is the set of signatures, written as
+the sorted hexadecimal 64-bit hashes; the likeness of two is their Jaccard index.
 
 Sets whose sizes differ by more than the wanted likeness cannot reach it: ``pruned_jaccard`` then skips
 the comparison, and ``near_pairs`` only lets sets meet whose size classes can.
@@ -31,13 +32,14 @@ COMMON_WORDS = (
     "el los las y del por con su para como más pero al lo sus este ya entre cuando"
 ).split()
 CHAIN = 2
+GAP = 4  # content words without a common word, after which the next one counts as an antecedent
 MAX_BUCKETS = 4096
 MAX_BROADCAST_BYTES = 32 << 20
 _MARK = "\u0001"
 
 
 def signatures(text: Column, chain: int = CHAIN, common: list[str] = COMMON_WORDS) -> Column:
-    """The distinct signatures of a text as ``array<int>``."""
+    """The distinct signatures of a text as ``array<long>``."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     # Content words start a segment, the common words behind one stay in its segment.
     marked = F.transform(words, lambda w: F.when(w.isin(*sorted(set(common))), F.concat(F.lit(_MARK), w)).otherwise(F.concat(F.lit(" "), w)))
@@ -52,18 +54,25 @@ def signatures(text: Column, chain: int = CHAIN, common: list[str] = COMMON_WORD
             parts,
             chains,
             lambda s, c: F.when(
-                c.isNotNull() & s.contains(_MARK), F.transform(F.slice(F.split(s, _MARK), 2, 1 << 30), lambda word: F.hash(word, c))
-            ).otherwise(F.array().cast("array<int>")),
+                c.isNotNull() & s.contains(_MARK), F.transform(F.slice(F.split(s, _MARK), 2, 1 << 30), lambda word: F.xxhash64(word, c))
+            ).otherwise(F.array().cast("array<long>")),
         )
-        return F.array_distinct(F.flatten(spots))
+        hashes = F.zip_with(content, chains, lambda word, c: F.when(c.isNotNull(), F.xxhash64(word, c)))
+
+        def without_spots(marked: Column) -> Column:
+            bare = F.transform(marked, lambda m, i: ~m & ~F.exists(F.slice(marked, F.greatest(i - GAP + 2, F.lit(1)), GAP), lambda x: x))
+            return F.array_compact(F.zip_with(bare, hashes, lambda b, h: F.when(b, h)))
+
+        added = F.transform(F.array(F.transform(parts, lambda s: s.contains(_MARK))), without_spots)[0]
+        return F.array_distinct(F.concat(F.flatten(spots), added))
 
     # A one-element array binds the segments, so that they are made once.
     return F.transform(F.array(segments), from_segments)[0]
 
 
 def fingerprint(sigs: Column) -> Column:
-    """The set as text: sorted hashes of eight hexadecimal digits."""
-    return F.array_join(F.transform(F.array_sort(sigs), lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
+    """The set as text: sorted hashes of 16 hexadecimal digits."""
+    return F.array_join(F.transform(F.array_sort(sigs), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def pruned_jaccard(a: Column, b: Column, floor: float = 0.0) -> Column:

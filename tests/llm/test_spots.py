@@ -18,6 +18,10 @@ def signature_words(text):
     content = [w for w in words if w not in COMMON]
     if content:
         found.add(("^", " ".join(content[:2])))
+    places = [i for i, w in enumerate(words) if w not in COMMON]
+    for j in range(spots.GAP - 1, len(places) - 1):
+        if places[j + 1] - places[j + 1 - spots.GAP] == spots.GAP:
+            found.add((content[j], " ".join(content[j + 1 : j + 3])))
     for i, w in enumerate(words):
         if w in COMMON:
             chain = [x for x in words[i + 1 :] if x not in COMMON][:2]
@@ -27,9 +31,9 @@ def signature_words(text):
 
 
 def test_signatures_against_brute_force(spark):
-    texts = ["", "the", "the cat", "a cat and a dog", "The of cat, THE dog; the the bird", "no common words here? none", "der Ölbaum und die Straße"]
+    texts = ["", "the", "the cat", "a cat and a dog", "The of cat, THE dog; the the bird", "no common words here? none", "one two three four the five six seven eight nine ten of", "der Ölbaum und die Straße"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    hashed = lambda pairs: spark.createDataFrame(list(pairs) or [("", "")], "a string, c string").select(F.hash("a", "c").alias("h"))
+    hashed = lambda pairs: spark.createDataFrame(list(pairs) or [("", "")], "a string, c string").select(F.xxhash64("a", "c").alias("h"))
     for row in docs.select("text", spots.signatures(F.col("text")).alias("s")).collect():
         want = signature_words(row.text)
         assert set(row.s) == ({r.h for r in hashed(want).collect()} if want else set())
@@ -84,3 +88,13 @@ def test_near_pairs_against_all_pairs(spark):
     want = {(a, b) for a, b in combinations(kept, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     found = {(r.doc_id, r.other_id) for r in spots.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == want and want
+
+
+def test_texts_without_common_words_are_not_known_by_their_start(spark):
+    one, two = (["same start", *(f"{kind}{k}" for k in range(200))] for kind in ("left", "right"))
+    rows = [(i, " ".join(words), None, None, None) for i, words in enumerate((one, two, one[:-1] + ["end"]))]
+    found = {r.doc_id: r for r in spots.fingerprint_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1].near_next < 0.02 and found[2].near_next < 0.02 and found[0].near_edited > 0.3
+    assert len(found[0].fingerprint) == 16 * found[0].n_signatures and found[0].n_signatures > 150
+    pairs = spots.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.doc_id, r.other_id) for r in pairs] == [(0, 2)]
