@@ -168,7 +168,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lead("text").over(down), F.last("text").over(up.rowsBetween(0, Window.unboundedFollowing))).alias("head"),
     )
     follow = stored(follow.withColumn("head_sigs", signatures(F.col("head"))), "spot-follow")
-    total = follow.agg(F.sum(F.octet_length("head"))).first()[0] or 0
+    total = follow.agg(F.sum(F.octet_length("head") + 8 * F.size("head_sigs"))).first()[0] or 0
     if total <= MAX_BROADCAST_BYTES:
         follow = F.broadcast(follow)
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
