@@ -22,8 +22,11 @@ from .topk import top_k
 # Rows of a list, and queries that probe it, in one cell.
 ROWS_PER_CELL = 65_536
 QUERIES_PER_CELL = 4_096
-# Bytes of lookup tables that a cell of product codes may hold.
+# Bytes of lookup tables, and of running results, that a cell may hold.
 LOOKUP_BYTES = 64 * 1024 * 1024
+RESULT_BYTES_PER_CELL = 64 * 1024 * 1024
+# Bytes of query vectors that the table of probes hands back to Spark at a time.
+PROBE_BYTES = 8 * 1024 * 1024
 # Lists whose cells are planned by a broadcast table.
 MAX_BROADCAST_LISTS = 1_000_000
 
@@ -40,31 +43,47 @@ def checked(queries: DataFrame) -> DataFrame:
     return queries
 
 
+def probes_of(nearest: Callable[[np.ndarray], np.ndarray]):
+    """A ``mapInArrow`` function: a row for each list of each query, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column("qvec")
+            width = len(column[0])
+            lists = nearest(list_column_to_matrix(column, width, np.float64))
+            step = max(1, PROBE_BYTES // (8 * max(1, width)))
+            for start in range(0, lists.size, step):
+                probes = np.arange(start, min(start + step, lists.size))
+                owner = pa.array(probes // lists.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists.ravel()[probes].astype(np.int32)), batch.column("qid").take(owner), column.take(owner)],
+                    names=["cluster_id", "qid", "qvec"],
+                )
+
+    return run
+
+
 def probe_table(queries: DataFrame, nearest: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """``(cluster_id, qid, qvec)``: a row for each list that a query probes; ``nearest`` gives the lists of unit vectors."""
     qid_type = queries.schema["qid"].dataType
     schema = T.StructType(
         [T.StructField("cluster_id", T.IntegerType()), T.StructField("qid", qid_type), T.StructField("qvec", T.ArrayType(T.DoubleType()))]
     )
+    return queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).mapInArrow(probes_of(nearest), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("qvec")
-            lists = nearest(list_column_to_matrix(column, len(column[0]), np.float64))
-            owner = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.ravel().astype(np.int32)), batch.column("qid").take(owner), column.take(owner)], names=["cluster_id", "qid", "qvec"]
-            )
 
-    return queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).mapInArrow(run, schema)
+def probe_everything(queries: DataFrame) -> DataFrame:
+    """The same where all rows count as one list: a row for each query."""
+    return queries.select(F.lit(0).alias("cluster_id"), "qid", F.col("qvec").cast("array<double>").alias("qvec"))
 
 
 def search_cells(
     lists: DataFrame, probes: DataFrame, k: int, score: Score, n_lists: int, rows_per_cell: int, queries_per_cell: int
 ) -> DataFrame:
     """The k nearest of every query among the rows of the lists it probes, as ``(qid, rank, id, dist)``."""
+    queries_per_cell = max(1, min(queries_per_cell, RESULT_BYTES_PER_CELL // (16 * min(k, rows_per_cell))))
     sizes = lists.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     demand = probes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m"))
     grid = sizes.join(demand, "cluster_id").select(

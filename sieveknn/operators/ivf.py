@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_norm, l2_normalize
-from .cells import QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_table, score_exactly, search_cells
+from .cells import QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_everything, probe_table, score_exactly, search_cells
 from .kernel import Marks, Split, by_value, by_value_and_flag, count_closer, scan_vectors
 from .nearest import QueryBatch, search_in_passes
 from .topk import top_k
@@ -209,7 +209,13 @@ def ivf_counts(lists: DataFrame, centroids: np.ndarray, batch: QueryBatch, marks
 
 
 def ivf_cells(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """The same for a table of queries of any size, in one pass."""
+    """The same for a table of queries of any size, in one pass.
+
+    Where all lists are probed they are not told apart: a query would become a row for each of them, and have k hits in each.
+    """
+    if nprobe >= len(centroids):
+        rows = lists.select(F.lit(0).alias("cluster_id"), "id", "embedding")
+        return search_cells(rows, probe_everything(checked(queries)), k, score_exactly(k), 1, ROWS_PER_CELL, 4 * QUERIES_PER_CELL)
     probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))
     rows = lists.select("cluster_id", "id", "embedding")
     return search_cells(rows, probes, k, score_exactly(k), len(centroids), ROWS_PER_CELL, QUERIES_PER_CELL)

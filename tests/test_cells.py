@@ -1,6 +1,7 @@
 """Queries as a table: the same hits as queries that go to every task, and one read of the lists."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,19 @@ def test_twenty_thousand_queries_read_the_rows_once(spark, sf_dir, indexes, emb)
     text = plan(found)
     assert text.count("ReadSchema: struct<id:bigint,embedding:array<float>>") == 1
     assert found.filter("dist > 1e-9").isEmpty() and found.count() == 20_000
+
+
+def test_probing_all_lists_makes_no_row_for_each_list(indexes, queries, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERIES_PER_FETCH", 10)
+    found = indexes["IVF"].search(queries, 7, 12)
+    assert "MapInArrow" not in plan(found) and "FlatMapCoGroupsInArrow" in plan(found)
+    assert sorted(found.collect()) == sorted(knn_batch(indexes["IVF"].rows(queries.sparkSession), queries, 7).collect())
+
+
+def test_probes_leave_a_task_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(cells, "PROBE_BYTES", 8 * 2 * 10)  # ten vectors of two numbers
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([[1.0, i] for i in range(3)])], names=["qid", "qvec"])
+    parts = list(cells.probes_of(lambda rows: np.tile(np.arange(9), (len(rows), 1)))(iter([batch])))
+    assert [p.num_rows for p in parts] == [10, 10, 7]
+    rows = [row for p in parts for row in p.to_pylist()]
+    assert [(r["cluster_id"], r["qid"], r["qvec"][1]) for r in rows] == [(c, 7 + i, float(i)) for i in range(3) for c in range(9)]
