@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveknn import fixtures as fx
-from sieveknn.operators import nearest
+from sieveknn.operators import nearest, topk
 from sieveknn.operators.nearest import knn, knn_batch, query_passes, rank_all
 from sieveknn.operators.topk import merge_groups, top_k
 
@@ -98,6 +98,17 @@ def test_merging_in_groups_changes_nothing(spark):
     assert [r.id for r in top_k(scored, 3, groups=5).filter("qid = 0").orderBy("rank").collect()] == [0, 3, 6]
 
 
+def test_large_k_is_numbered_in_ranges(spark, emb, queries, monkeypatch):
+    scored = spark.range(0, 5000, 1, 16).select((F.col("id") % 3).alias("qid"), "id", (F.col("id") % 7 / 10).alias("dist"))
+    few, all_rows = sorted(top_k(scored, 700).collect()), sorted(top_k(scored, 9000).collect())
+    whole = sorted(knn_batch(emb, queries, 501).collect())
+    monkeypatch.setattr(topk, "MAX_NUMBERED", 100)
+    ranges = top_k(scored, 9000)
+    assert "WindowGroupLimit" not in plan(ranges) and ranges.dtypes == top_k(scored, 7).dtypes
+    assert sorted(ranges.collect()) == all_rows and sorted(top_k(scored, 700).collect()) == few
+    assert sorted(knn_batch(emb, queries, 501).collect()) == whole and len(whole) == 7 * 500
+
+
 def test_merge_groups_follow_the_shuffle_width(spark, emb):
     assert merge_groups(emb) == 1
     spark.conf.set("spark.sql.shuffle.partitions", "2000")

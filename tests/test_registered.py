@@ -4,11 +4,13 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry  # noqa: E402
 from checks.compare import compare, connect  # noqa: E402
+from checks import queries as registered  # noqa: E402
 from checks.queries import QUERIES  # noqa: E402
 
 
@@ -29,3 +31,15 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, sf_dir, name):
     assert compare(spark, connection, sf_dir, name) == ""
+
+
+def test_fewer_than_k_asks_for_more_than_there_are(spark, sf_dir, monkeypatch):
+    class Large:
+        n = 200_000
+
+        def search(self, queries, k, nprobe):
+            assert k > self.n
+            return queries.select("qid", F.lit(1).alias("rank"))
+
+    monkeypatch.setattr(registered, "index", lambda *_: Large())
+    assert QUERIES["a10_fewer_than_k"](spark, sf_dir).count() == 2
