@@ -24,7 +24,7 @@ from .ivf import (
     to_matrix,
     unit_rows,
 )
-from .kernel import Marks, by_value, count_closer_codes, list_column_to_matrix, scan_codes
+from .kernel import Marks, by_value, code_distances, count_closer_codes, list_column_to_matrix, scan_codes
 from .nearest import QueryBatch, search_in_passes
 from .topk import merge_groups, top_k
 
@@ -33,6 +33,8 @@ FALLBACK_PARTS = (16, 12, 8, 4)
 # Residuals that the first codewords are drawn from: some for each, and so many at most.
 SEEDS_PER_WORD = 32
 MAX_SEEDS = 20_000
+# Allowance for the rounding of single-precision sums in a looked-up distance.
+ROUNDING = 1e-4
 
 
 def choose_m(d: int, m: int = 8) -> int:
@@ -149,36 +151,50 @@ def train_pq(
     return books
 
 
-def encode_rows(rows: np.ndarray, centroids: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """List number and code of each vector."""
+def encode_rows(rows: np.ndarray, centroids: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List number and code of each vector, and how far its looked-up distances can be off.
+
+    That is the length of what the code leaves out, since a unit query's inner product with it is no larger. It is infinite
+    for zero, tiny, huge and broken vectors, whose single-precision length says nothing.
+    """
     m, _, part_width = codebooks.shape
-    rows, zero = unit_rows(rows)
-    clusters = nearest_centroid(rows, centroids)
-    residuals = rows - centroids[clusters]
+    with np.errstate(over="ignore", invalid="ignore"):
+        lengths = np.linalg.norm(rows, axis=1)
+        rows, zero = unit_rows(rows)
+        clusters = nearest_centroid(rows, centroids)
+        residuals = rows - centroids[clusters]
     residuals[zero] = 0.0
     codes = np.empty((len(rows), m), dtype=np.int16)
+    left_out = np.zeros(len(rows))
     for part in range(m):
-        codes[:, part] = nearest_words(residuals[:, part * part_width : (part + 1) * part_width], codebooks[part])
+        piece = residuals[:, part * part_width : (part + 1) * part_width]
+        codes[:, part] = nearest_words(piece, codebooks[part])
+        left_out += ((piece - codebooks[part][codes[:, part]]).astype(np.float64) ** 2).sum(axis=1)
     clusters[zero] = ZERO_CLUSTER
-    return clusters, codes
+    off = np.where((lengths > 1e-15) & (lengths < 1e15), np.sqrt(left_out) + ROUNDING, np.inf)
+    return clusters, codes, off.astype(np.float32)
 
 
 def pq_encode(emb: DataFrame, centroids: np.ndarray, codebooks: np.ndarray) -> DataFrame:
-    """``(id, cluster_id, code)``; list and code are found in one trip through Python."""
+    """``(id, cluster_id, code, off)``; list, code and how far it is off are found in one trip through Python."""
     shared = emb.sparkSession.sparkContext.broadcast((centroids, codebooks))
     result = T.StructType(
-        [T.StructField("cluster_id", T.IntegerType()), T.StructField("code", T.ArrayType(T.ShortType()))]
+        [
+            T.StructField("cluster_id", T.IntegerType()),
+            T.StructField("code", T.ArrayType(T.ShortType())),
+            T.StructField("off", T.FloatType()),
+        ]
     )
 
     @F.pandas_udf(result)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         centers, books = shared.value
         for batch in batches:
-            clusters, codes = encode_rows(to_matrix(batch), centers, books)
-            yield pd.DataFrame({"cluster_id": clusters, "code": list(codes)})
+            clusters, codes, off = encode_rows(to_matrix(batch), centers, books)
+            yield pd.DataFrame({"cluster_id": clusters, "code": list(codes), "off": off})
 
     vectors = emb.filter(F.col("embedding").isNotNull())
-    return vectors.select("id", encode("embedding").alias("e")).select("id", "e.cluster_id", "e.code")
+    return vectors.select("id", encode("embedding").alias("e")).select("id", "e.cluster_id", "e.code", "e.off")
 
 
 def query_tables(vectors: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,6 +248,35 @@ def ivfpq_counts(
     return rows.mapInArrow(scan, batch.count_schema())
 
 
+def ivfpq_within(
+    codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, batch: QueryBatch, limits: np.ndarray, nprobe: int
+) -> DataFrame:
+    """``(id, cluster_id)`` of the rows whose exact distance may be within the limit of a query that probes their list.
+
+    A looked-up distance is off by ``off`` at most, so no other row can be; rows stored without ``off`` stay in.
+    """
+    members = probe_lists(batch, centroids, nprobe)
+    tables, bases = lookup_tables(batch, members, centroids, codebooks)
+    distances = code_distances(tables, bases, by_value("cluster_id", members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            off = rows.column("off").to_numpy(zero_copy_only=False)
+            near = np.zeros(rows.num_rows, dtype=bool)
+            # positions take the place of ids, so that the rows found can be told
+            places = pa.array(np.arange(rows.num_rows))
+            numbered = pa.RecordBatch.from_arrays(
+                [places, rows.column("cluster_id"), rows.column("code")], names=["id", "cluster_id", "code"]
+            )
+            for query, found, at in distances(numbered) if rows.num_rows else ():
+                near[at] |= ~(found - off[at] > limits[query])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("cluster_id")], names=["id", "cluster_id"]).filter(pa.array(near))
+
+    rows = prune_lists(codes, members, len(centroids))
+    off = F.coalesce("off", F.lit(float("inf")).cast("float")).alias("off")
+    return rows.select("id", "cluster_id", "code", off).mapInArrow(run, "id bigint, cluster_id int")
+
+
 def ivfpq_cells(codes: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """The same for a table of queries of any size, in one pass; a cell builds the lookup tables of its queries."""
     probes = probe_table(checked(queries), lists_and_zero(centroids, nprobe))

@@ -37,7 +37,7 @@ VERSION_SCHEMA = (
 ROW_SCHEMAS = {
     "Flat": "id bigint, embedding array<float>",
     "IVF": "id bigint, embedding array<float>, cluster_id int",
-    "IVFPQ": "id bigint, code array<smallint>, cluster_id int",
+    "IVFPQ": "id bigint, code array<smallint>, cluster_id int, off float",
 }
 
 

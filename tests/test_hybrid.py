@@ -5,7 +5,7 @@ from sieveknn import fixtures as fx
 from sieveknn.operators import filters, idsets
 from sieveknn.operators.nearest import knn_batch
 from sieveknn.plans import hybrid
-from sieveknn.plans.index import build_or_load
+from sieveknn.plans.index import VectorIndex, build_or_load
 from sieveknn.sources import write_bucketed
 
 K = 10
@@ -178,6 +178,28 @@ def test_index_hits_are_those_among_the_candidates(spark, emb, meta, workloads,
         assert sorted(alone.collect()) == sorted(r for r in together if r.qid == qid)
 
 
+@pytest.mark.parametrize("oversample", [3, 2000])
+@pytest.mark.parametrize("nprobe", [5, 20])
+def test_reranked_hits_are_exact_however_coarse_the_codes(spark, emb, meta, queries, indexes, tmp_path, oversample, nprobe):
+    """The same as lists with exact distances, although two codewords a part tell little."""
+    spark_index = build_or_load(spark, str(tmp_path / "coarse"), emb, "IVFPQ", nlist=20, m=2, bits=1)
+    lists = spark_index.rows(spark).select("id", "cluster_id").join(emb, "id")
+    exact = VectorIndex("IVF", "", 500, 64, 20, centroids=spark_index.centroids, _rows=lists)
+    found = [
+        hybrid.search_ann_postfilter(index, emb, meta, queries, "license is NULL", K, nprobe, oversample, rerank=True).collect()
+        for index in (spark_index, exact)
+    ]
+    assert sorted(found[0]) == sorted(found[1]) and found[0]
+
+
+def test_codes_tell_how_far_they_are_off(spark, emb, queries, indexes):
+    pq = indexes["IVFPQ"]
+    looked_up = {(r.qid, r.id): r.dist for r in pq.search(queries, 500, pq.nlist).collect()}
+    exact = {(r.qid, r.id): r.dist for r in knn_batch(emb, queries, 500).collect()}
+    off = {r.id: r.off for r in pq.rows(spark).collect()}
+    assert all(abs(dist - exact[pair]) <= off[pair[1]] for pair, dist in looked_up.items()) and max(off.values()) < 1.5
+
+
 def test_nothing_matches(emb, meta, queries):
     where = "nsfw = 'NOPE'"
     for search in (hybrid.search_prefilter, hybrid.search_postfilter, hybrid.search_hybrid):
