@@ -6,17 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import l2_norm, l2_normalize
 from .cells import QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe_everything, probe_table, score_exactly, search_cells
-from .kernel import Marks, Split, by_value, by_value_and_flag, count_closer, scan_vectors
+from .kernel import Marks, Split, by_value, by_value_and_flag, count_closer, list_column_to_matrix, scan_vectors
 from .nearest import QueryBatch, search_in_passes
-from .topk import top_k
+from .topk import merge_groups, top_k
 
 # Fixed values.
 NPROBE = 10
@@ -24,6 +23,8 @@ NPROBE = 10
 ZERO_CLUSTER = -1
 # Sample rows that are worth a task of their own.
 ROWS_PER_TASK = 500
+# Lists whose sums travel in one row while centroids are trained.
+LISTS_PER_BLOCK = 256
 # Runs of lists that a scan's filter names, and bytes of a row group of stored lists.
 MAX_RUNS = 200
 ROW_GROUP_BYTES = 16 * 1024 * 1024
@@ -59,7 +60,7 @@ def train_sample(emb: DataFrame, n: int | None = None, seed: int = 42) -> DataFr
 def spread(sample: DataFrame) -> DataFrame:
     """A stored sample dealt out over the cluster: it is small on disk, but training on it is not.
 
-    Sorted, because the random start of k-means depends on the order of the rows.
+    Sorted, so that sums are added in the same order.
     """
     tasks = min(sample.sparkSession.sparkContext.defaultParallelism, -(-sample.count() // ROWS_PER_TASK))
     return sample.repartition(max(1, tasks), "id").sortWithinPartitions("id")
@@ -70,21 +71,71 @@ def default_nlist(n: int) -> int:
     return max(1, int(n**0.5))
 
 
-def train_ivf(sample: DataFrame, nlist: int, seed: int = 42, max_iter: int = 10) -> np.ndarray:
-    """A2: unit-length centroids by cosine k-means, one row each.
+def _list_sums(shared, d: int):
+    """A ``mapInArrow`` function: the sums and numbers of the members of all lists, a row for each block of lists."""
 
-    Starting from random sample points keeps the driver's share of the work to the centroids; the
-    parallel seeding Spark would otherwise use clusters its candidates on the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids = shared.value
+        sums = np.zeros((len(centroids), d + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = list_column_to_matrix(batch.column(0), d, np.float32)
+            clusters = nearest_centroid(rows, centroids)
+            order = np.argsort(clusters, kind="stable")
+            present, starts = np.unique(clusters[order], return_index=True)
+            sums[present, :d] += np.add.reduceat(rows[order].astype(np.float64), starts, axis=0)
+            sums[:, d] += np.bincount(clusters, minlength=len(centroids))
+        blocks = [sums[i : i + LISTS_PER_BLOCK] for i in range(0, len(sums), LISTS_PER_BLOCK)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["part", "sums"]
+        )
+
+    return run
+
+
+def added(groups: DataFrame, *keys: str) -> DataFrame:
+    """The sums of each group of rows."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(blob) for blob in table.column("sums").to_pylist()], axis=0)
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return groups.groupBy(*keys).applyInArrow(add, "part int, sums binary")
+
+
+def train_ivf(sample: DataFrame, nlist: int, seed: int = 42, max_iter: int = 10, tolerance: float = 1e-4) -> np.ndarray:
+    """A2: unit-length centroids by cosine k-means of a sample ``(id, embedding)`` of unit vectors, one row each.
+
+    It starts from the different vectors among the ``nlist`` with the smallest hashes of their ids.  An iteration is one
+    scan in which each task sums the members of every list; Spark adds the sums, and the driver gets one sum a
+    list, ``nlist x d`` numbers.  (Spark's k-means sends it the distances of all pairs of centroids, as many as there are
+    vectors where ``nlist`` is the root of their number.)  A list without members keeps its centroid.
     """
-    points = sample.filter(l2_norm("embedding") > 0).select(array_to_vector("embedding").alias("features"))
-    model = KMeans(
-        k=max(2, nlist), distanceMeasure="cosine", initMode="random", seed=seed, maxIter=max_iter
-    ).fit(points)
-    centers = np.stack(model.clusterCenters()).astype(np.float32)
-    if nlist == 1:
-        centers = centers.mean(axis=0, keepdims=True)
-    lengths = np.linalg.norm(centers, axis=1, keepdims=True)
-    return centers / np.where(lengths == 0, 1, lengths)
+    spark = sample.sparkSession
+    points = sample.filter(l2_norm("embedding") > 0)
+    start = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(nlist).select("embedding").toArrow().column(0).combine_chunks()
+    if not len(start):
+        raise ValueError("no vector of the sample has a direction")
+    d = len(start[0])
+    centroids = list_column_to_matrix(start, d, np.float32)
+    centroids = centroids[np.sort(np.unique(centroids, axis=0, return_index=True)[1])]
+    groups = merge_groups(sample)
+    for _ in range(max_iter):
+        shared = spark.sparkContext.broadcast(centroids)
+        partial = points.select("embedding").mapInArrow(_list_sums(shared, d), "part int, sums binary")
+        if groups > 1:
+            partial = added(partial.withColumn("level", F.spark_partition_id() % groups), "part", "level")
+        rows = added(partial, "part").orderBy("part").collect()
+        sums = np.concatenate([np.frombuffer(row.sums).reshape(-1, d + 1)[:, :d] for row in rows])
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        means = np.where(lengths > 0, sums / np.where(lengths == 0, 1, lengths), centroids).astype(np.float32)
+        moved = float(np.abs(means - centroids).max())
+        centroids = means
+        shared.unpersist()
+        if moved < tolerance:
+            break
+    return centroids
 
 
 def to_matrix(series: pd.Series) -> np.ndarray:

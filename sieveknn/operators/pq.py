@@ -15,6 +15,7 @@ from .cells import LOOKUP_BYTES, QUERIES_PER_CELL, ROWS_PER_CELL, checked, probe
 from .ivf import (
     NPROBE,
     ZERO_CLUSTER,
+    added,
     list_split,
     lists_and_zero,
     nearest_centroid,
@@ -96,16 +97,6 @@ def _member_sums(shared, m: int, size: int, width: int):
     return run
 
 
-def _added(groups: DataFrame, *keys: str) -> DataFrame:
-    """The sums of each group of rows."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(blob) for blob in table.column("sums").to_pylist()], axis=0)
-        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    return groups.groupBy(*keys).applyInArrow(add, "part int, sums binary")
-
-
 def train_pq(
     sample: DataFrame,
     centroids: np.ndarray,
@@ -139,8 +130,8 @@ def train_pq(
         shared = spark.sparkContext.broadcast(books)
         partial = residuals.select("residual").mapInArrow(_member_sums(shared, m, size, width), "part int, sums binary")
         if groups > 1:
-            partial = _added(partial.withColumn("level", F.spark_partition_id() % groups), "part", "level")
-        sums = np.stack([np.frombuffer(row.sums).reshape(size, width + 1) for row in _added(partial, "part").orderBy("part").collect()])
+            partial = added(partial.withColumn("level", F.spark_partition_id() % groups), "part", "level")
+        sums = np.stack([np.frombuffer(row.sums).reshape(size, width + 1) for row in added(partial, "part").orderBy("part").collect()])
         number = sums[:, :, width :]
         means = np.where(number > 0, sums[:, :, :width] / np.maximum(number, 1), books).astype(np.float32)
         moved = float(np.abs(means - books).max())

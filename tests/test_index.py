@@ -124,6 +124,23 @@ def test_compaction_keeps_the_rows(spark, emb, folder):
     assert sorted(loaded.rows(spark).collect()) == before and len(loaded.rows(spark).inputFiles()) < files
 
 
+def test_centroids_are_the_directions_of_their_members(spark, emb, monkeypatch):
+    """Trained to the end, with sums in several blocks and groups; the driver never gets pairs of centroids."""
+    monkeypatch.setattr(ivf_module, "LISTS_PER_BLOCK", 4)
+    monkeypatch.setattr(ivf_module, "merge_groups", lambda _: 2)
+    sample = train_sample(emb).repartition(4).cache()
+    centroids = ivf_module.train_ivf(sample, 11, max_iter=60, tolerance=1e-6)
+    rows = np.array([r.embedding for r in sample.collect()])
+    owner = (rows @ centroids.T).argmax(axis=1)
+    sums = np.array([rows[owner == c].sum(axis=0) for c in range(11)])
+    assert np.allclose(centroids, sums / np.linalg.norm(sums, axis=1, keepdims=True), atol=1e-4)
+    assert not hasattr(ivf_module, "KMeans")
+    copies = sample.filter("id = 3").select("embedding").crossJoin(spark.range(9)).select("id", "embedding")
+    assert ivf_module.train_ivf(copies, 4).shape == (1, 64)
+    with pytest.raises(ValueError, match="direction"):
+        ivf_module.train_ivf(sample.select("id", F.transform("embedding", lambda x: x * 0).alias("embedding")), 4)
+
+
 def test_rows_without_a_vector(spark, emb, folder):
     gaps = emb.filter("id < 60").select("id", F.when(F.col("id") % 3 > 0, F.col("embedding")).alias("embedding"))
     index = build_or_load(spark, f"{folder}/gaps", gaps, "IVF", nlist=4)
