@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveknn import fixtures as fx
@@ -115,20 +115,51 @@ def index(spark: SparkSession, sf_dir: str, kind: str) -> VectorIndex:
     return _indexes[key]
 
 
+_metadata: dict[tuple[str, str], str] = {}
+
+
+def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' attributes as a table of their own, written once per session: a search reads them several times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _metadata:
+        path = new_scratch_path(spark, "metadata")
+        fx.metadata(spark, sf_dir).write.parquet(path)
+        _metadata[key] = path
+    return spark.read.parquet(_metadata[key])
+
+
 def own_clauses() -> list[tuple[int, str]]:
     return [(qid, where) for qid, _, where in fx.WORKLOADS]
 
 
+def with_products(queries: DataFrame, pq: VectorIndex) -> DataFrame:
+    """Queries with the products of their parts and all codewords: ``products[part * size + code]``."""
+    book = queries.sparkSession.read.parquet(f"{pq.path}/codebook")
+    part = F.slice("unit", F.col("m") * pq.codebooks.shape[2] + 1, F.lit(pq.codebooks.shape[2]))
+    each = queries.crossJoin(book).select("qid", F.struct("m", "code", dot(part, "subvec").alias("x")).alias("s"))
+    lists = each.groupBy("qid").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return queries.join(lists.select("qid", F.transform("s", lambda s: s["x"]).alias("products")), "qid")
+
+
 def looked_up(pq: VectorIndex) -> F.Column:
     """The distance that Spark's array functions make of a unit query and the stored code of a row."""
-    again = 1 - dot("unit", F.get(F.lit(pq.centroids.tolist()), F.col("cluster_id")))
-    width = pq.codebooks.shape[2]
-    for part, words in enumerate(pq.codebooks.tolist()):
-        word = F.get(F.lit(words), F.get("code", F.lit(part)).cast("int"))
-        again = again - dot(F.slice("unit", part * width + 1, width), word)
+    again = 1 - F.col("base")
+    parts, size, _ = pq.codebooks.shape
+    for part in range(parts):
+        again = again - F.get("products", F.get("code", F.lit(part)).cast("int") + part * size)
     return again
 
 
+def probed_lists(queries: DataFrame, used: VectorIndex, nprobe: int | None) -> DataFrame:
+    """``(qid, cluster_id, base)``: the lists nearest to each query, with the product of its unit vector and the centroid."""
+    centers = queries.sparkSession.read.parquet(f"{used.path}/centroids")
+    asked = queries.crossJoin(centers).select("qid", "cluster_id", dot("unit", "centroid").alias("base"))
+    if nprobe is None:
+        return asked
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("base"), "cluster_id"))
+    return asked.withColumn("place", place).filter(F.col("place") <= nprobe).drop("place")
+
+
 def holds(
     spark: SparkSession,
     sf_dir: str,
@@ -141,26 +172,28 @@ def holds(
     """``(qid, rank, holds)``: each hit's distance is right, and no row that was to be searched is nearer and left out.
 
     Every row of the probed lists (all of them without ``nprobe``) that satisfies the query's clause is scored again with array
-    functions; the queries named in ``exact`` were searched without the index.
+    functions; the queries named in ``exact`` were searched without the index.  Rows beyond a query's last hit are
+    neither nearer nor hits, so only those up to it meet the clauses.
     """
+    path = new_scratch_path(spark, "hits")
+    hits.select("qid", "rank", F.col("id").alias("hit"), "dist").write.parquet(path)
+    found = spark.read.schema("qid bigint, rank int, hit bigint, dist double").parquet(path)
     queries = only_queries(fx.workloads(spark, sf_dir)).withColumn("unit", l2_normalize("qvec"))
-    rows = used.rows(spark)
+    named = F.col("qid").isin(list(exact))
+    indexed = queries.filter(~named) if exact else queries
+    asked = used.rows(spark).join(F.broadcast(probed_lists(indexed, used, nprobe)), "cluster_id")
+    with_tables = with_products(indexed, used) if used.kind == "IVFPQ" else indexed
     again = looked_up(used) if used.kind == "IVFPQ" else cosine_distance("embedding", "qvec")
+    scored = asked.join(F.broadcast(with_tables), "qid").select("qid", "id", again.alias("again"))
     if exact:
-        rows = rows.join(fx.embeddings(spark, sf_dir), "id")
-        again = F.when(F.col("qid").isin(list(exact)), cosine_distance("embedding", "qvec")).otherwise(again)
-    lists = F.lit(used.centroids.tolist())
-    near = F.transform(lists, lambda c, i: F.struct(-dot("unit", c), i.cast("int").alias("list")))
-    probed = F.transform(F.slice(F.sort_array(near), 1, nprobe or used.nlist), lambda s: s["list"])
-    asked = queries.select("qid", "qvec", "unit", F.explode(probed).alias("cluster_id"))
-    scored = rows.join(F.broadcast(asked), "cluster_id").select("qid", "id", again.alias("again"))
+        pairs = fx.embeddings(spark, sf_dir).filter(F.col("embedding").isNotNull()).crossJoin(F.broadcast(queries.filter(named)))
+        scored = scored.unionAll(pairs.select("qid", "id", cosine_distance("embedding", "qvec").alias("again")))
+    last = found.groupBy("qid").agg(F.max("dist").alias("last"))
+    scored = scored.join(F.broadcast(last), "qid").filter(F.col("again") <= F.col("last") + 1e-3).drop("last")
     if clauses:
-        meta, allowed = fx.metadata(spark, sf_dir), None
-        for qid, where in clauses:
-            part = filters.filter_where(meta, where).select(F.lit(qid).cast("bigint").alias("qid"), "id")
-            allowed = part if allowed is None else allowed.unionAll(part)
+        own = F.array(*[F.when(F.expr(where), F.lit(qid).cast("bigint")) for qid, where in clauses])
+        allowed = stored_metadata(spark, sf_dir).select("id", F.explode(F.array_compact(own)).alias("qid"))
         scored = scored.join(allowed, ["qid", "id"], "left_semi")
-    found = hits.select("qid", "rank", F.col("id").alias("hit"), "dist")
     both = scored.join(F.broadcast(found), "qid").groupBy("qid", "rank").agg(
         F.count_if(F.col("again") < F.col("dist") - 1e-5).alias("nearer"),
         F.min(F.when(F.col("id") == F.col("hit"), F.abs(F.col("again") - F.col("dist")))).alias("off"),
@@ -171,7 +204,7 @@ def holds(
 
 def searched_exactly(spark: SparkSession, sf_dir: str, threshold: float) -> list[int]:
     """The workloads that an adaptive search answers by filtering first."""
-    plans = hybrid.plan_clauses(fx.metadata(spark, sf_dir), [where for _, where in own_clauses()], threshold)
+    plans = hybrid.plan_clauses(stored_metadata(spark, sf_dir), [where for _, where in own_clauses()], threshold)
     return [qid for qid, where in own_clauses() if plans[where].strategy == hybrid.PRE]
 
 
@@ -448,12 +481,12 @@ def k4(spark, sf_dir):
 def h1(spark, sf_dir):
     queries = only_queries(fx.workloads(spark, sf_dir, [5]))
     where = fx.WORKLOADS[4][2]
-    return shown(hybrid.search_prefilter(fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), queries, where))
+    return shown(hybrid.search_prefilter(fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), queries, where))
 
 
 @register("h2_postfilter")
 def h2(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
+    emb, meta = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir)
     return shown(
         per_workload(
             spark, sf_dir, lambda q, where: hybrid.search_postfilter(emb, meta, q, where, oversample=SMALL_OVERSAMPLE)
@@ -465,18 +498,18 @@ def h2(spark, sf_dir):
 def h2_full(spark, sf_dir):
     queries = only_queries(fx.workloads(spark, sf_dir, [4]))
     where = fx.WORKLOADS[3][2]
-    return shown(hybrid.search_postfilter(fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), queries, where))
+    return shown(hybrid.search_postfilter(fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), queries, where))
 
 
 @register("h3_hybrid")
 def h3(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
+    emb, meta = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir)
     return shown(per_workload(spark, sf_dir, lambda q, where: hybrid.search_hybrid(emb, meta, q, where)))
 
 
 @register("h3_hybrid_ivf_all_lists")
 def h3_ivf(spark, sf_dir):
-    emb, meta, ivf = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
+    emb, meta, ivf = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
     return shown(
         per_workload(
             spark, sf_dir, lambda q, where: hybrid.search_hybrid(emb, meta, q, where, index=ivf, nprobe=EXHAUSTIVE)
@@ -486,7 +519,7 @@ def h3_ivf(spark, sf_dir):
 
 @register("h3_hybrid_ivfpq")
 def h3_ivfpq(spark, sf_dir):
-    emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
+    emb, meta, pq = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
     hits = per_workload(
         spark, sf_dir, lambda q, where: hybrid.search_hybrid(emb, meta, q, where, index=pq, nprobe=EXHAUSTIVE)
     )
@@ -496,13 +529,13 @@ def h3_ivfpq(spark, sf_dir):
 @register("h4_filter_candidates")
 def h4(spark, sf_dir):
     cands = knn_batch(fx.embeddings(spark, sf_dir), only_queries(fx.workloads(spark, sf_dir)), 40)
-    ids = filters.filter_where(fx.metadata(spark, sf_dir), "original_width >= 1024")
+    ids = filters.filter_where(stored_metadata(spark, sf_dir), "original_width >= 1024")
     return shown(hybrid.filter_candidates(cands, ids, 10, max_rows=5 * 40))
 
 
 @register("h5_ann_postfilter")
 def h5(spark, sf_dir):
-    emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
+    emb, meta, pq = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
     queries = only_queries(fx.workloads(spark, sf_dir))
     hits = hybrid.search_ann_postfilter(pq, emb, meta, queries, "license is NULL", nprobe=EXHAUSTIVE)
     return holds(spark, sf_dir, hits, pq, None, [(qid, "license is NULL") for qid, _ in own_clauses()])
@@ -510,7 +543,7 @@ def h5(spark, sf_dir):
 
 @register("h5_ann_postfilter_ivf")
 def h5_ivf(spark, sf_dir):
-    emb, meta, ivf = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
+    emb, meta, ivf = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
     queries = only_queries(fx.workloads(spark, sf_dir))
     hits = hybrid.search_ann_postfilter(
         ivf, emb, meta, queries, "license is NULL", nprobe=EXHAUSTIVE, oversample=SMALL_OVERSAMPLE
@@ -520,7 +553,7 @@ def h5_ivf(spark, sf_dir):
 
 @register("h5_ann_postfilter_rerank")
 def h5_rerank(spark, sf_dir):
-    emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
+    emb, meta, pq = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
     queries = only_queries(fx.workloads(spark, sf_dir))
     return shown(
         hybrid.search_ann_postfilter(
@@ -531,14 +564,14 @@ def h5_rerank(spark, sf_dir):
 
 @register("h6_prefilter_branch")
 def h6(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
+    emb, meta = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir)
     queries = only_queries(fx.workloads(spark, sf_dir, [3]))
     return shown(hybrid.search_hybrid(emb, meta, queries, fx.WORKLOADS[2][2], threshold=1.1))
 
 
 @register("h7_plan_info")
 def h7(spark, sf_dir):
-    meta = fx.metadata(spark, sf_dir)
+    meta = stored_metadata(spark, sf_dir)
     plans = per_workload(
         spark, sf_dir, lambda q, where: hybrid.plan_info(meta, q, where, hybrid.EVALUATION_THRESHOLD)
     )
@@ -547,13 +580,13 @@ def h7(spark, sf_dir):
 
 @register("h8_run_workloads")
 def h8(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
+    emb, meta = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir)
     return shown(hybrid.run_workloads(emb, meta, fx.workloads(spark, sf_dir)))
 
 
 @register("h8_run_workloads_ivfpq")
 def h8_ivfpq(spark, sf_dir):
-    emb, meta, pq = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
+    emb, meta, pq = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVFPQ")
     hits = hybrid.run_workloads(emb, meta, fx.workloads(spark, sf_dir), index=pq, nprobe=EXHAUSTIVE)
     return holds(spark, sf_dir, hits, pq, None, own_clauses(), searched_exactly(spark, sf_dir, hybrid.EVALUATION_THRESHOLD))
 
@@ -678,7 +711,7 @@ def metric_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e1_recall")
 def e1(spark, sf_dir):
-    emb, meta = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir)
+    emb, meta = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir)
     workloads = fx.workloads(spark, sf_dir)
     truth = hybrid.run_workloads(emb, meta, workloads, strategy="prefilter")
     found = hybrid.run_workloads(emb, meta, workloads, strategy="postfilter", oversample=SMALL_OVERSAMPLE)
@@ -713,7 +746,7 @@ def e5(spark, sf_dir):
 
 @register("e6_work_counters")
 def e6(spark, sf_dir):
-    emb, meta, ivf = fx.embeddings(spark, sf_dir), fx.metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
+    emb, meta, ivf = fx.embeddings(spark, sf_dir), stored_metadata(spark, sf_dir), index(spark, sf_dir, "IVF")
     queries, where = only_queries(fx.workloads(spark, sf_dir, [5])), fx.WORKLOADS[4][2]
     searches = {
         "prefilter": partial(hybrid.search_prefilter, emb, meta, queries, where),

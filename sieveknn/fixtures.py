@@ -39,8 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {name: table(spark, sf_dir, name) for name in ("embeddings", "orders", "events", "labels")}
-    return spark.sql(ITEMS_SQL, **tables)
+    """The item table.  Its sides grow with the data, and Spark takes them for small by the size of their files: none is broadcast."""
+    tables = {name: table(spark, sf_dir, name).hint("merge") for name in ("orders", "events", "labels")}
+    return spark.sql(ITEMS_SQL, embeddings=table(spark, sf_dir, "embeddings"), **tables)
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
