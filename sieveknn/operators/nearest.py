@@ -19,7 +19,7 @@ from .topk import top_k
 # More queries than these are stored first, or stay a table where the search allows it.
 QUERIES_PER_FETCH = 5_000
 # Bytes of query vectors, and of running results per task, that one pass over the data may hold.
-QUERY_BYTES_PER_PASS = 64 * 1024 * 1024
+QUERY_BYTES_PER_PASS = 16 * 1024 * 1024
 RESULT_BYTES_PER_PASS = 256 * 1024 * 1024
 # Rows that may travel from every task to the final merge of a single query.
 SINGLE_MERGE_ROWS = 1000
@@ -104,7 +104,7 @@ def _stored_passes(queries: DataFrame, limit: int) -> Iterator[pa.Table]:
 def query_passes(queries: DataFrame, k: int, clause: str | None = None, query_bytes: int = 0, head: pa.Table | None = None) -> Iterator[QueryBatch]:
     """Split ``(qid, qvec)`` into batches small enough to hold in every task.
 
-    A batch is limited in bytes, by its vectors and by its ``queries * k`` running results: 100,000 queries
+    A batch is limited in bytes, by its vectors and by its ``queries * k`` running results: 32,768 queries
     of 64 numbers make one pass over the data, more queries mean more passes.  ``clause`` names a column carried along
     per query, ``query_bytes`` is what a search needs besides.
     """

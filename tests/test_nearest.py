@@ -75,6 +75,12 @@ def test_more_queries_than_fit_one_pass(emb, queries, monkeypatch):
     assert sorted(knn_batch(emb, queries, 3).collect()) == want
 
 
+def test_a_pass_holds_a_small_part_of_a_task():
+    """The vectors stand in a task as they came, as unit vectors and in single precision, beside the running results."""
+    queries = nearest._pass_limit(64, 5, 0)
+    assert queries >= 20_000 and queries * (3 * 64 * 8 + 2 * 200) < 100e6
+
+
 def test_text_query_ids_and_no_queries(emb, queries):
     named = queries.select(F.concat(F.lit("q"), F.col("qid")).alias("qid"), "qvec")
     hits = knn_batch(emb, named, 1).collect()
