@@ -3,7 +3,7 @@
 One layer: the last ``CONTEXT`` inputs are attended to with a learned bias for each distance, then a feed-forward
 layer, then a softmax over classes of ids and one over the members of the class. Every id of the vocabulary has an
 input row, a class and a weight in it: frequent ids are grouped by their neighbours, all others by their counts.
-Texts are cut into blocks of ``BLOCK`` positions; each block sees the ``CONTEXT`` positions before it as well, so
+Texts are cut into blocks of ``BLOCK`` positions, of which ``CHUNK`` are computed at a time; each block sees the ``CONTEXT`` positions before it as well, so
 windows overlap and every id is scored once.
 """
 
@@ -13,11 +13,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-BLOCK, CONTEXT = 32, 16
+BLOCK, CONTEXT = 16, 16
 MEMBERS = 32  # ids of a class
 TAIL_MEMBERS = 1024  # ids of a class of less frequent ids
-BATCH = 512  # blocks of a step
-BUFFER = 16_384  # blocks that are shuffled together
+BATCH = 1024  # blocks of a step
+BUFFER = 32_768  # blocks that are shuffled together
+PRODUCTS = 1 << 18  # states times members that are computed together
+CHUNK = 128  # blocks that are computed together, so that they stay near the processor
 _f = np.float32
 _DISTANCE = (np.arange(BLOCK) + CONTEXT)[:, None] - np.arange(CONTEXT + BLOCK)[None, :]
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach for every position
@@ -25,8 +27,10 @@ _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach f
 
 @dataclass
 class AttentionModel:
-    """``slot`` and ``kind`` map an id to its input row and its class. Slots of a class are neighbours, from
-    ``first[class]`` on, and end before ``first[class + 1]``; ``share`` is a constant added to log P(id | class), 0."""
+    """``slot`` and ``kind`` map an id to its slot and its class. Slots of a class are neighbours, from
+    ``first[class]`` on, and end before ``first[class + 1]``. Ids that training never meets come last: they are the last class,
+    without members in ``first``, and share an input row, which is followed by the pad's. ``share`` is a constant added to
+    log P(id | class): of these ids the logarithm of their equal parts, 0 of all others."""
 
     slot: np.ndarray
     kind: np.ndarray
@@ -36,16 +40,20 @@ class AttentionModel:
     end: int
     p: dict[str, np.ndarray]
 
+    def trained(self) -> dict[str, np.ndarray]:
+        """What training changes: all parameters, but of the members only those that it meets. Views of ``p``."""
+        return {k: v[: self.first[-1]] if k.startswith("member") else v for k, v in self.p.items()}
+
     def blocks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (n, CONTEXT + BLOCK) as slots, targets (n, BLOCK) as ids, -1 for none, and each block's text."""
-        pad = len(self.p["embed"]) - 1
+        """Inputs (n, CONTEXT + BLOCK) as input rows, targets (n, BLOCK) as ids, -1 for none, and each block's text."""
+        pad, row = len(self.p["embed"]) - 1, np.minimum(self.slot, self.first[-1])
         inputs, targets, owner = [], [], []
         for k, ids in enumerate(texts):
             size = len(ids) + 1
             n = -(-size // BLOCK)
             x = np.full(CONTEXT + n * BLOCK, pad, np.int64)
-            x[CONTEXT] = self.slot[self.start]
-            x[CONTEXT + 1 : CONTEXT + size] = self.slot[ids]
+            x[CONTEXT] = row[self.start]
+            x[CONTEXT + 1 : CONTEXT + size] = row[ids]
             y = np.full(n * BLOCK, -1, np.int64)
             y[: size - 1] = ids
             y[size - 1] = self.end
@@ -55,43 +63,27 @@ class AttentionModel:
         return np.concatenate(inputs), np.concatenate(targets), np.concatenate(owner)
 
     def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        pad = len(p["embed"]) - 1
-        e, last = p["embed"], x[:, CONTEXT:]
-        scale = _f(e.shape[1] ** -0.5)
-        q, k, v = (e @ p["query"] * scale)[last], (e @ p["key"])[x], (e @ p["value"])[x]
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(_SEEN, p["near"][np.clip(_DISTANCE, 0, CONTEXT - 1)], _f(-1e9))
-        a += np.where(x == pad, _f(-1e9), _f(0))[:, None, :]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = e[last] + a @ v
-        u = h @ p["up"] + p["up_bias"]
-        np.maximum(u, 0, out=u)
-        g = h + u @ p["down"]
-        c = g @ p["classes"]
-        c += p["class_bias"]
-        c -= c.max(axis=2, keepdims=True)
-        np.exp(c, out=c)
-        c /= c.sum(axis=2, keepdims=True)
-        return {"q": q, "k": k, "v": v, "a": a, "h": h, "u": u, "g": g, "c": c}
-
-    def log_probabilities(self, texts: list[np.ndarray], batch: int = 768) -> np.ndarray:
+        """The last states ``g`` and the probabilities ``c`` of all classes at each position."""
+        g = self._states(x, self._tables())["g"]
+        c = self._class_weights(g)
+        c /= c.sum(axis=1, keepdims=True)
+        return {"g": g.reshape(*x[:, CONTEXT:].shape, -1), "c": c.reshape(*x[:, CONTEXT:].shape, -1)}
+
+    def log_probabilities(self, texts: list[np.ndarray], batch: int = 1536) -> np.ndarray:
         """Natural log probability of each list of ids and its end."""
         x, y, owner = self.blocks(texts)
         total = np.zeros(len(texts))
         tables = self._tables()
         for at in range(0, len(x), batch):
             ids = y[at : at + batch].reshape(-1)
-            g, log = self._classes(x[at : at + batch], ids, tables)
+            g, log = self._class_logs(x[at : at + batch], ids, tables)
             log += self.share[ids]
             log += self._member_logs(g, ids)
-            np.add.at(total, owner[at : at + batch], np.where(ids < 0, 0.0, log).reshape(-1, BLOCK).sum(axis=1))
+            total += np.bincount(owner[at : at + batch], np.where(ids < 0, 0.0, log).reshape(-1, BLOCK).sum(axis=1), len(texts))
         return total
 
     def _tables(self) -> tuple[np.ndarray, ...]:
-        """What ``forward`` makes of each slot, and the weight of each distance.
+        """What attention makes of each input row, and the weight of each distance.
 
         Values carry a one, so that one product gives sums of weights and values; the pad's row is zero.
         """
@@ -102,121 +94,168 @@ class AttentionModel:
         near = np.where(_SEEN, np.exp(p["near"])[np.clip(_DISTANCE, 0, CONTEXT - 1)], 0).astype(e.dtype)
         return e @ p["query"] * _f(e.shape[1] ** -0.5), e @ p["key"], value, near
 
-    def _classes(self, x: np.ndarray, ids: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """The last states of ``forward`` and the log probability of each id's class, with fewer passes over memory."""
+    def _states(self, x: np.ndarray, tables: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+        """All that lies between the inputs and the last states ``g``. Weights ``a`` are not divided by their sum ``s``."""
         p, (query, key, value, near) = self.p, tables
         last = x[:, CONTEXT:]
-        a = query[last] @ key[x].transpose(0, 2, 1)
+        q, k, v = query.take(last, 0), key.take(x, 0), value.take(x, 0)
+        a = q @ k.transpose(0, 2, 1)
         np.minimum(a, _f(60), out=a)
         np.exp(a, out=a)
         a *= near
-        o = (a @ value[x]).reshape(len(ids), -1)
-        h = o[:, :-1] / np.maximum(o[:, -1:], _f(1e-20))
-        h += p["embed"][last.reshape(-1)]
+        o = (a @ v).reshape(last.size, -1)
+        s = np.maximum(o[:, -1:], _f(1e-20))
+        o = o[:, :-1] / s
+        h = p["embed"].take(last.reshape(-1), 0)
+        h += o
         u = h @ p["up"]
         u += p["up_bias"]
         np.maximum(u, 0, out=u)
-        h += u @ p["down"]
-        c = h @ p["classes"]
-        c += p["class_bias"]
+        g = u @ p["down"]
+        g += h
+        return {"q": q, "k": k, "v": v, "a": a, "s": s, "o": o, "h": h, "u": u, "g": g}
+
+    def _class_weights(self, g: np.ndarray) -> np.ndarray:
+        """For each state, numbers in proportion to the probabilities of the classes."""
+        c = g @ self.p["classes"]
+        c += self.p["class_bias"]
         np.minimum(c, _f(60), out=c)
-        wanted = c[np.arange(len(ids)), self.kind[ids]]
-        np.exp(c, out=c)
-        return h, wanted.astype(np.float64) - np.log(c.sum(axis=1), dtype=np.float64)
+        return np.exp(c, out=c)
+
+    def _class_logs(self, x: np.ndarray, ids: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The last states and the log probability of each id's class."""
+        states, logs = [], []
+        for at in range(0, len(x), CHUNK):
+            g = self._states(x[at : at + CHUNK], tables)["g"]
+            c = self._class_weights(g)
+            right = c[np.arange(len(g)), self.kind[ids[at * BLOCK : at * BLOCK + len(g)]]]
+            # What is smaller than single precision tells apart has the least logarithm, not minus infinity.
+            logs.append(np.log(np.maximum(right, _f(1e-30)), dtype=np.float64) - np.log(c @ np.ones(c.shape[1], c.dtype), dtype=np.float64))
+            states.append(g)
+        return np.concatenate(states), np.concatenate(logs)
 
     def _member_logs(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Log probability of each id within its class; positions are sorted by class once."""
-        kinds = np.where(ids < 0, len(self.first) - 1, self.kind[ids]).astype(np.int16)
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(len(self.first)))
-        states, slots = g[order], self.slot[ids[order]]
-        wanted, total = np.zeros(len(ids), _f), np.ones(len(ids), _f)
-        weights, bias = self.p["member"], self.p["member_bias"]
-        for c in range(len(self.first) - 1):
-            a, b, low, high = cuts[c], cuts[c + 1], self.first[c], self.first[c + 1]
-            if a == b:
-                continue
-            p = states[a:b] @ weights[low:high].T
-            p += bias[low:high]
-            np.minimum(p, _f(60), out=p)
-            wanted[a:b] = p[np.arange(b - a), slots[a:b] - low]
-            np.exp(p, out=p)
-            p.sum(axis=1, out=total[a:b])
+        """Log probability of each id within its class, but for ``share``; positions are sorted by class once."""
+        order, runs = self._by_class(ids)
+        states, slots = g.take(order, 0), self.slot[ids[order]]
+        wanted, total = np.ones(len(ids), _f), np.ones(len(ids), _f)
+        for c, a, b in runs:
+            p, total[a:b] = self._inside(states[a:b], c)
+            wanted[a:b] = p[np.arange(b - a), slots[a:b] - self.first[c]]
         out = np.empty(len(ids))
-        out[order] = wanted.astype(np.float64) - np.log(np.maximum(total, _f(1e-30)), dtype=np.float64)
+        # What is smaller than single precision tells apart has the least logarithm, not minus infinity.
+        out[order] = np.log(np.maximum(wanted, _f(1e-30)), dtype=np.float64) - np.log(np.maximum(total, _f(1e-30)), dtype=np.float64)
         return out
 
-    def _members(self, g: np.ndarray, ids: np.ndarray):
-        """For each class: its positions, the probabilities of its members there, the member wanted."""
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Positions in order of the class wanted there, and runs ``class, begin, end`` of bounded size; what has no members comes last."""
         flat = ids.reshape(-1)
-        kinds = np.where(flat < 0, len(self.first) - 1, self.kind[flat])
+        kinds = np.where(flat < 0, len(self.first) - 1, self.kind[flat]).astype(np.int16)
         order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(len(self.first)))
+        cuts, runs = np.searchsorted(kinds[order], np.arange(len(self.first))).tolist(), []
+        for c, members in enumerate(np.diff(self.first).tolist()):
+            step = max(1, PRODUCTS // members)
+            runs += [(c, a, min(a + step, cuts[c + 1])) for a in range(cuts[c], cuts[c + 1], step)]
+        return order, runs
+
+    def _inside(self, states: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in proportion to the probabilities of the members of class ``c``, and their sum, for each state."""
+        low, high = self.first[c], self.first[c + 1]
+        p = states @ self.p["member"][low:high].T
+        p += self.p["member_bias"][low:high]
+        np.minimum(p, _f(60), out=p)
+        np.exp(p, out=p)
+        return p, p @ np.ones(high - low, p.dtype)
+
+    def _members(self, g: np.ndarray, ids: np.ndarray):
+        """For each class: its positions, the probabilities of its members there, the member wanted."""
+        order, runs = self._by_class(ids)
         states = g.reshape(-1, g.shape[-1])
-        for c in range(len(self.first) - 1):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if not len(rows):
-                continue
-            low, high = self.first[c], self.first[c + 1]
-            p = states[rows] @ self.p["member"][low:high].T
-            p += self.p["member_bias"][low:high]
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            yield rows, p, self.slot[flat[rows]] - low
-
-    def slot_range(self, member: int) -> tuple[int, int]:
-        """The slots of an id's class."""
-        c = self.kind[member]
-        return self.first[c], self.first[c + 1]
+        for c, a, b in runs:
+            rows = order[a:b]
+            p, total = self._inside(states[rows], c)
+            yield rows, p / total[:, None], self.slot[ids.reshape(-1)[rows]] - self.first[c]
 
     def gradients(self, x: np.ndarray, ids: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of classes and members, and its gradients."""
-        p, f = self.p, self.forward(x)
-        valid = (ids >= 0).astype(p["embed"].dtype)
-        count = max(1.0, float(valid.sum()))
-        kind = self.kind[ids][:, :, None]
-        right = np.take_along_axis(f["c"], kind, axis=2)[:, :, 0]
-        loss = float(-(np.log(right + 1e-9) * valid).sum() / count)
-        dc = f["c"]
-        np.put_along_axis(dc, kind, np.take_along_axis(dc, kind, 2) - 1, 2)
-        dc *= (valid / dc.dtype.type(count))[:, :, None]
+        """Mean cross-entropy of classes and members, and the gradients of ``trained``."""
+        p, tables = self.p, self._tables()
+        e = p["embed"]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        d = {"classes": flat(f["g"]).T @ flat(dc), "class_bias": flat(dc).sum(0)}
-        dg = dc @ p["classes"].T
-        d["member"], d["member_bias"] = np.zeros_like(p["member"]), np.zeros_like(p["member_bias"])
-        for rows, inside, member in self._members(f["g"], ids):
-            at = np.arange(len(rows))
-            loss -= float(np.log(inside[at, member] + 1e-9).sum() / count)
-            inside[at, member] -= 1
-            inside /= count
-            low, high = self.slot_range(ids.reshape(-1)[rows[0]])
-            d["member"][low:high] = inside.T @ flat(f["g"])[rows]
-            d["member_bias"][low:high] = inside.sum(axis=0)
-            flat(dg)[rows] += inside @ p["member"][low:high]
-        du = dg @ p["down"].T
-        du *= f["u"] > 0
-        d["down"] = flat(f["u"]).T @ flat(dg)
-        d["up"], d["up_bias"] = flat(f["h"]).T @ flat(du), flat(du).sum(0)
-        dh = dg + du @ p["up"].T
-        da = dh @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ dh
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-        d["near"] = np.bincount(_DISTANCE[_SEEN], ds.sum(axis=0)[_SEEN], CONTEXT)
-        scale = p["embed"].shape[1] ** -0.5
-        dq, dk = ds @ f["k"] * scale, ds.transpose(0, 2, 1) @ f["q"]
-        e, last = p["embed"], x[:, CONTEXT:]
-        d["query"], d["key"], d["value"] = flat(e[last]).T @ flat(dq), flat(e[x]).T @ flat(dk), flat(e[x]).T @ flat(dv)
-        every = dk @ p["key"].T + dv @ p["value"].T
-        every[:, CONTEXT:] += dh + dq @ p["query"].T
-        # Positions of a slot are brought together, then summed.
-        slots = x.reshape(-1)
-        order = np.argsort(slots, kind="stable")
-        starts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-        de = np.zeros_like(e)
-        de[slots[order[starts]]] = np.add.reduceat(flat(every)[order], starts, axis=0)
-        de[-1] = 0
-        d["embed"] = de
+        summed = lambda t: np.ones(len(t), t.dtype) @ t
+        wanted = ids.reshape(-1)
+        count = max(1, int((wanted >= 0).sum()))
+        part = (wanted >= 0).astype(e.dtype) / e.dtype.type(count)
+        kinds = self.kind[wanted]
+        d = {k: np.zeros_like(v) for k, v in self.trained().items()}
+        cuts = [slice(at, at + CHUNK) for at in range(0, len(x), CHUNK)]
+        passed, dg, loss = [], np.empty((len(wanted), e.shape[1]), e.dtype), 0.0
+        for cut in cuts:
+            f = self._states(x[cut], tables)
+            rows = slice(cut.start * BLOCK, cut.stop * BLOCK)
+            share, at = part[rows], np.arange(len(f["g"]))
+            c = self._class_weights(f["g"])
+            total = c @ np.ones(c.shape[1], c.dtype)
+            loss -= float((np.log(c[at, kinds[rows]] / total + 1e-9) * share).sum())
+            c *= (share / total)[:, None]
+            c[at, kinds[rows]] -= share
+            d["classes"] += f["g"].T @ c
+            d["class_bias"] += summed(c)
+            dg[rows] = c @ p["classes"].T
+            passed.append(f)
+        order, runs = self._by_class(ids)
+        states, slots, shares = np.concatenate([f["g"] for f in passed]).take(order, 0), self.slot[wanted[order]], part[order]
+        back = np.zeros_like(states)
+        for k, a, b in runs:
+            rows = slice(a, b)
+            low, high = self.first[k], self.first[k + 1]
+            inside, total = self._inside(states[rows], k)
+            at, member = np.arange(len(inside)), slots[rows] - low
+            loss -= float(np.log(inside[at, member] / total + 1e-9) @ shares[rows])
+            inside *= (shares[rows] / total)[:, None]
+            inside[at, member] -= shares[rows]
+            d["member"][low:high] += inside.T @ states[rows]
+            d["member_bias"][low:high] += summed(inside)
+            np.matmul(inside, p["member"][low:high], out=back[rows])
+        dg[order] += back
+        near, every = np.zeros(_SEEN.shape, e.dtype), np.empty((*x.shape, e.shape[1]), e.dtype)
+        scale = _f(e.shape[1] ** -0.5)
+        for cut, f in zip(cuts, passed, strict=True):
+            g = dg[cut.start * BLOCK : cut.stop * BLOCK]
+            n = len(f["a"])
+            du = g @ p["down"].T
+            du *= f["u"] > 0
+            d["down"] += f["u"].T @ g
+            d["up"] += f["h"].T @ du
+            d["up_bias"] += summed(du)
+            dh = du @ p["up"].T
+            dh += g
+            # A weight's gradient is its part of the state's, less what all weights of the position have in common.
+            back = np.empty((len(dh), dh.shape[1] + 1), dh.dtype)
+            np.divide(dh, f["s"], out=back[:, :-1])
+            np.negative(np.einsum("nw,nw->n", back[:, :-1], f["o"]), out=back[:, -1])
+            back = back.reshape(n, BLOCK, -1)
+            ds = back @ f["v"].transpose(0, 2, 1)
+            ds *= f["a"]
+            near += ds.sum(axis=0)
+            dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
+            dv = f["a"].transpose(0, 2, 1) @ back[:, :, :-1]
+            dq *= scale
+            seen, last = e.take(x[cut].reshape(-1), 0), e.take(x[cut][:, CONTEXT:].reshape(-1), 0)
+            d["query"] += last.T @ flat(dq)
+            d["key"] += seen.T @ flat(dk)
+            d["value"] += seen.T @ flat(dv)
+            np.matmul(flat(dk), p["key"].T, out=flat(every[cut]))
+            every[cut] += (flat(dv) @ p["value"].T).reshape(every[cut].shape)
+            dh += flat(dq) @ p["query"].T
+            every[cut][:, CONTEXT:] += dh.reshape(n, BLOCK, -1)
+        d["near"] = np.bincount(_DISTANCE[_SEEN], near[_SEEN], CONTEXT)
+        # Positions of an input row are brought together, then summed.
+        used = x.reshape(-1).astype(np.uint16 if len(e) < 1 << 16 else np.int64)
+        order = np.argsort(used, kind="stable")
+        used = used[order]
+        starts = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+        d["embed"][used[starts]] = np.add.reduceat(flat(every).take(order, 0), starts, axis=0)
+        d["embed"][-1] = 0
         return loss, d
 
 
@@ -265,18 +304,23 @@ def fresh(before: np.ndarray, top: np.ndarray, counts: np.ndarray, start: int, e
     # Large groups become several classes of MEMBERS ids, frequent ones together: a softmax costs its length.
     parts = [part for g in range(classes) if (groups == g).any() for part in np.split(top[groups == g], range(MEMBERS, (groups == g).sum(), MEMBERS))]
     rest = np.argsort(-counts, kind="stable")[len(top) :]
+    met = (counts[rest] > 0) | (rest == start) | (rest == end)
+    rest, never = rest[met], rest[~met]
     parts += [rest[at : at + TAIL_MEMBERS] for at in range(0, len(rest), TAIL_MEMBERS)]
+    first = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+    parts += [never] if len(never) else []
     order = np.concatenate(parts)
     kind, slot = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     for k, part in enumerate(parts):
         kind[part] = k
     slot[order] = np.arange(len(order))
-    first = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+    share = np.zeros(len(counts))
+    share[never] = -np.log(max(1, len(never)))
     mass = np.bincount(kind, counts + 1.0, len(parts))
     rng = np.random.default_rng(seed)
     normal = lambda *s: rng.normal(0, 0.2, s).astype(_f)
     p = {
-        "embed": normal(len(order) + 1, width), "query": normal(width, width), "key": normal(width, width), "value": normal(width, width),
+        "embed": normal(first[-1] + 2, width), "query": normal(width, width), "key": normal(width, width), "value": normal(width, width),
         "near": np.zeros(CONTEXT, _f), "up": normal(width, 2 * width), "up_bias": np.zeros(2 * width, _f), "down": normal(2 * width, width),
         "classes": normal(width, len(parts)), "class_bias": np.log(mass / mass.sum() + 1e-9).astype(_f),
         "member": normal(len(order), width), "member_bias": np.log((counts[order] + 1.0) / mass[kind[order]]).astype(_f),
@@ -284,7 +328,7 @@ def fresh(before: np.ndarray, top: np.ndarray, counts: np.ndarray, start: int, e
     # What training never meets stays neutral.
     p["embed"][len(top) :] = 0
     p["member"][len(top) :] = 0
-    return AttentionModel(slot, kind, first, np.zeros(len(counts)), start, end, p)
+    return AttentionModel(slot, kind, first, share, start, end, p)
 
 
 class Trainer:
@@ -293,7 +337,7 @@ class Trainer:
     def __init__(self, model: AttentionModel, seed: int, batch: int = BATCH):
         self.model = replace(model, p={k: v.copy() for k, v in model.p.items()})
         self.rng, self.batch, self.step = np.random.default_rng(seed), batch, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.trained().items()}
 
     def learn(self, x: np.ndarray, y: np.ndarray, speed) -> None:
         """One pass over the blocks in random order; ``speed`` is a number, or makes one of the step."""
@@ -303,7 +347,7 @@ class Trainer:
             self.step += 1
             _, d = self.model.gradients(x[pick], y[pick])
             rate = speed(self.step) if callable(speed) else speed
-            for name, value in self.model.p.items():
+            for name, value in self.model.trained().items():
                 m, v = self.moments[name]
                 g = d[name].astype(_f)
                 m *= _f(0.9)

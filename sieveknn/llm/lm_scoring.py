@@ -45,7 +45,7 @@ VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BATCH_IDS = 400_000
 _BATCH_BYTES = 4_000_000  # of text, encoded or looked up together
-_PART = 1 << 16  # numbers of a row when arrays are summed
+_PART = 1 << 14  # numbers of a row when arrays are summed
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int
         if held:
             seen += learn()
         if seen:
-            weights = np.concatenate([v.reshape(-1) for v in trainer.model.p.values()]).astype(np.float64)
+            weights = np.concatenate([v.reshape(-1) for v in trainer.model.trained().values()]).astype(np.float64)
             yield from _parts(np.concatenate([[1.0], weights]) * seen, task)
 
     total = _summed(ids, run)
@@ -183,7 +183,7 @@ def train_round(ids: DataFrame, model: AttentionModel, speed: float, passes: int
     if total is None:
         return 0
     at = 1
-    for value in model.p.values():
+    for value in model.trained().values():
         value[...] = (total[at : at + value.size] / total[0]).reshape(value.shape)
         at += value.size
     return round(total[0])

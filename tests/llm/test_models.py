@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -157,6 +158,30 @@ def test_toxicity_of_messy_rows(spark, messy, nothing, labels):
     assert toxicity.score_toxicity(nothing, labels).count() == 0
 
 
+def test_ids_that_training_never_meets_take_no_memory():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 3000, 800) for _ in range(42)]
+    counts = np.bincount(np.concatenate(rows), minlength=50_002).astype(float)
+    counts[50_001] = len(rows)
+    top = attention.frequent(counts)
+    model = attention.fresh(np.ones((len(top) + 1,) * 2), top, counts, 50_000, 50_001)
+    x, y, _ = model.blocks(rows)
+    tracemalloc.start()
+    trainer = attention.Trainer(model, 0)
+    trainer.learn(x, y, 0.02)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    # All that may follow the start, met or not, adds up to one.
+    model = trainer.model
+    first = np.arange(len(counts))
+    x, _, _ = model.blocks([np.array([], np.int64)])
+    g = np.repeat(model._states(x, model._tables())["g"][:1], len(first), axis=0)
+    c = model._class_weights(g[:1])[0].astype(np.float64)
+    log = np.log(c[model.kind] / c.sum()) + model.share + model._member_logs(g, first)
+    assert np.exp(log).sum() == pytest.approx(1.0, abs=1e-3) and np.isfinite(model.log_probabilities([np.array([49_000, 5, 49_001])])).all()
+
+
 def test_word_scores_against_brute_force(messy, nothing):
     table = str.maketrans(UPPER, LOWER)
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(table)), None]
