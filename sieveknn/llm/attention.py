@@ -3,8 +3,9 @@
 One layer: the last ``CONTEXT`` inputs are attended to with a learned bias for each distance, then a feed-forward
 layer, then a softmax over classes of ids and one over the members of the class. Every id of the vocabulary has an
 input row, a class and a weight in it: frequent ids are grouped by their neighbours, all others by their counts.
-Texts are cut into blocks of ``BLOCK`` positions, of which ``CHUNK`` are computed at a time; each block sees the ``CONTEXT`` positions before it as well, so
-windows overlap and every id is scored once.
+Ids that training never meets share an input row and a class.
+Texts are cut into blocks of ``BLOCK`` positions, of which ``CHUNK`` are computed at a time; each block sees the
+``CONTEXT`` positions before it as well, so windows overlap and every id is scored once.
 """
 
 from __future__ import annotations
