@@ -26,6 +26,24 @@ _DISTANCE = (np.arange(BLOCK) + CONTEXT)[:, None] - np.arange(CONTEXT + BLOCK)[N
 _SEEN = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)  # causal, and the same reach for every position
 
 
+def _longest(rows: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return float(np.sqrt(np.einsum("nw,nw->n", rows, rows).max(initial=0)))
+
+
+def _exp(t: np.ndarray, most: float) -> np.ndarray:
+    """``exp`` of at most 60, in place; what is known to stay below ``most`` need not be cut off one by one."""
+    if not most <= 60:
+        np.minimum(t, _f(60), out=t)
+    return np.exp(t, out=t)
+
+
+def _log_ratio(part: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """log(part / total); what is smaller than single precision tells apart has the least logarithm, not minus infinity."""
+    ratio = np.divide(np.maximum(part, _f(1e-30)), total, dtype=np.float64)
+    return np.log(ratio, out=ratio)
+
+
 @dataclass
 class AttentionModel:
     """``slot`` and ``kind`` map an id to its slot and its class. Slots of a class are neighbours, from
@@ -83,55 +101,55 @@ class AttentionModel:
             total += np.bincount(owner[at : at + batch], np.where(ids < 0, 0.0, log).reshape(-1, BLOCK).sum(axis=1), len(texts))
         return total
 
-    def _tables(self) -> tuple[np.ndarray, ...]:
-        """What attention makes of each input row, and the weight of each distance.
+    def _tables(self) -> tuple:
+        """What attention makes of each input row, the weight of each distance, and what else is alike for all blocks.
 
-        Values carry a one, so that one product gives sums of weights and values; the pad's row is zero.
+        Values carry a one, so that one product gives sums of weights and values; the pad's row is zero. States carry a one as well,
+        which meets the biases. Last comes what no product of a query and a key exceeds.
         """
         p = self.p
         e = p["embed"]
-        value = np.concatenate([e @ p["value"], np.ones((len(e), 1), e.dtype)], axis=1)
-        value[-1] = 0
+        query, key = e @ p["query"] * _f(e.shape[1] ** -0.5), e @ p["key"]
+        both = np.concatenate([key, e @ p["value"], np.ones((len(e), 1), e.dtype)], axis=1)
+        both[-1, key.shape[1] :] = 0
         near = np.where(_SEEN, np.exp(p["near"])[np.clip(_DISTANCE, 0, CONTEXT - 1)], 0).astype(e.dtype)
-        return e @ p["query"] * _f(e.shape[1] ** -0.5), e @ p["key"], value, near
+        rows = np.concatenate([e, np.zeros((len(e), 1), e.dtype)], axis=1)
+        up = np.concatenate([p["up"], p["up_bias"][None]])
+        down = np.concatenate([p["down"], np.zeros((len(p["down"]), 1), e.dtype)], axis=1)
+        return query, both, near, rows, up, down, _longest(query) * _longest(key)
 
-    def _states(self, x: np.ndarray, tables: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+    def _states(self, x: np.ndarray, tables: tuple) -> dict[str, np.ndarray]:
         """All that lies between the inputs and the last states ``g``. Weights ``a`` are not divided by their sum ``s``."""
-        p, (query, key, value, near) = self.p, tables
-        last = x[:, CONTEXT:]
-        q, k, v = query.take(last, 0), key.take(x, 0), value.take(x, 0)
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, _f(60), out=a)
-        np.exp(a, out=a)
+        query, both, near, rows, up, down, most = tables
+        last, width = x[:, CONTEXT:], query.shape[1]
+        q, kv = query.take(last, 0), both.take(x, 0)
+        a = _exp(q @ kv[:, :, :width].transpose(0, 2, 1), most)
         a *= near
-        o = (a @ v).reshape(last.size, -1)
+        o = (a @ kv[:, :, width:]).reshape(last.size, -1)
         s = np.maximum(o[:, -1:], _f(1e-20))
-        o = o[:, :-1] / s
-        h = p["embed"].take(last.reshape(-1), 0)
+        o /= s
+        h = rows.take(last.reshape(-1), 0)
         h += o
-        u = h @ p["up"]
-        u += p["up_bias"]
+        h[:, -1] = 1
+        u = h @ up
         np.maximum(u, 0, out=u)
-        g = u @ p["down"]
+        g = u @ down
         g += h
-        return {"q": q, "k": k, "v": v, "a": a, "s": s, "o": o, "h": h, "u": u, "g": g}
+        return {"q": q, "kv": kv, "a": a, "s": s, "o": o, "h": h, "u": u, "g": g}
 
     def _class_weights(self, g: np.ndarray) -> np.ndarray:
         """For each state, numbers in proportion to the probabilities of the classes."""
-        c = g @ self.p["classes"]
-        c += self.p["class_bias"]
-        np.minimum(c, _f(60), out=c)
-        return np.exp(c, out=c)
+        classes, bias = self.p["classes"], self.p["class_bias"]
+        return _exp(g @ np.concatenate([classes, bias[None]]), _longest(g) * _longest(classes.T) + bias.max())
 
-    def _class_logs(self, x: np.ndarray, ids: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    def _class_logs(self, x: np.ndarray, ids: np.ndarray, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
         """The last states and the log probability of each id's class."""
         states, logs = [], []
         for at in range(0, len(x), CHUNK):
             g = self._states(x[at : at + CHUNK], tables)["g"]
             c = self._class_weights(g)
             right = c[np.arange(len(g)), self.kind[ids[at * BLOCK : at * BLOCK + len(g)]]]
-            # What is smaller than single precision tells apart has the least logarithm, not minus infinity.
-            logs.append(np.log(np.maximum(right, _f(1e-30)), dtype=np.float64) - np.log(c @ np.ones(c.shape[1], c.dtype), dtype=np.float64))
+            logs.append(_log_ratio(right, c @ np.ones(c.shape[1], c.dtype)))
             states.append(g)
         return np.concatenate(states), np.concatenate(logs)
 
@@ -140,12 +158,12 @@ class AttentionModel:
         order, runs = self._by_class(ids)
         states, slots = g.take(order, 0), self.slot[ids[order]]
         wanted, total = np.ones(len(ids), _f), np.ones(len(ids), _f)
+        members, most = self._member_rows(states)
         for c, a, b in runs:
-            p, total[a:b] = self._inside(states[a:b], c)
+            p, total[a:b] = self._inside(states[a:b], c, members, most)
             wanted[a:b] = p[np.arange(b - a), slots[a:b] - self.first[c]]
         out = np.empty(len(ids))
-        # What is smaller than single precision tells apart has the least logarithm, not minus infinity.
-        out[order] = np.log(np.maximum(wanted, _f(1e-30)), dtype=np.float64) - np.log(np.maximum(total, _f(1e-30)), dtype=np.float64)
+        out[order] = _log_ratio(wanted, np.maximum(total, _f(1e-30)))
         return out
 
     def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -159,94 +177,108 @@ class AttentionModel:
             runs += [(c, a, min(a + step, cuts[c + 1])) for a in range(cuts[c], cuts[c + 1], step)]
         return order, runs
 
-    def _inside(self, states: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    def _member_rows(self, states: np.ndarray) -> tuple[np.ndarray, float]:
+        """The weights of the members that training meets, each with its bias, and what no product with one of ``states`` exceeds."""
+        weights, bias = self.p["member"][: self.first[-1]], self.p["member_bias"][: self.first[-1]]
+        most = _longest(states) * _longest(weights) + bias.max(initial=-np.inf)
+        return np.concatenate([weights, bias[:, None]], axis=1), most
+
+    def _inside(self, states: np.ndarray, c: int, members: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in proportion to the probabilities of the members of class ``c``, and their sum, for each state."""
         low, high = self.first[c], self.first[c + 1]
-        p = states @ self.p["member"][low:high].T
-        p += self.p["member_bias"][low:high]
-        np.minimum(p, _f(60), out=p)
-        np.exp(p, out=p)
+        p = _exp(states @ members[low:high].T, most)
         return p, p @ np.ones(high - low, p.dtype)
 
     def _members(self, g: np.ndarray, ids: np.ndarray):
         """For each class: its positions, the probabilities of its members there, the member wanted."""
         order, runs = self._by_class(ids)
         states = g.reshape(-1, g.shape[-1])
+        members, most = self._member_rows(states)
         for c, a, b in runs:
             rows = order[a:b]
-            p, total = self._inside(states[rows], c)
+            p, total = self._inside(states[rows], c, members, most)
             yield rows, p / total[:, None], self.slot[ids.reshape(-1)[rows]] - self.first[c]
 
-    def gradients(self, x: np.ndarray, ids: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy of classes and members, and the gradients of ``trained``."""
+    def gradients(self, x: np.ndarray, ids: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of classes and members (0 without ``with_loss``), and the gradients of ``trained``."""
         p, tables = self.p, self._tables()
         e = p["embed"]
+        width = e.shape[1]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        summed = lambda t: np.ones(len(t), t.dtype) @ t
         wanted = ids.reshape(-1)
         count = max(1, int((wanted >= 0).sum()))
         part = (wanted >= 0).astype(e.dtype) / e.dtype.type(count)
         kinds = self.kind[wanted]
         d = {k: np.zeros_like(v) for k, v in self.trained().items()}
         cuts = [slice(at, at + CHUNK) for at in range(0, len(x), CHUNK)]
-        passed, dg, loss = [], np.empty((len(wanted), e.shape[1]), e.dtype), 0.0
+        passed, dg, loss = [], np.empty((len(wanted), width), e.dtype), 0.0
         for cut in cuts:
             f = self._states(x[cut], tables)
             rows = slice(cut.start * BLOCK, cut.stop * BLOCK)
             share, at = part[rows], np.arange(len(f["g"]))
             c = self._class_weights(f["g"])
             total = c @ np.ones(c.shape[1], c.dtype)
-            loss -= float((np.log(c[at, kinds[rows]] / total + 1e-9) * share).sum())
+            if with_loss:
+                loss -= float((np.log(c[at, kinds[rows]] / total + 1e-9) * share).sum())
             c *= (share / total)[:, None]
             c[at, kinds[rows]] -= share
-            d["classes"] += f["g"].T @ c
-            d["class_bias"] += summed(c)
-            dg[rows] = c @ p["classes"].T
+            found = f["g"].T @ c
+            d["classes"] += found[:-1]
+            d["class_bias"] += found[-1]
+            np.matmul(c, p["classes"].T, out=dg[rows])
             passed.append(f)
         order, runs = self._by_class(ids)
         states, slots, shares = np.concatenate([f["g"] for f in passed]).take(order, 0), self.slot[wanted[order]], part[order]
-        back = np.zeros_like(states)
+        members, most = self._member_rows(states)
+        back = np.zeros_like(dg)
         for k, a, b in runs:
             rows = slice(a, b)
             low, high = self.first[k], self.first[k + 1]
-            inside, total = self._inside(states[rows], k)
+            inside, total = self._inside(states[rows], k, members, most)
             at, member = np.arange(len(inside)), slots[rows] - low
-            loss -= float(np.log(inside[at, member] / total + 1e-9) @ shares[rows])
+            if with_loss:
+                loss -= float(np.log(inside[at, member] / total + 1e-9) @ shares[rows])
             inside *= (shares[rows] / total)[:, None]
             inside[at, member] -= shares[rows]
-            d["member"][low:high] += inside.T @ states[rows]
-            d["member_bias"][low:high] += summed(inside)
+            found = inside.T @ states[rows]
+            d["member"][low:high] += found[:, :-1]
+            d["member_bias"][low:high] += found[:, -1]
             np.matmul(inside, p["member"][low:high], out=back[rows])
-        dg[order] += back
-        near, every = np.zeros(_SEEN.shape, e.dtype), np.empty((*x.shape, e.shape[1]), e.dtype)
-        scale = _f(e.shape[1] ** -0.5)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        dg += back.take(place, 0)
+        near, every = np.zeros(_SEEN.shape, e.dtype), np.empty((*x.shape, width), e.dtype)
+        scale = _f(width**-0.5)
+        both = np.concatenate([p["key"], p["value"]], axis=1)
         for cut, f in zip(cuts, passed, strict=True):
             g = dg[cut.start * BLOCK : cut.stop * BLOCK]
             n = len(f["a"])
             du = g @ p["down"].T
             du *= f["u"] > 0
             d["down"] += f["u"].T @ g
-            d["up"] += f["h"].T @ du
-            d["up_bias"] += summed(du)
+            found = f["h"].T @ du
+            d["up"] += found[:-1]
+            d["up_bias"] += found[-1]
             dh = du @ p["up"].T
             dh += g
             # A weight's gradient is its part of the state's, less what all weights of the position have in common.
-            back = np.empty((len(dh), dh.shape[1] + 1), dh.dtype)
+            back = np.empty((len(dh), width + 1), dh.dtype)
             np.divide(dh, f["s"], out=back[:, :-1])
-            np.negative(np.einsum("nw,nw->n", back[:, :-1], f["o"]), out=back[:, -1])
+            np.negative(np.einsum("nw,nw->n", back[:, :-1], f["o"][:, :-1]), out=back[:, -1])
             back = back.reshape(n, BLOCK, -1)
-            ds = back @ f["v"].transpose(0, 2, 1)
+            ds = back @ f["kv"][:, :, width:].transpose(0, 2, 1)
             ds *= f["a"]
             near += ds.sum(axis=0)
-            dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-            dv = f["a"].transpose(0, 2, 1) @ back[:, :, :-1]
+            dq, dkv = ds @ f["kv"][:, :, :width], np.empty((*x[cut].shape, 2 * width), e.dtype)
+            np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv[:, :, :width])
+            np.matmul(f["a"].transpose(0, 2, 1), back[:, :, :-1], out=dkv[:, :, width:])
             dq *= scale
             seen, last = e.take(x[cut].reshape(-1), 0), e.take(x[cut][:, CONTEXT:].reshape(-1), 0)
             d["query"] += last.T @ flat(dq)
-            d["key"] += seen.T @ flat(dk)
-            d["value"] += seen.T @ flat(dv)
-            np.matmul(flat(dk), p["key"].T, out=flat(every[cut]))
-            every[cut] += (flat(dv) @ p["value"].T).reshape(every[cut].shape)
+            found = seen.T @ flat(dkv)
+            d["key"] += found[:, :width]
+            d["value"] += found[:, width:]
+            np.matmul(flat(dkv), both.T, out=flat(every[cut]))
             dh += flat(dq) @ p["query"].T
             every[cut][:, CONTEXT:] += dh.reshape(n, BLOCK, -1)
         d["near"] = np.bincount(_DISTANCE[_SEEN], near[_SEEN], CONTEXT)
@@ -346,7 +378,7 @@ class Trainer:
         for at in range(0, len(x), self.batch):
             pick = order[at : at + self.batch]
             self.step += 1
-            _, d = self.model.gradients(x[pick], y[pick])
+            _, d = self.model.gradients(x[pick], y[pick], with_loss=False)
             rate = speed(self.step) if callable(speed) else speed
             for name, value in self.model.trained().items():
                 m, v = self.moments[name]

@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveknn.llm.attention import BATCH, BLOCK, BUFFER, AttentionModel, Trainer, fresh, frequent, neighbours
-from sieveknn.llm.common import hash_sample, lower_ascii, remainder, stored, whole_text
+from sieveknn.llm.common import hash_sample, remainder, stored, whole_text
 from sieveknn.session import new_scratch_path, ship_package
 
 ROUNDS = 8  # each training document is in one of them
@@ -69,12 +71,24 @@ def _text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.
             yield batch.slice(at, stop - at)
 
 
+def _words(text: pa.BinaryScalar) -> list[bytes]:
+    """The words of a text, A-Z in lower case; bytes are split at the same six characters as ``WORD``."""
+    return text.as_buffer().to_pybytes().lower().split()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``word, c`` over the training documents; the end of a text is the null word."""
     training = _keyed(docs).where("train")
-    words = training.select(F.explode(F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
-    ends = training.select(F.lit(None).cast("string").alias("word"))
-    return words.unionByName(ends).groupBy("word").agg(F.count("*").alias("c"))
+
+    def run(batches):
+        for batch in _text_slices(batches, 0):
+            counts = Counter(chain.from_iterable(map(_words, batch.column(0).cast(pa.binary()))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+
+    ship_package(docs.sparkSession)
+    words = training.select("text").mapInArrow(run, "word string, c long")
+    ends = training.select(F.lit(None).cast("string").alias("word"), F.lit(1).cast("long").alias("c"))
+    return words.unionByName(ends).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 _encodings: dict[int, tiktoken.Encoding] = {}
@@ -286,16 +300,13 @@ def unigram_parts(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WOR
         for batch in _text_slices(batches, 3):
             n, known, value, tail, times = [], [], [], [], []
             for text in batch.column(3).cast(pa.binary()):
-                words = text.as_buffer().to_pybytes().lower().split()
+                words = _words(text)
                 found = list(map(find, words))
-                rest: dict[bytes, int] = {}
-                if None in found:
-                    for w, x in zip(words, found, strict=True):
-                        if x is None:
-                            rest[w] = rest.get(w, 0) + 1
+                # A word of the table has a number above 0.
+                rest = Counter(compress(words, map(not_, found)))
                 n.append(len(words) + 1)
                 known.append(len(words) - sum(rest.values()) + (ends is not None))
-                value.append(math.fsum(x for x in found if x is not None) + end_value)
+                value.append(math.fsum(filter(None, found)) + end_value)
                 tail.append(list(rest))
                 times.append(list(rest.values()))
             yield pa.RecordBatch.from_arrays(

@@ -182,6 +182,30 @@ def test_ids_that_training_never_meets_take_no_memory():
     assert np.exp(log).sum() == pytest.approx(1.0, abs=1e-3) and np.isfinite(model.log_probabilities([np.array([49_000, 5, 49_001])])).all()
 
 
+def test_training_leaves_out_the_loss_and_needless_cuts():
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(3, 60, n) for n in (0, 31, 32, 200)]
+    model = attention.train(rows, np.bincount(np.concatenate(rows), minlength=60).astype(float), 1, 2, slots=40, classes=6, width=8, steps=3)
+    x, y, _ = model.blocks(rows)
+    loss, whole = model.gradients(x, y)
+    none, short = model.gradients(x, y, with_loss=False)
+    assert loss > 0 and none == 0 and all((whole[k] == short[k]).all() for k in whole)
+    # What may exceed 60 is cut off, also where lengths alone cannot tell; nothing else is changed.
+    wide = rng.normal(0, 40, (50, 8)).astype(np.float32)
+    assert (attention._exp(wide.copy(), float(wide.max())) == np.exp(np.minimum(wide, np.float32(60)))).all() and wide.max() > 60
+    near = np.minimum(wide, np.float32(59))
+    assert (attention._exp(near.copy(), 59.0) == np.exp(near)).all() and np.isfinite(attention._exp(wide.copy(), math.nan)).all()
+    for name in ("query", "classes", "member"):
+        model.p[name] = model.p[name] * np.float32(1e4)
+        assert np.isfinite(model.log_probabilities(rows)).all()
+
+
+def test_words_are_counted_where_they_are_read(messy):
+    frame = lm_scoring.count_words(messy)
+    plan = frame._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and frame.dtypes == [("word", "string"), ("c", "bigint")]
+
+
 def test_word_scores_against_brute_force(messy, nothing):
     table = str.maketrans(UPPER, LOWER)
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(table)), None]
